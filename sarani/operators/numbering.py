@@ -42,8 +42,9 @@ def number_within(
     name: str = "row_no",
     total: str | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    ties: tuple[str, ...] = (),
 ) -> DataFrame:
-    """0-based number of each row within `keys`, by the numeric, unique column `order`.
+    """0-based number of each row within `keys`, by the numeric column `order`, then `ties`.
 
     The data is cut into ranges of `order`, so a key with a third of all rows (or no
     key at all) is numbered by many tasks: rows are numbered inside a range, and the
@@ -51,7 +52,7 @@ def number_within(
     """
     splits = order_splits(df, order, rows_per_bucket)
     work = df.withColumn("_bucket", _bucket(F.col(order), splits))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(order)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(order, *ties)
     work = work.withColumn("_inside", F.row_number().over(inside) - 1)
     if not splits and keys and not total:
         return work.withColumn(name, F.col("_inside").cast("bigint")).drop("_bucket", "_inside")
