@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from sarani.functions.languages import COLUMN_MARKS, ROW_MARKS, language_of, translate_digits
+from sarani.functions.once import let
 from sarani.functions.text import strip_text
 
 _EMPTY = "array<string>"
@@ -33,12 +34,18 @@ def _after_blank(c: Column) -> Column:
 
 def _transpose(grid: Column) -> Column:
     """Columns of a list of lists, cut to the shortest list."""
-    width = F.array_min(F.transform(grid, lambda r: F.size(r)))
-    columns = F.transform(
-        F.sequence(F.lit(1), width),
-        lambda j: F.array_join(F.transform(grid, lambda r: strip_text(F.element_at(r, j))), " | "),
-    )
-    return F.when(width > 0, columns).otherwise(F.array().cast(_EMPTY))
+
+    def columns(g):
+        width = F.array_min(F.transform(g, lambda r: F.size(r)))
+        return F.when(
+            width > 0,
+            F.transform(
+                F.sequence(F.lit(1), width),
+                lambda j: F.array_join(F.transform(g, lambda r: strip_text(F.element_at(r, j))), " | "),
+            ),
+        )
+
+    return F.coalesce(let(grid, columns), F.array().cast(_EMPTY))
 
 
 def parse_linearised(c: Column, lang: str) -> Column:
@@ -59,14 +66,21 @@ def parse_linearised(c: Column, lang: str) -> Column:
         pieces, lambda p, i: F.when((i > 0) & F.contains(p, F.lit(" ")), _after_blank(p)).otherwise(p)
     )
     pieces = F.filter(pieces, lambda p: p != "")
-    body = F.transform(
-        F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))),
-        lambda p: F.transform(F.split(p, r"\|", -1), strip_text),
-    )
-    grid = F.transform(pieces, lambda p: F.split(p, r" \| ", -1))
-    ok = F.contains(c, F.lit(" ")) & (F.size(pieces) > 0)
-    return F.struct(
-        F.when(ok, F.transform(body, lambda r: F.array_join(r, " | "))).otherwise(none).alias("rows"),
-        F.when(ok, _transpose(grid)).otherwise(none).alias("columns"),
-        F.when(ok, F.flatten(body)).otherwise(none).alias("cells"),
-    )
+
+    def parts(pieces):
+        body = F.transform(
+            F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))),
+            lambda p: F.transform(F.split(p, r"\|", -1), strip_text),
+        )
+        return let(
+            body,
+            lambda b: F.struct(
+                F.transform(b, lambda r: F.array_join(r, " | ")).alias("rows"),
+                _transpose(F.transform(pieces, lambda p: F.split(p, r" \| ", -1))).alias("columns"),
+                F.flatten(b).alias("cells"),
+            ),
+        )
+
+    # `struct` of empty lists where there is nothing to parse.
+    empty = F.struct(none.alias("rows"), none.alias("columns"), none.alias("cells"))
+    return F.when(F.contains(c, F.lit(" ")), let(pieces, parts)).otherwise(empty)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
 from sarani.functions.linear import parse_linearised
+from sarani.functions.once import compute_once, let
 from sarani.functions.text import strip_text
 
 PARTS = ("rows", "columns", "cells")
@@ -40,10 +42,10 @@ def table_overlap(df: DataFrame, keys: list[str], lang: str, gold: str = "target
 
     Texts are compared in lower case, stripped.
     """
-    parsed = df.select(
-        *keys,
-        parse_linearised(F.lower(strip_text(F.col(gold))), lang).alias("_g"),
-        parse_linearised(F.lower(strip_text(F.col(pred))), lang).alias("_p"),
+    parsed = compute_once(
+        df.select(*keys, F.lower(strip_text(F.col(gold))).alias("_gt"), F.lower(strip_text(F.col(pred))).alias("_pt")),
+        _g=parse_linearised(F.col("_gt"), lang),
+        _p=parse_linearised(F.col("_pt"), lang),
     )
     lists = F.array(
         *[
@@ -134,11 +136,14 @@ def rouge_words(c: Column) -> Column:
 
 def ngrams(words: Column, n: int) -> Column:
     """The n-grams of a word list as texts."""
-    count = F.size(words) - (n - 1)
-    return F.when(
-        count > 0,
-        F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(words, i, n), " ")),
-    ).otherwise(F.array().cast("array<string>"))
+
+    def grams(w):
+        count = F.size(w) - (n - 1)
+        return F.when(
+            count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(w, i, n), " "))
+        )
+
+    return F.coalesce(let(words, grams), F.array().cast("array<string>"))
 
 
 def rouge_n(df: DataFrame, keys: list[str], pred: str, ref: str, n: int) -> DataFrame:
@@ -175,7 +180,7 @@ def _f_measure(hits: int, gold: int, pred: int) -> float:
     return 2.0 * hits / (gold + pred) if hits else 0.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _rouge_l(ref: pd.Series, pred: pd.Series) -> pd.Series:
     return pd.Series(
         [_f_measure(_lcs_bits(list(r), list(p)).bit_count(), len(r), len(p)) for r, p in zip(ref, pred)]
@@ -227,7 +232,7 @@ def _union_lcs(ref: list, pred: list) -> float:
     hits = 0
     for line in ref:
         union = set().union(*[_lcs_places(line, p) for p in pred]) if pred else set()
-        for i in union:
+        for i in sorted(union):
             w = line[i]
             if left_ref.get(w, 0) > 0 and left_pred.get(w, 0) > 0:
                 hits += 1
@@ -236,7 +241,7 @@ def _union_lcs(ref: list, pred: list) -> float:
     return _f_measure(hits, total_ref, total_pred)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _rouge_lsum(ref: pd.Series, pred: pd.Series) -> pd.Series:
     return pd.Series(
         [_union_lcs([list(x) for x in r], [list(x) for x in p]) for r, p in zip(ref, pred)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sarani.functions.once import compute_once, let
 from sarani.functions.text import strip_text
 
 # The table classes that are looked for, in this order.
@@ -59,18 +60,16 @@ def select_tables(pages: DataFrame, classes: tuple[str, ...] = TABLE_CLASSES) ->
     )
     keep = [c for c in pages.columns if c != "html"]
     rows = (
-        pages.withColumn("_parts", classed)
+        compute_once(pages, _parts=classed)
         .withColumn("_t", F.explode(F.filter(found, lambda t: t["part"].isNotNull())))
         .select(*keep, "_t.class_name", "_t.table_no", "_t.part")
     )
     closed = F.col("part").rlike(r"(?i)</table\s*>")
-    return rows.select(
-        *keep,
-        "class_name",
-        "table_no",
-        F.regexp_extract("part", r"(?is)\A(.*?)</table\s*>", 1).alias("table_html"),
-        F.when(~closed, F.lit("nested_or_open_table")).alias("reason"),
-    )
+    return compute_once(
+        rows,
+        table_html=F.regexp_extract("part", r"(?is)\A(.*?)</table\s*>", 1),
+        reason=F.when(~closed, F.lit("nested_or_open_table")),
+    ).drop("part")
 
 
 def cell_text(c: Column) -> Column:
@@ -91,7 +90,7 @@ def cell_text(c: Column) -> Column:
             t = F.replace(t, F.lit(name), F.lit(char))
         return t
 
-    return strip_text(F.when(F.contains(text, F.lit("&")), decode(text)).otherwise(text))
+    return let(text, lambda t: strip_text(F.when(F.contains(t, F.lit("&")), decode(t)).otherwise(t)))
 
 
 def _span(attrs: Column, name: str) -> Column:
@@ -143,44 +142,51 @@ def flatten_header(rows: Column) -> Column:
     While a header cell spans further rows, the next row is header too and its texts
     are added in brackets to the columns that do not span it.
     """
-    first = expand_colspan(rows[0])
-    start = F.struct(
-        F.transform(first, lambda c: c["text"]).alias("texts"),
-        F.transform(first, lambda c: c["rowspan"]).alias("spans"),
-        F.lit(1).alias("used"),
-        F.lit(True).alias("ok"),
-    )
-
     def step(state, row):
-        child = expand_colspan(row)
         spans = state["spans"]
 
-        def own(i):
-            return F.try_element_at(child, _rank(spans, i, lambda v: v == 1))
+        def after(child):
+            def own(i):
+                return F.try_element_at(child, _rank(spans, i, lambda v: v == 1))
 
-        texts = F.transform(
-            state["texts"],
-            lambda t, i: F.when(
-                F.get(spans, i) == 1, F.concat(t, F.lit(" ("), own(i)["text"], F.lit(")"))
-            ).otherwise(t),
-        )
-        left = F.transform(
-            spans, lambda v, i: F.when(v > 1, v - 1).otherwise(F.when(v == 1, own(i)["rowspan"]).otherwise(v))
-        )
-        enough = F.size(child) >= F.size(F.filter(spans, lambda v: v == 1))
-        after = F.struct(
-            texts.alias("texts"), left.alias("spans"), (state["used"] + 1).alias("used"), enough.alias("ok")
+            texts = F.transform(
+                state["texts"],
+                lambda t, i: F.when(
+                    F.get(spans, i) == 1, F.concat(t, F.lit(" ("), own(i)["text"], F.lit(")"))
+                ).otherwise(t),
+            )
+            left = F.transform(
+                spans,
+                lambda v, i: F.when(v > 1, v - 1).otherwise(F.when(v == 1, own(i)["rowspan"]).otherwise(v)),
+            )
+            enough = F.size(child) >= F.size(F.filter(spans, lambda v: v == 1))
+            return F.struct(
+                texts.alias("texts"), left.alias("spans"), (state["used"] + 1).alias("used"), enough.alias("ok")
+            )
+
+        more = state["ok"] & (F.array_max(spans) > 1)
+        return F.when(more, let(expand_colspan(row), after)).otherwise(state)
+
+    def start(first):
+        return F.struct(
+            F.transform(first, lambda c: c["text"]).alias("texts"),
+            F.transform(first, lambda c: c["rowspan"]).alias("spans"),
+            F.lit(1).alias("used"),
+            F.lit(True).alias("ok"),
         )
-        return F.when(state["ok"] & (F.array_max(spans) > 1), after).otherwise(state)
 
     rest = F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0)))
-    end = F.when(
-        F.array_max(start["spans"]) > 1, F.aggregate(rest, start, step)
-    ).otherwise(start)
-    return F.struct(
-        end["texts"].alias("header"),
-        end["used"].alias("header_rows"),
-        (end["ok"] & (F.array_max(end["spans"]) <= 1)).alias("ok"),
+    end = let(
+        let(expand_colspan(F.get(rows, F.lit(0))), start),
+        lambda s: F.when(F.array_max(s["spans"]) > 1, F.aggregate(rest, s, step)).otherwise(s),
+    )
+    return let(
+        end,
+        lambda e: F.struct(
+            e["texts"].alias("header"),
+            e["used"].alias("header_rows"),
+            (e["ok"] & (F.array_max(e["spans"]) <= 1)).alias("ok"),
+        ),
     )
 
 
@@ -196,26 +202,32 @@ def fill_rowspan(body: Column, width: Column) -> Column:
     )
 
     def step(state, row):
+        carry = state["carry"]
         cells = F.transform(
             expand_colspan(row),
             lambda c: F.struct(c["text"].alias("text"), F.greatest(c["rowspan"] - 1, F.lit(0)).alias("left")),
         )
-        carry = state["carry"]
-        placed = F.transform(
-            carry,
-            lambda c, i: F.when(
-                c["left"] > 0, F.struct(c["text"].alias("text"), (c["left"] - 1).alias("left"))
-            ).otherwise(F.try_element_at(cells, _rank(carry, i, lambda x: x["left"] == 0))),
-        )
-        free = F.size(F.filter(carry, lambda c: c["left"] == 0))
-        extra = F.slice(cells, free + 1, F.greatest(F.size(cells) - free, F.lit(0)))
-        texts = F.transform(
-            F.concat(F.filter(placed, lambda c: c.isNotNull()), extra), lambda c: c["text"]
-        )
-        return F.struct(
-            F.concat(state["out"], F.array(texts)).alias("out"),
-            F.transform(placed, lambda c: F.coalesce(c, blank)).alias("carry"),
-        )
+
+        def place(cells):
+            return F.transform(
+                carry,
+                lambda c, i: F.when(
+                    c["left"] > 0, F.struct(c["text"].alias("text"), (c["left"] - 1).alias("left"))
+                ).otherwise(F.try_element_at(cells, _rank(carry, i, lambda x: x["left"] == 0))),
+            )
+
+        def after(cells, placed):
+            free = F.size(F.filter(carry, lambda c: c["left"] == 0))
+            extra = F.slice(cells, free + 1, F.greatest(F.size(cells) - free, F.lit(0)))
+            texts = F.transform(
+                F.concat(F.filter(placed, lambda c: c.isNotNull()), extra), lambda c: c["text"]
+            )
+            return F.struct(
+                F.concat(state["out"], F.array(texts)).alias("out"),
+                F.transform(placed, lambda c: F.coalesce(c, blank)).alias("carry"),
+            )
+
+        return let(cells, lambda c: let(place(c), lambda p: after(c, p)))
 
     spans = F.exists(body, lambda r: F.exists(r, lambda c: c["rowspan"] > 1))
     plain = F.transform(body, lambda r: F.transform(expand_colspan(r), lambda c: c["text"]))
@@ -227,29 +239,24 @@ def parse_tables(selected: DataFrame) -> DataFrame:
 
     Body rows of another width than the header are left out and counted.
     """
-    df = selected.withColumn("_rows", parse_cells(F.col("table_html")))
+    df = compute_once(selected, _rows=parse_cells(F.col("table_html"))).drop("table_html")
     bad_span = F.exists(
         "_rows", lambda r: F.exists(r, lambda c: c["colspan"].isNull() | c["rowspan"].isNull())
     )
-    df = df.withColumn(
+    reason = F.coalesce(
         "reason",
-        F.coalesce(
-            "reason",
-            F.when(F.size("_rows") == 0, F.lit("no_rows")).when(bad_span, F.lit("bad_span"))
-            .when(F.size(F.get("_rows", F.lit(0))) == 0, F.lit("no_header")),
-        ),
+        F.when(F.size("_rows") == 0, F.lit("no_rows")).when(bad_span, F.lit("bad_span"))
+        .when(F.size(F.get("_rows", F.lit(0))) == 0, F.lit("no_header")),
+    )
+    df = compute_once(df, reason=reason)
+    df = compute_once(df, _head=F.when(F.col("reason").isNull(), flatten_header(F.col("_rows"))))
+    df = compute_once(
+        df, reason=F.coalesce("reason", F.when(~F.col("_head.ok"), F.lit("bad_header"))), header=F.col("_head.header")
     )
-    df = df.withColumn("_head", F.when(F.col("reason").isNull(), flatten_header(F.col("_rows"))))
-    df = df.withColumn("reason", F.coalesce("reason", F.when(~F.col("_head.ok"), F.lit("bad_header"))))
     used = F.col("_head.header_rows")
     body = F.slice("_rows", used + 1, F.greatest(F.size("_rows") - used, F.lit(0)))
-    ok = F.col("reason").isNull()
-    df = df.withColumn("header", F.when(ok, F.col("_head.header"))).withColumn(
-        "_grid", F.when(ok, fill_rowspan(body, F.size("_head.header")))
-    )
-    rows = F.filter("_grid", lambda r: F.size(r) == F.size("header"))
-    return (
-        df.withColumn("rows", rows)
-        .withColumn("ragged_rows", F.size("_grid") - F.size("rows"))
-        .drop("_rows", "_head", "_grid", "table_html")
-    )
+    grid = let(body, lambda b: fill_rowspan(b, F.size("header")))
+    df = compute_once(df, _grid=F.when(F.col("reason").isNull(), grid)).drop("_rows", "_head")
+    return compute_once(df, rows=F.filter("_grid", lambda r: F.size(r) == F.size("header"))).withColumn(
+        "ragged_rows", F.size("_grid") - F.size("rows")
+    ).drop("_grid")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 # Rows one sort task is asked to number.
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 4096
+MAX_TIE_BUCKETS = 256
 
 
 def _bucket(order: Column, splits: list) -> Column:
@@ -21,18 +22,27 @@ def _bucket(order: Column, splits: list) -> Column:
     return tree(0, len(splits))
 
 
-def order_splits(df: DataFrame, order: str, rows_per_bucket: int) -> list:
-    """Split points that cut `df` into ranges of about `rows_per_bucket` rows by `order`.
-
-    One pass over that column alone; at most MAX_BUCKETS numbers reach the driver.
-    """
-    rows = df.count()
-    buckets = min(MAX_BUCKETS, -(-rows // rows_per_bucket))
+def _quantiles(df: DataFrame, order: str, buckets: int) -> list:
     if buckets <= 1:
         return []
     shares = [i / buckets for i in range(1, buckets)]
-    found = df.select(F.percentile_approx(order, shares, 10 * MAX_BUCKETS)).first()[0] or []
-    return sorted(set(found))
+    return df.select(F.percentile_approx(order, shares, 10 * MAX_BUCKETS)).first()[0] or []
+
+
+def _ranges(df: DataFrame, order: str, tie: str | None, rows_per_bucket: int) -> tuple[Column, Column]:
+    """Range number of each row, and a second number inside values that fill whole ranges.
+
+    One pass over the order column alone; at most MAX_BUCKETS numbers reach the driver.
+    """
+    buckets = min(MAX_BUCKETS, -(-df.count() // rows_per_bucket))
+    found = _quantiles(df, order, buckets)
+    splits = sorted(set(found))
+    heavy = [v for v in splits if found.count(v) > 1]
+    inner = F.lit(0)
+    if heavy and tie:
+        ties = sorted(set(_quantiles(df, tie, min(MAX_TIE_BUCKETS, buckets))))
+        inner = F.when(F.col(order).isin(heavy), 1 + _bucket(F.col(tie), ties)).otherwise(0)
+    return _bucket(F.col(order), splits), inner
 
 
 def number_within(
@@ -48,30 +58,27 @@ def number_within(
 
     The data is cut into ranges of `order`, so a key with a third of all rows (or no
     key at all) is numbered by many tasks: rows are numbered inside a range, and the
-    sizes of the ranges before it are added. With `total`, the group size is added.
+    sizes of the ranges before it are added. A single value of `order` that fills more
+    than one range is cut again by the first of `ties`, which must then be numeric.
+    With `total`, the group size is added.
     """
-    splits = order_splits(df, order, rows_per_bucket)
-    work = df.withColumn("_bucket", _bucket(F.col(order), splits))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(order, *ties)
-    work = work.withColumn("_inside", F.row_number().over(inside) - 1)
-    if not splits and keys and not total:
-        return work.withColumn(name, F.col("_inside").cast("bigint")).drop("_bucket", "_inside")
-
-    # One row per key and range: at most MAX_BUCKETS rows for any key.
-    sizes = (
-        df.select(*keys, _bucket(F.col(order), splits).alias("_bucket"))
-        .groupBy(*keys, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_bucket")
-    whole = Window.partitionBy(*(keys or [F.lit(0)]))
+    outer, inner = _ranges(df, order, ties[0] if ties else None, rows_per_bucket)
+    cut = ["_outer", "_inner"]
+    ranged = df.withColumn("_outer", outer).withColumn("_inner", inner)
+    inside = Window.partitionBy(*keys, *cut).orderBy(order, *ties)
+    work = ranged.withColumn("_inside", F.row_number().over(inside) - 1)
+
+    # One row per key and range.
+    sizes = ranged.groupBy(*keys, *cut).agg(F.count(F.lit(1)).alias("_n"))
+    group = keys or [F.lit(0)]
+    before = Window.partitionBy(*group).orderBy(*cut).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = sizes.select(
         *keys,
-        "_bucket",
+        *cut,
         (F.sum("_n").over(before) - F.col("_n")).alias("_before"),
-        F.sum("_n").over(whole).alias("_total"),
+        F.sum("_n").over(Window.partitionBy(*group)).alias("_total"),
     )
-    same = F.col("l._bucket") == F.col("r._bucket")
+    same = (F.col("l._outer") == F.col("r._outer")) & (F.col("l._inner") == F.col("r._inner"))
     for k in keys:
         same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
     joined = work.alias("l").join(offsets.alias("r"), same)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sarani.functions.languages import (
     FROM_WORDS, in_script, language_of, lexicon_entries, number_of, translate_digits,
 )
+from sarani.functions.once import compute_once, let
 from sarani.functions.splitjson import from_split_json
 from sarani.functions.text import split_words
 from sarani.operators.numbering import number_within
@@ -150,38 +151,38 @@ def translate_answer(answer: Column, lang: str) -> Column:
     Digits change in columns of numbers and in texts that start with a digit. An
     answer without rows gives null.
     """
-    table = from_split_json(answer)
-    data = table["data"]
-    numeric = F.transform(
-        table["columns"], lambda _, j: F.forall(data, lambda r: number_of(F.get(r, j)).isNotNull())
-    )
-    cells = F.transform(
-        data,
-        lambda r: F.transform(
-            r,
-            lambda v, j: F.when(
-                F.get(numeric, j) | v.rlike(r"(?U)\A\d"), translate_digits(v, lang)
-            ).otherwise(v),
-        ),
-    )
-    out = F.to_json(
-        F.struct(
+    def numeric(table):
+        return F.transform(
+            table["columns"],
+            lambda _, j: F.forall(table["data"], lambda r: number_of(F.get(r, j)).isNotNull()),
+        )
+
+    def out(table, numeric):
+        def cell(v, j):
+            return F.when(F.get(numeric, j) | v.rlike(r"(?U)\A\d"), translate_digits(v, lang)).otherwise(v)
+
+        return F.struct(
             translate_columns(table["columns"], lang).alias("columns"),
             table["index"].alias("index"),
-            cells.alias("data"),
+            F.transform(table["data"], lambda r: F.transform(r, cell)).alias("data"),
         )
+
+    whole = let(
+        from_split_json(answer),
+        lambda t: F.when(F.size(t["data"]) > 0, let(numeric(t), lambda n: out(t, n))),
     )
-    return F.when(F.size(data) > 0, out)
+    return F.to_json(whole)
 
 
 def _prepared(df: DataFrame, lang: str) -> DataFrame:
     """Keywords and digits translated, and the two word lists."""
-    text = translate_digit_tokens(translate_keywords(F.col("sql"), lang), lang)
-    df = df.withColumn("_text", text)
+    df = compute_once(df, _text=translate_digit_tokens(translate_keywords(F.col("sql"), lang), lang))
     without = drop_table_clause(F.col("_text"), lang, F.col("input_table_name"))
-    return df.withColumn(
-        "_with", F.transform(split_words(F.col("_text")), clean_table_token)
-    ).withColumn("_without", split_words(without))
+    return compute_once(
+        df,
+        _with=F.transform(split_words(F.col("_text")), clean_table_token),
+        _without=split_words(without),
+    )
 
 
 def convert_stream(df: DataFrame, lang: str, lexicon: dict[str, str]) -> DataFrame:

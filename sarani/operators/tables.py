@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from sarani.functions.once import compute_once
 from sarani.operators.numbering import ROWS_PER_BUCKET, first_per_key, number_within
 
 MAX_CELLS = 500
@@ -73,7 +74,7 @@ def to_tables(cells: DataFrame, n: int = MAX_CELLS) -> DataFrame:
     )
     values = F.transform("_c", lambda c: c["value"])
     height = (F.size("_c") / F.col("_w")).cast("int")
-    return grouped.withColumn("_v", values).select(
+    return compute_once(grouped, _v=values).select(
         "table_id",
         F.transform(F.slice("_c", F.lit(1), F.col("_w")), lambda c: c["header"]).alias("header"),
         F.transform(

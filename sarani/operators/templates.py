@@ -10,6 +10,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from sarani.functions.once import compute_once
 from sarani.functions.text import hash_pick
 from sarani.operators.numbering import first_per_key
 from sarani.operators.tables import numeric_positions
@@ -115,7 +116,7 @@ def pair(tables: DataFrame, templates: DataFrame, split: str | None = None) -> D
         templates = templates.filter(F.col("split") == wanted)
     needs = F.exists("tokens", lambda t: _is_column(t) & is_numeric_slot(t["value"]))
     templates = templates.withColumn("needs_number", needs)
-    tables = tables.withColumn("numeric_cols", numeric_positions(F.col("header"), F.col("rows")))
+    tables = compute_once(tables, numeric_cols=numeric_positions(F.col("header"), F.col("rows")))
     fields = ["template_id", "family", "func", "tokens", "split", "needs_number"]
     has_number = F.size("numeric_cols") > 0
     if is_small(templates, ARRAY_TEMPLATES):
@@ -146,7 +147,7 @@ def bind_columns(pairs: DataFrame, seed: int = 42) -> DataFrame:
         of_numbers = F.get(F.col("numeric_cols"), pick(F.size("numeric_cols")).cast("int"))
         return F.when(is_numeric_slot(slot), of_numbers).otherwise(pick(F.size("header")).cast("int"))
 
-    bound = pairs.withColumn("slots", slots).withColumn("slot_cols", F.transform("slots", choose))
+    bound = compute_once(compute_once(pairs, slots=slots), slot_cols=F.transform("slots", choose))
     return bound.filter(F.forall("slot_cols", lambda c: c.isNotNull()))
 
 
@@ -174,7 +175,7 @@ def bind_literals(bound: DataFrame, seed: int = 42) -> DataFrame:
         )
         return F.get(F.get(F.col("rows"), row.cast("int")), column)
 
-    out = bound.withColumn("lits", F.transform(places, value))
+    out = compute_once(bound, lits=F.transform(places, value))
     return out.filter(F.forall("lits", lambda v: v.isNotNull()))
 
 
@@ -205,7 +206,7 @@ def render_sql(bound: DataFrame, table_name: str = "table_id") -> DataFrame:
 
     start = F.struct(F.lit("").alias("text"), F.lit(False).alias("open"))
     text = F.aggregate(F.transform(tokens, word), start, join)["text"]
-    return bound.withColumn("sql", F.substring(text, F.lit(2), F.length(text)))
+    return compute_once(bound, sql=F.regexp_replace(text, r"\A ", ""))
 
 
 def distinct_sql(samples: DataFrame) -> DataFrame:
