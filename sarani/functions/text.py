@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# The characters that Python's str.strip() removes, as a regex class body.
+# The characters that Python's str.strip() removes, as text and as a regex class body.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 SPACE_CLASS = (
     r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
-STRIP_PATTERN = rf"\A[{SPACE_CLASS}]+|[{SPACE_CLASS}]+\z"
 
 
 def strip_text(c: Column) -> Column:
     """Python's strip(): blanks of every script, not only U+0020."""
-    return F.regexp_replace(c, STRIP_PATTERN, "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def split_words(c: Column) -> Column:

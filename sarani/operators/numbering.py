@@ -5,28 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Rows one sort task is asked to number.
-ROWS_PER_BUCKET = 1_000_000
+ROWS_PER_BUCKET = 200_000
 MAX_BUCKETS = 4096
 MAX_TIE_BUCKETS = 256
 
 
-def _bucket(order: Column, splits: list) -> Column:
-    """Index of the range that `order` falls in, by a balanced tree of comparisons."""
-
-    def tree(lo, hi):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(order <= F.lit(splits[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return tree(0, len(splits))
+def _bucket(order: Column, kind: str, splits: list) -> Column:
+    """How many split points lie below `order`: a binary search in an array constant."""
+    if not splits:
+        return F.lit(0)
+    steps = [1 << i for i in reversed(range(len(splits).bit_length()))]
+    # As text and a cast, which Spark folds to one constant, however many points there are.
+    points = F.split(F.lit(",".join(map(str, splits))), ",").cast(f"array<{kind}>")
+    # Beyond the last point `get` gives null, and the search stays where it is.
+    return F.aggregate(
+        F.array(*[F.lit(s) for s in steps]),
+        F.lit(0),
+        lambda at, step: F.when(F.get(points, at + step - 1) < order, at + step).otherwise(at),
+    )
 
 
 def _quantiles(df: DataFrame, order: str, buckets: int) -> list:
     if buckets <= 1:
         return []
     shares = [i / buckets for i in range(1, buckets)]
-    return df.select(F.percentile_approx(order, shares, 10 * MAX_BUCKETS)).first()[0] or []
+    return df.select(F.percentile_approx(order, shares, 4 * MAX_BUCKETS)).first()[0] or []
 
 
 def _ranges(df: DataFrame, order: str, tie: str | None, rows_per_bucket: int) -> tuple[Column, Column]:
@@ -37,12 +40,13 @@ def _ranges(df: DataFrame, order: str, tie: str | None, rows_per_bucket: int) ->
     buckets = min(MAX_BUCKETS, -(-df.count() // rows_per_bucket))
     found = _quantiles(df, order, buckets)
     splits = sorted(set(found))
+    kinds = dict(df.dtypes)
     heavy = [v for v in splits if found.count(v) > 1]
     inner = F.lit(0)
     if heavy and tie:
         ties = sorted(set(_quantiles(df, tie, min(MAX_TIE_BUCKETS, buckets))))
-        inner = F.when(F.col(order).isin(heavy), 1 + _bucket(F.col(tie), ties)).otherwise(0)
-    return _bucket(F.col(order), splits), inner
+        inner = F.when(F.col(order).isin(heavy), 1 + _bucket(F.col(tie), kinds[tie], ties)).otherwise(0)
+    return _bucket(F.col(order), kinds[order], splits), inner
 
 
 def number_within(

@@ -34,14 +34,18 @@ def translate_keywords(c: Column, lang: str, word_bounded: bool = False) -> Colu
             c = F.replace(c, F.lit(word), F.lit(target))
         return c
 
-    def words(part):
-        out = part
-        for word, target in entries:
-            out = F.regexp_replace(out, rf"(?<![\w`\"]){word}(?![\w`\"])", target)
-        return F.when(part.rlike(r"\A[`\"]"), part).otherwise(out)
+    # Quoted parts, keywords of two words, words, and what is between them.
+    long = "|".join(word for word, _ in entries if " " in word)
+    pieces = rf"`[^`]*`|\"(?:[^\"]|\"\")*\"|\b(?:{long})\b|\w+|[^\w`\"]+|[`\"]"
+    table = F.create_map(*[F.lit(x) for entry in entries for x in entry])
+    parts = F.regexp_extract_all(c, F.lit(pieces), F.lit(0))
+    return F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at(table, p), p)), "")
+
 
-    parts = F.regexp_extract_all(c, F.lit(r'`[^`]*`|"(?:[^"]|"")*"|[^`"]+|[`"]'), F.lit(0))
-    return F.array_join(F.transform(parts, words), "")
+def _starts_with_letter(w: Column) -> Column:
+    """An ASCII letter in front: a cheap test that spares most words the pattern."""
+    first = F.substring(w, 1, 1)
+    return first.between("a", "z") | first.between("A", "Z")
 
 
 def translate_digit_tokens(c: Column, lang: str) -> Column:
@@ -49,7 +53,9 @@ def translate_digit_tokens(c: Column, lang: str) -> Column:
     return F.array_join(
         F.transform(
             split_words(c),
-            lambda w: F.when(w.rlike(NUMBER_TOKEN), translate_digits(w, lang)).otherwise(w),
+            lambda w: F.when(
+                ~_starts_with_letter(w) & w.rlike(NUMBER_TOKEN), translate_digits(w, lang)
+            ).otherwise(w),
         ),
         " ",
     )
@@ -72,14 +78,13 @@ def clean_table_token(word: Column) -> Column:
 
 def _core(word: Column) -> Column:
     """The word without the signs around it."""
-    return F.regexp_extract(word, r"(?s)\A[^\p{L}\p{N}]*(.*?)[^\p{L}\p{M}\p{N}]*\z", 1)
+    return F.regexp_replace(word, r"\A[^\p{L}\p{N}]+|[^\p{L}\p{M}\p{N}]+\z", "")
 
 
-def _around(word: Column, target: Column) -> Column:
+def _around(word: Column, core: Column, target: Column) -> Column:
     """`target` with the signs that stood around the word."""
-    head = F.regexp_extract(word, r"\A[^\p{L}\p{N}]*", 0)
-    tail = F.substring(word, F.length(head) + F.length(_core(word)) + 1, F.length(word))
-    return F.concat(head, target, tail)
+    at = F.instr(word, core)
+    return F.concat(F.substring(word, F.lit(1), at - 1), target, F.substring(word, at + F.length(core), F.length(word)))
 
 
 def translate_word_list(words: Column, lexicon: dict[str, str], lang: str) -> Column:
@@ -90,11 +95,13 @@ def translate_word_list(words: Column, lexicon: dict[str, str], lang: str) -> Co
         return words
     table = F.create_map(*[F.lit(x) for kv in lexicon.items() for x in kv])
 
-    def one(w):
-        found = F.try_element_at(table, _core(w))
-        return F.when(found.isNotNull() & ~in_script(w, lang), _around(w, found)).otherwise(w)
+    def one(w, core, found):
+        return F.when(found.isNotNull() & ~in_script(w, lang), _around(w, core, found)).otherwise(w)
 
-    return F.transform(words, one)
+    return F.transform(
+        words,
+        lambda w: let(_core(w), lambda core: let(F.try_element_at(table, core), lambda found: one(w, core, found))),
+    )
 
 
 def translate_words(
@@ -107,6 +114,8 @@ def translate_words(
     allows; otherwise words are spread by record, so frequent words do not pile up.
     """
     lexicon = lexicon.groupBy("source").agg(F.min("target").alias("target"))
+    # The records are shuffled once; grouping their words and joining back keep that order.
+    df = df.repartition(key)
     lists = [
         F.transform(
             F.col(c), lambda w, i: F.struct(F.lit(n).alias("list"), i.alias("pos"), w.alias("word"))
@@ -121,20 +130,19 @@ def translate_words(
         salted = lexicon.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(LEXICON_SALTS - 1))))
         found = words.join(salted, ["source", "_salt"], "left")
     use = F.col("target").isNotNull() & ~in_script(F.col("word"), lang)
-    out = F.when(use, _around(F.col("word"), F.col("target"))).otherwise(F.col("word"))
-    # One record's words lie together in one task, so this shrinks before the shuffle.
+    out = F.when(use, _around(F.col("word"), F.col("source"), F.col("target"))).otherwise(F.col("word"))
     grouped = (
         found.select(key, "list", "pos", out.alias("out"))
         .groupBy(key)
         .agg(F.array_sort(F.collect_list(F.struct("list", "pos", "out"))).alias("_w"))
     )
-    texts = [
-        F.array_join(
+    texts = {
+        name: F.array_join(
             F.transform(F.filter("_w", lambda w: w["list"] == n), lambda w: w["out"]), " "
-        ).alias(name)
+        )
         for n, name in enumerate(columns.values())
-    ]
-    joined = df.join(grouped.select(key, *texts), key, "left")
+    }
+    joined = df.join(compute_once(grouped, **texts).drop("_w"), key, "left")
     for name in columns.values():
         joined = joined.withColumn(name, F.coalesce(name, F.lit("")))
     return joined

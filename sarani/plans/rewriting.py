@@ -13,6 +13,7 @@ from sarani.operators.rewriting import (
 from sarani.plans.checks import CORPUS
 from sarani.plans.registry import query
 from sarani.plans.sqltext import PART_SAMPLE_SQL, WORDS, keywords_check, part_samples
+from sarani.session import spread
 from sarani.sources.star import corpus_tables, load
 
 _SCRIPT = r"\P{L}*\p{Bengali}+(?:\P{L}+\p{Bengali}+)*\P{L}*"
@@ -87,7 +88,7 @@ SELECT sample_id, 'চয়ন' AS mark,
   'নির্বাচন করুন name, সর্বোচ্চ ( size ) থেকে `' || input_table_name || '` যেখানে name = "' || p_name || '" এবং size > '
   || p_size || ' দল করা name সাজান হোক price অবরোহী সীমা 10' AS indic FROM samples""")
 def translate_keywords_bounded(spark, d):
-    return part_samples(spark, d).select(
+    return spread(part_samples(spark, d), "sample_id").select(
         "sample_id", F.lit("চয়ন").alias("mark"), translate_keywords(F.col("sql"), "bn", word_bounded=True).alias("indic")
     )
 
@@ -113,7 +114,7 @@ _TOKENS = r"LIST_FILTER(STRING_SPLIT_REGEX(t, '[\t-\r\x1c-\x20\x{85}\x{a0}\x{168
 SELECT doc_id, {_digit_tokens_sql(_TOKENS, 'bn')} AS text
 FROM (SELECT doc_id, text || ' 7 "' || doc_id || '", (' || n_chars || ')?' AS t FROM documents)""")
 def translate_digit_tokens_query(spark, d):
-    doc = load(spark, d, "documents")
+    doc = spread(load(spark, d, "documents").select("doc_id", "text", "n_chars"), "doc_id")
     text = F.concat(
         "text", F.lit(' 7 "'), F.col("doc_id").cast("string"), F.lit('", ('), F.col("n_chars").cast("string"), F.lit(")?")
     )
@@ -232,5 +233,5 @@ SELECT sample_id, 'bn' AS language,
 FROM texts""")
 def convert_samples_query(spark, d):
     words = spark.createDataFrame(list(WORDS.items()), "source string, target string")
-    out = convert_samples(part_samples(spark, d), "bn", words, "sample_id")
+    out = convert_samples(spread(part_samples(spark, d), "sample_id"), "bn", words, "sample_id")
     return out.select("sample_id", "language", "indic_sql", "sql_without_table_name", "translated_answer", "index")

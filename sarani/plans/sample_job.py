@@ -19,10 +19,10 @@ def build_samples(tables: DataFrame, families: tuple[str, ...] | None = None, sp
                   seed: int = 42) -> DataFrame:
     """Distinct samples with a non-empty answer.
 
-    The bound pairs are written once: every family then reads only its own columns of
-    them, and a lost executor re-reads files rather than binding again.
+    The bound pairs are written once, by family: every family then reads only its own
+    folder and columns, and a lost executor re-reads files rather than binding again.
     """
-    bound = materialise(distinct_sql(bound_pairs(tables, families, split, seed)), "bound")
+    bound = materialise(distinct_sql(bound_pairs(tables, families, split, seed)), "bound", ("family",))
     answers = materialise(execute(bound), "answers")
     return assemble(non_empty(bound, answers), answers)
 

@@ -17,6 +17,8 @@ def get_session(app: str = "sarani", master: str | None = None, **conf: str) ->
         SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Small shuffles here feed stages that work long on every record.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
         .config("spark.ui.enabled", "false")
     )
     if master:
@@ -40,13 +42,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, partitions: tuple[str, ...] = ()) -> DataFrame:
     """Write `df` as Parquet in the scratch folder and read it back: cuts lineage."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*partitions).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """A scan with fewer splits than cores, spread over the cores by `keys`; others as they are.
+
+    For stages that work long on each record of a small input. Large inputs have more
+    splits than cores and are not shuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, *keys) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """True when `df` has at most `rows` rows; reads no more than `rows` + 1 of them."""
     return df.limit(rows + 1).count() <= rows
