@@ -101,6 +101,8 @@ def bootstrap_mean(
     sums = df.groupBy(group).agg(
         F.sum(F.col(column).cast("double")).alias("s"), F.count(column).alias("n")
     )
+    # A fixed number of tasks shares the draws.
+    sums = sums.repartition(df.sparkSession.sparkContext.defaultParallelism, "g")
     drawn = sums.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     u = uniform(F.lit(str(seed)), F.col("b").cast("string"), F.col("g").cast("string")) / F.lit(2.0**32)
     weight = F.lit(0)

@@ -13,8 +13,12 @@ from sarani.functions.text import split_words
 from sarani.operators.numbering import number_within
 from sarani.session import is_small
 
-# What a number token looks like, and a table name with its counter.
-NUMBER_TOKEN = r"""(?U)\A[(-.:"'`]*\d+[-:,.]*\d+[)-:%.]*[?'"`]*\z"""
+# What a number token looks like (two digits at least, signs between, before
+# and after them), and a table name with its counter. No part gives characters back, so
+# a long run of digits costs no more than its length.
+NUMBER_TOKEN = (
+    r"""(?U)\A[(-.:"'`]*+(?:\d{2,}+(?:[-:,.]++\d++)?+|\d[-:,.]++\d++)[)-:%.]*+[?'"`]*+\z"""
+)
 TABLE_TOKEN = r"""\A.*_[0-9]*["'`]*\z"""
 
 # Most entries a word lexicon may have to travel inside the expression.

@@ -54,7 +54,7 @@ def rel_in_list(spark, d):
 SELECT c_custkey, c_name FROM customer
 WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)""")
 def rel_in_subquery(spark, d):
-    o = load(spark, d, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
+    o = load(spark, d, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey")).distinct()
     return load(spark, d, "customer").join(o, "c_custkey", "left_semi").select("c_custkey", "c_name")
 
 
@@ -62,7 +62,7 @@ def rel_in_subquery(spark, d):
 SELECT c_custkey, c_name FROM customer
 WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderstatus = 'F')""")
 def rel_not_in(spark, d):
-    o = load(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    o = load(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")).distinct()
     return load(spark, d, "customer").join(o, "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# Most rows a side may have before it is broadcast.
+# Most rows and bytes (as JSON text) a side may have before it is broadcast.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def get_session(app: str = "sarani", master: str | None = None, **conf: str) -> SparkSession:
@@ -59,6 +60,9 @@ def spread(scan: DataFrame, *keys: str) -> DataFrame:
     return scan.repartition(cores, *keys) if scan.rdd.getNumPartitions() < cores else scan
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when `df` has at most `rows` rows; reads no more than `rows` + 1 of them."""
-    return df.limit(rows + 1).count() <= rows
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """True when `df` has at most `rows` rows and `size` bytes; reads at most `rows` + 1 rows."""
+    found = df.limit(rows + 1).agg(
+        F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))
+    ).first()
+    return found[0] <= rows and found[1] <= size
