@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Rows one sort task is asked to number.
@@ -32,16 +34,19 @@ def _quantiles(df: DataFrame, order: str, buckets: int) -> list:
     return df.select(F.percentile_approx(order, shares, 4 * MAX_BUCKETS)).first()[0] or []
 
 
-def _ranges(df: DataFrame, order: str, tie: str | None, rows_per_bucket: int) -> tuple[Column, Column]:
+def _ranges(df: DataFrame, order: str, tie: str | None, rows_per_bucket: int) -> tuple[Column, Column] | None:
     """Range number of each row, and a second number inside values that fill whole ranges.
 
-    One pass over the order column alone; at most MAX_BUCKETS numbers reach the driver.
+    None when one range holds everything. One pass over the order column alone; at most
+    MAX_BUCKETS numbers reach the driver.
     """
     buckets = min(MAX_BUCKETS, -(-df.count() // rows_per_bucket))
     found = _quantiles(df, order, buckets)
+    if not found:
+        return None
     splits = sorted(set(found))
     kinds = dict(df.dtypes)
-    heavy = [v for v in splits if found.count(v) > 1]
+    heavy = [v for v, n in Counter(found).items() if n > 1]
     inner = F.lit(0)
     if heavy and tie:
         ties = sorted(set(_quantiles(df, tie, min(MAX_TIE_BUCKETS, buckets))))
@@ -66,7 +71,14 @@ def number_within(
     than one range is cut again by the first of `ties`, which must then be numeric.
     With `total`, the group size is added.
     """
-    outer, inner = _ranges(df, order, ties[0] if ties else None, rows_per_bucket)
+    group = keys or [F.lit(0)]
+    ranges = _ranges(df, order, ties[0] if ties else None, rows_per_bucket)
+    if ranges is None:
+        # At most `rows_per_bucket` rows in all.
+        number = F.row_number().over(Window.partitionBy(*group).orderBy(order, *ties)) - 1
+        out = df.withColumn(name, number.cast("bigint"))
+        return out.withColumn(total, F.count(F.lit(1)).over(Window.partitionBy(*group))) if total else out
+    outer, inner = ranges
     cut = ["_outer", "_inner"]
     ranged = df.withColumn("_outer", outer).withColumn("_inner", inner)
     inside = Window.partitionBy(*keys, *cut).orderBy(order, *ties)
@@ -74,7 +86,6 @@ def number_within(
 
     # One row per key and range.
     sizes = ranged.groupBy(*keys, *cut).agg(F.count(F.lit(1)).alias("_n"))
-    group = keys or [F.lit(0)]
     before = Window.partitionBy(*group).orderBy(*cut).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = sizes.select(
         *keys,
