@@ -250,8 +250,9 @@ def parse_tables(selected: DataFrame) -> DataFrame:
     )
     df = compute_once(df, reason=reason)
     df = compute_once(df, _head=F.when(F.col("reason").isNull(), flatten_header(F.col("_rows"))))
+    sound = F.coalesce(F.col("_head.ok"), F.lit(False))
     df = compute_once(
-        df, reason=F.coalesce("reason", F.when(~F.col("_head.ok"), F.lit("bad_header"))), header=F.when(F.col("_head.ok"), F.col("_head.header")),
+        df, reason=F.coalesce("reason", F.when(~sound, F.lit("bad_header"))), header=F.when(sound, F.col("_head.header")),
     )
     used = F.col("_head.header_rows")
     body = F.slice("_rows", used + 1, F.greatest(F.size("_rows") - used, F.lit(0)))

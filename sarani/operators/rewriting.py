@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sarani.functions.languages import (
     FROM_WORDS, in_script, language_of, lexicon_entries, number_of, translate_digits,
 )
-from sarani.functions.once import compute_once, let
+from sarani.functions.once import let
 from sarani.functions.splitjson import from_split_json
 from sarani.functions.text import split_words
 from sarani.operators.numbering import number_within
@@ -109,23 +109,30 @@ def translate_word_list(words: Column, lexicon: dict[str, str], lang: str) -> Co
 
 
 def translate_words(
-    df: DataFrame, lexicon: DataFrame, lang: str, columns: dict[str, str], key: str
+    df: DataFrame, lexicon: DataFrame, lang: str, columns: dict[str, Column], key: str, partitioned: bool = False
 ) -> DataFrame:
-    """Word lists in `columns` (list column -> new text column) by a lexicon of any size.
+    """New text columns from word lists, by a lexicon of any size (source, target).
 
     Words not in the script are looked up without the signs around them and kept when
-    there is no entry. `lexicon` has source and target. It is broadcast when its size
-    allows; otherwise words are spread by record, so frequent words do not pile up.
+    there is no entry. The lexicon is broadcast when its size allows; otherwise words are
+    spread by record, so frequent words do not pile up.
+
+    The records are shuffled once, by their unique `key` (not at all when they are
+    `partitioned` by it): each record's words are then grouped where they are. Its other
+    columns travel with one extra entry of the list, not with every word.
     """
     lexicon = lexicon.groupBy("source").agg(F.min("target").alias("target"))
-    # The records are shuffled once; grouping their words and joining back keep that order.
-    df = df.repartition(key)
-    lists = [
-        F.transform(
-            F.col(c), lambda w, i: F.struct(F.lit(n).alias("list"), i.alias("pos"), w.alias("word"))
-        )
-        for n, c in enumerate(columns)
-    ]
+    if not partitioned:
+        df = df.repartition(key)
+    rest = F.struct(*[c for c in df.columns if c != key], F.lit(True).alias("_is"))
+
+    def entry(n, i, word, rest):
+        return F.struct(n.alias("list"), i.alias("pos"), word.alias("word"), rest.alias("rest"))
+
+    nothing = F.when(F.lit(False), rest)
+    lists = [F.array(entry(F.lit(-1), F.lit(0), F.lit(""), rest))]
+    for n, words in enumerate(columns.values()):
+        lists.append(F.transform(words, lambda w, i: entry(F.lit(n), i, w, nothing)))
     words = df.select(key, F.inline(F.concat(*lists))).withColumn("source", _core(F.col("word")))
     if is_small(lexicon):
         found = words.join(F.broadcast(lexicon), "source", "left")
@@ -136,20 +143,20 @@ def translate_words(
     use = F.col("target").isNotNull() & ~in_script(F.col("word"), lang)
     out = F.when(use, _around(F.col("word"), F.col("source"), F.col("target"))).otherwise(F.col("word"))
     grouped = (
-        found.select(key, "list", "pos", out.alias("out"))
+        found.select(key, "list", "pos", "rest", out.alias("out"))
         .groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("list", "pos", "out"))).alias("_w"))
+        .agg(
+            F.array_sort(F.collect_list(F.struct("list", "pos", "out"))).alias("_w"),
+            F.first("rest", ignorenulls=True).alias("_rest"),
+        )
     )
-    texts = {
-        name: F.array_join(
+    texts = [
+        F.array_join(
             F.transform(F.filter("_w", lambda w: w["list"] == n), lambda w: w["out"]), " "
-        )
-        for n, name in enumerate(columns.values())
-    }
-    joined = df.join(compute_once(grouped, **texts).drop("_w"), key, "left")
-    for name in columns.values():
-        joined = joined.withColumn(name, F.coalesce(name, F.lit("")))
-    return joined
+        ).alias(name)
+        for n, name in enumerate(columns)
+    ]
+    return grouped.select(key, "_rest.*", *texts).drop("_is")
 
 
 def translate_columns(header: Column, lang: str) -> Column:
@@ -187,25 +194,28 @@ def translate_answer(answer: Column, lang: str) -> Column:
 
 
 def _prepared(df: DataFrame, lang: str) -> DataFrame:
-    """Keywords and digits translated, and the two word lists."""
-    df = compute_once(df, _text=translate_digit_tokens(translate_keywords(F.col("sql"), lang), lang))
+    """Keywords and digits translated: `_text`."""
+    return df.withColumn("_text", translate_digit_tokens(translate_keywords(F.col("sql"), lang), lang))
+
+
+def _word_lists(lang: str) -> dict[str, Column]:
+    """The words of `_text`, with clean table names and without the table clause."""
     without = drop_table_clause(F.col("_text"), lang, F.col("input_table_name"))
-    return compute_once(
-        df,
-        _with=F.transform(split_words(F.col("_text")), clean_table_token),
-        _without=split_words(without),
-    )
+    return {
+        "indic_sql": F.transform(split_words(F.col("_text")), clean_table_token),
+        "sql_without_table_name": split_words(without),
+    }
 
 
 def convert_stream(df: DataFrame, lang: str, lexicon: dict[str, str]) -> DataFrame:
     """Samples converted record by record, with a small word lexicon; fits a stream."""
     out = _prepared(df, lang)
-    for name, words in (("indic_sql", "_with"), ("sql_without_table_name", "_without")):
-        out = out.withColumn(name, F.array_join(translate_word_list(F.col(words), lexicon, lang), " "))
+    for name, words in _word_lists(lang).items():
+        out = out.withColumn(name, F.array_join(translate_word_list(words, lexicon, lang), " "))
     return (
         out.withColumn("language", F.lit(language_of(lang)))
         .withColumn("translated_answer", translate_answer(F.col("answer"), lang))
-        .drop("_text", "_with", "_without")
+        .drop("_text")
     )
 
 
@@ -214,14 +224,12 @@ def convert_samples(df: DataFrame, lang: str, lexicon: DataFrame, order: str) ->
 
     `order` is a unique number; `index` counts the samples in that order from 0.
     """
-    out = translate_words(
-        _prepared(df, lang), lexicon, lang,
-        {"_with": "indic_sql", "_without": "sql_without_table_name"}, order,
-    )
+    prepared = _prepared(df.repartition(order), lang)
+    out = translate_words(prepared, lexicon, lang, _word_lists(lang), order, partitioned=True)
     out = (
         out.withColumn("language", F.lit(language_of(lang)))
         .withColumn("translated_answer", translate_answer(F.col("answer"), lang))
-        .drop("_text", "_with", "_without")
+        .drop("_text")
     )
     index = number_within(df.select(order), [], order, "index")
     return out.join(index, order)

@@ -192,8 +192,9 @@ words AS (
 SELECT d.doc_id, COALESCE(STRING_AGG(o, ' ' ORDER BY pos), '') AS indic
 FROM documents d LEFT JOIN words USING (doc_id) GROUP BY d.doc_id""")
 def translate_words_query(spark, d):
-    docs = load(spark, d, "documents").select("doc_id", split_words(F.col("text")).alias("words"))
-    return translate_words(docs, lexicon(spark, d), "bn", {"words": "indic"}, "doc_id").select("doc_id", "indic")
+    docs = load(spark, d, "documents").select("doc_id", "text")
+    words = {"indic": split_words(F.col("text"))}
+    return translate_words(docs, lexicon(spark, d), "bn", words, "doc_id").select("doc_id", "indic")
 
 
 @query("translate_columns", f"""
@@ -233,5 +234,5 @@ SELECT sample_id, 'bn' AS language,
 FROM texts""")
 def convert_samples_query(spark, d):
     words = spark.createDataFrame(list(WORDS.items()), "source string, target string")
-    out = convert_samples(spread(part_samples(spark, d), "sample_id"), "bn", words, "sample_id")
+    out = convert_samples(part_samples(spark, d), "bn", words, "sample_id")
     return out.select("sample_id", "language", "indic_sql", "sql_without_table_name", "translated_answer", "index")

@@ -10,7 +10,7 @@ from sarani.operators.tables import name_tables
 from sarani.plans.checks import CORPUS
 from sarani.plans.registry import query
 from sarani.plans.sqltext import PART_SAMPLE_SQL, WORDS, keywords_check, part_samples, words_check
-from sarani.session import scratch_path
+from sarani.session import scratch_path, spread
 from sarani.sources.corpus import (
     list_tables, load_split, read_samples, read_tables, save_corpus, save_splits, write_predictions,
     write_samples, write_tables,
@@ -148,7 +148,7 @@ FROM kinds""")
 def incremental_convert(spark, d):
     """Two runs over a growing folder: the second converts only the new files."""
     source, out, checkpoint = (scratch_path(spark, f"stream-{x}") for x in ("in", "out", "checkpoint"))
-    samples = event_samples(spark, d)
+    samples = spread(event_samples(spark, d), "event_id")
     half = F.col("event_id") % 2
     extra = "event_id bigint"
     for part in (0, 1):

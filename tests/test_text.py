@@ -106,7 +106,9 @@ def test_translate_answer(spark):
 
 
 def test_words_by_join_equal_words_by_hand(spark, sf, monkeypatch):
-    docs = load(spark, sf, "documents").select("doc_id", "text", split_words(F.col("text")).alias("words"))
+    docs = load(spark, sf, "documents").select("doc_id", "text", "lang")
+    empty = spark.createDataFrame([(-1, " ", "xx")], docs.schema)
+    docs = docs.unionByName(empty)
     lexicon = spark.createDataFrame([("the", "টি"), ("of", "এর"), ("and", "এবং")], "source string, target string")
     table = {r.source: r.target for r in lexicon.collect()}
 
@@ -120,8 +122,9 @@ def test_words_by_join_equal_words_by_hand(spark, sf, monkeypatch):
     want = {r.doc_id: by_hand(r.text) for r in docs.collect()}
     for limit in (200_000, 0):
         monkeypatch.setattr(rewriting, "is_small", lambda df, limit=limit: df.count() <= limit)
-        got = translate_words(docs, lexicon, "bn", {"words": "indic"}, "doc_id")
+        got = translate_words(docs, lexicon, "bn", {"indic": split_words(F.col("text"))}, "doc_id")
         assert {r.doc_id: r.indic for r in got.collect()} == want
+        assert got.select(docs.columns).exceptAll(docs).isEmpty()
 
 
 def test_stream_form_equals_batch_form(spark, sf):
