@@ -187,7 +187,26 @@ for _n in (1, 2):
     _register_rouge(_n)
 
 
-@query("rouge_l")
+# The table of the longest common subsequence, one row per word of the prediction: each
+# place holds the best of the places up to it.
+_LCS = r"""
+WITH RECURSIVE pairs AS (
+  SELECT a.conv_id, a.turn, REGEXP_EXTRACT_ALL(LOWER(a.text), '[\pL\pM\pN]+') AS pw,
+         REGEXP_EXTRACT_ALL(LOWER(b.text), '[\pL\pM\pN]+') AS rw
+  FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+steps AS (
+  SELECT conv_id, turn, 0 AS i, LIST_TRANSFORM(rw, LAMBDA x: 0) AS best FROM pairs
+  UNION ALL
+  SELECT conv_id, turn, i, LIST_TRANSFORM(RANGE(1, LEN(c) + 1), LAMBDA j: LIST_MAX(c[1:j])) FROM (
+    SELECT conv_id, turn, i + 1 AS i, LIST_TRANSFORM(RANGE(1, LEN(rw) + 1), LAMBDA j:
+        CASE WHEN rw[j] = pw[i + 1] THEN COALESCE(best[j - 1], 0) + 1 ELSE best[j] END) AS c
+    FROM steps JOIN pairs USING (conv_id, turn) WHERE i < LEN(pw)))
+SELECT conv_id, turn, ROUND(CASE WHEN best[LEN(rw)] > 0 THEN 2.0::DOUBLE * best[LEN(rw)] / (LEN(pw) + LEN(rw))
+                            ELSE 0.0::DOUBLE END, 6) AS rouge_l
+FROM steps JOIN pairs USING (conv_id, turn) WHERE i = LEN(pw)"""
+
+
+@query("rouge_l", _LCS)
 def rouge_l_query(spark, d):
     return turn_pairs(spark, d).select("conv_id", "turn", F.round(rouge_l(F.col("pred"), F.col("ref")), 6).alias("rouge_l"))
 
