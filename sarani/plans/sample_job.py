@@ -28,5 +28,5 @@ def build_samples(tables: DataFrame, families: tuple[str, ...] | None = None, sp
 
 
 def family_answers(spark: SparkSession, tables: DataFrame, family: str) -> DataFrame:
-    """Answers of one family over all tables."""
-    return execute_family(bound_pairs(tables, (family,)), family)
+    """Answers of one family over all tables; the SQL texts are not rendered."""
+    return execute_family(bind(tables, template_list(spark, (family,))), family)

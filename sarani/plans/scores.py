@@ -10,7 +10,6 @@ from sarani.operators.evaluate import (
     table_overlap,
 )
 from sarani.plans.checks import CORPUS
-from sarani.plans.dataset import linear_sql
 from sarani.plans.registry import query
 from sarani.sources.star import corpus_tables, load
 

@@ -4,7 +4,6 @@ from sarani.functions.linear import linearise, parse_linearised
 from sarani.operators import dataset as ds
 from sarani.operators.tables import fan_out_rows
 from sarani.sources.corpus import read_samples, read_tables, write_tables
-from sarani.sources.star import corpus_tables, load
 from sarani.plans.corpus_job import parsed_tables, raw_records
 from sarani.plans.storage import event_samples
 from sarani.plans.sqltext import WORDS

@@ -1,6 +1,5 @@
 import functools
 import random
-import re
 from collections import Counter
 
 from pyspark.sql import functions as F
