@@ -37,7 +37,7 @@ FLUSH_WORDS = 400_000  # distinct words a counting task holds before it passes t
 
 # Below this code point, and in the listed block, composition changes nothing and lower
 # case works character by character; other texts are cut by the tokenizer's own rules.
-_PLAIN_END, _PLAIN_MARKS = 0x250, "‐-‧"
+_PLAIN_END, _PLAIN_MARKS = 0x180, "‐-‧"
 
 
 def byte_letters() -> list[str]:
