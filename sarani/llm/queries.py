@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sarani.llm.bpe import bpe_encode
 from sarani.llm.common import LOWER, UPPER
 from sarani.llm.exact_dedup import exact_dedup
+from sarani.llm.warc import warc_round_trip
 from sarani.plans.registry import query
 
 
@@ -35,3 +36,15 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_bpe")
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"), word_vocabulary(), with_ids=False)
+
+
+@query("op7_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+h AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS hex, max(page_id) OVER (PARTITION BY body) AS last FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((('0x' || substr(hex, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))) & 31) + 1 AS BIGINT), 1) for i in range(32)], '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to FROM h
+""")
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages"))
