@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sarani.llm.bpe import bpe_encode
 from sarani.llm.common import LOWER, UPPER
 from sarani.llm.exact_dedup import exact_dedup
+from sarani.llm.language import fit_languages, held_out, identify_language
 from sarani.llm.warc import warc_round_trip
 from sarani.plans.registry import query
 
@@ -48,3 +49,10 @@ SELECT page_id, payload_bytes,
 """)
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op3_language")
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit_languages(docs.where(~held_out()))
+    return identify_language(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
