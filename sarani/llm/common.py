@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -19,7 +20,7 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str, size: int = 4 << 20) ->
     """The batches cut to about `size` bytes of text each, so that temporaries stay small."""
     for batch in batches:
         start, held = 0, 0
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
         for i, n in enumerate(lengths):
             held += n
             if held >= size:
