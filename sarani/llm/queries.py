@@ -8,6 +8,7 @@ from sarani.llm.bpe import bpe_encode
 from sarani.llm.common import LOWER, UPPER
 from sarani.llm.exact_dedup import exact_dedup
 from sarani.llm.language import fit_languages, held_out, identify_language
+from sarani.llm.near_dedup import near_components
 from sarani.llm.warc import warc_round_trip
 from sarani.plans.registry import query
 
@@ -56,3 +57,8 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit_languages(docs.where(~held_out()))
     return identify_language(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op5_near_dedup")
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(table(spark, sf_dir, "documents"), size=3, percent=85)
