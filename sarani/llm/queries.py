@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sarani.llm.bpe import bpe_encode
 from sarani.llm.common import LOWER, UPPER
+from sarani.llm.decontaminate import find_leaks
 from sarani.llm.exact_dedup import exact_dedup
 from sarani.llm.language import fit_languages, held_out, identify_language
+from sarani.llm.license_scan import scan_licenses
+from sarani.llm.line_dedup import remove_spread_lines
 from sarani.llm.near_dedup import near_components
 from sarani.llm.warc import warc_round_trip
 from sarani.plans.registry import query
@@ -62,3 +65,27 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_near_dedup")
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
+@query("op4_decontaminate")
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op8_line_dedup", r"""
+WITH d AS (SELECT doc_id, source, text, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS lines FROM documents),
+l AS (SELECT doc_id, source, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM d),
+s AS (SELECT line FROM l WHERE trim(line, ' ') <> '' GROUP BY line HAVING count(DISTINCT source) >= 10),
+k AS (SELECT doc_id, count(*) AS n_lines, count(s.line) AS n_removed,
+  string_agg(CASE WHEN s.line IS NULL THEN l.line END, chr(10) ORDER BY place) AS kept FROM l LEFT JOIN s ON l.line = s.line GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+""")
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_spread_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op2_license_scan")
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
