@@ -31,8 +31,10 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
 from sarani.llm.common import chunks, keyed_texts
+from sarani.session import materialise
 
 LEXICON_WORDS = 1 << 16
+LONGEST_WORD = 64  # characters of a word in the lexicon
 FLUSH_WORDS = 400_000  # distinct words a counting task holds before it passes them on
 
 # Below this code point, and in the listed block, composition changes nothing and lower
@@ -247,7 +249,7 @@ def lexicon(name: str) -> Lexicon:
 
 
 def frequent_words(texts: DataFrame, path: str, size: int) -> list[str]:
-    """The `size` most frequent words of all texts; `size` bounds what the driver gets."""
+    """The most frequent words of all texts, at most `size`: all words from a certain count on."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, held = vocabulary(path), Counter()
@@ -260,8 +262,16 @@ def frequent_words(texts: DataFrame, path: str, size: int) -> list[str]:
         yield pa.RecordBatch.from_pydict({"word": pa.array(held, pa.string()), "n": pa.array(held.values(), pa.int64())})
 
     counted = texts.select("text").mapInArrow(count, "word string, n long")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.length("word") <= 64)
-    return [r.word for r in top.orderBy(F.desc("n"), "word").limit(size).collect()]
+    words = counted.where(F.length("word") <= LONGEST_WORD).groupBy("word").agg(F.sum("n").alias("n"))
+    words = materialise(words.withColumn("step", F.floor(8 * F.log2("n"))), "word-counts")
+    # Steps of the count, largest first, as long as all their words fit.
+    held, least = 0, None
+    for step, found in sorted(words.groupBy("step").count().collect(), reverse=True):
+        held += found
+        if held > size:
+            break
+        least = step
+    return [] if least is None else [r.word for r in words.where(F.col("step") >= least).select("word").collect()]
 
 
 def send_lexicon(docs: DataFrame, words: list[str], vocab: Vocabulary) -> str:
