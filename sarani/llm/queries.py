@@ -12,6 +12,7 @@ from sarani.llm.language import fit_languages, held_out, identify_language
 from sarani.llm.license_scan import scan_licenses
 from sarani.llm.line_dedup import remove_spread_lines
 from sarani.llm.near_dedup import near_components
+from sarani.llm.substring_dedup import remove_repeated_runs
 from sarani.llm.warc import warc_round_trip
 from sarani.plans.registry import query
 
@@ -89,3 +90,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_license_scan")
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op9_substring_dedup")
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_runs(table(spark, sf_dir, "documents"), with_text=False)
