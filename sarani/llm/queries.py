@@ -13,6 +13,7 @@ from sarani.llm.license_scan import scan_licenses
 from sarani.llm.line_dedup import remove_spread_lines
 from sarani.llm.near_dedup import near_components
 from sarani.llm.substring_dedup import remove_repeated_runs
+from sarani.llm.suffix_dedup import remove_repeated_bytes
 from sarani.llm.warc import warc_round_trip
 from sarani.plans.registry import query
 
@@ -95,3 +96,8 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_substring_dedup")
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_runs(table(spark, sf_dir, "documents"), with_text=False)
+
+
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(table(spark, sf_dir, "documents"), with_text=False)
