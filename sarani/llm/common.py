@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -35,5 +35,13 @@ def keyed_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
-def null_safe(left: Column, right: Column) -> Column:
-    return left.eqNullSafe(right)
+def fits(df: DataFrame, row_bytes: int, items: str | None = None, most: int = 64 << 20) -> bool:
+    """True when a written table takes at most `most` bytes: its rows (or the items of the
+    list column `items`) are counted by partial sums and taken at `row_bytes` each."""
+    one = F.lit(1) if items is None else F.size(items) + 1
+    return (df.agg(F.sum(one)).first()[0] or 0) * row_bytes <= most
+
+
+def broadcast_if(df: DataFrame, row_bytes: int, items: str | None = None, most: int = 64 << 20) -> DataFrame:
+    """`df`, marked for a broadcast if it fits; the result of a join is the same either way."""
+    return F.broadcast(df) if fits(df, row_bytes, items, most) else df

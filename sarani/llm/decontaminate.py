@@ -17,9 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sarani.llm.common import as_bytes, chunks, keyed_texts
+from sarani.llm.common import as_bytes, broadcast_if, chunks, keyed_texts
 from sarani.llm.rolling import Words, cut_words, shingles
-from sarani.session import is_small, materialise
+from sarani.session import materialise
 
 GRAM = 4
 FILTER_BITS = 1 << 23
@@ -113,7 +113,7 @@ def _passages(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """item_id, doc_id, low and the words of every passage."""
     listed = windows.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "low", "high")).alias("windows"))
     listed = materialise(listed, "leak-windows")
-    joined = docs.join(F.broadcast(listed) if is_small(listed) else listed, "doc_id")
+    joined = docs.join(broadcast_if(listed, 48, "windows"), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text", CHUNK):
@@ -155,7 +155,8 @@ def find_leaks(
     rated = grams.join(in_documents, "gram")  # an n-gram that no document has is no seed
     median = rated.groupBy("item_id").agg(F.percentile("documents", F.lit(0.5)).alias("median"))
     seeds = rated.join(median, "item_id").where(F.col("documents") <= F.col("median")).select("item_id", "item_words", "gram", "at")
-    found = places.join(F.broadcast(seeds) if is_small(seeds) else seeds, "gram")
+    seeds = materialise(seeds, "leak-seeds")
+    found = places.join(broadcast_if(seeds, 48), "gram")
     diagonal = F.col("place") - F.col("at")
     windows = found.groupBy("doc_id", "item_id", F.floor(diagonal / F.col("item_words")).alias("part"), "item_words").agg(
         F.min(diagonal).alias("first"), F.max(diagonal).alias("last"), F.countDistinct("place").alias("seeds")
@@ -176,7 +177,7 @@ def find_leaks(
                 ends.append(low + end)
             yield pa.RecordBatch.from_pydict(rows | {"score": pa.array(scores, pa.float64()), "end_word": pa.array(ends, pa.int64())})
 
-    passages = _passages(texts, windows).join(F.broadcast(cut) if is_small(cut) else cut, "item_id")
+    passages = _passages(texts, windows).join(broadcast_if(cut, 16, "words"), "item_id")
     scored = passages.select("doc_id", "item_id", "words", "passage", "low").mapInArrow(score, "doc_id long, item_id long, score double, end_word long")
     best = scored.where(F.col("score") >= least).groupBy("doc_id", "item_id").agg(
         F.max("score").alias("score"), F.min_by("end_word", F.struct(-F.col("score"), F.col("end_word"))).alias("end_word")

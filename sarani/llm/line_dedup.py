@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from sarani.session import is_small, materialise
+from sarani.llm.common import broadcast_if
+from sarani.session import materialise
 
 MIN_SITES = 10
 SKETCH_LOG_SIZE = 10  # 1,024 cells: a standard error of about 3 %
@@ -25,7 +26,7 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     )
     far, near = rated.where(F.col("sites") > min_sites * (1 + NEAR)), rated.where(F.col("sites") <= min_sites * (1 + NEAR))
     near = near.select("h1", "h2")
-    shown = lines.where("site IS NOT NULL").join(F.broadcast(near) if is_small(near) else near, ["h1", "h2"], "left_semi")
+    shown = lines.where("site IS NOT NULL").join(broadcast_if(near, 32), ["h1", "h2"], "left_semi")
     counted = shown.distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= min_sites)
     return far.select("h1", "h2").unionByName(counted.select("h1", "h2"))
 
@@ -51,11 +52,11 @@ def remove_spread_lines(
     )
     shown = materialise(shown, "lines")
     spread = materialise(spread_lines(shown.select("h1", "h2", "site"), min_sites), "line-spread")
-    hit = shown.join(F.broadcast(spread) if is_small(spread) else spread, ["h1", "h2"], "left_semi")
+    hit = shown.join(broadcast_if(spread, 32), ["h1", "h2"], "left_semi")
     gone = hit.groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("gone"))
     gone = materialise(gone.withColumnsRenamed({"doc_id": "gone_id", "text_hash": "gone_hash"}), "line-gone")
     same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_hash") == F.col("gone_hash"))
-    joined = rows.join(F.broadcast(gone) if is_small(gone) else gone, same, "left")
+    joined = rows.join(broadcast_if(gone, 16, "gone"), same, "left")
     lines = F.coalesce(F.split("text", "\n", -1), F.array().cast("array<string>"))
     cut = joined.select("doc_id", "text", "gone", lines.alias("lines"))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"), lambda i: F.get("lines", i))

@@ -20,10 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sarani.llm.common import as_bytes, chunks, keyed_texts
+from sarani.llm.common import as_bytes, broadcast_if, chunks, keyed_texts
 from sarani.llm.fm_index import Shard
 from sarani.llm.rolling import Ranges, Words, cut_words, mix
-from sarani.session import is_small, materialise
+from sarani.session import materialise
 
 GRAM = 8
 SHARD_WORDS = 200_000  # a shard is closed once it has so many words
@@ -81,7 +81,7 @@ def _with_words(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """The wanted segments (doc_id, start, n and others) with their word hashes."""
     names = [c for c in wanted.columns if c != "doc_id"]
     listed = materialise(wanted.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("wanted")), "sub-wanted")
-    joined = texts.join(F.broadcast(listed) if is_small(listed) else listed, "doc_id")
+    joined = texts.join(broadcast_if(listed, 64, "wanted"), "doc_id")
     kinds = dict(wanted.dtypes)
     arrow = {"int": pa.int32(), "bigint": pa.int64()}
 
@@ -156,7 +156,7 @@ def repeated_runs(texts: DataFrame, window: int, gram: int, shard_words: int, mo
     segments = _segments(texts, window, gram)
     several = segments.groupBy("minimizer").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("minimizer")
     several = materialise(several, "sub-several")
-    some = F.broadcast(several) if is_small(several, rows=2_000_000, size=128 << 20) else several
+    some = broadcast_if(several, 32)
     segments = materialise(segments.join(some, "minimizer", "left_semi"), "sub-segments")
     contents = segments.groupBy("minimizer", "k1", "k2").agg(F.min(F.struct("doc_id", "start", "n", "anchor")).alias("own"))
     contents = materialise(contents.select("minimizer", "k1", "k2", "own.*"), "sub-contents")
@@ -168,7 +168,7 @@ def repeated_runs(texts: DataFrame, window: int, gram: int, shard_words: int, mo
     )
     runs = materialise(found.groupBy("k1", "k2").agg(F.collect_list(F.struct("low", "high")).alias("runs")), "sub-runs")
     owners = contents.select("minimizer", "k1", "k2", F.col("doc_id").alias("owner"))
-    owned = segments.join(owners, ["minimizer", "k1", "k2"]).join(F.broadcast(runs) if is_small(runs) else runs, ["k1", "k2"], "left")
+    owned = segments.join(owners, ["minimizer", "k1", "k2"]).join(broadcast_if(runs, 32, "runs"), ["k1", "k2"], "left")
     whole = F.array(F.struct(F.lit(0).alias("low"), F.col("n").alias("high")))
     part = F.when(F.col("doc_id") > F.col("owner"), whole).otherwise(F.col("runs"))
     cut = owned.select("doc_id", "start", F.inline(part))
@@ -191,7 +191,7 @@ def remove_repeated_runs(
     texts = keyed_texts(docs, key, text)
     runs = repeated_runs(texts.where("doc_id IS NOT NULL"), window, gram, shard_words, most_contents)
     listed = materialise(runs.groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("gone")), "sub-gone")
-    joined = texts.join(F.broadcast(listed) if is_small(listed) else listed, "doc_id", "left")
+    joined = texts.join(broadcast_if(listed, 24, "gone"), "doc_id", "left")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string, spans array<struct<low:int,high:int>>" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

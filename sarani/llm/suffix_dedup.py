@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sarani.llm.bpe import ragged
-from sarani.llm.common import as_bytes, chunks, keyed_texts
+from sarani.llm.common import as_bytes, broadcast_if, chunks, keyed_texts
 from sarani.llm.prefix_free import TRIGGER, repeated_windows, triggers
 from sarani.llm.rolling import Ranges, mix
 from sarani.llm.substring_dedup import merged
-from sarani.session import is_small, materialise
+from sarani.session import materialise
 
 BLOCK = 64
 SHARD_BYTES = 400_000  # a shard is closed once it has so many bytes
@@ -134,7 +134,7 @@ def _with_bytes(texts: DataFrame, contents: DataFrame, window: int) -> DataFrame
     """inner, k1, k2, times, several and the bytes of each content, cut from its first place."""
     names = ["inner", "k1", "k2", "times", "contents", "at", "low", "high"]
     listed = materialise(contents.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("wanted")), "suffix-wanted")
-    joined = texts.join(F.broadcast(listed) if is_small(listed) else listed, "doc_id")
+    joined = texts.join(broadcast_if(listed, 80, "wanted"), "doc_id")
     out = names[:5]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +202,7 @@ def repeated_spans(texts: DataFrame, window: int, shard_bytes: int, most_content
     """doc_id, low, high: byte runs whose every window stands elsewhere too."""
     several = _anchors(texts, window).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
     several = materialise(several, "suffix-several")
-    some = F.broadcast(several) if is_small(several, rows=4_000_000, size=160 << 20) else several
+    some = broadcast_if(several, 32)
     blocks = materialise(_blocks(texts, window).join(some, "anchor", "left_semi").drop("anchor"), "suffix-blocks")
     contents = blocks.groupBy("inner", "k1", "k2").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "at", "low", "high")).alias("own"))
     contents = materialise(contents.select("inner", "k1", "k2", "times", "own.*"), "suffix-contents")
@@ -239,7 +239,7 @@ def remove_repeated_bytes(
     texts = keyed_texts(docs, key, text)
     spans = repeated_spans(texts.where("doc_id IS NOT NULL"), window, shard_bytes, most_contents)
     listed = materialise(spans.groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("gone")), "suffix-gone")
-    joined = texts.join(F.broadcast(listed) if is_small(listed) else listed, "doc_id", "left")
+    joined = texts.join(broadcast_if(listed, 24, "gone"), "doc_id", "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<struct<low:long,high:long>>" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
