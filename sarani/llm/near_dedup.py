@@ -5,9 +5,10 @@
 2. Documents with equal sets are one class, so copies cost nothing further on.
 3. In each band bucket every class is paired with the bucket's centre, not with all others.
    Pairs whose sketches differ in few bits are confirmed on the full sets.
-4. Confirmed links form components. Buckets that hold several components after that get
-   another round with other centres; then their pairs across components are compared by
-   sketch inside a join, and confirmed.
+4. Confirmed links form components. In buckets that hold several components after that,
+   members that share too few shingles with all others are dropped; the rest gets another
+   round with the member that shares most as the centre. Then pairs across components are
+   compared by bounds, sketches and full sets inside a join, which only links leave.
 
 So a group of copies of any size costs one pair per member and band, and no link between
 components is left untested if its classes share a band.
@@ -24,10 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sarani.llm.common import as_bytes, chunks, keyed_texts
+from sarani.llm.common import as_bytes, broadcast_if, chunks, keyed_texts
 from sarani.llm.components import components
 from sarani.llm.rolling import cut_words, mix, shingles
-from sarani.session import is_small, materialise
+from sarani.session import materialise
 
 SKETCH_WORDS = 8  # of 64 bits
 CHUNK = 2 << 20
@@ -114,6 +115,12 @@ def _sets(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, set array<long>")
 
 
+def _sets_of(ids: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """doc_id and set of the documents with the ids; rows that repeat an id count once."""
+    wanted = broadcast_if(materialise(ids.distinct(), "near-wanted"), 24)
+    return _sets(texts.join(wanted, "doc_id", "left_semi"), size).dropDuplicates(["doc_id"])
+
+
 def _bits_apart(a: str, b: str) -> Column:
     apart = [F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(SKETCH_WORDS)]
     return sum(apart[1:], apart[0])
@@ -121,10 +128,7 @@ def _bits_apart(a: str, b: str) -> Column:
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    wanted = F.broadcast(wanted) if is_small(wanted, rows=1_000_000) else wanted
-    # One row of an id that is repeated with other texts would not say which set it has.
-    sets = _sets(texts.join(wanted, "doc_id", "left_semi"), size)
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), texts, size)
     joined = (
         pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
         .join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")
@@ -161,24 +165,19 @@ def near_components(
     shared = filed.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     filed = materialise(filed.join(shared.select("bucket"), "bucket", "left_semi"), "near-filed")
 
-    tested = edges = labels = None
-    for turn in range(2):
-        open_rows = filed if labels is None else _open(filed, labels)
-        centre = F.min("doc_id") if turn == 0 else F.min_by("doc_id", F.xxhash64("doc_id", F.lit(turn)))
-        centres = open_rows.groupBy("bucket").agg(centre.alias("centre"))
-        pairs = open_rows.join(centres, "bucket").where("doc_id <> centre")
-        pairs = pairs.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(_close(pairs, sketches, far), "near-pairs")
-        links = materialise(confirmed(pairs, texts, size, percent), "near-links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        edges = links if edges is None else edges.unionByName(links)
-        labels = materialise(_labels(reps, edges), "near-labels")
-    rest = _across(_open(filed, labels), sketches, far).join(tested, ["a", "b"], "left_anti")
-    rest = materialise(rest, "near-rest")
-    if not rest.isEmpty():
-        labels = _labels(reps, edges.unionByName(materialise(confirmed(rest, texts, size, percent), "near-links")))
+    centres = filed.groupBy("bucket").agg(F.min("doc_id").alias("centre"))
+    tested = _with_centres(filed, centres, sketches, far)
+    edges = materialise(confirmed(tested, texts, size, percent), "near-links")
+    labels = materialise(_labels(reps, edges), "near-labels")
+    able = materialise(_able(_open(filed, labels), texts, size, percent), "near-able")
+    # The member that shares most of its shingles links most of the edited copies around it.
+    centres = able.groupBy("bucket").agg(F.min_by("doc_id", F.struct(F.col("n") - F.col("shared"), "doc_id")).alias("centre"))
+    pairs = _with_centres(able, centres, sketches, far).join(tested, ["a", "b"], "left_anti")
+    pairs = materialise(pairs, "near-pairs")
+    edges = edges.unionByName(materialise(confirmed(pairs, texts, size, percent), "near-links"))
+    labels = materialise(_labels(reps, edges), "near-labels")
+    rest = materialise(_across(able.drop("component").join(labels, "doc_id"), sketches, far, percent), "near-rest")
+    labels = _labels(reps, edges.unionByName(rest))
     found = classes.join(labels, F.col("rep") == F.col("doc_id")).select("set_hash", "component")
     component = F.coalesce("component", "doc_id")
     return signed.select("doc_id", "n", "set_hash").join(found, "set_hash", "left").select(
@@ -186,6 +185,13 @@ def near_components(
     )
 
 
+def _with_centres(rows: DataFrame, centres: DataFrame, sketches: DataFrame, far: int) -> DataFrame:
+    """Pairs of each member of a bucket with its centre, close by sketch."""
+    pairs = rows.select("doc_id", "bucket").join(centres, "bucket").where("doc_id <> centre")
+    pairs = pairs.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
+    return materialise(_close(pairs, sketches, far), "near-pairs")
+
+
 def _labels(reps: DataFrame, edges: DataFrame) -> DataFrame:
     """doc_id and component of every class."""
     return reps.select("doc_id").join(components(edges).withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
@@ -207,9 +213,39 @@ def _close(pairs: DataFrame, sketches: DataFrame, far: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(_bits_apart("x", "y") <= far).select("a", "b")
 
 
-def _across(rows: DataFrame, sketches: DataFrame, far: int) -> DataFrame:
-    """Pairs of a bucket that lie in two components, close by sketch."""
-    full = rows.join(sketches, "doc_id")
+def _able(rows: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The rows that can still have a link in their bucket, with n, shared and set.
+
+    A shingle that no other document of the open buckets has is in no intersection. So at
+    most `shared` shingles can be, and the similarity to any member is at most shared over
+    (smallest set of the bucket + lone ones). This drops edited copies of a hot text one by one,
+    without comparing them with each other.
+    """
+    rows = materialise(rows, "near-open")
+    sets = materialise(_sets_of(rows.select("doc_id"), texts, size), "near-sets")
+    lone = sets.select("doc_id", F.explode("set").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("doc_id"))
+    lone = lone.where("c = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("lone"))
+    sizes = sets.select("doc_id", F.size("set").alias("n")).join(lone, "doc_id", "left")
+    sizes = materialise(sizes.select("doc_id", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("shared")), "near-sizes")
+    rows = rows.join(sizes, "doc_id")
+    least = rows.groupBy("bucket").agg(F.min("n").alias("least"))
+    able = rows.join(least, "bucket").where(100 * F.col("shared") >= percent * (F.col("least") + F.col("n") - F.col("shared")))
+    able = materialise(able.drop("least"), "near-able")
+    several = able.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("bucket")
+    return able.join(several, "bucket", "left_semi").join(sets, "doc_id")
+
+
+def _across(rows: DataFrame, sketches: DataFrame, far: int, percent: int) -> DataFrame:
+    """Linked pairs of a bucket that lie in two components.
+
+    Pairs are compared inside the join, cheap bounds first, full sets last; only links leave it.
+    """
+    several = rows.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("bucket")
+    full = rows.join(several, "bucket", "left_semi").join(sketches, "doc_id")
     x, y = full.alias("x"), full.alias("y")
-    met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & (_bits_apart("x", "y") <= far))
+    shared = F.least("x.shared", "y.shared")
+    both = F.size(F.array_intersect("x.set", "y.set"))
+    met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
+        & (100 * shared >= percent * (F.col("x.n") + F.col("y.n") - shared)) & (_bits_apart("x", "y") <= far)
+        & (100 * both >= percent * (F.col("x.n") + F.col("y.n") - both)))
     return met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()

@@ -41,8 +41,6 @@ class Parsed:
         self.window = window
         self.reach = window * 4 // 5  # a trigger further off does not name a window
         self.anchor = window - self.reach
-        if self.anchor < TRIGGER:
-            raise ValueError(f"a window has at least {5 * TRIGGER} bytes")
         self.data = np.frombuffer(b"".join(texts), np.uint8)
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         self.finish = np.cumsum(lengths)
@@ -236,6 +234,8 @@ def remove_repeated_bytes(
     with a null id are compared with nothing and stay whole. Repeated ids must repeat the
     text. Other columns are not read. An empty table gives no rows.
     """
+    if window < 5 * TRIGGER:
+        raise ValueError(f"a window has at least {5 * TRIGGER} bytes")
     texts = keyed_texts(docs, key, text)
     spans = repeated_spans(texts.where("doc_id IS NOT NULL"), window, shard_bytes, most_contents)
     listed = materialise(spans.groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("gone")), "suffix-gone")
