@@ -49,6 +49,15 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+def _is_latin(text: str) -> bool:
+    """A fast test that covers most texts below the plain end."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Vocabulary:
     """Ids, merge ranks and the rules to cut words, read from a tokenizers file."""
 
@@ -89,7 +98,7 @@ class Vocabulary:
         return self._words(text)
 
     def _words(self, text: str) -> list[str]:
-        if self._plain.fullmatch(text):
+        if text.isascii() or _is_latin(text) or self._plain.fullmatch(text):
             return self._word.findall(text.lower())
         return [bytes(self._shown[c] for c in piece).decode() for piece, _ in self._cut(self._normalise(text))]
 
@@ -305,18 +314,24 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def encode_texts(texts: list[str], vocab: Vocabulary, known: Lexicon) -> list[np.ndarray]:
-    """The ids of each text; each distinct word is looked up once."""
+def encode_texts(texts: list[str], vocab: Vocabulary, known: Lexicon, decode: bool = False) -> tuple[list[np.ndarray], list[str]]:
+    """The ids of each text and, as asked for, their decoded text; each distinct word is
+    looked up, and its ids decoded, once."""
     cut = [vocab.words(t) for t in texts]
     distinct = list({w for ws in cut for w in ws})
     place = dict(zip(distinct, range(len(distinct))))
     ids, ends = encode_words(distinct, vocab, known)
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
-    found = []
+    held = ids.tolist() if decode else []
+    decoded = [vocab.decode(held[a:b]) for a, b in zip(starts.tolist(), ends.tolist())] if decode else []
+    found, out = [], []
     for ws in cut:
-        which = np.fromiter(map(place.__getitem__, ws), np.int64, len(ws))
+        places = [place[w] for w in ws]
+        which = np.array(places, np.int64)
         found.append(ids[ragged(starts[which], ends[which] - starts[which])] if len(ws) else np.zeros(0, np.uint32))
-    return found
+        if decode:
+            out.append(" ".join([decoded[i] for i in places]))
+    return found, out
 
 
 def bpe_encode(
@@ -337,14 +352,14 @@ def bpe_encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, known = vocabulary(path), lexicon(name)
         for chunk in chunks(batches, "text"):
-            found = encode_texts(chunk.column("text").to_pylist(), vocab, known)
+            found, decoded = encode_texts(chunk.column("text").to_pylist(), vocab, known, digests)
             out = {"doc_id": chunk.column("doc_id"), "n_tokens": pa.array(map(len, found), pa.int64())}
             if with_ids:
                 ends = np.concatenate([[0], np.cumsum([len(i) for i in found])]).astype(np.int32)
                 out["ids"] = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found).astype(np.int64)))
             if digests:
                 out["ids_sha256"] = pa.array([hashlib.sha256(i.astype("<u4").tobytes()).hexdigest() for i in found])
-                out["decoded_sha256"] = pa.array([hashlib.sha256(vocab.decode(i.tolist()).encode()).hexdigest() for i in found])
+                out["decoded_sha256"] = pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded])
             yield pa.RecordBatch.from_pydict(out)
 
     return texts.mapInArrow(run, schema)
