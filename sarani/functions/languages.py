@@ -30,20 +30,20 @@ KEYWORDS = {
     "bn": {
         "SELECT": "নির্বাচন করুন", "FROM": "থেকে", "WHERE": "যেখানে", "GROUP BY": "দল করা",
         "ORDER BY": "সাজান হোক", "ASC": "ঊর্ধ্বগামী", "DESC": "অবরোহী", "avg": "গড়",
-        "min": "সর্বনিম্ন", "max": "সর্বোচ্চ", "sum": "যোগফল", "count": "গণনা", "AVG": "গড়",
-        "MIN": "সর্বনিম্ন", "MAX": "সর্বোচ্চ", "SUM": "যোগফল", "COUNT": "গণনা", "AS": "হিসাবে",
-        "JOIN": "সংযুক্ত করা", "ON": "উপর", "IN": "মধ্যে", "NOT": "নয়", "BETWEEN": "মধ্যে",
+        "min": "সর্বনিম্ন", "max": "সর্বোচ্চ", "sum": "যোগফল", "count": "গণনা", "AVG": "গড়",
+        "MIN": "সর্বনিম্ন", "MAX": "সর্বোচ্চ", "SUM": "যোগফল", "COUNT": "গণনা", "AS": "হিসাবে",
+        "JOIN": "সংযুক্ত করা", "ON": "উপর", "IN": "মধ্যে", "NOT": "নয়", "BETWEEN": "মধ্যে",
         "AND": "এবং", "OR": "অথবা", "HAVING": "যার আছে", "UNION": "সংযোগ", "INTERSECT": "ছেদ",
         "EXCEPT": "বাদে", "LIMIT": "সীমা", "LIKE": "অনুরূপ", "DISTINCT": "অনন্য",
     },
     "as": {
-        "SELECT": "নচয়ন কৰা", "FROM": "পৰা", "WHERE": "ক’ত", "GROUP BY": "টিম আপ কৰক",
+        "SELECT": "নচয়ন কৰা", "FROM": "পৰা", "WHERE": "ক’ত", "GROUP BY": "টিম আপ কৰক",
         "ORDER BY": "সাজান হোক", "ASC": "আৰোহী", "DESC": "অৱতৰণ কৰা", "avg": "গড়",
         "min": "নূন্যতম", "max": "সৰ্বোচ্চ", "sum": "মুঠ", "count": "হিচাপ কৰা", "AVG": "গড়",
         "MIN": "নূন্যতম", "MAX": "সর্বোচ্চ", "SUM": "মুঠ", "COUNT": "হিচাপ কৰা", "AS": "যেনেকৈ",
-        "JOIN": "যোগদান কৰক", "ON": "ওপৰত", "IN": "ভিতৰত", "NOT": "নহয়", "BETWEEN": "মাজত",
+        "JOIN": "যোগদান কৰক", "ON": "ওপৰত", "IN": "ভিতৰত", "NOT": "নহয়", "BETWEEN": "মাজত",
         "AND": "আৰু", "OR": "অথবা", "HAVING": "যাৰ আছে", "UNION": "সংযোগ", "INTERSECT": "ছেদ",
-        "EXCEPT": "ইয়াৰ বাহিৰে", "LIMIT": "সীমাবদ্ধ", "LIKE": "ৰ সৈতে একেধৰণৰ",
+        "EXCEPT": "ইয়াৰ বাহিৰে", "LIMIT": "সীমাবদ্ধ", "LIKE": "ৰ সৈতে একেধৰণৰ",
         "DISTINCT": "অনন্য",
     },
     "hi": {

@@ -70,17 +70,18 @@ def micro_prf(overlap: DataFrame, groups: list[str] | None = None) -> DataFrame:
 
 
 def exact_match(pred: Column, ref: Column) -> Column:
-    """1 or 0: stripped texts are equal."""
-    return (strip_text(pred) == strip_text(ref)).cast("double")
+    """1 or 0: stripped texts are equal; a missing text is wrong."""
+    return F.coalesce((strip_text(pred) == strip_text(ref)).cast("double"), F.lit(0.0))
 
 
 def match_scores(df: DataFrame, pred: str, ref: str) -> DataFrame:
-    """Share of equal texts, without and with regard to case, rounded to 4 digits."""
+    """Share of equal texts, without and with regard to case, rounded to 4 digits.
+
+    A record whose prediction or reference is missing counts as wrong.
+    """
     p, r = F.col(pred), F.col(ref)
-    return df.agg(
-        F.round(F.avg((F.lower(p) == F.lower(r)).cast("double")), 4).alias("exact_match"),
-        F.round(F.avg((p == r).cast("double")), 4).alias("accuracy"),
-    )
+    share = lambda equal: F.round(F.avg(F.coalesce(equal.cast("double"), F.lit(0.0))), 4)
+    return df.agg(share(F.lower(p) == F.lower(r)).alias("exact_match"), share(p == r).alias("accuracy"))
 
 
 def bootstrap_mean(
@@ -185,12 +186,15 @@ def _f_measure(hits: int, gold: int, pred: int) -> float:
 @F.pandas_udf(DoubleType())
 def _rouge_l(ref: pd.Series, pred: pd.Series) -> pd.Series:
     return pd.Series(
-        [_f_measure(_lcs_bits(list(r), list(p)).bit_count(), len(r), len(p)) for r, p in zip(ref, pred)]
+        [
+            0.0 if r is None or p is None else _f_measure(_lcs_bits(list(r), list(p)).bit_count(), len(r), len(p))
+            for r, p in zip(ref, pred)
+        ]
     )
 
 
 def rouge_l(pred: Column, ref: Column) -> Column:
-    """F measure of the longest common subsequence of words. Whole texts are compared."""
+    """F measure of the longest common subsequence of words; 0 where a text is missing."""
     return _rouge_l(rouge_words(ref), rouge_words(pred))
 
 
@@ -246,12 +250,15 @@ def _union_lcs(ref: list, pred: list) -> float:
 @F.pandas_udf(DoubleType())
 def _rouge_lsum(ref: pd.Series, pred: pd.Series) -> pd.Series:
     return pd.Series(
-        [_union_lcs([list(x) for x in r], [list(x) for x in p]) for r, p in zip(ref, pred)]
+        [
+            0.0 if r is None or p is None else _union_lcs([list(x) for x in r], [list(x) for x in p])
+            for r, p in zip(ref, pred)
+        ]
     )
 
 
 def rouge_lsum(pred: Column, ref: Column) -> Column:
-    """F measure of the union of line-wise longest common subsequences."""
+    """F measure of the union of line-wise longest common subsequences; 0 where a text is missing."""
     lines = lambda c: F.filter(
         F.transform(F.split(c, "\n", -1), rouge_words), lambda words: F.size(words) > 0
     )

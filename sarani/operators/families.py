@@ -102,7 +102,9 @@ def between(rows: DataFrame) -> DataFrame:
 
 
 def like(rows: DataFrame) -> DataFrame:
-    return rows.filter(F.like(_slot(1), _lit(0))).select(*_answer(_slot(0), F.col("row_no")))
+    """Rows like a pattern, in which a backslash is an ordinary character."""
+    pattern = F.replace(_lit(0), F.lit("\\"), F.lit("\\\\"))
+    return rows.filter(F.like(_slot(1), pattern)).select(*_answer(_slot(0), F.col("row_no")))
 
 
 def difference(rows: DataFrame) -> DataFrame:
@@ -148,14 +150,23 @@ def execute_family(bound: DataFrame, family: str, rows: DataFrame | None = None)
 
 
 def execute(bound: DataFrame, rows: DataFrame | None = None) -> DataFrame:
-    """Answers of all families; give a written `bound`, it is read once per family."""
-    out = None
+    """Answers of all families; give a written `bound`, it is read once per family.
+
+    A pair of a family that is not known ends the job; `unknown_families` gives such pairs.
+    """
+    out = unknown_families(bound).select(*_answer(F.raise_error(F.col("reason")).cast("string")))
     for family in FAMILIES:
-        answers = execute_family(bound, family, rows)
-        out = answers if out is None else out.unionByName(answers)
+        out = out.unionByName(execute_family(bound, family, rows))
     return out
 
 
+def unknown_families(bound: DataFrame) -> DataFrame:
+    """Pairs that no family answers, with the reason."""
+    known = F.coalesce(F.col("family").isin(*FAMILIES), F.lit(False))
+    reason = F.concat(F.lit("no such family: "), F.coalesce("family", F.lit("null")))
+    return bound.filter(~known).select(*KEYS, reason.alias("reason"))
+
+
 def non_empty(samples: DataFrame, answers: DataFrame) -> DataFrame:
     """Samples with at least one answer row."""
     return samples.join(answers.select(*KEYS).distinct(), KEYS, "left_semi")

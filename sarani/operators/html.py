@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sarani.functions.once import compute_once, let
@@ -10,21 +13,19 @@ from sarani.functions.text import strip_text
 # The table classes that are looked for, in this order.
 TABLE_CLASSES = ("wikitable sortable", "wikitable collapsible", "wikitable collapsed")
 
-# Named character references, the ampersand last.
-ENTITIES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ",
-    "&ndash;": "–", "&mdash;": "—", "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“",
-    "&rdquo;": "”", "&hellip;": "…", "&middot;": "·", "&bull;": "•", "&times;": "×",
-    "&deg;": "°", "&laquo;": "«", "&raquo;": "»", "&copy;": "©", "&reg;": "®",
-    "&euro;": "€", "&pound;": "£", "&#38;": "&amp;", "&amp;": "&",
-}
-
-# The largest row span of the HTML standard. Larger spans are quarantined.
-MAX_SPAN = 65534
-
-_CELL = r"(?is)<t[dh](?=[\s/>])([^>]*)>(.*?)(?=<t[dh][\s/>]|</t[dh]\s*>|\z)"
-_ROW = r"(?is)<tr(?=[\s/>])[^>]*>(.*?)(?=<tr[\s/>]|</tr\s*>|\z)"
-_CLASS = r"""(?is)\A<table\s(?:[^>]*?\s)?class\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
+# The named character references of the HTML standard, as the Python library lists them.
+NAMED = {f"&{name}": char for name, char in html5.items() if name.endswith(";") and name.lower() != "amp;"}
+
+# The largest spans of the HTML standard; larger ones are cut to them.
+MAX_SPANS = {"colspan": 1000, "rowspan": 65534}
+
+# The attributes of a tag: a quoted value may hold the end sign.
+_ATTRIBUTES = r"""(?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+"""
+_CELL = rf"(?is)<t[dh](?=[\s/>])({_ATTRIBUTES})>(.*?)(?=<t[dh][\s/>]|</t[dh]\s*>|\z)"
+_ROW = rf"(?is)<tr(?=[\s/>]){_ATTRIBUTES}>(.*?)(?=<tr[\s/>]|</tr\s*>|\z)"
+_CLASS = (
+    r"""(?is)\A<table(?=\s)(?:[^>="']|=\s*"[^"]*"|=\s*'[^']*'|=)*?\sclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
+)
 _HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 
 
@@ -74,29 +75,35 @@ def select_tables(pages: DataFrame, classes: tuple[str, ...] = TABLE_CLASSES) ->
 
 def cell_text(c: Column) -> Column:
     """Visible text of a cell: tags dropped, character references decoded, stripped."""
-    text = F.regexp_replace(c, r"<[^>]*>", "")
+    text = F.regexp_replace(c, f"<{_ATTRIBUTES}>", "")
 
     def decode(t: Column) -> Column:
-        refs = F.array_distinct(F.regexp_extract_all(t, F.lit(r"&#(?!38;)[0-9]{1,7};"), F.lit(0)))
+        refs = F.array_distinct(F.regexp_extract_all(t, F.lit(r"&#(?!0*38;|[xX]0*26;)(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(0)))
+        names = F.array_distinct(F.regexp_extract_all(t, F.lit(r"&(?!(?i:amp);)[A-Za-z][A-Za-z0-9]{1,31};"), F.lit(0)))
 
         def one(acc, ref):
-            code = F.regexp_extract(ref, "[0-9]+", 0).cast("int")
+            digits = F.regexp_extract(ref, "[0-9a-fA-F]+(?=;)", 0)
+            code = F.when(F.lower(F.substring(ref, 3, 1)) == "x", F.conv(digits, 16, 10)).otherwise(digits).cast("int")
             char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
             valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
             return F.when(valid, F.replace(acc, ref, char)).otherwise(acc)
 
+        known = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")
         t = F.aggregate(refs, t, one)
-        for name, char in ENTITIES.items():
-            t = F.replace(t, F.lit(name), F.lit(char))
-        return t
+        t = F.aggregate(names, t, lambda acc, ref: F.replace(acc, ref, F.coalesce(F.try_element_at(known, ref), ref)))
+        # The ampersand last, so that nothing is decoded twice.
+        return F.regexp_replace(t, r"&(?:(?i:amp)|#0*38|#[xX]0*26);", "&")
 
     return let(text, lambda t: strip_text(F.when(F.contains(t, F.lit("&")), decode(t)).otherwise(t)))
 
 
 def _span(attrs: Column, name: str) -> Column:
-    value = F.regexp_extract(attrs, rf"""(?i)\b{name}\s*=\s*["']?\s*([^"'\s>]*)""", 1)
-    number = value.try_cast("int")
-    return F.when(attrs.rlike(rf"(?i)\b{name}\s*="), F.when(number <= MAX_SPAN, number)).otherwise(F.lit(1))
+    """A span within its bounds; 0 rows reach to the end, 0 columns are one; null if not a number."""
+    found, most = rf"(?i)(?:\A|[\s\"'/]){name}\s*=", MAX_SPANS[name]
+    value = F.regexp_extract(attrs, found + r"""\s*["']?\s*([^"'\s>]*)""", 1)
+    number = F.when(value.rlike(r"\A[0-9]+\z"), F.least(F.coalesce(value.try_cast("int"), F.lit(most)), F.lit(most)))
+    number = F.when(number == 0, F.lit(most if name == "rowspan" else 1)).otherwise(number)
+    return F.when(attrs.rlike(found), number).otherwise(F.lit(1))
 
 
 def parse_cells(table_html: Column) -> Column:

@@ -117,6 +117,7 @@ def translate_words(
     there is no entry. The lexicon is broadcast when its size allows; otherwise words are
     spread by record, so frequent words do not pile up.
 
+    A record whose words are null has a null text. A `key` of two records ends the job.
     The records are shuffled once, by their unique `key` (not at all when they are
     `partitioned` by it): each record's words are then grouped where they are. Its other
     columns travel with one extra entry of the list, not with every word.
@@ -124,7 +125,8 @@ def translate_words(
     lexicon = lexicon.groupBy("source").agg(F.min("target").alias("target"))
     if not partitioned:
         df = df.repartition(key)
-    rest = F.struct(*[c for c in df.columns if c != key], F.lit(True).alias("_is"))
+    missing = F.array(*[words.isNull() for words in columns.values()]).alias("_missing")
+    rest = F.struct(*[c for c in df.columns if c != key], missing)
 
     def entry(n, i, word, rest):
         return F.struct(n.alias("list"), i.alias("pos"), word.alias("word"), rest.alias("rest"))
@@ -132,7 +134,8 @@ def translate_words(
     nothing = F.when(F.lit(False), rest)
     lists = [F.array(entry(F.lit(-1), F.lit(0), F.lit(""), rest))]
     for n, words in enumerate(columns.values()):
-        lists.append(F.transform(words, lambda w, i: entry(F.lit(n), i, w, nothing)))
+        listed = F.coalesce(words, F.array().cast("array<string>"))
+        lists.append(F.transform(listed, lambda w, i: entry(F.lit(n), i, w, nothing)))
     words = df.select(key, F.inline(F.concat(*lists))).withColumn("source", _core(F.col("word")))
     if is_small(lexicon):
         found = words.join(F.broadcast(lexicon), "source", "left")
@@ -148,15 +151,18 @@ def translate_words(
         .agg(
             F.array_sort(F.collect_list(F.struct("list", "pos", "out"))).alias("_w"),
             F.first("rest", ignorenulls=True).alias("_rest"),
+            F.count("rest").alias("_records"),
         )
     )
+    once = F.when(F.col("_records") > 1, F.raise_error(F.lit(f"{key} is not unique")).cast("string"))
     texts = [
-        F.array_join(
-            F.transform(F.filter("_w", lambda w: w["list"] == n), lambda w: w["out"]), " "
+        F.when(
+            ~F.get("_rest._missing", F.lit(n)),
+            F.coalesce(once, F.array_join(F.transform(F.filter("_w", lambda w: w["list"] == n), lambda w: w["out"]), " ")),
         ).alias(name)
         for n, name in enumerate(columns)
     ]
-    return grouped.select(key, "_rest.*", *texts).drop("_is")
+    return grouped.select(key, "_rest.*", *texts).drop("_missing")
 
 
 def translate_columns(header: Column, lang: str) -> Column:

@@ -61,16 +61,11 @@ def to_cells(df: DataFrame) -> DataFrame:
     ).select("table_id", "row_no", "col_no", F.get("header", F.col("col_no")).alias("header"), "value")
 
 
-def to_tables(cells: DataFrame, n: int = MAX_CELLS) -> DataFrame:
-    """Cells back to nested tables of at most `n` cells; larger ones stay in cell form."""
-    fits = cells.groupBy("table_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= n)
-    grouped = (
-        cells.join(fits.select("table_id"), "table_id", "left_semi")
-        .groupBy("table_id")
-        .agg(
-            F.array_sort(F.collect_list(F.struct("row_no", "col_no", "header", "value"))).alias("_c"),
-            (F.max("col_no") + 1).alias("_w"),
-        )
+def to_tables(cells: DataFrame) -> DataFrame:
+    """Cells back to nested tables, whatever their size; a table is one record."""
+    grouped = cells.groupBy("table_id").agg(
+        F.array_sort(F.collect_list(F.struct("row_no", "col_no", "header", "value"))).alias("_c"),
+        (F.max("col_no") + 1).alias("_w"),
     )
     values = F.transform("_c", lambda c: c["value"])
     height = (F.size("_c") / F.col("_w")).cast("int")

@@ -197,6 +197,25 @@ def translate_words_query(spark, d):
     return translate_words(docs, lexicon(spark, d), "bn", words, "doc_id").select("doc_id", "indic")
 
 
+@query("translate_words_nulls", rf"""
+WITH {_LEXICON_SQL},
+given AS (SELECT turn + 1000 * conv_id AS id, CASE WHEN turn % 3 = 0 THEN NULL ELSE text END AS text FROM conversations),
+tokens AS (
+  SELECT id, UNNEST({_TOKENS.replace('(t,', '(text,')}) AS w, UNNEST(RANGE(LEN({_TOKENS.replace('(t,', '(text,')}))) AS pos FROM given),
+cored AS (SELECT *, {_CORE} AS core, {_HEAD} AS head FROM tokens),
+words AS (
+  SELECT id, pos, CASE WHEN target IS NULL OR REGEXP_FULL_MATCH(w, '{_SCRIPT}') THEN w
+         ELSE head || target || SUBSTR(w, LENGTH(head) + LENGTH(core) + 1) END AS o
+  FROM cored LEFT JOIN lexicon ON source = core),
+joined AS (SELECT id, STRING_AGG(o, ' ' ORDER BY pos) AS o FROM words GROUP BY id)
+SELECT id, CASE WHEN text IS NOT NULL THEN COALESCE(o, '') END AS indic FROM given LEFT JOIN joined USING (id)""")
+def translate_words_nulls(spark, d):
+    """Records without a text stay, without a translation."""
+    c = load(spark, d, "conversations")
+    given = c.select((F.col("turn") + 1000 * F.col("conv_id")).alias("id"), F.when(F.col("turn") % 3 != 0, F.col("text")).alias("text"))
+    return translate_words(given, lexicon(spark, d), "bn", {"indic": split_words(F.col("text"))}, "id").select("id", "indic")
+
+
 @query("translate_columns", f"""
 WITH {CORPUS}
 SELECT table_id, ARRAY_TO_STRING(LIST_TRANSFORM(header, LAMBDA h: {keywords_check("'sum(' || h || ') AS ' || h", 'or')}), '|') AS columns

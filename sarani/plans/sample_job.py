@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sarani.operators.families import assemble, execute, execute_family, non_empty
+from sarani.operators.families import assemble, execute, execute_family
 from sarani.operators.templates import bind, distinct_sql, render_sql, template_list
 from sarani.session import materialise
 
@@ -24,7 +24,7 @@ def build_samples(tables: DataFrame, families: tuple[str, ...] | None = None, sp
     """
     bound = materialise(distinct_sql(bound_pairs(tables, families, split, seed)), "bound", ("family",))
     answers = materialise(execute(bound), "answers")
-    return assemble(non_empty(bound, answers), answers)
+    return assemble(bound, answers)  # the join leaves out pairs without an answer
 
 
 def family_answers(spark: SparkSession, tables: DataFrame, family: str) -> DataFrame:

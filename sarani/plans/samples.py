@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sarani.operators.families import FAMILIES, KEYS, assemble, execute_family, non_empty
+from sarani.operators.families import FAMILIES, KEYS, assemble, execute, non_empty
 from sarani.operators.templates import (
     bind, bind_columns, classify_templates, distinct_sql, drop_id_templates, pair, render_sql, template_list,
 )
 from sarani.plans.checks import ANSWERS, BOUND, CORPUS, FAMILY_SQL, OPENED, TEMPLATE_VALUES
 from sarani.plans.registry import query
 from sarani.plans.sample_job import bound_pairs, build_samples, family_answers
+from sarani.session import materialise
 from sarani.sources.star import corpus_tables
 
 
@@ -25,9 +26,9 @@ def template_classify(spark, d):
 
 @query("template_filter", f"""
 WITH {CORPUS}, {TEMPLATE_VALUES}
-SELECT table_id, template_id FROM corpus JOIN templates ON NOT has_id AND family = 'project_where'""")
+SELECT table_id, template_id FROM corpus JOIN templates ON NOT has_id""")
 def template_filter(spark, d):
-    templates = drop_id_templates(template_list(spark, ("project_where",)))
+    templates = drop_id_templates(template_list(spark))
     return pair(corpus_tables(spark, d), templates).select("table_id", "template_id")
 
 
@@ -78,17 +79,12 @@ for _family in FAMILIES:
     _register_family(_family)
 
 
-_SOME = ("between", "set_operation")
-
-
 @query("non_empty_answers", f"""
 WITH {ANSWERS}
-SELECT DISTINCT b.table_id, b.template_id FROM bound b JOIN answers a USING (table_id, template_id)
-WHERE b.family IN ('between', 'set_operation')""")
+SELECT DISTINCT b.table_id, b.template_id FROM bound b JOIN answers a USING (table_id, template_id)""")
 def non_empty_answers(spark, d):
-    bound = bound_pairs(corpus_tables(spark, d), _SOME)
-    answers = execute_family(bound, _SOME[0]).unionByName(execute_family(bound, _SOME[1]))
-    return non_empty(bound, answers).select(*KEYS)
+    bound = bound_pairs(corpus_tables(spark, d))
+    return non_empty(bound, execute(bound)).select(*KEYS)
 
 
 _ASSEMBLED = """
@@ -105,10 +101,10 @@ FROM bound b JOIN answers a USING (table_id, template_id)"""
 _GROUP = " GROUP BY b.table_id, b.template_id, b.sql, b.func, b.family, b.header, b.slot_cols"
 
 
-@query("sample_assemble", f"WITH {ANSWERS}{_ASSEMBLED} WHERE b.family = 'project_where'{_GROUP}")
+@query("sample_assemble", f"WITH {ANSWERS}{_ASSEMBLED}{_GROUP}")
 def sample_assemble(spark, d):
-    bound = bound_pairs(corpus_tables(spark, d), ("project_where",))
-    return assemble(bound, execute_family(bound, "project_where"))
+    bound = materialise(bound_pairs(corpus_tables(spark, d)), "bound", ("family",))
+    return assemble(bound, execute(bound))
 
 
 @query("build_samples", f"""

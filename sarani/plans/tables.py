@@ -11,7 +11,7 @@ from sarani.operators.tables import (
     to_tables, unique_tables,
 )
 from sarani.plans.checks import CORPUS
-from sarani.plans.corpus_job import build_corpus, parsed_tables
+from sarani.plans.corpus_job import build_corpus, corpus_rejects, parsed_tables
 from sarani.plans.registry import query
 from sarani.sources.star import corpus_tables, html_pages, load, rows_to_tables
 
@@ -165,6 +165,33 @@ def cells_implode(spark, d):
     )
 
 
+@query("cells_implode_large", """
+SELECT 'priority ' || o_orderpriority AS table_id, COUNT(*) AS n_rows, MIN(o_orderkey) AS first_key, MAX(o_orderkey) AS last_key
+FROM orders GROUP BY o_orderpriority""")
+def cells_implode_large(spark, d):
+    """Tables far above the cell limit come back whole, in row order."""
+    o = load(spark, d, "orders").select(F.concat(F.lit("priority "), "o_orderpriority").alias("table_id"), "o_orderkey", "o_orderstatus")
+    values = F.array(F.col("o_orderkey").cast("string"), "o_orderstatus")
+    cells = o.select("table_id", F.col("o_orderkey").alias("row_no"), F.posexplode(values).alias("col_no", "value"))
+    header = F.get(F.array(F.lit("key"), F.lit("status")), F.col("col_no"))
+    t = to_tables(cells.select("table_id", "row_no", "col_no", header.alias("header"), "value"))
+    key = lambda i: F.get(F.get("rows", i), F.lit(0)).cast("bigint")
+    return t.select(
+        "table_id", F.size("rows").cast("bigint").alias("n_rows"), key(F.lit(0)).alias("first_key"),
+        key(F.size("rows") - 1).alias("last_key"),
+    )
+
+
+@query("corpus_rejects", f"""
+WITH {_PAGES}, t AS (SELECT * FROM page_tables)
+SELECT reason, COUNT(*) AS n_tables, SUM(n) AS n_rows FROM (
+  SELECT 'bad_span' AS reason, CAST(NULL AS INTEGER) AS n FROM t WHERE table_no = 2 AND page_id % 5 = 0
+  UNION ALL SELECT 'ragged_rows', 1 FROM t WHERE table_no = 2 AND page_id % 5 <> 0
+  UNION ALL SELECT 'too_many_cells', n_rows FROM t WHERE n_rows * 3 > 60 AND table_no < 2) GROUP BY reason""")
+def corpus_rejects_query(spark, d):
+    return corpus_rejects(html_pages(spark, d), 60)
+
+
 _BLANKS = "CHR(9) || ' ' || CHR(160) || CHR(8195)"
 
 

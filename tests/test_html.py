@@ -105,3 +105,36 @@ def test_quarantine_splits_completely(spark):
     good, bad = quarantine(df, {"missing": F.col("v").isNull(), "empty": F.col("v") == ""})
     assert [r.id for r in good.collect()] == [1]
     assert {(r.id, r.reason) for r in bad.collect()} == {(2, "missing"), (3, "empty")}
+
+
+def test_quoted_signs_and_other_attributes(spark):
+    body = (
+        '<tr><th title="x>y" data-colspan=3>a</th><th>b</th></tr>'
+        '<tr><td data-rowspan="2" title=\'a > b\'>1</td><td>2</td></tr><tr class="r>s"><td>3</td><td>4</td></tr>'
+    )
+    got = parse(spark, body)
+    assert (got.header, got.rows, got.ragged_rows) == (["a", "b"], [["1", "2"], ["3", "4"]], 0)
+    page = '<table title="a > class=\'wikitable\'" class="wikitable sortable"><tr><th>h</th></tr></table>'
+    df = spark.createDataFrame([(1, page)], "page_id int, html string")
+    assert html.select_tables(df).first().class_name == "wikitable sortable"
+
+
+def test_spans_of_zero_and_beyond_the_limit(spark):
+    body = (
+        '<tr><th>a</th><th>b</th></tr><tr><td rowspan=0>x</td><td colspan="0">1</td></tr>'
+        "<tr><td>2</td></tr><tr><td>3</td></tr>"
+    )
+    assert parse(spark, body).rows == [["x", "1"], ["x", "2"], ["x", "3"]]
+    for span in ("99999", "99999999999999"):
+        body = f"<tr><th>a</th><th>b</th></tr><tr><td rowspan={span}>x</td><td>1</td></tr><tr><td>2</td></tr>"
+        assert parse(spark, body).rows == [["x", "1"], ["x", "2"]]
+    assert parse(spark, "<tr><th>a</th></tr><tr><td rowspan=two>x</td></tr>").reason == "bad_span"
+
+
+def test_character_references(spark):
+    cells = {
+        "A&#x41;&eacute;&#65;": "AAéA", "&amp;lt;": "&lt;", "&#38;lt; &#x26;gt;": "&lt; &gt;", "&nosuch; &CounterClockwiseContourIntegral;": "&nosuch; ∳",
+        "a&nbsp;": "a", "&#0;&#xD800;": "&#0;&#xD800;",
+    }
+    df = spark.createDataFrame([(k,) for k in cells], "c string")
+    assert {r.c: r.t for r in df.select("c", html.cell_text(F.col("c")).alias("t")).collect()} == cells

@@ -1,5 +1,7 @@
 import sqlite3
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from sarani.operators import families as fam
@@ -110,3 +112,20 @@ def test_samples_are_distinct_and_answered(spark, sf):
     got = build_samples(corpus_tables(spark, sf)).collect()
     assert len({(r.table_id, r.sql) for r in got}) == len(got) > 0
     assert all('"data":[[' in r.answer for r in got)
+
+
+def _bound(spark, family, literal):
+    schema = "table_id string, template_id int, family string, func string, slot_cols array<int>, lits array<string>, rows array<array<string>>"
+    return spark.createDataFrame([("t", 1, family, "", [0, 1], [literal], [["1", "a\\b"], ["2", "a%b"], ["3", "a_b"], ["4", "axb"]])], schema)
+
+
+def test_like_takes_a_backslash_as_it_is(spark):
+    answers = lambda literal: sorted(r.value for r in fam.execute_family(_bound(spark, "like", literal), "like").collect())
+    assert answers("a\\b") == ["1"] and answers("%\\%") == ["1"] and answers("a_b") == ["1", "2", "3", "4"] and answers("a%") == ["1", "2", "3", "4"]
+
+
+def test_an_unknown_family_is_reported(spark):
+    bound = _bound(spark, "no_such", "x")
+    assert [tuple(r) for r in fam.unknown_families(bound).collect()] == [("t", 1, "no such family: no_such")]
+    with pytest.raises(Exception, match="no such family"):
+        fam.execute(bound).collect()

@@ -119,3 +119,11 @@ def test_leaderboard(spark):
     df = spark.createDataFrame([("m", "bn_test_rows", 0.12345)], "model string, cell string, score double")
     row = ev.leaderboard(df, ["bn_test_rows", "hi_test_rows"]).first()
     assert row.bn_test_rows == 12.35 and row.hi_test_rows is None
+
+
+def test_missing_texts_are_wrong(spark):
+    df = spark.createDataFrame([("a b", "a b"), (None, "a"), ("a", None)], "p string, r string")
+    row = ev.match_scores(df, "p", "r").first()
+    assert (row.exact_match, row.accuracy) == (0.3333, 0.3333)
+    one = df.select(ev.exact_match(F.col("p"), F.col("r")).alias("e"), ev.rouge_l(F.col("p"), F.col("r")).alias("l"), ev.rouge_lsum(F.col("p"), F.col("r")).alias("s"))
+    assert [tuple(r) for r in one.collect()] == [(1.0, 1.0, 1.0), (0.0, 0.0, 0.0), (0.0, 0.0, 0.0)]
