@@ -10,7 +10,7 @@ Answers are `table_id, template_id, row_no, value`; numbers are text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sarani.functions.languages import number_of
 from sarani.functions.splitjson import to_split_json
@@ -120,10 +120,53 @@ def difference(rows: DataFrame) -> DataFrame:
 
 
 def in_subquery(rows: DataFrame) -> DataFrame:
-    """Semi-join of the rows to the values the inner query selects."""
-    inner = rows.filter(_slot(2) == _lit(0)).select(*KEYS, _slot(1).alias("key")).distinct()
-    outer = rows.select(*KEYS, "row_no", _slot(0).alias("value"), _slot(1).alias("key"))
-    return outer.join(inner, [*KEYS, "key"], "left_semi").select(*_answer(F.col("value"), F.col("row_no")))
+    """Rows whose value the inner query selects."""
+    return _selected(rows).filter("chosen").select(*_answer(F.col("value"), F.col("row_no")))
+
+
+def not_in(rows: DataFrame) -> DataFrame:
+    """Rows whose value the inner query does not select."""
+    return _selected(rows).filter("NOT chosen").select(*_answer(F.col("value"), F.col("row_no")))
+
+
+def _selected(rows: DataFrame) -> DataFrame:
+    """`chosen`: some row with the same value holds the inner literal; one pass over the rows."""
+    cut = rows.select(*KEYS, "row_no", _slot(0).alias("value"), _slot(1).alias("key"), (_slot(2) == _lit(0)).alias("hit"))
+    return cut.withColumn("chosen", F.bool_or("hit").over(Window.partitionBy(*KEYS, "key"))).filter("key is not null")
+
+
+def bool_where(rows: DataFrame) -> DataFrame:
+    """and, or and not of conditions."""
+    a, b, func = _slot(1) == _lit(0), _slot(2) == _lit(1), F.col("func")
+    hit = F.when(func == "and", a & b).when(func == "or", a | b).otherwise(~a)
+    return rows.filter(hit).select(*_answer(_slot(0), F.col("row_no")))
+
+
+def lowest_k(rows: DataFrame, k: int = 3) -> DataFrame:
+    """Values of the rows with the `k` smallest numbers, in that order; earlier rows first."""
+    cut = rows.select(*KEYS, "row_no", _slot(0).alias("value"), number_of(_slot(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.col("n").asc_nulls_last(), "row_no"))
+    return cut.withColumn("rank", rank).filter(F.col("rank") <= k).select(*_answer(F.col("value"), F.col("rank") - 1))
+
+
+def group_agg(rows: DataFrame) -> DataFrame:
+    """sum and count per value of a column."""
+    group = F.when(F.col("func") == "sum", _slot(1)).otherwise(_slot(0))
+    agg = rows.groupBy(*KEYS, "func", group.alias("group")).agg(F.count(F.lit(1)).alias("count"), F.sum(number_of(_slot(0))).alias("sum"))
+    value = F.when(F.col("func") == "sum", _text(F.col("sum"))).otherwise(F.col("count").cast("string"))
+    return agg.select(*_answer(value))
+
+
+def having(rows: DataFrame) -> DataFrame:
+    """Values that more than one row has."""
+    counts = rows.groupBy(*KEYS, _slot(0).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.filter("n > 1").select(*_answer(F.col("value")))
+
+
+def subtract(rows: DataFrame) -> DataFrame:
+    """Difference of two numbers of a row."""
+    value = _text(number_of(_slot(0)) - number_of(_slot(1)))
+    return rows.filter(_slot(2) == _lit(0)).select(*_answer(value, F.col("row_no")))
 
 
 def set_operation(rows: DataFrame) -> DataFrame:
@@ -140,7 +183,8 @@ FAMILIES = {
     "project_where": project_where, "count_where": count_where, "count_distinct": count_distinct,
     "numeric_agg": numeric_agg, "superlative": superlative, "most_frequent": most_frequent,
     "between": between, "like": like, "difference": difference, "in_subquery": in_subquery,
-    "set_operation": set_operation,
+    "set_operation": set_operation, "bool_where": bool_where, "not_in": not_in, "lowest_k": lowest_k,
+    "group_agg": group_agg, "having": having, "subtract": subtract,
 }
 
 

@@ -65,6 +65,15 @@ TEMPLATES = [
     _t(17, "set_operation", "select c1 from w where c2 = L except select c1 from w where c3 = L", "except"),
     _t(18, "project_where", "select c1 from w where id = L"),
     _t(19, "most_frequent", "select c1 from w group by c1 order by count ( * ) desc limit 1"),
+    _t(20, "bool_where", "select c1 from w where c2 = L and c3 = L", "and"),
+    _t(21, "bool_where", "select c1 from w where c2 = L or c3 = L", "or"),
+    _t(22, "bool_where", "select c1 from w where not c2 = L", "not"),
+    _t(23, "not_in", "select c1 from w where c2 not in ( select c2 from w where c3 = L )"),
+    _t(24, "lowest_k", "select c1 from w order by c2_number asc limit 3"),
+    _t(25, "group_agg", "select sum ( c1_number ) from w group by c2", "sum"),
+    _t(26, "group_agg", "select count ( * ) from w group by c1", "count"),
+    _t(27, "having", "select c1 from w group by c1 having count ( * ) > 1"),
+    _t(28, "subtract", "select subtract ( c1_number , c2_number ) from w where c3 = L"),
 ]
 
 

@@ -61,6 +61,15 @@ PATTERNS = {
     17: "select {1} from {w} where {2} = {L1} except select {1} from {w} where {3} = {L2}",
     18: "select {1} from {w} where id = {L1}",
     19: "select {1} from {w} group by {1} order by count(*) desc limit 1",
+    20: "select {1} from {w} where {2} = {L1} and {3} = {L2}",
+    21: "select {1} from {w} where {2} = {L1} or {3} = {L2}",
+    22: "select {1} from {w} where not {2} = {L1}",
+    23: "select {1} from {w} where {2} not in ( select {2} from {w} where {3} = {L1} )",
+    24: "select {1} from {w} order by {2} asc limit 3",
+    25: "select sum({1}) from {w} group by {2}",
+    26: "select count(*) from {w} group by {1}",
+    27: "select {1} from {w} group by {1} having count(*) > 1",
+    28: "select subtract({1},{2}) from {w} where {3} = {L1}",
 }
 
 
@@ -181,6 +190,29 @@ SELECT DISTINCT table_id, template_id, CAST(0 AS INTEGER) AS row_no, value FROM
   SELECT table_id, template_id, func, s1 AS value, BOOL_OR(s2 = lits[1]) AS a, BOOL_OR(s3 = lits[2]) AS b
   FROM opened WHERE family = 'set_operation' GROUP BY table_id, template_id, func, s1)
 WHERE CASE func WHEN 'union' THEN a OR b WHEN 'intersect' THEN a AND b ELSE a AND NOT b END""",
+    "bool_where": """
+SELECT table_id, template_id, row_no, s1 AS value FROM opened WHERE family = 'bool_where'
+  AND CASE func WHEN 'and' THEN s2 = lits[1] AND s3 = lits[2] WHEN 'or' THEN s2 = lits[1] OR s3 = lits[2] ELSE s2 <> lits[1] END""",
+    "not_in": """
+SELECT table_id, template_id, row_no, s1 AS value FROM opened o
+WHERE family = 'not_in' AND NOT EXISTS (
+  SELECT 1 FROM opened i WHERE i.family = 'not_in' AND i.table_id = o.table_id
+     AND i.template_id = o.template_id AND i.s3 = i.lits[1] AND i.s2 = o.s2)""",
+    "lowest_k": """
+SELECT table_id, template_id, CAST(rank - 1 AS INTEGER) AS row_no, value FROM (
+  SELECT table_id, template_id, s1 AS value,
+    ROW_NUMBER() OVER (PARTITION BY table_id, template_id ORDER BY TRY_CAST(s2 AS DOUBLE), row_no) AS rank
+  FROM opened WHERE family = 'lowest_k') WHERE rank <= 3""",
+    "group_agg": f"""
+SELECT table_id, template_id, CAST(0 AS INTEGER) AS row_no,
+  CASE func WHEN 'sum' THEN {_num(f'SUM({_N1})')} ELSE CAST(COUNT(*) AS VARCHAR) END AS value
+FROM opened WHERE family = 'group_agg' GROUP BY table_id, template_id, func, CASE func WHEN 'sum' THEN s2 ELSE s1 END""",
+    "having": """
+SELECT table_id, template_id, CAST(0 AS INTEGER) AS row_no, s1 AS value
+FROM opened WHERE family = 'having' GROUP BY table_id, template_id, s1 HAVING COUNT(*) > 1""",
+    "subtract": f"""
+SELECT table_id, template_id, row_no, {_num(f'{_N1} - TRY_CAST(s2 AS DOUBLE)')} AS value
+FROM opened WHERE family = 'subtract' AND s3 = lits[1]""",
 }
 
 ANSWERS = OPENED + ",\nanswers AS (" + "\nUNION ALL".join(f"({s})" for s in FAMILY_SQL.values()) + ")"

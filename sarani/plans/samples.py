@@ -92,7 +92,7 @@ SELECT b.table_id, b.template_id, b.sql,
   CAST(JSON_OBJECT('columns', [CASE WHEN b.func = 'abs' OR b.family = 'count_where'
       THEN REGEXP_EXTRACT(b.sql, '^select (.*?) from ', 1)
       WHEN b.family = 'difference' THEN SUBSTR(b.sql, 8)
-      WHEN b.family IN ('count_distinct', 'numeric_agg') THEN REGEXP_EXTRACT(b.sql, '^select (.*?) from ', 1)
+      WHEN b.family IN ('count_distinct', 'numeric_agg', 'group_agg', 'subtract') THEN REGEXP_EXTRACT(b.sql, '^select (.*?) from ', 1)
       ELSE b.header[1 + b.slot_cols[1]] END],
     'index', RANGE(COUNT(*)), 'data', LIST([a.value] ORDER BY a.row_no, a.value)) AS VARCHAR) AS answer,
   b.table_id AS input_table_name,

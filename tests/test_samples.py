@@ -78,8 +78,8 @@ def test_answers_equal_those_of_a_database(spark, sf):
         con.executemany(f"INSERT INTO `{t.table_id}` VALUES ({','.join('?' * len(t.header))})", t.rows)
     checked = 0
     for r in bound.select("table_id", "template_id", "family", "sql").collect():
-        if r.family in {"superlative", "most_frequent", "difference"}:
-            continue  # ties and failing look-ups have no fixed answer there
+        if r.family in {"superlative", "most_frequent", "difference", "lowest_k", "subtract"}:
+            continue  # ties and failing look-ups have no fixed answer there, nor has it subtract
         text = r.sql.replace("between \"", "between 0+\"").replace("and \"", "and 0+\"") if r.family == "between" else r.sql
         want = [row[0] for row in con.execute(text).fetchall()]
         got = [v for _, v in sorted(answers.get((r.table_id, r.template_id), []))]
