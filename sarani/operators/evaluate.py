@@ -19,7 +19,8 @@ WORD_PATTERN = r"[\p{L}\p{M}\p{N}]+"
 def bag_overlap(df: DataFrame, keys: list[str], gold: str, pred: str) -> DataFrame:
     """Per record the sizes of two lists and of their multiset intersection.
 
-    Equal items are counted before the shuffle; no list is compared with another.
+    Records are shuffled once, by their keys; items are counted where their record is, and no
+    list is compared with another.
     """
 
     def side(c, g, p):
@@ -27,7 +28,7 @@ def bag_overlap(df: DataFrame, keys: list[str], gold: str, pred: str) -> DataFra
             F.col(c), lambda x: F.struct(x.alias("item"), F.lit(g).alias("g"), F.lit(p).alias("p"))
         )
 
-    items = df.select(*keys, F.inline_outer(F.concat(side(gold, 1, 0), side(pred, 0, 1))))
+    items = df.repartition(*keys).select(*keys, F.inline_outer(F.concat(side(gold, 1, 0), side(pred, 0, 1))))
     counts = items.groupBy(*keys, "item").agg(F.sum("g").alias("g"), F.sum("p").alias("p"))
     return counts.groupBy(*keys).agg(
         F.coalesce(F.sum("g"), F.lit(0)).alias("gold"),

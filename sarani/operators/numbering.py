@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 # Rows one sort task is asked to number.
 ROWS_PER_BUCKET = 200_000
 MAX_BUCKETS = 4096
-MAX_TIE_BUCKETS = 256
+NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+TIE_BYTES = 7
 
 
 def _bucket(order: Column, kind: str, splits: list) -> Column:
@@ -34,6 +35,14 @@ def _quantiles(df: DataFrame, order: str, buckets: int) -> list:
     return df.select(F.percentile_approx(order, shares, 4 * MAX_BUCKETS)).first()[0] or []
 
 
+def _tie_number(tie: str, kind: str) -> tuple[Column, str]:
+    """A number that rises with the tie-break: itself, or the first bytes of a text."""
+    if kind.startswith(NUMERIC):
+        return F.col(tie), kind
+    first = F.rpad(F.hex(F.substring(F.col(tie).cast("string").cast("binary"), 1, TIE_BYTES)), 2 * TIE_BYTES, "0")
+    return F.conv(first, 16, 10).cast("bigint"), "bigint"
+
+
 def _ranges(df: DataFrame, order: str, tie: str | None, rows_per_bucket: int) -> tuple[Column, Column] | None:
     """Range number of each row, and a second number inside values that fill whole ranges.
 
@@ -49,8 +58,11 @@ def _ranges(df: DataFrame, order: str, tie: str | None, rows_per_bucket: int) ->
     heavy = [v for v, n in Counter(found).items() if n > 1]
     inner = F.lit(0)
     if heavy and tie:
-        ties = sorted(set(_quantiles(df, tie, min(MAX_TIE_BUCKETS, buckets))))
-        inner = F.when(F.col(order).isin(heavy), 1 + _bucket(F.col(tie), kinds[tie], ties)).otherwise(0)
+        # The cuts of the ties come from the rows with a heavy value alone.
+        value, kind = _tie_number(tie, kinds[tie])
+        among = df.filter(F.col(order).isin(heavy)).select(value.alias("_tie"))
+        ties = sorted(set(_quantiles(among, "_tie", min(MAX_BUCKETS, -(-among.count() // rows_per_bucket)))))
+        inner = F.when(F.col(order).isin(heavy), 1 + _bucket(value, kind, ties)).otherwise(0)
     return _bucket(F.col(order), kinds[order], splits), inner
 
 
@@ -68,9 +80,12 @@ def number_within(
     The data is cut into ranges of `order`, so a key with a third of all rows (or no
     key at all) is numbered by many tasks: rows are numbered inside a range, and the
     sizes of the ranges before it are added. A single value of `order` that fills more
-    than one range is cut again by the first of `ties`, which must then be numeric.
+    than one range is cut again by the first of `ties`, a number or a text.
     With `total`, the group size is added.
     """
+    kind = dict(df.dtypes)[order]
+    if not kind.startswith(NUMERIC):
+        raise ValueError(f"{order} is not a number: {kind}")
     group = keys or [F.lit(0)]
     ranges = _ranges(df, order, ties[0] if ties else None, rows_per_bucket)
     if ranges is None:

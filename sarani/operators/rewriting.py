@@ -225,17 +225,23 @@ def convert_stream(df: DataFrame, lang: str, lexicon: dict[str, str]) -> DataFra
     )
 
 
-def convert_samples(df: DataFrame, lang: str, lexicon: DataFrame, order: str) -> DataFrame:
-    """Samples with language, indic_sql, sql_without_table_name, translated_answer and index.
-
-    `order` is a unique number; `index` counts the samples in that order from 0.
-    """
-    prepared = _prepared(df.repartition(order), lang)
-    out = translate_words(prepared, lexicon, lang, _word_lists(lang), order, partitioned=True)
-    out = (
+def convert_records(df: DataFrame, lang: str, lexicon: DataFrame, key: str) -> DataFrame:
+    """Samples with language, indic_sql, sql_without_table_name and translated_answer, by a
+    word lexicon of any size; `key` is unique."""
+    prepared = _prepared(df.repartition(key), lang)
+    out = translate_words(prepared, lexicon, lang, _word_lists(lang), key, partitioned=True)
+    return (
         out.withColumn("language", F.lit(language_of(lang)))
         .withColumn("translated_answer", translate_answer(F.col("answer"), lang))
         .drop("_text")
     )
+
+
+def convert_samples(df: DataFrame, lang: str, lexicon: DataFrame, order: str) -> DataFrame:
+    """`convert_records` with an index.
+
+    `order` is a unique number; `index` counts the samples in that order from 0.
+    """
+    out = convert_records(df, lang, lexicon, order)
     index = number_within(df.select(order), [], order, "index")
     return out.join(index, order)

@@ -17,7 +17,7 @@ from sarani.sources.corpus import (
 )
 from sarani.sources.pages import read_pages
 from sarani.sources.star import corpus_tables, load
-from sarani.streaming.incremental import read_sample_stream, resume_convert
+from sarani.streaming.incremental import read_sample_stream, resume_convert, resume_convert_by_table
 
 
 @query("scan_pages", """
@@ -135,7 +135,7 @@ def event_samples(spark, d):
     )
 
 
-@query("incremental_convert", f"""
+_CONVERTED = f"""
 WITH {_EVENT_SQL},
 kinds AS (SELECT *, {keywords_check("REGEXP_EXTRACT(sql, 'kind = \"([^\"]*)\"', 1)", 'bn')} AS kind FROM events_sql)
 SELECT event_id,
@@ -144,7 +144,10 @@ SELECT event_id,
                               ELSE CAST(event_id AS VARCHAR) END AS indic_sql,
   '{{"columns":["গণনা"],"index":[0],"data":[["' ||
     TRANSLATE(CAST(value AS VARCHAR), '0123456789', '০১২৩৪৫৬৭৮৯') || '"]]}}' AS translated_answer
-FROM kinds""")
+FROM kinds"""
+
+
+@query("incremental_convert", _CONVERTED)
 def incremental_convert(spark, d):
     """Two runs over a growing folder: the second converts only the new files."""
     source, out, checkpoint = (scratch_path(spark, f"stream-{x}") for x in ("in", "out", "checkpoint"))
@@ -155,3 +158,18 @@ def incremental_convert(spark, d):
         samples.filter(half == part).write.mode("append").json(source)
         resume_convert(read_sample_stream(spark, source, extra), out, checkpoint, "bn", WORDS)
     return spark.read.parquet(out).select("event_id", "indic_sql", "translated_answer")
+
+
+@query("incremental_convert_lexicon", _CONVERTED)
+def incremental_convert_lexicon(spark, d):
+    """The same with a word lexicon as a table, far larger than an expression may hold."""
+    source, out, checkpoint = (scratch_path(spark, f"stream-{x}") for x in ("in", "out", "checkpoint"))
+    words = spark.createDataFrame(list(WORDS.items()), "source string, target string")
+    names = load(spark, d, "customer").select(F.col("c_name").alias("source"), F.lit("নাম").alias("target"))
+    lexicon = words.unionByName(names)
+    samples = spread(event_samples(spark, d), "event_id")
+    for part in (0, 1):
+        samples.filter(F.col("event_id") % 2 == part).write.mode("append").json(source)
+        stream = read_sample_stream(spark, source, "event_id bigint")
+        resume_convert_by_table(stream, out, checkpoint, "bn", lexicon, "event_id")
+    return spark.read.parquet(out).select("event_id", "indic_sql", "translated_answer")

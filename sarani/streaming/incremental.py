@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sarani.operators.rewriting import convert_stream
+from sarani.operators.rewriting import convert_records, convert_stream
 from sarani.sources.corpus import SAMPLE
 
 
@@ -16,11 +16,28 @@ def read_sample_stream(spark: SparkSession, path: str, extra: str = "", files: i
     return reader.json(path)
 
 
+def resume_convert_by_table(
+    stream: DataFrame, out: str, checkpoint: str, lang: str, lexicon: DataFrame, key: str
+) -> None:
+    """`resume_convert` with a word lexicon of any size, as a table of source and target.
+
+    Every step is converted as the batch job converts it, by the unique `key`, and written to
+    a folder of its own number. A step that is run again after a failure replaces its folder.
+    """
+
+    def convert(batch: DataFrame, step: int) -> None:
+        convert_records(batch, lang, lexicon, key).write.mode("overwrite").parquet(f"{out}/step={step}")
+
+    started = stream.writeStream.foreachBatch(convert).option("checkpointLocation", checkpoint)
+    started.trigger(availableNow=True).start().awaitTermination()
+
+
 def resume_convert(stream: DataFrame, out: str, checkpoint: str, lang: str, lexicon: dict[str, str]) -> None:
     """Convert all samples not yet converted and append them to `out`.
 
     What was read is kept in `checkpoint`, and the file sink commits a step whole, so a
-    run that fails half-way leaves no double records.
+    run that fails half-way leaves no double records. For lexicons beyond a few hundred words
+    there is `resume_convert_by_table`.
     """
     query = (
         convert_stream(stream, lang, lexicon)

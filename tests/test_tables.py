@@ -98,3 +98,13 @@ def test_title_index_is_cut_into_chunks(spark):
     got = title_index(name_tables(df, "id"), chunk=10).orderBy("chunk_no").collect()
     assert [len(r.table_names) for r in got] == [10, 10, 5]
     assert got[1].table_names[0] == "t_10"
+
+
+def test_numbering_of_one_value_with_text_ties(spark):
+    df = spark.range(900).select(F.lit(5).alias("o"), F.concat(F.lit("k"), F.lpad(((F.col("id") * 7919) % 900).cast("string"), 4, "0")).alias("t"))
+    out = number_within(df, [], "o", "no", rows_per_bucket=100, ties=("t",)).collect()
+    assert [r.t for r in sorted(out, key=lambda r: r.no)] == sorted(r.t for r in out) and sorted(r.no for r in out) == list(range(900))
+    few = number_within(df.limit(10), [], "o", "no", ties=("t",)).collect()
+    assert [r.t for r in sorted(few, key=lambda r: r.no)] == sorted(r.t for r in few)
+    with pytest.raises(ValueError):
+        number_within(df, [], "t", "no")
