@@ -217,8 +217,28 @@ def repeated_spans(texts: DataFrame, window: int, shard_bytes: int, most_content
     parts = F.transform("firsts", lambda x: F.struct(x.alias("low"), (x + window).alias("high")))
     spans = cut.select("doc_id", (F.col("at") - F.col("high")).alias("from"), F.inline(F.when(F.col("whole"), whole).otherwise(parts)))
     spans = spans.select("doc_id", (F.col("from") + F.col("low")).alias("low"), (F.col("from") + F.col("high")).alias("high"))
-    free = _repeated(materialise(_free_windows(texts, window), "suffix-free"))
-    return spans.unionByName(free.select("doc_id", F.col("first").alias("low"), (F.col("first") + window).alias("high")))
+    return spans.unionByName(_free_spans(texts, window))
+
+
+def _free_spans(texts: DataFrame, window: int) -> DataFrame:
+    """doc_id, low, high of repeated windows without a trigger near their start.
+
+    They come from text of a short period for the most part: many windows, few different
+    ones. So the different ones are counted and sent to the windows, whose runs are joined
+    where they are.
+    """
+    free = materialise(_free_windows(texts, window), "suffix-free")
+    several = free.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
+    found = free.join(broadcast_if(materialise(several, "suffix-free-several"), 48), ["w1", "w2"], "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, first = batch.column("doc_id").to_numpy(), batch.column("first").to_numpy()
+            opens = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(first) != 1)])[: len(doc)])
+            last = np.concatenate([opens[1:], [len(doc)]])[: len(opens)] - 1
+            yield pa.RecordBatch.from_pydict({"doc_id": doc[opens], "low": first[opens], "high": first[last] + window})
+
+    return found.select("doc_id", "first").mapInArrow(run, "doc_id long, low long, high long")
 
 
 def remove_repeated_bytes(
