@@ -35,7 +35,8 @@ from sarani.session import materialise
 
 LEXICON_WORDS = 1 << 16
 LONGEST_WORD = 64  # characters of a word in the lexicon
-FLUSH_WORDS = 400_000  # distinct words a counting task holds before it passes them on
+CHUNK = 1 << 20
+FLUSH_WORDS = 200_000  # distinct words a counting task holds before it passes them on
 
 # Below this code point, and in the listed block, composition changes nothing and lower
 # case works character by character; other texts are cut by the tokenizer's own rules.
@@ -86,7 +87,7 @@ class Vocabulary:
         self._word = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{blank}{letters}{numbers}]+")
         self._plain = re.compile(f"[\0-{chr(_PLAIN_END - 1)}{_PLAIN_MARKS}]*")
         self._marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.merge = functools.lru_cache(maxsize=1 << 16)(self._merge)
+        self.merge = functools.lru_cache(maxsize=1 << 14)(self._merge)
 
     def words(self, text: str) -> list[str]:
         """The words in order; a special mark stays as it is in the text."""
@@ -262,7 +263,7 @@ def frequent_words(texts: DataFrame, path: str, size: int) -> list[str]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, held = vocabulary(path), Counter()
-        for chunk in chunks(batches, "text"):
+        for chunk in chunks(batches, "text", CHUNK):
             for text in chunk.column("text").to_pylist():
                 held.update(vocab.words(text))
             if len(held) > FLUSH_WORDS:
@@ -351,7 +352,7 @@ def bpe_encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, known = vocabulary(path), lexicon(name)
-        for chunk in chunks(batches, "text"):
+        for chunk in chunks(batches, "text", CHUNK):
             found, decoded = encode_texts(chunk.column("text").to_pylist(), vocab, known, digests)
             out = {"doc_id": chunk.column("doc_id"), "n_tokens": pa.array(map(len, found), pa.int64())}
             if with_ids:

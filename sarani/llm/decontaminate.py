@@ -177,7 +177,8 @@ def find_leaks(
                 ends.append(low + end)
             yield pa.RecordBatch.from_pydict(rows | {"score": pa.array(scores, pa.float64()), "end_word": pa.array(ends, pa.int64())})
 
-    passages = _passages(texts, windows).join(broadcast_if(cut, 16, "words"), "item_id")
+    # Written in between, so that no task holds two Python workers.
+    passages = materialise(_passages(texts, windows), "leak-passages").join(broadcast_if(cut, 16, "words"), "item_id")
     scored = passages.select("doc_id", "item_id", "words", "passage", "low").mapInArrow(score, "doc_id long, item_id long, score double, end_word long")
     best = scored.where(F.col("score") >= least).groupBy("doc_id", "item_id").agg(
         F.max("score").alias("score"), F.min_by("end_word", F.struct(-F.col("score"), F.col("end_word"))).alias("end_word")
