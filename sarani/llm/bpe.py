@@ -35,7 +35,8 @@ from sarani.session import materialise
 
 LEXICON_WORDS = 1 << 16
 LONGEST_WORD = 64  # characters of a word in the lexicon
-CHUNK = 1 << 20
+CHUNK = 2 << 20
+SHORT_WORD = 64  # bytes of a word that is merged without a queue
 FLUSH_WORDS = 200_000  # distinct words a counting task holds before it passes them on
 
 # Below this code point, and in the listed block, composition changes nothing and lower
@@ -87,7 +88,7 @@ class Vocabulary:
         self._word = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{blank}{letters}{numbers}]+")
         self._plain = re.compile(f"[\0-{chr(_PLAIN_END - 1)}{_PLAIN_MARKS}]*")
         self._marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.merge = functools.lru_cache(maxsize=1 << 14)(self._merge)
+        self.merge = functools.lru_cache(maxsize=1 << 16)(self._merge)
 
     def words(self, text: str) -> list[str]:
         """The words in order; a special mark stays as it is in the text."""
@@ -109,6 +110,8 @@ class Vocabulary:
             return (self.special[word],)
         parts: list[str | None] = [self.letters[b] for b in word.encode()]
         parts[-1] += self.end
+        if len(parts) <= SHORT_WORD:
+            return self._merge_short(parts)
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         queue = [(r, i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (r := self.ranks.get((a, b))) is not None]
         heapq.heapify(queue)
@@ -126,6 +129,20 @@ class Vocabulary:
                     heapq.heappush(queue, (r, x, parts[x], parts[y]))
         return tuple(self.ids[p] for p in parts if p is not None)
 
+    def _merge_short(self, parts: list[str]) -> tuple[int, ...]:
+        """The same for few parts: the ranks of all pairs stand in a list."""
+        rank_of, none = self.ranks.get, len(self.ranks)
+        ranks = [rank_of(p, none) for p in zip(parts, parts[1:])]
+        while ranks and (least := min(ranks)) < none:
+            i = ranks.index(least)
+            parts[i] += parts.pop(i + 1)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank_of((parts[i - 1], parts[i]), none)
+            if i < len(ranks):
+                ranks[i] = rank_of((parts[i], parts[i + 1]), none)
+        return tuple([self.ids[p] for p in parts])
+
     def decode(self, ids: list[int]) -> str:
         """Token texts joined by a blank, as the library does for a file without a decoder."""
         return " ".join(map(self.tokens.__getitem__, ids))
