@@ -241,6 +241,27 @@ def _free_spans(texts: DataFrame, window: int) -> DataFrame:
     return found.select("doc_id", "first").mapInArrow(run, "doc_id long, low long, high long")
 
 
+def _by_document(spans: DataFrame) -> DataFrame:
+    """doc_id and its spans in order, overlapping and touching ones as one."""
+
+    kind = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for gone in batch.column("gone"):
+                low, high = (gone.values.field(i).to_numpy() for i in (0, 1))
+                order = np.argsort(low, kind="stable")
+                low, high = low[order], np.maximum.accumulate(high[order])
+                opens = np.concatenate([[True], low[1:] > high[:-1]])
+                last = np.concatenate([opens[1:], [True]])
+                out.append([{"low": a, "high": b} for a, b in zip(low[opens].tolist(), high[last].tolist())])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, kind)], ["doc_id", "gone"])
+
+    listed = spans.groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("gone"))
+    return listed.mapInArrow(run, "doc_id long, gone array<struct<low:long,high:long>>")
+
+
 def remove_repeated_bytes(
     docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 400,
     shard_bytes: int = SHARD_BYTES, most_contents: int = MOST_CONTENTS, with_text: bool = True,
@@ -258,7 +279,7 @@ def remove_repeated_bytes(
         raise ValueError(f"a window has at least {5 * TRIGGER} bytes")
     texts = keyed_texts(docs, key, text)
     spans = repeated_spans(texts.where("doc_id IS NOT NULL"), window, shard_bytes, most_contents)
-    listed = materialise(spans.groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("gone")), "suffix-gone")
+    listed = materialise(_by_document(spans), "suffix-gone")
     joined = texts.join(broadcast_if(listed, 24, "gone"), "doc_id", "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<struct<low:long,high:long>>" * with_text
 
