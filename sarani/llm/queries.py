@@ -64,7 +64,21 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-@query("op5_near_dedup")
+@query("op5_near_dedup", rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex({NORM}, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(list_slice(ws, i, i + 2), ' ')) AS h
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM b JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(doc_id, other) AS (SELECT a, b FROM both_ways UNION SELECT reach.doc_id, both_ways.b FROM reach JOIN both_ways ON reach.other = both_ways.a),
+c AS (SELECT doc_id, least(min(other), doc_id) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, coalesce(component_id, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
+""")
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"), size=3, percent=85)
 
@@ -129,7 +143,20 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
-@query("op9_substring_dedup")
+@query("op9_substring_dedup", r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+n AS (
+  SELECT doc_id, i, md5(array_to_string(list_slice(ws, i, i + 49), ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM d)),
+o AS (SELECT h, min(doc_id) AS owner FROM n GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM n JOIN o USING (h) WHERE owner < doc_id),
+k AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS k, unnest(ws) AS w FROM d),
+r AS (
+  SELECT k.doc_id, count(gone.k) AS n_removed, string_agg(CASE WHEN gone.k IS NULL THEN w END, ' ' ORDER BY k.k) AS kept
+  FROM k LEFT JOIN gone ON k.doc_id = gone.doc_id AND k.k = gone.k GROUP BY k.doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN r ON d.doc_id = r.doc_id
+""")
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_runs(table(spark, sf_dir, "documents"), with_text=False)
 
