@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds and Smith-Waterman alignment.
 
 1. Word n-grams of the test items set bits in a filter of fixed size; one pass over the
    documents gives the places whose n-gram passes it.
-2. These places join the items' n-grams. Of each item, the n-grams with at most the median
-   document frequency are its seeds.
+2. These places join the items' n-grams. Every n-gram of an item is a seed: a choice by
+   document frequency would count the copies that are looked for.
 3. Seeds of one item on near diagonals of a document form a passage.
 4. Each passage is aligned with its item; the local alignment score, as a share of the
    score of an exact copy, decides. Edits, insertions and lost words cost a little each.
@@ -141,7 +141,7 @@ def find_leaks(
 
     One row per document and item, with the best passage: score is its alignment score over
     that of an exact copy (at least `least`, 1 for an exact copy), end_word the word after its
-    end, seeds how many places gave it. Items with fewer than `gram` words use all their
+    end, seeds how many places with an n-gram of the item gave it. Items with fewer than `gram` words use all their
     words as the seed. Texts that are null, empty or without words match nothing; rows with
     a null id give no row; repeated rows give the rows of one; equal scores keep the earliest
     passage. Repeated ids must repeat the text. Other columns are not read.
@@ -151,12 +151,7 @@ def find_leaks(
     grams = materialise(_item_grams(cut), "leak-grams")
     sizes = sorted(r[0] for r in cut.select("size").distinct().collect())
     places = materialise(_places(texts, grams, sizes), "leak-places")
-    in_documents = places.groupBy("gram").agg(F.approx_count_distinct("doc_id", 0.02).alias("documents"))
-    rated = grams.join(in_documents, "gram")  # an n-gram that no document has is no seed
-    median = rated.groupBy("item_id").agg(F.percentile("documents", F.lit(0.5)).alias("median"))
-    seeds = rated.join(median, "item_id").where(F.col("documents") <= F.col("median")).select("item_id", "item_words", "gram", "at")
-    seeds = materialise(seeds, "leak-seeds")
-    found = places.join(broadcast_if(seeds, 48), "gram")
+    found = places.join(broadcast_if(grams, 48), "gram")
     diagonal = F.col("place") - F.col("at")
     windows = found.groupBy("doc_id", "item_id", F.floor(diagonal / F.col("item_words")).alias("part"), "item_words").agg(
         F.min(diagonal).alias("first"), F.max(diagonal).alias("last"), F.countDistinct("place").alias("seeds")
@@ -168,13 +163,17 @@ def find_leaks(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = {"doc_id": batch.column("doc_id"), "item_id": batch.column("item_id")}
-            ends, scores = [], []
-            for words, passage, low in zip(batch.column("words"), batch.column("passage"), batch.column("low").to_pylist()):
-                item = words.values.to_numpy()
-                best, end = align(item, passage.values.to_numpy())
+            places, ends, scores = [], [], []
+            for i, (words, passage, low) in enumerate(zip(batch.column("words"), batch.column("passage"), batch.column("low").to_pylist())):
+                item, own = words.values.to_numpy(), passage.values.to_numpy()
+                # Only an item word that the passage has can match, so the score is at most their share.
+                if np.count_nonzero(np.isin(item, own)) / len(item) < least:
+                    continue
+                best, end = align(item, own)
+                places.append(i)
                 scores.append(best / (MATCH * len(item)))
                 ends.append(low + end)
+            rows = {c: batch.column(c).take(pa.array(places, pa.int64())) for c in ("doc_id", "item_id")}
             yield pa.RecordBatch.from_pydict(rows | {"score": pa.array(scores, pa.float64()), "end_word": pa.array(ends, pa.int64())})
 
     # Written in between, so that no task holds two Python workers.

@@ -105,6 +105,19 @@ def test_leaks(spark, empty):
     assert find_leaks(empty, b).count() == 0 and find_leaks(d, b.limit(0)).count() == 0
 
 
+def test_leaks_of_an_exact_and_an_edited_copy_of_one_item(spark):
+    """The copies themselves do not turn the n-grams that survive an edit into common ones."""
+    items = {k: [f"v{k}x{i}" for i in range(40)] for k in (5, 6, 7, 8)}
+    copies = {k: [f"y{i}" if i % k == k - 1 else w for i, w in enumerate(item)] for k, item in items.items()}
+    docs = [(k, " ".join(item)) for k, item in items.items()] + [(10 * k, " ".join(["a", *copy, "b"])) for k, copy in copies.items()]
+    docs += [(1, " ".join(items[5][:20])), (2, " ".join(items[5][:19]))]  # half an item, and less
+    found = by_id(find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")))
+    assert set(found) == {1, 5, 6, 7, 8, 50, 60, 70, 80} and found[1].score == 0.5
+    for k, item in items.items():
+        assert found[k].score == 1 and found[10 * k].item_id == k
+        assert found[10 * k].score == naive_alignment(item, copies[k]) / (MATCH * len(item))
+
+
 def test_licenses(spark, nasty, empty):
     rng = random.Random(9)
     parts = ["MIT License", "mit-license", "the Apache", "LICENSE", "General public", "license", "gnu", "x", "é", "mİt license", "lİcense", "mit licenKe"]
