@@ -22,11 +22,11 @@ from sarani.session import scratch_path
 
 ARCHIVE_BYTES = 8 << 20  # an archive is closed once it has so many bytes
 MEMBER, VERSION = b"\x1f\x8b\x08", b"WARC/1."
+_VERSION_LINE = re.compile(rb"WARC/1\.\d+[ \t]*\r\n")
 RECORD_SCHEMA = (
     "file string, start long, end long, gap string, record_id string, record_type string, target_uri string, "
     "refers_to string, payload_bytes long, payload_digest string, payload binary"
 )
-_HEAD_LIMIT = 1 << 16  # a record header without an end within so many bytes is not valid
 
 
 def sha1_base32(data: bytes) -> str:
@@ -102,10 +102,10 @@ def write_warc(
 
 def _parse(data: bytes, at: int) -> tuple[dict, int] | str:
     """The record at `at` of plain WARC bytes and its end, or why it is not valid."""
-    if not data.startswith(VERSION, at):
+    if not _VERSION_LINE.match(data, at):
         return "no version line"
-    head_end = data.find(b"\r\n\r\n", at, at + _HEAD_LIMIT)
-    if head_end < 0:
+    head_end = data.find(b"\r\n\r\n", at)  # a header is as long as its url
+    if head_end < 0 or data.find(b"\n" + VERSION, at, head_end) >= 0:
         return "header without end"
     head = {}
     for line in data[at:head_end].split(b"\r\n")[1:]:

@@ -105,6 +105,22 @@ def test_salvage_logs_gaps_and_recovers_later_records(packed):
     assert list(salvage(b"")) == [] and [r["gap"] for r in salvage(b"nothing")] == ["no version line"]
 
 
+@pytest.mark.parametrize("packed", [True, False])
+def test_records_with_long_urls_are_no_gaps(packed):
+    urls = ["data:," + "x" * 100_000, "u", "y WARC/1.1 " * 10_000, "z" * 3_000_000]
+    plain = [record_bytes(str(i), "response", u, b"page", None) for i, u in enumerate(urls)]
+    found = list(salvage(b"".join(gzip_member(r) if packed else r for r in plain)))
+    assert [(r["record_id"], r["target_uri"]) for r in found] == [(str(i), u.strip()) for i, u in enumerate(urls)]
+    cut = plain[0][:90_000] + b"\r\n" + plain[1]  # a header that lost its end does not take in the next record
+    assert [r.get("record_id", "gap") for r in salvage(cut)] == ["gap", "1"]
+
+
+def test_warc_round_trip_of_a_long_url(spark):
+    rows = [(1, "u" * 100_000, "same"), (2, "v" * 100_000, "same"), (3, "w", "other")]
+    found = warc_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in found) == [(1, "revisit", 2), (2, "response", None), (3, "response", None)]
+
+
 def test_reader_quarantines_a_broken_file(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"http://x/{i}", f"page {i}") for i in range(40)], "page_id long, url string, html string")
     write_warc(pages.coalesce(1), f"{tmp_path}/a")
