@@ -62,7 +62,12 @@ def to_cells(df: DataFrame) -> DataFrame:
 
 
 def to_tables(cells: DataFrame) -> DataFrame:
-    """Cells back to nested tables, whatever their size; a table is one record."""
+    """Cells back to nested tables, also above the cell limit.
+
+    A table is one record, put together in one task: it must fit a task's memory and the
+    2 GB that a record may have. Tables that grow with the data go in as blocks of rows
+    with a table_id each.
+    """
     grouped = cells.groupBy("table_id").agg(
         F.array_sort(F.collect_list(F.struct("row_no", "col_no", "header", "value"))).alias("_c"),
         (F.max("col_no") + 1).alias("_w"),

@@ -165,20 +165,33 @@ def cells_implode(spark, d):
     )
 
 
+ORDER_KEYS = 4096
+
+
+def order_tables(spark, d):
+    """The orders of each priority as tables of a range of `ORDER_KEYS` keys each, so that no record grows with the data."""
+    o = load(spark, d, "orders").select(
+        F.struct(
+            F.concat(F.lit("priority "), "o_orderpriority").alias("priority"),
+            F.expr(f"(o_orderkey - pmod(o_orderkey, {ORDER_KEYS})) div {ORDER_KEYS}").alias("block"),
+        ).alias("table_id"),
+        "o_orderkey", "o_orderstatus",
+    )
+    values = F.array(F.col("o_orderkey").cast("string"), "o_orderstatus")
+    cells = o.select("table_id", F.col("o_orderkey").alias("row_no"), F.posexplode(values).alias("col_no", "value"))
+    header = F.get(F.array(F.lit("key"), F.lit("status")), F.col("col_no"))
+    return to_tables(cells.select("table_id", "row_no", "col_no", header.alias("header"), "value"))
+
+
 @query("cells_implode_large", """
 SELECT 'priority ' || o_orderpriority AS table_id, COUNT(*) AS n_rows, MIN(o_orderkey) AS first_key, MAX(o_orderkey) AS last_key
 FROM orders GROUP BY o_orderpriority""")
 def cells_implode_large(spark, d):
     """Tables far above the cell limit come back whole, in row order."""
-    o = load(spark, d, "orders").select(F.concat(F.lit("priority "), "o_orderpriority").alias("table_id"), "o_orderkey", "o_orderstatus")
-    values = F.array(F.col("o_orderkey").cast("string"), "o_orderstatus")
-    cells = o.select("table_id", F.col("o_orderkey").alias("row_no"), F.posexplode(values).alias("col_no", "value"))
-    header = F.get(F.array(F.lit("key"), F.lit("status")), F.col("col_no"))
-    t = to_tables(cells.select("table_id", "row_no", "col_no", header.alias("header"), "value"))
     key = lambda i: F.get(F.get("rows", i), F.lit(0)).cast("bigint")
-    return t.select(
-        "table_id", F.size("rows").cast("bigint").alias("n_rows"), key(F.lit(0)).alias("first_key"),
-        key(F.size("rows") - 1).alias("last_key"),
+    return order_tables(spark, d).groupBy(F.col("table_id.priority").alias("table_id")).agg(
+        F.sum(F.size("rows")).alias("n_rows"), F.min(key(F.lit(0))).alias("first_key"),
+        F.max(key(F.size("rows") - 1)).alias("last_key"),
     )
 
 

@@ -7,6 +7,7 @@ from sarani.operators.numbering import first_per_key, number_within
 from sarani.operators.tables import (
     max_cells, name_tables, numeric_columns, title_index, title_of, to_cells, to_tables, unique_tables,
 )
+from sarani.plans.tables import ORDER_KEYS, cells_implode_large, order_tables
 from sarani.sources.star import corpus_tables
 
 
@@ -54,6 +55,17 @@ def test_first_per_key_cuts_before_the_shuffle(spark):
     assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_tables_of_one_priority_do_not_grow_with_the_orders(spark, tmp_path):
+    keys = [*range(0, 20_000), 1_000_000, 1_000_001]
+    rows = [(k, None if k % 2 else "1-URGENT", "O") for k in reversed(keys)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderpriority string, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    found = {r.table_id: (r.n_rows, r.first_key, r.last_key) for r in cells_implode_large(spark, str(tmp_path)).collect()}
+    assert found == {"priority 1-URGENT": (10_001, 0, 1_000_000), None: (10_001, 1, 1_000_001)}
+    tables = order_tables(spark, str(tmp_path)).collect()
+    assert sum(len(t.rows) for t in tables) == len(keys) and max(len(t.rows) for t in tables) <= ORDER_KEYS
+    assert all(t.header == ["key", "status"] and [int(r[0]) for r in t.rows] == sorted(int(r[0]) for r in t.rows) for t in tables)
+
+
 def test_cells_and_back(spark, sf):
     t = corpus_tables(spark, sf)
     back = to_tables(to_cells(t))
