@@ -139,12 +139,15 @@ def fit_languages(
     return LanguageFilter(languages, bits)
 
 
-def identify_language(docs: DataFrame, model: LanguageFilter, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score: one row per input row; only the text decides.
+def identify_language(
+    docs: DataFrame, model: LanguageFilter, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (),
+) -> DataFrame:
+    """doc_id, lang_pred, score and the columns `carry`: one row per input row; only the text decides.
 
     `und` with score 0 for a null text, one without a letter, or a model without languages.
     Equal scores go to the first language in order. Other columns are not read.
     """
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by slots and languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,10 +160,20 @@ def identify_language(docs: DataFrame, model: LanguageFilter, key: str = "doc_id
                 best = 0 if found is None else int(np.argmax(found))
                 names.append(UNKNOWN if found is None else known.languages[best])
                 scores.append(0.0 if found is None else float(found[best]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
-
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), *[batch.column(c) for c in carried]],
+                ["doc_id", "lang_pred", "score", *carried],
+            )
+
+    # A text column that is carried goes to Python once.
+    carried = ["text" if c == text and kinds[c] == "string" else f"carried_{i}" for i, c in enumerate(carry)]
+    rows = docs.select(
+        F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),
+        *[F.col(c).alias(name) for c, name in zip(carry, carried) if name != "text"],
+    )
+    fields = ["doc_id long", "lang_pred string", "score double", *[f"{name} {kinds[c]}" for c, name in zip(carry, carried)]]
+    found = rows.mapInArrow(run, ", ".join(fields))
+    return found.select("doc_id", "lang_pred", "score", *[F.col(name).alias(c) for c, name in zip(carry, carried)])
 
 
 def held_out(key: str = "doc_id") -> Column:

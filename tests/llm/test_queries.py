@@ -55,3 +55,32 @@ def test_pipeline_keeps_clean_documents_and_drops_planted_ones(spark, sf):
     assert 100_002 not in seen["near_dedup"] and rows[1][0] in seen["near_dedup"]
     assert 100_003 not in seen["decontaminate"]
     assert seen["bpe_encode"] == seen["decontaminate"]
+
+
+def test_pipeline_stages_judge_rows_not_ids(spark, sf):
+    """Null ids and repeated ids with different texts, some good, some rejected, through all stages."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en' AND length(text) > 400").orderBy("doc_id").limit(12)
+    rows = [tuple(r) for r in docs.select(*corpus_pipeline.COLUMNS).collect()]
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first().text
+    body = lambda k: " ".join(f"{w}{k}" if i % 3 == 0 else w for i, w in enumerate(rows[k][1].split()))
+    row = lambda doc_id, text, source="s": (doc_id, text, "en", source, 1)
+    lone, twice, other, leaked = body(3), body(4), body(5), body(6)
+    near = twice.split()
+    near[len(near) // 2] = "edited"
+    planted = [
+        row(None, lone), row(None, "12 34 !!"), row(7_000_001, twice), row(7_000_001, other), row(7_000_001, "56 78 ??"), row(None, None),
+        row(7_000_001, None), row(None, lone.upper()), row(None, " ".join(near)), row(7_000_001, leaked + " " + item), row(None, body(7) + " " + item),
+        row(7_000_002, body(8), "b"), row(7_000_002, body(8), "a"), row(7_000_002, body(8), None),
+    ]
+    base = spark.createDataFrame(rows[:3] + planted, docs.select(*corpus_pipeline.COLUMNS).schema)
+    kept, seen = base, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = corpus_pipeline.materialise(stage(spark, kept, sf), name)
+        seen[name] = sorted((r for r in map(tuple, kept.collect()) if r[0] is None or r[0] > 7_000_000), key=repr)
+    want = [p for p in planted if p[1] and any(c.isalpha() for c in p[1])]
+    assert seen["language_id"] == sorted(want, key=repr)
+    want = [p for p in want if p not in (row(None, lone), row(7_000_002, body(8), "b"), row(7_000_002, body(8), "a"))]
+    assert len(want) == 7 and seen["exact_dedup"] == sorted(want, key=repr)
+    want.remove(row(None, " ".join(near)))
+    assert seen["near_dedup"] == sorted(want, key=repr)
+    assert seen["decontaminate"] == sorted((p for p in want if item not in p[1]), key=repr)
