@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sarani.llm.agenda import sp_encode
 from sarani.llm.bpe import bpe_encode
 from sarani.llm.common import LOWER, UPPER
+from sarani.llm.conversations import damaged, repair_conversations
 from sarani.llm.decontaminate import find_leaks
 from sarani.llm.exact_dedup import exact_dedup
+from sarani.llm.hard_negatives import hard_negatives
 from sarani.llm.language import fit_languages, held_out, identify_language
 from sarani.llm.license_scan import scan_licenses
 from sarani.llm.line_dedup import remove_spread_lines
@@ -28,6 +31,12 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def piece_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 NORM = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 
 
@@ -164,3 +173,83 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_suffix_dedup")
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(table(spark, sf_dir, "documents"), with_text=False)
+
+
+@query("op11_hard_negatives", """
+WITH t AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS (
+  SELECT a.r, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM t a JOIN t b ON a.vec_id % 50 = 0 AND a.r <> b.r AND len(a.v) = len(b.v)),
+q AS (
+  SELECT r, anchor_id, id AS positive_id, score AS positive_score FROM p WHERE same
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, id) <= 5)
+SELECT q.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY q.r, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+  id AS negative_id, positive_score, score AS negative_score
+FROM q JOIN p ON p.r = q.r AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY q.r, positive_id ORDER BY score DESC, id) <= 3
+""")
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("id") % 50 == 0)
+
+
+@query("op12_sentencepiece")
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_encode(table(spark, sf_dir, "documents"), piece_vocabulary(), with_ids=False, check=True)
+
+
+@query("op13_conversation_repair", r"""
+WITH RECURSIVE b AS (
+  SELECT conv_id, turn, role, text, list_reduce(
+    list_prepend(4294967295, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT)),
+    lambda s, c: list_reduce([xor(s, c), 1, 2, 3, 4, 5, 6, 7, 8], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS h
+  FROM conversations),
+f AS (SELECT conv_id, turn, role, text, xor(h, 4294967295) % 20 AS fault FROM b),
+d AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+    CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS text,
+    unnest(CASE WHEN fault = 0 THEN [] WHEN fault = 3 THEN [1, 2] ELSE [1] END) AS copy FROM f),
+k AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+o AS (
+  SELECT c, turn, role, text, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS said FROM d JOIN k ON d.conv_id IS NOT DISTINCT FROM k.conv_id),
+m AS (
+  SELECT c, turn, role, text, i, left(role, 1) AS first, lag(left(role, 1)) OVER (PARTITION BY c ORDER BY i) AS before,
+    CASE WHEN said = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM o),
+inserts(a, s, cost, edits, made) AS (VALUES
+  (0, 0, 0, '', ''), (0, 2, 3, 'I', chr(10) || 'user:'), (0, 3, 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+  (1, 1, 0, '', ''), (1, 2, 3, 'I', chr(10) || 'user:'), (1, 3, 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+  (2, 2, 0, '', ''), (2, 3, 3, 'I', chr(10) || 'assistant:'), (3, 3, 0, '', ''), (3, 2, 3, 'I', chr(10) || 'user:')),
+moves(s, first, e, edit, role) AS (VALUES
+  (0, 's', 1, 'K', ''), (0, 'u', 2, 'K', ''), (1, 'u', 2, 'K', ''), (3, 'u', 2, 'K', ''), (2, 'a', 3, 'K', ''),
+  (0, '', 2, 'R', 'user'), (1, '', 2, 'R', 'user'), (3, '', 2, 'R', 'user'), (2, '', 3, 'R', 'assistant'),
+  (0, '', 0, 'D', ''), (1, '', 1, 'D', ''), (2, '', 2, 'D', ''), (3, '', 3, 'D', '')),
+w(c, i, a, way) AS (
+  SELECT c, 0::BIGINT, 0, {'cost': 0::BIGINT, 'audit': '', 'made': ''} FROM k
+  UNION ALL
+  SELECT w.c, m.i, v.e, min({
+    'cost': (way.cost + n.cost + CASE edit WHEN 'K' THEN 0 WHEN 'R' THEN 3 ELSE 4 END + CASE WHEN edit <> 'D' AND fault = 'truncated' THEN 3 ELSE 0 END)::BIGINT,
+    'audit': way.audit || n.edits || edit,
+    'made': way.made || n.made || CASE edit WHEN 'K' THEN chr(10) || m.role || ':' || text WHEN 'R' THEN chr(10) || v.role || ':' || text ELSE '' END})
+  FROM w JOIN m ON m.c = w.c AND m.i = w.i + 1 JOIN inserts n ON n.a = w.a
+  JOIN moves v ON v.s = n.s AND (edit = 'D' OR (fault NOT IN ('blank', 'duplicate') AND (edit = 'R' OR v.first = m.first)))
+  GROUP BY w.c, m.i, v.e),
+z AS (
+  SELECT w.c, min({'cost': way.cost + n.cost, 'audit': way.audit || n.edits, 'made': way.made || n.made}) AS way
+  FROM w JOIN inserts n ON n.a = w.a AND n.s IN (0, 3)
+  WHERE w.i = (SELECT coalesce(max(m.i), 0) FROM m WHERE m.c = w.c) GROUP BY w.c),
+g AS (
+  SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || first NOT IN ('su', 'ua', 'au')) AS illegal FROM m GROUP BY c)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(way.cost AS BIGINT) AS cost, way.audit AS audit, sha256(substr(way.made, 2)) AS repaired_sha256
+FROM k JOIN z USING (c) LEFT JOIN g USING (c)
+""")
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damaged(table(spark, sf_dir, "conversations")), times=F.col("times"))

@@ -173,7 +173,7 @@ def test_repeated_bytes_of_odd_rows(spark, empty):
 def test_corpus_order_is_the_order_of_bytes():
     rng = np.random.default_rng(3)
     parts = [bytes(rng.integers(97, 100, rng.integers(30, 200)).tolist()) for _ in range(5)]
-    texts = [b"".join(parts[k] for k in rng.integers(0, 5, 6))[int(rng.integers(0, 20)) :] for _ in range(40)]
+    texts = [b"".join(parts[k] for k in rng.integers(0, 5, 9))[int(rng.integers(0, 20)) :] for _ in range(40)]
     text, offset, dictionary, parse = corpus_order(texts)
     assert len(text) > 1000
     order = np.lexsort((parse, dictionary))
