@@ -10,13 +10,17 @@ Answers are `table_id, template_id, row_no, value`; numbers are text.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sarani.functions.languages import number_of
 from sarani.functions.splitjson import to_split_json
+from sarani.session import materialise
 
 KEYS = ["table_id", "template_id"]
 ROW_BLOCK = 10_000
+KEY_SALTS = 16
 
 
 def _scan(bound: DataFrame, rows: DataFrame | None) -> DataFrame:
@@ -45,7 +49,8 @@ def _lit(i: int) -> Column:
     return F.get(F.col("lits"), F.lit(i))
 
 
-def _text(c: Column) -> Column:
+def rounded(c: Column) -> Column:
+    """A number as text, to four places."""
     return F.round(c, 4).cast("string")
 
 
@@ -55,7 +60,7 @@ def _answer(value: Column, row_no: Column | None = None) -> list[Column]:
 
 
 def project_where(rows: DataFrame) -> DataFrame:
-    value = F.when(F.col("func") == "abs", _text(F.abs(number_of(_slot(0))))).otherwise(_slot(0))
+    value = F.when(F.col("func") == "abs", rounded(F.abs(number_of(_slot(0))))).otherwise(_slot(0))
     return rows.filter(_slot(1) == _lit(0)).select(*_answer(value, F.col("row_no")))
 
 
@@ -80,7 +85,7 @@ def numeric_agg(rows: DataFrame) -> DataFrame:
     )
     value = F.when(F.col("func") == "sum", F.col("sum")).when(F.col("func") == "min", F.col("min"))
     value = value.when(F.col("func") == "max", F.col("max")).otherwise(F.col("avg"))
-    return agg.select(*_answer(_text(value)))
+    return agg.select(*_answer(rounded(value)))
 
 
 def superlative(rows: DataFrame) -> DataFrame:
@@ -116,23 +121,30 @@ def difference(rows: DataFrame) -> DataFrame:
         F.max(F.when(first, n)).alias("a"), F.max(F.when(second, n)).alias("b"),
     )
     found = agg.filter((F.col("n1") <= 1) & (F.col("n2") <= 1))
-    return found.select(*_answer(_text(F.col("a") - F.col("b"))))
+    return found.select(*_answer(rounded(F.col("a") - F.col("b"))))
 
 
 def in_subquery(rows: DataFrame) -> DataFrame:
     """Rows whose value the inner query selects."""
-    return _selected(rows).filter("chosen").select(*_answer(F.col("value"), F.col("row_no")))
+    return _selected(rows, "left_semi")
 
 
 def not_in(rows: DataFrame) -> DataFrame:
     """Rows whose value the inner query does not select."""
-    return _selected(rows).filter("NOT chosen").select(*_answer(F.col("value"), F.col("row_no")))
+    return _selected(rows, "left_anti")
+
 
+def _selected(rows: DataFrame, how: str) -> DataFrame:
+    """Rows with a key that some row with the inner literal has, or that none has.
 
-def _selected(rows: DataFrame) -> DataFrame:
-    """`chosen`: some row with the same value holds the inner literal; one pass over the rows."""
-    cut = rows.select(*KEYS, "row_no", _slot(0).alias("value"), _slot(1).alias("key"), (_slot(2) == _lit(0)).alias("hit"))
-    return cut.withColumn("chosen", F.bool_or("hit").over(Window.partitionBy(*KEYS, "key"))).filter("key is not null")
+    The inner keys are made distinct before they are shuffled, and the outer rows of a key are
+    spread over `KEY_SALTS` tasks, so that a key with a third of a table's rows is no hot task.
+    """
+    salt = F.pmod("row_no", F.lit(KEY_SALTS))
+    inner = rows.filter(_slot(2) == _lit(0)).select(*KEYS, _slot(1).alias("key")).filter("key is not null").distinct()
+    inner = inner.select("*", F.explode(F.sequence(F.lit(0), F.lit(KEY_SALTS - 1))).alias("salt"))
+    outer = rows.select(*KEYS, "row_no", _slot(0).alias("value"), _slot(1).alias("key"), salt.cast("int").alias("salt")).filter("key is not null")
+    return outer.join(inner, [*KEYS, "key", "salt"], how).select(*_answer(F.col("value"), F.col("row_no")))
 
 
 def bool_where(rows: DataFrame) -> DataFrame:
@@ -143,17 +155,23 @@ def bool_where(rows: DataFrame) -> DataFrame:
 
 
 def lowest_k(rows: DataFrame, k: int = 3) -> DataFrame:
-    """Values of the rows with the `k` smallest numbers, in that order; earlier rows first."""
+    """Values of the rows with the `k` smallest numbers, in that order; earlier rows first.
+
+    Two steps: the first `k` of each block of rows, then of the blocks' firsts.
+    """
     cut = rows.select(*KEYS, "row_no", _slot(0).alias("value"), number_of(_slot(1)).alias("n"))
-    rank = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.col("n").asc_nulls_last(), "row_no"))
-    return cut.withColumn("rank", rank).filter(F.col("rank") <= k).select(*_answer(F.col("value"), F.col("rank") - 1))
+    cut = cut.withColumn("block", F.floor(F.col("row_no") / ROW_BLOCK))
+    for group in ([*KEYS, "block"], KEYS):
+        rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.col("n").asc_nulls_last(), "row_no"))
+        cut = cut.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return cut.select(*_answer(F.col("value"), F.col("rank") - 1))
 
 
 def group_agg(rows: DataFrame) -> DataFrame:
     """sum and count per value of a column."""
     group = F.when(F.col("func") == "sum", _slot(1)).otherwise(_slot(0))
     agg = rows.groupBy(*KEYS, "func", group.alias("group")).agg(F.count(F.lit(1)).alias("count"), F.sum(number_of(_slot(0))).alias("sum"))
-    value = F.when(F.col("func") == "sum", _text(F.col("sum"))).otherwise(F.col("count").cast("string"))
+    value = F.when(F.col("func") == "sum", rounded(F.col("sum"))).otherwise(F.col("count").cast("string"))
     return agg.select(*_answer(value))
 
 
@@ -165,7 +183,7 @@ def having(rows: DataFrame) -> DataFrame:
 
 def subtract(rows: DataFrame) -> DataFrame:
     """Difference of two numbers of a row."""
-    value = _text(number_of(_slot(0)) - number_of(_slot(1)))
+    value = rounded(number_of(_slot(0)) - number_of(_slot(1)))
     return rows.filter(_slot(2) == _lit(0)).select(*_answer(value, F.col("row_no")))
 
 
@@ -174,7 +192,7 @@ def set_operation(rows: DataFrame) -> DataFrame:
     agg = rows.groupBy(*KEYS, "func", _slot(0).alias("value")).agg(
         F.bool_or(_slot(1) == _lit(0)).alias("a"), F.bool_or(_slot(2) == _lit(1)).alias("b")
     )
-    a, b, func = F.col("a"), F.col("b"), F.col("func")
+    a, b, func = F.coalesce("a", F.lit(False)), F.coalesce("b", F.lit(False)), F.col("func")
     hit = F.when(func == "union", a | b).when(func == "intersect", a & b).otherwise(a & ~b)
     return agg.filter(hit).select(*_answer(F.col("value")))
 
@@ -196,12 +214,9 @@ def execute_family(bound: DataFrame, family: str, rows: DataFrame | None = None)
 def execute(bound: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """Answers of all families; give a written `bound`, it is read once per family.
 
-    A pair of a family that is not known ends the job; `unknown_families` gives such pairs.
+    A pair of a family that is not known has no answer; `unknown_families` gives such pairs.
     """
-    out = unknown_families(bound).select(*_answer(F.raise_error(F.col("reason")).cast("string")))
-    for family in FAMILIES:
-        out = out.unionByName(execute_family(bound, family, rows))
-    return out
+    return functools.reduce(DataFrame.unionByName, [execute_family(bound, family, rows) for family in FAMILIES])
 
 
 def unknown_families(bound: DataFrame) -> DataFrame:
@@ -220,23 +235,40 @@ def answer_column(sql: Column, family: Column) -> Column:
     """Header of the answer: the selected expression, a bare column without backticks."""
     whole = F.regexp_extract(sql, r"(?s)\Aselect (.*)\z", 1)
     head = F.when(family == "difference", whole).otherwise(F.regexp_extract(sql, r"(?s)\Aselect (.*?) from ", 1))
-    return F.when(head.rlike(r"\A`[^`]*`\z"), F.replace(head, F.lit("`"), F.lit(""))).otherwise(head)
+    bare = F.replace(F.regexp_extract(head, r"(?s)\A`(.*)`\z", 1), F.lit("``"), F.lit("`"))
+    return F.when(head.rlike(r"\A`([^`]|``)*`\z"), bare).otherwise(head)
+
+
+def answer_json(sql: Column, family: Column, answer_rows: Column) -> Column:
+    """An answer in order as split-JSON text."""
+    return to_split_json(F.array(answer_column(sql, family)), F.transform(answer_rows, lambda a: F.array(a["value"])))
 
 
-def assemble(samples: DataFrame, answers: DataFrame, table_name: str = "table_id") -> DataFrame:
+def answer_blocks(answers: DataFrame, rows_per_block: int = ROW_BLOCK) -> DataFrame:
+    """table_id, template_id, block, answer_rows: the answers of large tables in bounded records.
+
+    Rows of the table keep their order: a block holds those of `rows_per_block` row numbers.
+    Answers without row numbers (groups and distinct values) are dealt by value instead, as many
+    blocks as their count asks for.
+    """
+    answers = materialise(answers, "answers")  # read for the sizes and for the blocks
+    sizes = answers.groupBy(*KEYS).agg(F.max("row_no").alias("last"), F.count(F.lit(1)).alias("n"))
+    sized = answers.join(sizes, KEYS)
+    by_value = F.pmod(F.xxhash64("value"), F.ceil(F.col("n") / rows_per_block))
+    block = F.when(F.col("last") == 0, by_value).otherwise(F.floor(F.col("row_no") / rows_per_block))
+    grouped = sized.groupBy(*KEYS, block.cast("long").alias("block"))
+    return grouped.agg(F.array_sort(F.collect_list(F.struct("row_no", "value"))).alias("answer_rows"))
+
+
+def assemble(samples: DataFrame, answers: DataFrame, tables: DataFrame, table_name: str = "table_id") -> DataFrame:
     """Finished samples: SQL, answer, table name and the whole table in one record.
 
-    An answer has at most as many rows as its table, which the cell limit bounds.
+    `samples` are pairs with their SQL, of which only ids, texts and answers are moved; each table
+    is joined in once, by its id, after its answers have met. An answer has at most as many rows as its
+    table, which the cell limit bounds.
     """
-    grouped = answers.groupBy(*KEYS).agg(
-        F.array_sort(F.collect_list(F.struct("row_no", "value"))).alias("_a")
-    )
-    data = F.transform("_a", lambda a: F.array(a["value"]))
-    column = F.array(answer_column(F.col("sql"), F.col("family")))
-    return samples.join(grouped, KEYS).select(
-        *KEYS,
-        "sql",
-        to_split_json(column, data).alias("answer"),
-        F.col(table_name).alias("input_table_name"),
-        to_split_json(F.col("header"), F.col("rows")).alias("input_tables"),
-    )
+    grouped = answers.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("row_no", "value"))).alias("answer_rows"))
+    found = samples.select(*KEYS, "sql", "family").join(grouped, KEYS)
+    found = found.select(*KEYS, "sql", answer_json(F.col("sql"), F.col("family"), F.col("answer_rows")).alias("answer"))
+    whole = tables.select("table_id", F.col(table_name).alias("input_table_name"), to_split_json(F.col("header"), F.col("rows")).alias("input_tables"))
+    return found.join(whole, "table_id").select(*KEYS, "sql", "answer", "input_table_name", "input_tables")

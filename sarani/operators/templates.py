@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sarani.functions.once import compute_once
 from sarani.functions.text import hash_pick
-from sarani.operators.numbering import first_per_key
 from sarani.operators.tables import numeric_positions
 from sarani.session import is_small
 
@@ -113,6 +112,42 @@ def drop_id_templates(templates: DataFrame) -> DataFrame:
     return templates.filter(~F.contains(text, F.lit(" id ")))
 
 
+def compile_templates(templates: DataFrame) -> DataFrame:
+    """What the binding of a template needs, worked out once per template and not per pair.
+
+    `slots`: its distinct column names. `places`: per literal its token position and the slot
+    last seen before it (-1: none). `parts`: the pieces of its SQL text, each with the text in
+    front of it, blanks included, and the slot or literal it stands for; there are no blanks
+    from an aggregate's name to the next closing bracket.
+    """
+    tokens = F.col("tokens")
+    slots = F.array_distinct(F.transform(F.filter(tokens, _is_column), lambda t: t["value"]))
+    slot_of = lambda name: (F.array_position(F.col("slots"), name) - 1).cast("int")
+
+    def place(i):
+        seen = F.filter(F.slice(tokens, F.lit(1), i), _is_column)
+        last = F.try_element_at(seen, F.lit(-1))["value"]
+        return F.struct(i.alias("at"), F.coalesce(slot_of(last), F.lit(-1)).alias("slot"))
+
+    places = F.transform(F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: _is_literal(F.get(tokens, i))), place)
+
+    def step(state, t):
+        kind = F.when(t["value"] == "w", "table").when(t["kind"] == "Column", "column").when(_is_literal(t), "literal").otherwise("text")
+        lead = F.when(state["open"] | (F.size(state["out"]) == 0), F.lit("")).otherwise(F.lit(" "))
+        number = F.when(kind == "column", slot_of(t["value"])).when(kind == "literal", state["literals"]).otherwise(F.lit(-1))
+        part = F.struct(F.concat(lead, F.when(kind == "text", t["value"]).otherwise("")).alias("text"), kind.alias("kind"), number.cast("int").alias("number"))
+        is_open = F.when(state["open"], t["value"] != ")").otherwise((kind == "text") & t["value"].isin(*AGGREGATES))
+        return F.struct(
+            is_open.alias("open"), (state["literals"] + (kind == "literal").cast("int")).alias("literals"), F.concat(state["out"], F.array(part)).alias("out")
+        )
+
+    start = F.struct(
+        F.lit(False).alias("open"), F.lit(0).alias("literals"), F.array().cast("array<struct<text:string,kind:string,number:int>>").alias("out")
+    )
+    needs = F.exists(tokens, lambda t: _is_column(t) & is_numeric_slot(t["value"]))
+    return templates.withColumn("slots", slots).withColumn("places", places).withColumn("parts", F.aggregate(tokens, start, step)["out"]).withColumn("needs_number", needs)
+
+
 def pair(tables: DataFrame, templates: DataFrame, split: str | None = None) -> DataFrame:
     """Every table with every template of the split, or of all splits for None.
 
@@ -123,10 +158,9 @@ def pair(tables: DataFrame, templates: DataFrame, split: str | None = None) -> D
     if split is not None:
         wanted = "numeric" if split == "numeric" else "non_numeric"
         templates = templates.filter(F.col("split") == wanted)
-    needs = F.exists("tokens", lambda t: _is_column(t) & is_numeric_slot(t["value"]))
-    templates = templates.withColumn("needs_number", needs)
+    templates = compile_templates(templates)
     tables = compute_once(tables, numeric_cols=numeric_positions(F.col("header"), F.col("rows")))
-    fields = ["template_id", "family", "func", "tokens", "split", "needs_number"]
+    fields = ["template_id", "family", "func", "tokens", "split", "needs_number", "slots", "places", "parts"]
     has_number = F.size("numeric_cols") > 0
     if is_small(templates, ARRAY_TEMPLATES):
         array = templates.agg(
@@ -149,20 +183,19 @@ def bind_columns(pairs: DataFrame, seed: int = 42) -> DataFrame:
     Numeric slots take a numeric column, others any; pairs without a candidate go.
     The choice follows from seed, table, template and slot.
     """
-    slots = F.array_distinct(F.transform(F.filter("tokens", _is_column), lambda t: t["value"]))
+    chosen = slot_columns(F.struct("template_id", "slots"), F.col("table_id"), F.col("header"), F.col("numeric_cols"), seed)
+    return compute_once(pairs, slot_cols=chosen).filter(F.forall("slot_cols", lambda c: c.isNotNull()))
 
-    def choose(slot):
-        pick = lambda n: hash_pick(n, str(seed), F.col("table_id"), F.col("template_id").cast("string"), slot)
-        of_numbers = F.get(F.col("numeric_cols"), pick(F.size("numeric_cols")).cast("int"))
-        return F.when(is_numeric_slot(slot), of_numbers).otherwise(pick(F.size("header")).cast("int"))
 
-    bound = compute_once(compute_once(pairs, slots=slots), slot_cols=F.transform("slots", choose))
-    return bound.filter(F.forall("slot_cols", lambda c: c.isNotNull()))
+def slot_columns(t: Column, table_id: Column, header: Column, numeric_cols: Column, seed: int) -> Column:
+    """A column position per slot of a compiled template; null without a candidate."""
 
+    def choose(slot):
+        pick = lambda n: hash_pick(n, str(seed), table_id, t["template_id"].cast("string"), slot)
+        of_numbers = F.get(numeric_cols, pick(F.size(numeric_cols)).cast("int"))
+        return F.when(is_numeric_slot(slot), of_numbers).otherwise(pick(F.size(header)).cast("int"))
 
-def _slot_col(token: Column) -> Column:
-    """Table column of a column token."""
-    return F.get(F.col("slot_cols"), (F.array_position(F.col("slots"), token["value"]) - 1).cast("int"))
+    return F.transform(t["slots"], choose)
 
 
 def bind_literals(bound: DataFrame, seed: int = 42) -> DataFrame:
@@ -171,56 +204,36 @@ def bind_literals(bound: DataFrame, seed: int = 42) -> DataFrame:
     The row follows from seed, table, template and token position; pairs with a literal
     before any column, or with an empty table, go.
     """
-    tokens = F.col("tokens")
-    places = F.filter(
-        F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: _is_literal(F.get(tokens, i))
-    )
+    values = literal_values(F.struct("template_id", "places"), F.col("slot_cols"), F.col("table_id"), F.col("rows"), seed)
+    return compute_once(bound, lits=values).filter(F.forall("lits", lambda v: v.isNotNull()))
 
-    def value(i):
-        seen = F.filter(F.slice(tokens, F.lit(1), i), _is_column)
-        column = _slot_col(F.try_element_at(seen, F.lit(-1)))
-        row = hash_pick(
-            F.size("rows"), str(seed), F.col("table_id"), F.col("template_id").cast("string"), i.cast("string")
-        )
-        return F.get(F.get(F.col("rows"), row.cast("int")), column)
 
-    out = compute_once(bound, lits=F.transform(places, value))
-    return out.filter(F.forall("lits", lambda v: v.isNotNull()))
+def literal_values(t: Column, slot_cols: Column, table_id: Column, rows: Column, seed: int) -> Column:
+    """A cell per literal of a compiled template; null where there is none."""
+
+    def value(p):
+        row = hash_pick(F.size(rows), str(seed), table_id, t["template_id"].cast("string"), p["at"].cast("string"))
+        return F.get(F.get(rows, row.cast("int")), F.get(slot_cols, p["slot"]))
+
+    return F.transform(t["places"], value)
 
 
 def render_sql(bound: DataFrame, table_name: str = "table_id") -> DataFrame:
-    """`sql`: names in backticks, literals in double quotes (doubled inside), and no
+    """`sql`: names in backticks, literals in double quotes, both doubled inside, and no
     blanks from an aggregate's name to the next closing bracket."""
-    tokens = F.col("tokens")
-
-    def word(t, i):
-        literal = F.get(
-            F.col("lits"), F.size(F.filter(F.slice(tokens, F.lit(1), i + 1), _is_literal)) - 1
-        )
-        return (
-            F.when(t["value"] == "w", F.concat(F.lit("`"), F.col(table_name), F.lit("`")))
-            .when(t["kind"] == "Column",
-                  F.concat(F.lit("`"), F.get(F.col("header"), _slot_col(t)), F.lit("`")))
-            .when(_is_literal(t),
-                  F.concat(F.lit('"'), F.replace(literal, F.lit('"'), F.lit('""')), F.lit('"')))
-            .otherwise(t["value"])
-        )
+    return compute_once(bound, sql=sql_text(F.struct("parts"), F.col("slot_cols"), F.col("lits"), F.col("header"), F.col(table_name)))
 
-    def join(state, t):
-        plain = F.concat(state["text"], F.lit(" "), t)
-        return F.when(
-            state["open"],
-            F.struct(F.concat(state["text"], t).alias("text"), (t != ")").alias("open")),
-        ).otherwise(F.struct(plain.alias("text"), t.isin(*AGGREGATES).alias("open")))
 
-    start = F.struct(F.lit("").alias("text"), F.lit(False).alias("open"))
-    text = F.aggregate(F.transform(tokens, word), start, join)["text"]
-    return compute_once(bound, sql=F.regexp_replace(text, r"\A ", ""))
+def sql_text(t: Column, slot_cols: Column, lits: Column, header: Column, table_name: Column) -> Column:
+    """The SQL text of a compiled template with its columns and literals."""
+    quoted = lambda mark, c: F.concat(F.lit(mark), F.replace(c, F.lit(mark), F.lit(mark * 2)), F.lit(mark))
 
+    def piece(p):
+        name = F.when(p["kind"] == "table", table_name).otherwise(F.get(header, F.get(slot_cols, p["number"])))
+        own = F.when(p["kind"] == "text", F.lit("")).when(p["kind"] == "literal", quoted('"', F.get(lits, p["number"]))).otherwise(quoted("`", name))
+        return F.concat(p["text"], own)
 
-def distinct_sql(samples: DataFrame) -> DataFrame:
-    """One sample per table and SQL text: the one of the lowest template."""
-    return first_per_key(samples, ["table_id", "sql"], [F.col("template_id")])
+    return F.array_join(F.transform(t["parts"], piece), "")
 
 
 def bind(tables: DataFrame, templates: DataFrame, split: str | None = None, seed: int = 42) -> DataFrame:

@@ -216,3 +216,10 @@ FROM opened WHERE family = 'subtract' AND s3 = lits[1]""",
 }
 
 ANSWERS = OPENED + ",\nanswers AS (" + "\nUNION ALL".join(f"({s})" for s in FAMILY_SQL.values()) + ")"
+
+# The selected expression of a pair's SQL text, a bare column without backticks.
+ANSWER_HEADER = """CASE WHEN b.func = 'abs' OR b.family = 'count_where'
+      THEN REGEXP_EXTRACT(b.sql, '^select (.*?) from ', 1)
+      WHEN b.family = 'difference' THEN SUBSTR(b.sql, 8)
+      WHEN b.family IN ('count_distinct', 'numeric_agg', 'group_agg', 'subtract') THEN REGEXP_EXTRACT(b.sql, '^select (.*?) from ', 1)
+      ELSE b.header[1 + b.slot_cols[1]] END"""

@@ -6,16 +6,15 @@ from pyspark.sql import functions as F
 
 from sarani.functions.languages import translate_digits
 from sarani.functions.linear import linearise
-from sarani.functions.splitjson import from_split_json
 from sarani.operators.dataset import (
     INSTRUCTIONS, batches, concat_sets, demonstrations, few_shot_prompts, fit_length, qa_examples, restore_labels,
     shuffle_rank, stack_batches,
 )
-from sarani.operators.families import assemble, execute_family
-from sarani.plans.checks import CORPUS, FAMILY_SQL, OPENED
+from sarani.operators.families import answer_column
+from sarani.plans.checks import ANSWER_HEADER, ANSWERS, CORPUS
 from sarani.plans.registry import query
 from sarani.plans.rewriting import _TOKENS
-from sarani.plans.sample_job import bound_pairs
+from sarani.plans.sample_job import sample_records, with_tables
 from sarani.plans.sqltext import PART_SAMPLE_SQL, part_samples
 from sarani.sources.star import corpus_tables, load
 
@@ -43,23 +42,22 @@ def linearise_table(spark, d):
 
 
 @query("linearise_answers", f"""
-WITH {OPENED},
-counts AS ({FAMILY_SQL['count_where']})
+WITH {ANSWERS},
+firsts AS (SELECT table_id, MIN(template_id) AS template_id FROM bound GROUP BY table_id, sql),
+found AS (SELECT table_id, template_id, LIST(value ORDER BY row_no, value) AS vals FROM answers GROUP BY table_id, template_id)
 SELECT table_id, b.sql,
   {linear_sql('b.header', 'b.trows')} AS source,
-  '<কলাম> ' || REGEXP_EXTRACT(b.sql, '^select (.*?) from ', 1) || ' <রো ১> ' || TRANSLATE(value, {_BN}) AS target
-FROM bound b JOIN counts USING (table_id, template_id)""")
+  '<কলাম> ' || {ANSWER_HEADER} || ' ' || ARRAY_TO_STRING(LIST_TRANSFORM(vals,
+    LAMBDA v, i: '<রো ' || TRANSLATE(CAST(i AS VARCHAR), {_BN}) || '> ' || COALESCE(TRANSLATE(v, {_BN}), '')), ' ') AS target
+FROM bound b JOIN found USING (table_id, template_id) JOIN firsts USING (table_id, template_id)""")
 def linearise_answers(spark, d):
-    """Count questions over every table, answered, as linear Bengali text with Bengali digits."""
-    bound = bound_pairs(corpus_tables(spark, d), ("count_where",))
-    samples = assemble(bound, execute_family(bound, "count_where"))
-    table, answer = from_split_json(F.col("input_tables")), from_split_json(F.col("answer"))
-    data = F.transform(answer["data"], lambda r: F.transform(r, lambda v: translate_digits(v, "bn")))
-    return samples.select(
-        "table_id", "sql",
-        linearise(table["columns"], table["data"], "bn").alias("source"),
-        linearise(answer["columns"], data, "bn").alias("target"),
-    )
+    """All questions over every table, answered, as linear Bengali text with Bengali digits."""
+    tables = corpus_tables(spark, d)
+    found, whole = sample_records(tables)
+    data = F.transform("answer_rows", lambda r: F.array(translate_digits(r["value"], "bn")))
+    found = found.withColumn("target", linearise(F.array(answer_column(F.col("sql"), F.col("family"))), data, "bn"))
+    source = linearise(F.col("header"), F.col("rows"), "bn")
+    return with_tables(found, tables, whole, source=source).select("table_id", "sql", "source", "target")
 
 
 @query("qa_examples", f"""

@@ -39,8 +39,6 @@ def test_query_equals_its_check(spark, sf, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - {"incremental_convert", "incremental_convert_lexicon"}))
 def test_plans_are_native_and_free_of_cross_joins(spark, sf, name):
-    if name in {"build_samples", "build_corpus", "rel_scan"}:
-        pytest.skip("plans of their stages are covered")
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert ("Python" in plan or "ArrowEval" in plan) == (name in NATIVE_EXEMPT)
