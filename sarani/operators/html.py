@@ -33,17 +33,34 @@ def _first_group(c: Column, pattern: str, groups: int) -> Column:
     return F.concat(*[F.regexp_extract(c, pattern, g) for g in range(1, groups + 1)])
 
 
+def _levels(tags: Column) -> Column:
+    """How many tables are open after each tag: +1 for an opening tag, -1 for a closing one.
+
+    A closing tag without an open table counts nothing.
+    """
+    start = F.struct(F.lit(0).alias("open"), F.array().cast("array<int>").alias("levels"))
+
+    def step(state, tag):
+        return let(F.greatest(state["open"] + tag["step"], F.lit(0)), lambda n: F.struct(n.alias("open"), F.concat(state["levels"], F.array(n)).alias("levels")))
+
+    return F.aggregate(tags, start, step)["levels"]
+
+
 def select_tables(pages: DataFrame, classes: tuple[str, ...] = TABLE_CLASSES) -> DataFrame:
-    """The first table of each class per page: class_name, table_no and the table's html.
+    """The first table of each class per page: class_name, table_no and the table's own html.
 
-    Tables that hold another table, or are never closed, come with a `reason`.
+    Tables that stand inside another table are left out of its html, and can be selected
+    themselves. Tables that are never closed come with a `reason`.
     """
     clean = F.regexp_replace("html", _HIDDEN, " ")
-    parts = F.filter(F.split(clean, r"(?i)(?=<table[\s>])", -1), lambda p: p.rlike(r"(?i)\A<table[\s>]"))
-    classed = F.transform(
+    # Each part begins with a tag that opens or closes a table.
+    parts = F.filter(F.split(clean, r"(?i)(?=</?table[\s>])", -1), lambda p: p.rlike(r"(?i)\A</?table[\s>]"))
+    opens = lambda p: F.lower(F.substring(p, 1, 6)) == "<table"
+    tags = F.transform(
         parts,
         lambda p: F.struct(
-            F.trim(F.regexp_replace(_first_group(p, _CLASS, 3), r"\s+", " ")).alias("class_name"),
+            F.when(opens(p), F.trim(F.regexp_replace(_first_group(p, _CLASS, 3), r"\s+", " "))).alias("class_name"),
+            F.when(opens(p), 1).otherwise(-1).alias("step"),
             p.alias("part"),
         ),
     )
@@ -52,25 +69,27 @@ def select_tables(pages: DataFrame, classes: tuple[str, ...] = TABLE_CLASSES) ->
             F.struct(
                 F.lit(name).alias("class_name"),
                 F.lit(i).alias("table_no"),
-                F.try_element_at(
-                    F.filter(F.col("_parts"), lambda p: p["class_name"] == name), F.lit(1)
-                )["part"].alias("part"),
+                F.array_position(F.transform("_tags", lambda t: t["class_name"]), name).alias("at"),
             )
             for i, name in enumerate(classes)
         ]
     )
     keep = [c for c in pages.columns if c != "html"]
-    rows = (
-        compute_once(pages, _parts=classed)
-        .withColumn("_t", F.explode(F.filter(found, lambda t: t["part"].isNotNull())))
-        .select(*keep, "_t.class_name", "_t.table_no", "_t.part")
+    scanned = compute_once(compute_once(pages, _tags=tags), _levels=_levels(F.col("_tags")))
+    rows = scanned.withColumn("_t", F.explode(F.filter(found, lambda t: t["at"] > 0))).select(
+        *keep, "_t.class_name", "_t.table_no", "_tags", "_levels", F.col("_t.at").cast("int").alias("_at")
     )
-    closed = F.col("part").rlike(r"(?i)</table\s*>")
+    level = F.get("_levels", F.col("_at") - 1)
+    # The table ends at the first tag that leaves fewer tables open than it did.
+    ends = F.filter(F.sequence(F.col("_at"), F.size("_tags")), lambda j: (j > F.col("_at")) & (F.get("_levels", j - 1) < level))
+    rows = compute_once(rows, _end=F.get(ends, F.lit(0)))
+    own = F.filter(F.sequence(F.col("_at"), F.col("_end") - 1), lambda j: F.get("_levels", j - 1) == level)
+    text = F.transform(own, lambda j: F.regexp_replace(F.get("_tags", j - 1)["part"], r"(?i)\A</table\s*+>?", " "))
     return compute_once(
         rows,
-        table_html=F.regexp_extract("part", r"(?is)\A(.*?)</table\s*>", 1),
-        reason=F.when(~closed, F.lit("nested_or_open_table")),
-    ).drop("part")
+        table_html=F.coalesce(F.array_join(text, ""), F.lit("")),
+        reason=F.when(F.col("_end").isNull(), F.lit("open_table")),
+    ).drop("_tags", "_levels", "_at", "_end")
 
 
 def cell_text(c: Column) -> Column:

@@ -13,7 +13,7 @@ from sarani.operators.tables import (
 from sarani.plans.checks import CORPUS
 from sarani.plans.corpus_job import build_corpus, corpus_rejects, parsed_tables
 from sarani.plans.registry import query
-from sarani.sources.star import corpus_tables, html_pages, load, rows_to_tables
+from sarani.sources.star import corpus_tables, html_pages, load, nested_pages, rows_to_tables
 
 # What the pages of `html_pages` hold, stated without any HTML.
 _PAGES = """
@@ -50,6 +50,21 @@ def html_select_tables(spark, d):
     )
 
 
+@query("html_nested_tables", """
+WITH s AS (
+  SELECT c_custkey // 30 AS page_id, c_mktsegment AS segment, COUNT(*) AS n, STRING_AGG(c_custkey, ';' ORDER BY c_custkey) AS keys
+  FROM customer GROUP BY ALL)
+SELECT page_id, 'wikitable sortable' AS class_name, 'segment | keys | n' AS header,
+  STRING_AGG(segment || ' | see   below | ' || n, ';' ORDER BY segment) AS rows FROM s GROUP BY page_id
+UNION ALL
+SELECT page_id, 'wikitable collapsible', 'key', ARG_MIN(keys, segment) FROM s GROUP BY page_id""")
+def html_nested_tables(spark, d):
+    """Tables that hold tables: outer rows without the inner ones, and the first inner table of a class by itself."""
+    t = html.parse_tables(html.select_tables(nested_pages(spark, d))).filter("reason IS NULL")
+    rows = F.array_join(F.transform("rows", lambda r: F.array_join(r, " | ")), ";")
+    return t.select("page_id", "class_name", F.array_join("header", " | ").alias("header"), rows.alias("rows"))
+
+
 @query("html_header_flatten", f"""
 WITH {_PAGES} SELECT page_id, table_no, header FROM page_tables WHERE NOT (table_no = 2 AND page_id % 5 = 0)""")
 def html_header_flatten(spark, d):

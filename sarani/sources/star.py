@@ -64,8 +64,9 @@ def corpus_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows_to_tables(corpus_rows(spark, sf_dir))
 
 
-def _td(c: Column, attrs: str | Column = "") -> Column:
+def _td(c: Column | str, attrs: str | Column = "") -> Column:
     attrs = F.lit(attrs) if isinstance(attrs, str) else attrs
+    c = F.col(c) if isinstance(c, str) else c
     return F.concat(F.lit("<td"), attrs, F.lit(">"), c.cast("string"), F.lit("</td>"))
 
 
@@ -142,3 +143,24 @@ def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("http://example.org/en/"), number).alias("url"),
         html.alias("html"),
     )
+
+
+def nested_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose table holds a table in a cell of every row, one page per block of customers.
+
+    The outer table has a row per segment, with its number of customers; the cell between holds a
+    table of their keys, two levels deep for the first one.
+    """
+    c = load(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / PAGE_BLOCK).cast("bigint").alias("page_id"), "c_custkey", "c_mktsegment")
+    segment = c.groupBy("page_id", "c_mktsegment").agg(F.array_sort(F.collect_list("c_custkey")).alias("keys"))
+    rows = F.transform("keys", lambda k, i: F.concat(
+        F.lit("<tr>"), _td(F.concat(k.cast("string"), F.when(i == 0, F.lit("<table><tr><td>deep</td></tr></TABLE >")).otherwise(F.lit("")))), F.lit("</tr>")
+    ))
+    inner = F.concat(F.lit('<TABLE class="wikitable collapsible"><tr><th>key</th></tr>'), F.array_join(rows, ""), F.lit("</table>"))
+    outer = F.concat(F.lit("<tr>"), _td("c_mktsegment"), _td(F.concat(F.lit("see "), inner, F.lit(" below"))), _td(F.size("keys")), F.lit("</tr>"))
+    pages = segment.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("c_mktsegment", outer.alias("row")))).alias("s"))
+    html = F.concat(
+        F.lit('</table><table class="wikitable sortable"><tr><th>segment</th><th>keys</th><th>n</th></tr>'),
+        F.array_join(F.transform("s", lambda x: x["row"]), ""), F.lit("</table><p>end</p>"),
+    )
+    return pages.select("page_id", html.alias("html"))

@@ -1,3 +1,7 @@
+import random
+import re
+from html.parser import HTMLParser
+
 from pyspark.sql import functions as F
 
 from sarani.operators import html
@@ -51,7 +55,65 @@ def test_first_table_of_each_class(spark):
     got = {r.class_name: (r.table_html, r.reason) for r in html.select_tables(df).collect()}
     assert set(got) == {"wikitable sortable", "wikitable collapsed"}
     assert "first" in got["wikitable sortable"][0] and got["wikitable sortable"][1] is None
-    assert got["wikitable collapsed"][1] == "nested_or_open_table"
+    assert "in" not in html_text(got["wikitable collapsed"][0]) and got["wikitable collapsed"][1] is None
+
+
+def html_text(text):
+    return re.sub("<[^>]*>", "", text)
+
+
+class Reader(HTMLParser):
+    """Own text of every table by the parser of the standard library, and whether it was closed."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.tables, self.stack = [], []
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "table":
+            self.stack.append({"class": " ".join(dict(attrs).get("class", "").split()), "text": "", "closed": False})
+            self.tables.append(self.stack[-1])
+
+    def handle_endtag(self, tag):
+        if tag == "table" and self.stack:
+            self.stack.pop()["closed"] = True
+
+    def handle_data(self, data):
+        if self.stack:
+            self.stack[-1]["text"] += data
+
+
+def test_nested_tables_against_a_parser(spark):
+    """Random tables in tables, closed or not, stray closing tags, between texts."""
+    rng, pages = random.Random(5), []
+    for k in range(120):
+        page = ""
+        for i in range(rng.randrange(14)):
+            name = rng.choice([*html.TABLE_CLASSES, "plain", "wikitable  sortable"])
+            page += rng.choice([f'<table class="{name}">', f"<TABLE id=x class='{name}' >", "</table>", "</TABLE >", "</table\n>", f"<tr><td>c{k}x{i}</td></tr>", f"t{i}"])
+        pages.append((k, page))
+    df = spark.createDataFrame(pages, "page_id int, html string")
+    got = {(r.page_id, r.class_name): r for r in html.select_tables(df).collect()}
+    want = {}
+    for k, page in pages:
+        for t in Reader(page).tables:
+            if t["class"] in html.TABLE_CLASSES:
+                want.setdefault((k, t["class"]), t)
+    assert set(got) == set(want) and len(want) > 100
+    for key, t in want.items():
+        assert (got[key].reason is None) == t["closed"]
+        if t["closed"]:
+            assert html_text(got[key].table_html).split() == t["text"].split() or html_text(got[key].table_html).replace(" ", "") == t["text"].replace(" ", "")
+
+
+def test_rows_of_an_inner_table_stay_out(spark):
+    inner = "<table class='wikitable collapsed'><tr><th>k</th></tr><tr><td>x</td></tr></table>"
+    got = parse(spark, f"<tr><th>a</th><th>b</th></tr><tr><td>1</td><td>{inner}</td></tr><tr><td>2{inner} end</td><td>3</td></tr>")
+    assert (got.header, got.rows, got.ragged_rows) == (["a", "b"], [["1", ""], ["2  end", "3"]], 0)
+    page = f'<table class="wikitable sortable"><tr><td>{inner}</td></tr>'
+    rows = html.select_tables(spark.createDataFrame([(1, page), (2, None), (3, ""), (4, "</table>")], "page_id int, html string")).collect()
+    assert {(r.page_id, r.class_name, r.reason) for r in rows} == {(1, "wikitable sortable", "open_table"), (1, "wikitable collapsed", None)}
 
 
 def test_header_of_three_rows(spark):
