@@ -84,3 +84,19 @@ def parse_linearised(c: Column, lang: str) -> Column:
     # `struct` of empty lists where there is nothing to parse.
     empty = F.struct(none.alias("rows"), none.alias("columns"), none.alias("cells"))
     return F.when(F.contains(c, F.lit(" ")), let(pieces, parts)).otherwise(empty)
+
+
+def parse_by_language(c: Column, lang: Column) -> Column:
+    """`parse_linearised` in the language whose code the column holds."""
+    found = parse_linearised(c, "")
+    for code in ROW_MARKS:
+        found = F.when(lang == code, parse_linearised(c, code)).otherwise(found)
+    return found
+
+
+def linearise_by_language(header: Column, rows: Column, lang: Column) -> Column:
+    """`linearise` in the language whose code the column holds; null for others."""
+    found = F.lit(None).cast("string")
+    for code in ROW_MARKS:
+        found = F.when(lang == code, linearise(header, rows, code)).otherwise(found)
+    return found

@@ -6,47 +6,68 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
-from sarani.functions.linear import parse_linearised
+from sarani.functions.linear import parse_by_language, parse_linearised
 from sarani.functions.once import compute_once, let
 from sarani.functions.text import strip_text
 
+MERSENNE = (1 << 31) - 1  # a prime; hashes of the bootstrap stay below it
+
 PARTS = ("rows", "columns", "cells")
 
 # Words of a text for ROUGE.
 WORD_PATTERN = r"[\p{L}\p{M}\p{N}]+"
 
 
-def bag_overlap(df: DataFrame, keys: list[str], gold: str, pred: str) -> DataFrame:
-    """Per record the sizes of two lists and of their multiset intersection.
+def common_items(one: Column, other: Column) -> Column:
+    """Size of the multiset intersection of two lists, inside the record.
 
-    Records are shuffled once, by their keys; items are counted where their record is, and no
-    list is compared with another.
+    Both lists are sorted into one; a fold counts the run of each item on either side and adds
+    the smaller count when the next item begins.
     """
+    side = lambda c, n: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.struct(x.alias("item"), F.lit(n).alias("side")))
+    start = F.struct(
+        F.lit(None).cast("string").alias("item"), F.lit(0).alias("left"), F.lit(0).alias("right"), F.lit(0).cast("bigint").alias("common"),
+    )
 
-    def side(c, g, p):
-        return F.transform(
-            F.col(c), lambda x: F.struct(x.alias("item"), F.lit(g).alias("g"), F.lit(p).alias("p"))
+    def step(state, x):
+        same = x["item"].eqNullSafe(state["item"])
+        first = (x["side"] == 0).cast("int")
+        kept = lambda c: F.when(same, state[c]).otherwise(0)
+        return F.struct(
+            x["item"].alias("item"), (kept("left") + first).alias("left"), (kept("right") + 1 - first).alias("right"),
+            (state["common"] + F.when(same, F.lit(0)).otherwise(F.least(state["left"], state["right"]))).cast("bigint").alias("common"),
         )
 
-    items = df.repartition(*keys).select(*keys, F.inline_outer(F.concat(side(gold, 1, 0), side(pred, 0, 1))))
-    counts = items.groupBy(*keys, "item").agg(F.sum("g").alias("g"), F.sum("p").alias("p"))
-    return counts.groupBy(*keys).agg(
-        F.coalesce(F.sum("g"), F.lit(0)).alias("gold"),
-        F.coalesce(F.sum("p"), F.lit(0)).alias("predicted"),
-        F.coalesce(F.sum(F.least("g", "p")), F.lit(0)).alias("correct"),
-    )
+    merged = F.array_sort(F.concat(side(one, 0), side(other, 1)))
+    # Lists without a common item need no count.
+    folded = F.aggregate(merged, start, step, lambda e: (e["common"] + F.least(e["left"], e["right"])).cast("bigint"))
+    return F.when(F.coalesce(F.arrays_overlap(one, other), F.lit(True)), folded).otherwise(F.lit(0).cast("bigint"))
+
 
+def _length(c: Column) -> Column:
+    return F.coalesce(F.size(c), F.lit(0)).cast("bigint")
 
-def table_overlap(df: DataFrame, keys: list[str], lang: str, gold: str = "target", pred: str = "prediction",
+
+def bag_overlap(df: DataFrame, keys: list[str], gold: str, pred: str) -> DataFrame:
+    """Per record the sizes of two lists and of their multiset intersection; nothing is shuffled.
+
+    A null list is an empty one, null items are items. Rows that repeat a key stay rows.
+    """
+    sized = [_length(F.col(gold)).alias("gold"), _length(F.col(pred)).alias("predicted")]
+    return df.select(*keys, *sized, common_items(F.col(gold), F.col(pred)).alias("correct"))
+
+
+def table_overlap(df: DataFrame, keys: list[str], lang: str | Column, gold: str = "target", pred: str = "prediction",
                   parts: tuple[str, ...] = PARTS) -> DataFrame:
     """`bag_overlap` of rows, columns and cells of linear tables; one record per key and part.
 
-    Texts are compared in lower case, stripped.
+    Texts are compared in lower case, stripped. `lang` is one language, or a column of their codes.
     """
+    read = lambda c: parse_linearised(c, lang) if isinstance(lang, str) else parse_by_language(c, F.col("_lang"))
     parsed = compute_once(
-        df.select(*keys, F.lower(strip_text(F.col(gold))).alias("_gt"), F.lower(strip_text(F.col(pred))).alias("_pt")),
-        _g=parse_linearised(F.col("_gt"), lang),
-        _p=parse_linearised(F.col("_pt"), lang),
+        df.select(*keys, *([] if isinstance(lang, str) else [lang.alias("_lang")]), F.lower(strip_text(F.col(gold))).alias("_gt"), F.lower(strip_text(F.col(pred))).alias("_pt")),
+        _g=read(F.col("_gt")),
+        _p=read(F.col("_pt")),
     )
     lists = F.array(
         *[
@@ -85,37 +106,33 @@ def match_scores(df: DataFrame, pred: str, ref: str) -> DataFrame:
     return df.agg(share(F.lower(p) == F.lower(r)).alias("exact_match"), share(p == r).alias("accuracy"))
 
 
-def bootstrap_mean(
-    df: DataFrame, column: str, key: str, replicates: int = 1000, seed: int = 42, groups: int = 1024
-) -> DataFrame:
-    """Low, mid and high value of the bootstrap distribution of a mean.
+def _spread_bits(h: Column) -> Column:
+    """A number below 2^31 scrambled by products and shifts that any SQL engine repeats."""
+    for factor, shift in ((1103515245, 15), (1597334677, 13), (1181783497, 16)):
+        h = (h * F.lit(factor).cast("bigint")) % F.lit(MERSENNE).cast("bigint")
+        h = h.bitwiseXOR(F.shiftrightunsigned(h, shift))
+    return h
 
-    Records fall into `groups` random groups by their key; a replicate draws each group
-    0, 1, 2, ... times by Poisson(1). Its cost does not grow with the data: one pass
-    makes at most `groups` sums.
-    """
 
-    def uniform(*parts):
-        text = F.concat_ws("|", *parts)
-        return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+def bootstrap_mean(df: DataFrame, column: str, key: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """Low, mid and high value of the bootstrap distribution of a mean.
 
-    group = (uniform(F.lit(str(seed)), F.col(key).cast("string")) % groups).alias("g")
-    sums = df.groupBy(group).agg(
-        F.sum(F.col(column).cast("double")).alias("s"), F.count(column).alias("n")
-    )
-    # A fixed number of tasks shares the draws.
-    sums = sums.repartition(df.sparkSession.sparkContext.defaultParallelism, "g")
-    drawn = sums.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = uniform(F.lit(str(seed)), F.col("b").cast("string"), F.col("g").cast("string")) / F.lit(2.0**32)
-    weight = F.lit(0)
+    A replicate draws every record 0, 1, 2, ... times by Poisson(1). The draw follows from seed,
+    key and replicate, so it repeats after a lost task; records are expected to differ in their key.
+    The sums of a replicate are added up where the records are: each task sends one row per
+    replicate, however many records it has. Null values are left out.
+    """
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), 1, 8), 16, 10).cast("bigint") % MERSENNE
+    records = df.select(F.col(column).cast("double").alias("v"), number.alias("k")).where("v IS NOT NULL")
+    drawn = records.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    u = _spread_bits(_spread_bits(F.col("k")).bitwiseXOR(F.col("b").cast("bigint") * 2654435 % MERSENNE)) / F.lit(float(1 << 31))
+    drawn = drawn.select("b", "v", u.alias("u"))
     # Poisson(1) distribution function at 0, 1, 2, ...
-    for limit in POISSON_ONE:
-        weight = weight + (u >= limit).cast("int")
-    means = (
-        drawn.withColumn("w", weight)
-        .groupBy("b")
-        .agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("n"))).alias("m"))
-    )
+    weight = F.when(F.col("u") < POISSON_ONE[0], 0)
+    for n, limit in enumerate(POISSON_ONE[1:], 1):
+        weight = weight.when(F.col("u") < limit, n)
+    weighed = drawn.select("b", "v", weight.otherwise(len(POISSON_ONE)).alias("w"))
+    means = weighed.groupBy("b").agg(F.try_divide(F.sum(F.col("w") * F.col("v")), F.sum("w")).alias("m"))
     shares = F.percentile("m", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
     return means.agg(shares.alias("_q")).select(
         F.col("_q")[0].alias("low"), F.col("_q")[1].alias("mid"), F.col("_q")[2].alias("high")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sarani.functions.linear import linearise, parse_linearised
+from sarani.functions.linear import linearise, linearise_by_language, parse_linearised
+from sarani.functions.once import compute_once
 from sarani.operators.evaluate import (
-    POISSON_ONE, bootstrap_mean, exact_match, leaderboard, match_scores, micro_prf, rouge_l, rouge_lsum, rouge_n,
+    PARTS, bootstrap_mean, exact_match, leaderboard, match_scores, micro_prf, rouge_l, rouge_lsum, rouge_n,
     table_overlap,
 )
 from sarani.plans.checks import CORPUS
@@ -29,22 +30,23 @@ predictions AS (
 )"""
 
 
-def predictions(spark, d, lang):
-    """Linear gold and predicted tables of one language."""
+def predictions(spark, d, lang=None):
+    """Linear gold and predicted tables of one language, or of the two by turns."""
     k = F.regexp_extract("table_id", "[0-9]+$", 0).cast("bigint")
-    t = corpus_tables(spark, d).withColumn("k", k)
+    code = F.when(F.col("k") % 2 == 0, "bn").otherwise("hi") if lang is None else F.lit(lang)
+    t = corpus_tables(spark, d).withColumn("k", k).withColumn("lang", code)
     whole = (F.col("k") % 7 == 0) | (F.col("k") % 11 == 0)
     other = F.concat(F.array(F.lit("other")), F.slice("header", F.lit(2), F.size("header")))
     header = F.when((F.col("k") % 4 == 0) & ~whole, other).otherwise(F.col("header"))
     rows = F.when(whole, F.col("rows")).otherwise(
         F.filter("rows", lambda r, i: (i + 1 + F.col("k")) % 5 != 0)
     )
-    pred = linearise(header, rows, lang)
+    line = lambda h, r: linearise_by_language(h, r, F.col("lang")) if lang is None else linearise(h, r, lang)
+    t = compute_once(t, target=line(F.col("header"), F.col("rows")), _pred=line(header, rows))
     return t.select(
-        "table_id", "k", F.concat(F.lit("m"), (F.col("k") % 3).cast("string")).alias("model"), F.lit(lang).alias("lang"),
-        F.when(F.col("k") % 5 == 0, F.lit("test")).otherwise(F.lit("validation")).alias("split"),
-        linearise(F.col("header"), F.col("rows"), lang).alias("target"),
-        F.when(F.col("k") % 7 == 0, F.upper(pred)).otherwise(F.concat(pred, F.lit(" "))).alias("prediction"),
+        "table_id", "k", F.concat(F.lit("m"), (F.col("k") % 3).cast("string")).alias("model"), "lang",
+        F.when(F.col("k") % 5 == 0, F.lit("test")).otherwise(F.lit("validation")).alias("split"), "target",
+        F.when(F.col("k") % 7 == 0, F.upper("_pred")).otherwise(F.concat("_pred", F.lit(" "))).alias("prediction"),
     )
 
 
@@ -131,16 +133,25 @@ def em_ignore_case(spark, d):
     return match_scores(load(spark, d, "documents").withColumn("prediction", pred), "prediction", "text")
 
 
-_U = "CAST('0x' || SUBSTR(MD5('42|' || {x}), 1, 8) AS BIGINT)"
-_WEIGHT = " + ".join(f"CASE WHEN u >= {p!r} THEN 1 ELSE 0 END" for p in POISSON_ONE)
+def _spread_sql(h: str) -> str:
+    for factor, shift in ((1103515245, 15), (1597334677, 13), (1181783497, 16)):
+        h = f"(SELECT xor(q, q >> {shift}) FROM (SELECT ({h}) * {factor} % 2147483647 AS q))"
+    return h
+
+
+# Distribution function of Poisson(1) at 0, 1, 2, ...
+_POISSON = "(SELECT LIST(p ORDER BY n) FROM (SELECT n, ROUND(SUM(EXP(-1.0::DOUBLE) / GAMMA(n + 1.0::DOUBLE)) OVER (ORDER BY n), 12) AS p FROM RANGE(13) t(n)))"
 
 
 @query("bootstrap_mean", f"""
-WITH sums AS (
-  SELECT {_U.format(x='doc_id')} % 1024 AS g, SUM(CAST(quality AS DOUBLE)) AS s, COUNT(quality) AS n FROM labels GROUP BY 1),
-drawn AS (SELECT b, s, n, {_U.format(x="b || '|' || g")} / 4294967296.0::DOUBLE AS u FROM sums, RANGE(1, 1001) t(b)),
-weighted AS (SELECT b, s, n, {_WEIGHT} AS w FROM drawn),
-means AS (SELECT b, SUM(w * s) / SUM(w * n) AS m FROM weighted GROUP BY b)
+WITH records AS (
+  SELECT CAST(quality AS DOUBLE) AS v, CAST('0x' || SUBSTR(MD5('42|' || doc_id), 1, 8) AS BIGINT) % 2147483647 AS k
+  FROM labels WHERE quality IS NOT NULL),
+drawn AS (
+  SELECT b, v, {_spread_sql(f"xor({_spread_sql('k')}, CAST(b AS BIGINT) * 2654435 % 2147483647)")} / 2147483648.0::DOUBLE AS u
+  FROM records, RANGE(1, 1001) t(b)),
+weighted AS (SELECT b, v, LEN(LIST_FILTER({_POISSON}, LAMBDA p: u >= p)) AS w FROM drawn),
+means AS (SELECT b, SUM(w * v) / SUM(w) AS m FROM weighted GROUP BY b)
 SELECT ROUND(QUANTILE_CONT(m, 0.025), 6) AS low, ROUND(QUANTILE_CONT(m, 0.5), 6) AS mid, ROUND(QUANTILE_CONT(m, 0.975), 6) AS high
 FROM means""")
 def bootstrap_mean_query(spark, d):
@@ -235,16 +246,14 @@ scores AS (
   FROM predictions GROUP BY ALL)
 SELECT model, {_PIVOT} FROM scores GROUP BY model""")
 def leaderboard_pivot(spark, d):
+    """Both languages and all scores from one pass over the predictions."""
     keys = ["model", "lang", "split"]
-    parts = []
-    for lang, rest in (("bn", 0), ("hi", 1)):
-        p = predictions(spark, d, lang).filter(F.col("k") % 2 == rest)
-        f1 = micro_prf(table_overlap(p, [*keys, "table_id"], lang), [*keys, "part"])
-        parts.append(f1.select(*keys, "part", F.col("f1").alias("score")))
-        em = p.groupBy(*keys).agg(F.avg(exact_match(F.col("prediction"), F.col("target"))).alias("score"))
-        parts.append(em.select(*keys, F.lit("table").alias("part"), "score"))
-    scores = parts[0]
-    for other in parts[1:]:
-        scores = scores.unionByName(other)
+    p = predictions(spark, d)
+    em = exact_match(F.col("prediction"), F.col("target"))
+    overlap = table_overlap(p.withColumn("em", em), [*keys, "table_id", "em"], F.col("lang"))
+    sums = micro_prf(overlap, [*keys, "part"]).select(*keys, "part", F.col("f1").alias("score"))
+    # Every table has a row per part; the match is counted with one of them.
+    match = overlap.where(F.col("part") == PARTS[0]).groupBy(*keys).agg(F.avg("em").alias("score"))
+    scores = sums.unionByName(match.select(*keys, F.lit("table").alias("part"), "score"))
     cell = F.concat_ws("_", "lang", "split", "part").alias("cell")
     return leaderboard(scores.select("model", cell, "score"), LEADERBOARD)

@@ -21,6 +21,14 @@ def test_bag_overlap_equals_counters(spark):
         assert got[i] == (len(g), len(p), sum((Counter(g) & Counter(p)).values()))
 
 
+def test_bag_overlap_of_nulls_and_files(spark, tmp_path):
+    lists(spark, [(None, ["a"]), (["a", None, None], ["a", None]), (["b"] * 300, ["b"] * 200 + ["c"]), ([], None)]).write.parquet(str(tmp_path / "lists"))
+    read = spark.read.parquet(str(tmp_path / "lists"))
+    overlap = ev.bag_overlap(read, ["id"], "gold", "pred")
+    assert sorted(map(tuple, overlap.collect())) == [(0, 0, 1, 0), (1, 3, 2, 2), (2, 300, 201, 200), (3, 0, 0, 0)]
+    assert "Exchange" not in overlap._jdf.queryExecution().executedPlan().toString()
+
+
 def test_micro_prf(spark):
     df = spark.createDataFrame([("a", 4, 2, 1), ("a", 2, 2, 1), ("b", 0, 0, 0)], "k string, gold int, predicted int, correct int")
     got = {r.k: r for r in ev.micro_prf(df, ["k"]).collect()}
@@ -42,6 +50,35 @@ def test_bootstrap_lies_around_the_mean(spark):
     assert 2.5 * spread < high - low < 5.5 * spread
 
 
+def test_bootstrap_equals_a_plain_loop(spark):
+    """Record by record, replicate by replicate, with a null value, on fewer replicates."""
+    import hashlib
+    import statistics
+
+    def spread(h):
+        for factor, shift in ((1103515245, 15), (1597334677, 13), (1181783497, 16)):
+            h = h * factor % (2**31 - 1)
+            h ^= h >> shift
+        return h
+
+    rng, means = random.Random(1), []
+    values = {i: None if i == 7 else rng.random() for i in range(300)}
+    for b in range(1, 201):
+        total = weights = 0
+        for i, v in values.items():
+            if v is not None:
+                k = int(hashlib.md5(f"42|{i}".encode()).hexdigest()[:8], 16) % (2**31 - 1)
+                u = spread(spread(k) ^ (b * 2654435 % (2**31 - 1))) / 2**31
+                w = sum(u >= p for p in ev.POISSON_ONE)
+                total, weights = total + w * v, weights + w
+        means.append(total / weights)
+    df = spark.createDataFrame(list(values.items()), "id long, v double")
+    low, mid, high = ev.bootstrap_mean(df, "v", "id", 200).first()
+    assert abs(mid - statistics.median(means)) < 1e-9 and min(means) < low < mid < high < max(means)
+    true = statistics.stdev([v for v in values.values() if v is not None]) / 299**0.5
+    assert 0.85 * true < statistics.stdev(means) < 1.15 * true
+
+
 def lcs_table(a, b):
     t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a, 1):
