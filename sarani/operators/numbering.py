@@ -2,68 +2,13 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from pyspark.sql import DataFrame, Window, functions as F
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from sarani.session import is_small, materialise
 
 # Rows one sort task is asked to number.
 ROWS_PER_BUCKET = 200_000
-MAX_BUCKETS = 4096
-NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
-TIE_BYTES = 7
-
-
-def _bucket(order: Column, kind: str, splits: list) -> Column:
-    """How many split points lie below `order`: a binary search in an array constant."""
-    if not splits:
-        return F.lit(0)
-    steps = [1 << i for i in reversed(range(len(splits).bit_length()))]
-    # As text and a cast, which Spark folds to one constant, however many points there are.
-    points = F.split(F.lit(",".join(map(str, splits))), ",").cast(f"array<{kind}>")
-    # Beyond the last point `get` gives null, and the search stays where it is.
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda at, step: F.when(F.get(points, at + step - 1) < order, at + step).otherwise(at),
-    )
-
-
-def _quantiles(df: DataFrame, order: str, buckets: int) -> list:
-    if buckets <= 1:
-        return []
-    shares = [i / buckets for i in range(1, buckets)]
-    return df.select(F.percentile_approx(order, shares, 4 * MAX_BUCKETS)).first()[0] or []
-
-
-def _tie_number(tie: str, kind: str) -> tuple[Column, str]:
-    """A number that rises with the tie-break: itself, or the first bytes of a text."""
-    if kind.startswith(NUMERIC):
-        return F.col(tie), kind
-    first = F.rpad(F.hex(F.substring(F.col(tie).cast("string").cast("binary"), 1, TIE_BYTES)), 2 * TIE_BYTES, "0")
-    return F.conv(first, 16, 10).cast("bigint"), "bigint"
-
-
-def _ranges(df: DataFrame, order: str, tie: str | None, rows_per_bucket: int) -> tuple[Column, Column] | None:
-    """Range number of each row, and a second number inside values that fill whole ranges.
-
-    None when one range holds everything. One pass over the order column alone; at most
-    MAX_BUCKETS numbers reach the driver.
-    """
-    buckets = min(MAX_BUCKETS, -(-df.count() // rows_per_bucket))
-    found = _quantiles(df, order, buckets)
-    if not found:
-        return None
-    splits = sorted(set(found))
-    kinds = dict(df.dtypes)
-    heavy = [v for v, n in Counter(found).items() if n > 1]
-    inner = F.lit(0)
-    if heavy and tie:
-        # The cuts of the ties come from the rows with a heavy value alone.
-        value, kind = _tie_number(tie, kinds[tie])
-        among = df.filter(F.col(order).isin(heavy)).select(value.alias("_tie"))
-        ties = sorted(set(_quantiles(among, "_tie", min(MAX_BUCKETS, -(-among.count() // rows_per_bucket)))))
-        inner = F.when(F.col(order).isin(heavy), 1 + _bucket(value, kind, ties)).otherwise(0)
-    return _bucket(F.col(order), kinds[order], splits), inner
+_PLACE_BITS = 33  # of monotonically_increasing_id: the row's place in its partition
 
 
 def number_within(
@@ -75,48 +20,43 @@ def number_within(
     rows_per_bucket: int = ROWS_PER_BUCKET,
     ties: tuple[str, ...] = (),
 ) -> DataFrame:
-    """0-based number of each row within `keys`, by the numeric column `order`, then `ties`.
+    """0-based number of each row within `keys`, by `order`, then `ties`.
 
-    The data is cut into ranges of `order`, so a key with a third of all rows (or no
-    key at all) is numbered by many tasks: rows are numbered inside a range, and the
-    sizes of the ranges before it are added. A single value of `order` that fills more
-    than one range is cut again by the first of `ties`, a number or a text.
+    More than `rows_per_bucket` rows are cut into ranges of (keys, order, ties), as many as their
+    number asks for, so a key with a third of all rows (or no key at all), or a single value
+    of `order`, is numbered by many tasks. The sorted ranges are written with each row's place;
+    a row's number is its place in the key's part of the range, and the sizes of the key's
+    parts in the ranges before. Rows that agree in all of these are ordered by a hash of the row.
     With `total`, the group size is added.
     """
-    kind = dict(df.dtypes)[order]
-    if not kind.startswith(NUMERIC):
-        raise ValueError(f"{order} is not a number: {kind}")
     group = keys or [F.lit(0)]
-    ranges = _ranges(df, order, ties[0] if ties else None, rows_per_bucket)
-    if ranges is None:
-        # At most `rows_per_bucket` rows in all.
+    rows = df.count()
+    if rows <= rows_per_bucket:
         number = F.row_number().over(Window.partitionBy(*group).orderBy(order, *ties)) - 1
         out = df.withColumn(name, number.cast("bigint"))
         return out.withColumn(total, F.count(F.lit(1)).over(Window.partitionBy(*group))) if total else out
-    outer, inner = ranges
-    cut = ["_outer", "_inner"]
-    ranged = df.withColumn("_outer", outer).withColumn("_inner", inner)
-    inside = Window.partitionBy(*keys, *cut).orderBy(order, *ties)
-    work = ranged.withColumn("_inside", F.row_number().over(inside) - 1)
+    hashed = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    by = [*keys, order, *ties, F.xxhash64(*hashed)]
+    ranged = df.repartitionByRange(-(-rows // rows_per_bucket), *by).sortWithinPartitions(*by)
+    ranged = materialise(ranged.withColumn("_place", F.monotonically_increasing_id()), "ranges")
+    ranged = ranged.withColumn("_range", F.shiftright("_place", _PLACE_BITS))
 
     # One row per key and range.
-    sizes = ranged.groupBy(*keys, *cut).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy(*cut).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = sizes.select(
-        *keys,
-        *cut,
-        (F.sum("_n").over(before) - F.col("_n")).alias("_before"),
+    parts = ranged.groupBy(*keys, "_range").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = materialise(parts.select(
+        *keys, "_range", (F.sum("_n").over(before) - F.col("_n") - F.col("_first")).alias("_offset"),
         F.sum("_n").over(Window.partitionBy(*group)).alias("_total"),
-    )
-    same = (F.col("l._outer") == F.col("r._outer")) & (F.col("l._inner") == F.col("r._inner"))
+    ), "offsets")
+    same = F.col("l._range") == F.col("r._range")
     for k in keys:
         same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
-    joined = work.alias("l").join(offsets.alias("r"), same)
+    right = (F.broadcast(offsets) if is_small(offsets) else offsets).alias("r")
     out = [F.col(f"l.{c}").alias(c) for c in df.columns]
-    out.append((F.col("l._inside") + F.col("r._before")).cast("bigint").alias(name))
+    out.append((F.col("l._place") + F.col("r._offset")).cast("bigint").alias(name))
     if total:
         out.append(F.col("r._total").cast("bigint").alias(total))
-    return joined.select(*out)
+    return ranged.alias("l").join(right, same).select(*out)
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:

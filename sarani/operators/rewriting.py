@@ -10,8 +10,9 @@ from sarani.functions.languages import (
 from sarani.functions.once import let
 from sarani.functions.splitjson import from_split_json
 from sarani.functions.text import split_words
+from sarani.operators.lookup import RecordTable, fits_record, look_up
 from sarani.operators.numbering import number_within
-from sarani.session import is_small
+from sarani.session import BROADCAST_ROWS
 
 # What a number token looks like (two digits at least, signs between, before
 # and after them), and a table name with its counter. No part gives characters back, so
@@ -21,10 +22,6 @@ NUMBER_TOKEN = (
 )
 TABLE_TOKEN = r"""\A.*_[0-9]*["'`]*\z"""
 
-# Most entries a word lexicon may have to travel inside the expression.
-INLINE_WORDS = 256
-LEXICON_SALTS = 16
-
 
 def translate_keywords(c: Column, lang: str, word_bounded: bool = False) -> Column:
     """SQL keywords replaced by their translation, longest first, case as listed.
@@ -91,40 +88,30 @@ def _around(word: Column, core: Column, target: Column) -> Column:
     return F.concat(F.substring(word, F.lit(1), at - 1), target, F.substring(word, at + F.length(core), F.length(word)))
 
 
-def translate_word_list(words: Column, lexicon: dict[str, str], lang: str) -> Column:
-    """Words not in the language's script by a small lexicon, inside the expression."""
-    if len(lexicon) > INLINE_WORDS:
-        raise ValueError("too many words for an expression; use translate_words")
-    if not lexicon:
-        return words
-    table = F.create_map(*[F.lit(x) for kv in lexicon.items() for x in kv])
-
-    def one(w, core, found):
-        return F.when(found.isNotNull() & ~in_script(w, lang), _around(w, core, found)).otherwise(w)
-
-    return F.transform(
-        words,
-        lambda w: let(_core(w), lambda core: let(F.try_element_at(table, core), lambda found: one(w, core, found))),
-    )
-
-
 def translate_words(
-    df: DataFrame, lexicon: DataFrame, lang: str, columns: dict[str, Column], key: str, partitioned: bool = False
+    df: DataFrame, lexicon: DataFrame, lang: str, columns: dict[str, Column], key: str, most_broadcast: int = BROADCAST_ROWS
 ) -> DataFrame:
     """New text columns from word lists, by a lexicon of any size (source, target).
 
     Words not in the script are looked up without the signs around them and kept when
-    there is no entry. The lexicon is broadcast when its size allows; otherwise words are
-    spread by record, so frequent words do not pile up.
+    there is no entry. A record whose words are null has a null text.
 
-    A record whose words are null has a null text. A `key` of two records ends the job.
-    The records are shuffled once, by their unique `key` (not at all when they are
-    `partitioned` by it): each record's words are then grouped where they are. Its other
-    columns travel with one extra entry of the list, not with every word.
+    A lexicon of some thousand words is searched inside each record, and nothing is shuffled. For
+    a larger one the records are shuffled once, by their unique `key`, their words are looked up
+    by `look_up` and grouped where they are; a `key` of two records then ends the job. Other
+    columns travel with one extra entry of the list, not with every word. No lexicon of more than
+    `most_broadcast` words goes to every task.
     """
     lexicon = lexicon.groupBy("source").agg(F.min("target").alias("target"))
-    if not partitioned:
-        df = df.repartition(key)
+    if fits_record(lexicon, most_broadcast):
+        table = RecordTable(lexicon)
+
+        def one(w):
+            new = lambda core, found: F.when(found.isNotNull() & ~in_script(w, lang), _around(w, core, found)).otherwise(w)
+            return let(_core(w), lambda core: let(table.find(core), lambda found: new(core, found)))
+
+        return df.withColumns({name: F.array_join(F.transform(words, one), " ") for name, words in columns.items()})
+    df = df.repartition(key)
     missing = F.array(*[words.isNull() for words in columns.values()]).alias("_missing")
     rest = F.struct(*[c for c in df.columns if c != key], missing)
 
@@ -137,12 +124,7 @@ def translate_words(
         listed = F.coalesce(words, F.array().cast("array<string>"))
         lists.append(F.transform(listed, lambda w, i: entry(F.lit(n), i, w, nothing)))
     words = df.select(key, F.inline(F.concat(*lists))).withColumn("source", _core(F.col("word")))
-    if is_small(lexicon):
-        found = words.join(F.broadcast(lexicon), "source", "left")
-    else:
-        words = words.withColumn("_salt", F.pmod(F.hash(key), F.lit(LEXICON_SALTS)))
-        salted = lexicon.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(LEXICON_SALTS - 1))))
-        found = words.join(salted, ["source", "_salt"], "left")
+    found = look_up(words, lexicon, most_broadcast)
     use = F.col("target").isNotNull() & ~in_script(F.col("word"), lang)
     out = F.when(use, _around(F.col("word"), F.col("source"), F.col("target"))).otherwise(F.col("word"))
     grouped = (
@@ -213,23 +195,10 @@ def _word_lists(lang: str) -> dict[str, Column]:
     }
 
 
-def convert_stream(df: DataFrame, lang: str, lexicon: dict[str, str]) -> DataFrame:
-    """Samples converted record by record, with a small word lexicon; fits a stream."""
-    out = _prepared(df, lang)
-    for name, words in _word_lists(lang).items():
-        out = out.withColumn(name, F.array_join(translate_word_list(words, lexicon, lang), " "))
-    return (
-        out.withColumn("language", F.lit(language_of(lang)))
-        .withColumn("translated_answer", translate_answer(F.col("answer"), lang))
-        .drop("_text")
-    )
-
-
 def convert_records(df: DataFrame, lang: str, lexicon: DataFrame, key: str) -> DataFrame:
     """Samples with language, indic_sql, sql_without_table_name and translated_answer, by a
     word lexicon of any size; `key` is unique."""
-    prepared = _prepared(df.repartition(key), lang)
-    out = translate_words(prepared, lexicon, lang, _word_lists(lang), key, partitioned=True)
+    out = translate_words(_prepared(df, lang), lexicon, lang, _word_lists(lang), key)
     return (
         out.withColumn("language", F.lit(language_of(lang)))
         .withColumn("translated_answer", translate_answer(F.col("answer"), lang))
@@ -237,11 +206,11 @@ def convert_records(df: DataFrame, lang: str, lexicon: DataFrame, key: str) -> D
     )
 
 
-def convert_samples(df: DataFrame, lang: str, lexicon: DataFrame, order: str) -> DataFrame:
+def convert_samples(df: DataFrame, lang: str, lexicon: DataFrame, order: str, first: int = 0) -> DataFrame:
     """`convert_records` with an index.
 
-    `order` is a unique number; `index` counts the samples in that order from 0.
+    `order` is a unique number; `index` counts the samples in that order from `first`.
     """
     out = convert_records(df, lang, lexicon, order)
-    index = number_within(df.select(order), [], order, "index")
+    index = number_within(df.select(order), [], order, "index").withColumn("index", F.col("index") + first)
     return out.join(index, order)

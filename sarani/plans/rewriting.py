@@ -52,19 +52,30 @@ def _keyword_values(lang: str) -> str:
     return ", ".join(f"('{k}', {i})" for i, k in enumerate(every))
 
 
+_ORDERED = "\nUNION ALL ".join(
+    f"SELECT '{lang}' AS lang, k, ROW_NUMBER() OVER (ORDER BY LENGTH(k) DESC, pos) - 1 AS rank FROM (VALUES {_keyword_values(lang)}) t(k, pos)"
+    for lang in KEYWORDS
+)
+
+
 @query("lexicon_order", f"""
 WITH {PART_SAMPLE_SQL},
-words AS (SELECT k, ROW_NUMBER() OVER (ORDER BY LENGTH(k) DESC, pos) - 1 AS rank
-          FROM (VALUES {_keyword_values('as')}) t(k, pos))
-SELECT sample_id, STRING_AGG(k, ',' ORDER BY rank) AS found, CAST(MIN(rank) AS INTEGER) AS first_rank
-FROM samples JOIN words ON CONTAINS(sql, k) GROUP BY sample_id""")
+words AS ({_ORDERED})
+SELECT sample_id, lang, STRING_AGG(k, ',' ORDER BY rank) AS found, CAST(MIN(rank) AS INTEGER) AS first_rank
+FROM samples JOIN words ON CONTAINS(sql, k) GROUP BY sample_id, lang""")
 def lexicon_order(spark, d):
-    entries = F.array(
-        *[F.struct(F.lit(i).alias("rank"), F.lit(k).alias("k")) for i, (k, _) in enumerate(lexicon_entries("as"))]
-    )
-    s = part_samples(spark, d).withColumn("_f", F.filter(entries, lambda e: F.contains("sql", e["k"])))
+    """The keywords of every language that a sample holds, in the order they are tried."""
+    entries = F.array(*[
+        F.struct(
+            F.lit(lang).alias("lang"),
+            F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(k).alias("k")) for i, (k, _) in enumerate(lexicon_entries(lang))]).alias("words"),
+        )
+        for lang in KEYWORDS
+    ])
+    s = part_samples(spark, d).select("sample_id", "sql", F.inline(entries))
+    s = s.withColumn("_f", F.filter("words", lambda e: F.contains("sql", e["k"]))).where(F.size("_f") > 0)
     return s.select(
-        "sample_id", F.array_join(F.transform("_f", lambda e: e["k"]), ",").alias("found"),
+        "sample_id", "lang", F.array_join(F.transform("_f", lambda e: e["k"]), ",").alias("found"),
         F.col("_f")[0]["rank"].alias("first_rank"),
     )
 
@@ -197,6 +208,24 @@ def translate_words_query(spark, d):
     return translate_words(docs, lexicon(spark, d), "bn", words, "doc_id").select("doc_id", "indic")
 
 
+@query("translate_words_skewed", rf"""
+WITH {_LEXICON_SQL},
+given AS (SELECT doc_id, LIST_TRANSFORM({_TOKENS.replace('(t,', '(text,')}, LAMBDA w, i: CASE WHEN i % 3 = 1 THEN '(the)' ELSE w END) AS ws FROM documents),
+tokens AS (SELECT doc_id, UNNEST(ws) AS w, UNNEST(RANGE(LEN(ws))) AS pos FROM given),
+cored AS (SELECT *, {_CORE} AS core, {_HEAD} AS head FROM tokens),
+words AS (
+  SELECT doc_id, pos, CASE WHEN target IS NULL OR REGEXP_FULL_MATCH(w, '{_SCRIPT}') THEN w
+         ELSE head || target || SUBSTR(w, LENGTH(head) + LENGTH(core) + 1) END AS o
+  FROM cored LEFT JOIN lexicon ON source = core)
+SELECT d.doc_id, COALESCE(STRING_AGG(o, ' ' ORDER BY pos), '') AS indic
+FROM documents d LEFT JOIN words USING (doc_id) GROUP BY d.doc_id""")
+def translate_words_skewed(spark, d):
+    """A third of all words are one word; the lexicon is looked up as one too large to broadcast."""
+    docs = load(spark, d, "documents").select("doc_id", "text")
+    words = F.transform(split_words(F.col("text")), lambda w, i: F.when(i % 3 == 0, "(the)").otherwise(w))
+    return translate_words(docs, lexicon(spark, d), "bn", {"indic": words}, "doc_id", most_broadcast=0).select("doc_id", "indic")
+
+
 @query("translate_words_nulls", rf"""
 WITH {_LEXICON_SQL},
 given AS (SELECT turn + 1000 * conv_id AS id, CASE WHEN turn % 3 = 0 THEN NULL ELSE text END AS text FROM conversations),

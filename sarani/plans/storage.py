@@ -17,7 +17,7 @@ from sarani.sources.corpus import (
 )
 from sarani.sources.pages import read_pages
 from sarani.sources.star import corpus_tables, load
-from sarani.streaming.incremental import read_sample_stream, resume_convert, resume_convert_by_table
+from sarani.streaming.incremental import read_converted, read_sample_stream, resume_convert
 
 
 @query("scan_pages", """
@@ -138,7 +138,7 @@ def event_samples(spark, d):
 _CONVERTED = f"""
 WITH {_EVENT_SQL},
 kinds AS (SELECT *, {keywords_check("REGEXP_EXTRACT(sql, 'kind = \"([^\"]*)\"', 1)", 'bn')} AS kind FROM events_sql)
-SELECT event_id,
+SELECT event_id, ROW_NUMBER() OVER (ORDER BY event_id % 2, event_id) - 1 AS index,
   'নির্বাচন করুন মান থেকে `ঘটনা যেখানে ' || {keywords_check("'kind'", 'bn')} || ' = "' || {words_check('kind')}
     || '" এবং id = ' || CASE WHEN event_id > 9 THEN TRANSLATE(CAST(event_id AS VARCHAR), '0123456789', '০১২৩৪৫৬৭৮৯')
                               ELSE CAST(event_id AS VARCHAR) END AS indic_sql,
@@ -147,29 +147,24 @@ SELECT event_id,
 FROM kinds"""
 
 
-@query("incremental_convert", _CONVERTED)
-def incremental_convert(spark, d):
-    """Two runs over a growing folder: the second converts only the new files."""
+def _convert_in_two_runs(spark, d, lexicon):
+    """Two runs over a growing folder: the second converts only the new files and counts on."""
     source, out, checkpoint = (scratch_path(spark, f"stream-{x}") for x in ("in", "out", "checkpoint"))
     samples = spread(event_samples(spark, d), "event_id")
-    half = F.col("event_id") % 2
-    extra = "event_id bigint"
     for part in (0, 1):
-        samples.filter(half == part).write.mode("append").json(source)
-        resume_convert(read_sample_stream(spark, source, extra), out, checkpoint, "bn", WORDS)
-    return spark.read.parquet(out).select("event_id", "indic_sql", "translated_answer")
+        samples.filter(F.col("event_id") % 2 == part).write.mode("append").json(source)
+        resume_convert(read_sample_stream(spark, source, "event_id bigint"), out, checkpoint, "bn", lexicon, "event_id")
+    return read_converted(spark, out).select("event_id", "index", "indic_sql", "translated_answer")
+
+
+@query("incremental_convert", _CONVERTED)
+def incremental_convert(spark, d):
+    return _convert_in_two_runs(spark, d, spark.createDataFrame(list(WORDS.items()), "source string, target string"))
 
 
 @query("incremental_convert_lexicon", _CONVERTED)
 def incremental_convert_lexicon(spark, d):
-    """The same with a word lexicon as a table, far larger than an expression may hold."""
-    source, out, checkpoint = (scratch_path(spark, f"stream-{x}") for x in ("in", "out", "checkpoint"))
+    """The same with a far larger lexicon: that of `incremental_convert` and the customers' names."""
     words = spark.createDataFrame(list(WORDS.items()), "source string, target string")
     names = load(spark, d, "customer").select(F.col("c_name").alias("source"), F.lit("নাম").alias("target"))
-    lexicon = words.unionByName(names)
-    samples = spread(event_samples(spark, d), "event_id")
-    for part in (0, 1):
-        samples.filter(F.col("event_id") % 2 == part).write.mode("append").json(source)
-        stream = read_sample_stream(spark, source, "event_id bigint")
-        resume_convert_by_table(stream, out, checkpoint, "bn", lexicon, "event_id")
-    return spark.read.parquet(out).select("event_id", "indic_sql", "translated_answer")
+    return _convert_in_two_runs(spark, d, words.unionByName(names))

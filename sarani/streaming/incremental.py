@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sarani.operators.rewriting import convert_records, convert_stream
+from sarani.operators.rewriting import convert_samples
 from sarani.sources.corpus import SAMPLE
 
+LEDGER = "first long, n long"
+
 
 def read_sample_stream(spark: SparkSession, path: str, extra: str = "", files: int | None = None) -> DataFrame:
     """Sample files as a stream; `files` limits how many one step takes."""
@@ -16,36 +18,36 @@ def read_sample_stream(spark: SparkSession, path: str, extra: str = "", files: i
     return reader.json(path)
 
 
-def resume_convert_by_table(
-    stream: DataFrame, out: str, checkpoint: str, lang: str, lexicon: DataFrame, key: str
-) -> None:
-    """`resume_convert` with a word lexicon of any size, as a table of source and target.
+def write_step(batch: DataFrame, step: int, out: str, lang: str, lexicon: DataFrame, order: str) -> None:
+    """Converts one step and writes it, replacing what an earlier try of the step has left.
 
-    Every step is converted as the batch job converts it, by the unique `key`, and written to
-    a folder of its own number. A step that is run again after a failure replaces its folder.
+    The ledger holds per step the index of its first sample and their number. Its entry is
+    written before the samples; a step that is run again finds the entries of the steps before it
+    unchanged, so its samples get the same indexes.
     """
+    spark = batch.sparkSession
+    ledger = spark.read.schema(f"{LEDGER}, step long").parquet(f"{out}/_ledger").where(F.col("step") < step)
+    first = ledger.agg(F.coalesce(F.max(F.col("first") + F.col("n")), F.lit(0))).first()[0]
+    entry = spark.range(1).select(F.lit(first).cast("long").alias("first"), F.lit(batch.count()).cast("long").alias("n"))
+    entry.write.mode("overwrite").parquet(f"{out}/_ledger/step={step}")
+    convert_samples(batch, lang, lexicon, order, first).write.mode("overwrite").parquet(f"{out}/step={step}")
+
+
+def resume_convert(stream: DataFrame, out: str, checkpoint: str, lang: str, lexicon: DataFrame, order: str) -> None:
+    """Convert all samples not yet converted and add them to `out`.
+
+    Every step is converted as the batch job converts it, with the same lexicon table of any size
+    (source, target), and written to a folder of its own number. `order` is a unique number of
+    the samples; `index` goes on from step to step and follows `order` inside a step. What was read
+    is kept in `checkpoint`. A step that is run again after a failure replaces its folder and its
+    ledger entry, so every sample is written once, with one index.
+    """
+    start = stream.sparkSession.range(1).select(F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("n"))
+    start.write.mode("ignore").parquet(f"{out}/_ledger/step=-1")
+    started = stream.writeStream.foreachBatch(lambda batch, step: write_step(batch, step, out, lang, lexicon, order))
+    started.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
-    def convert(batch: DataFrame, step: int) -> None:
-        convert_records(batch, lang, lexicon, key).write.mode("overwrite").parquet(f"{out}/step={step}")
-
-    started = stream.writeStream.foreachBatch(convert).option("checkpointLocation", checkpoint)
-    started.trigger(availableNow=True).start().awaitTermination()
-
-
-def resume_convert(stream: DataFrame, out: str, checkpoint: str, lang: str, lexicon: dict[str, str]) -> None:
-    """Convert all samples not yet converted and append them to `out`.
 
-    What was read is kept in `checkpoint`, and the file sink commits a step whole, so a
-    run that fails half-way leaves no double records. For lexicons beyond a few hundred words
-    there is `resume_convert_by_table`.
-    """
-    query = (
-        convert_stream(stream, lang, lexicon)
-        .writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+def read_converted(spark: SparkSession, out: str) -> DataFrame:
+    """All converted samples, with the step that wrote them."""
+    return spark.read.parquet(out)

@@ -9,8 +9,9 @@ from sarani.plans.storage import event_samples
 from sarani.plans.sqltext import WORDS
 from sarani.session import scratch_path
 from sarani.sources.star import html_pages
-from sarani.operators.rewriting import convert_stream
-from sarani.streaming.incremental import read_sample_stream, resume_convert
+from sarani.operators.rewriting import convert_samples
+from sarani.streaming import incremental
+from sarani.streaming.incremental import read_converted, read_sample_stream, resume_convert
 
 
 def test_batches(spark):
@@ -89,20 +90,38 @@ def test_raw_tables_round_trip(spark, sf):
     assert back.exceptAll(raw).isEmpty() and back.count() == raw.count()
 
 
-def test_stream_resumes_and_equals_batch(spark, sf):
+def test_stream_resumes_after_a_killed_step_and_equals_batch(spark, sf, monkeypatch):
+    """Steps of one file each; one is killed after its samples were written, one before."""
     source, out, checkpoint = (scratch_path(spark, x) for x in ("s-in", "s-out", "s-checkpoint"))
-    samples = event_samples(spark, sf)
-    counts = []
+    samples = event_samples(spark, sf).cache()
+    words = spark.createDataFrame(list(WORDS.items()), "source string, target string")
+    third = F.floor(F.col("event_id") / (samples.agg(F.max("event_id")).first()[0] / 3 + 1))
+    stream = lambda: read_sample_stream(spark, source, "event_id bigint", files=1)
+    real, killed = incremental.write_step, []
+
+    def write_and_die(batch, step, *rest):
+        if step == 1:
+            real(batch, step, *rest)
+        if step in (1, 2) and killed.count(step) == 0:
+            killed.append(step)
+            raise RuntimeError("killed")
+        real(batch, step, *rest)
+
+    monkeypatch.setattr(incremental, "write_step", write_and_die)
     for part in range(3):
-        samples.filter(F.col("event_id") % 3 == part).write.mode("append").json(source)
-        resume_convert(read_sample_stream(spark, source, "event_id bigint", files=1), out, checkpoint, "bn", WORDS)
-        counts.append(spark.read.parquet(out).count())
-    resume_convert(read_sample_stream(spark, source, "event_id bigint"), out, checkpoint, "bn", WORDS)
-    got = spark.read.parquet(out)
-    want = convert_stream(read_samples(spark, source, "event_id bigint"), "bn", WORDS)
-    assert counts == sorted(counts) and counts[0] < counts[2] == got.count() == samples.count()
-    cols = ["event_id", "indic_sql", "translated_answer"]
-    assert got.select(cols).exceptAll(want.select(cols)).isEmpty()
+        samples.filter(third == part).coalesce(1).write.mode("append").json(source)
+        for _ in range(2):
+            try:
+                resume_convert(stream(), out, checkpoint, "bn", words, "event_id")
+            except Exception as e:
+                assert "killed" in str(e)
+    resume_convert(stream(), out, checkpoint, "bn", words, "event_id")
+    assert killed == [1, 2]
+    got = read_converted(spark, out).drop("step")
+    want = convert_samples(read_samples(spark, source, "event_id bigint"), "bn", words, "event_id").select(got.columns)
+    assert got.count() == samples.count() and got.exceptAll(want).isEmpty()
+    ledger = sorted(tuple(r) for r in spark.read.schema("first long, n long, step long").parquet(f"{out}/_ledger").select("step", "first", "n").collect())
+    assert [s[0] for s in ledger] == [-1, 0, 1, 2] and all(b[1] == a[1] + a[2] for a, b in zip(ledger, ledger[1:]))
 
 
 def test_scratch_path_uses_the_shared_folder(spark):

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sarani.operators import numbering
 from sarani.operators.numbering import first_per_key, number_within
 from sarani.operators.tables import (
     max_cells, name_tables, numeric_columns, title_index, title_of, to_cells, to_tables, unique_tables,
@@ -40,12 +41,20 @@ def test_number_within_null_keys_and_no_keys(spark):
     assert {r.o: r.n for r in number_within(df, [], "o", "n", rows_per_bucket=1).collect()} == {1: 0, 2: 1, 3: 2}
 
 
-def test_ranges_split_the_hot_key(spark):
-    """No window task gets the whole group: the partition keys hold the range."""
-    df = spark.range(1000).select(F.lit("t").alias("title"), F.col("id"))
-    plan = name_tables(df, "id", rows_per_bucket=100)._jdf.queryExecution().optimizedPlan().toString()
-    windows = [line for line in plan.splitlines() if "row_number()" in line]
-    assert windows and all("_outer" in line for line in windows)
+def test_ranges_split_a_hot_key_and_a_hot_value(spark, monkeypatch):
+    """One key and one value of the order: no task gets the whole group, and all numbers come out."""
+    written = []
+    real = numbering.materialise
+    monkeypatch.setattr(numbering, "materialise", lambda df, name: written.append(real(df, name)) or written[-1])
+    df = spark.range(3000).select(F.lit("t").alias("k"), F.lit(5).alias("o"), (F.col("id") * 7 % 3000).alias("t"))
+    got = number_within(df, ["k"], "o", "n", rows_per_bucket=100, ties=("t",))
+    assert all(r.n == r.t for r in got.collect()) and got.count() == 3000
+    sizes = [r["count"] for r in written[0].groupBy(F.shiftright("_place", 33)).count().collect()]
+    assert len(sizes) > 20 and max(sizes) < 400
+    numbers = number_within(df.select("k", "o", "t"), [], "o", "n", rows_per_bucket=100)  # no tie-break at all
+    assert sorted(r.n for r in numbers.collect()) == list(range(3000))
+    named = name_tables(df.select(F.col("k").alias("title"), "t"), "t", rows_per_bucket=100)
+    assert all(r.table_name == f"t_{r.t}" for r in named.collect())
 
 
 def test_first_per_key_cuts_before_the_shuffle(spark):
@@ -118,5 +127,5 @@ def test_numbering_of_one_value_with_text_ties(spark):
     assert [r.t for r in sorted(out, key=lambda r: r.no)] == sorted(r.t for r in out) and sorted(r.no for r in out) == list(range(900))
     few = number_within(df.limit(10), [], "o", "no", ties=("t",)).collect()
     assert [r.t for r in sorted(few, key=lambda r: r.no)] == sorted(r.t for r in few)
-    with pytest.raises(ValueError):
-        number_within(df, [], "t", "no")
+    by_text = number_within(df, [], "t", "no", rows_per_bucket=100).collect()
+    assert [r.t for r in sorted(by_text, key=lambda r: r.no)] == sorted(r.t for r in by_text)

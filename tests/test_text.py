@@ -8,12 +8,11 @@ from sarani.functions.languages import (
 )
 from sarani.functions.linear import linearise, parse_linearised
 from sarani.functions.text import SPACES, normalise_prediction, split_words, strip_text
-from sarani.operators import rewriting
+from sarani.operators import lookup
 from sarani.operators.rewriting import (
-    clean_table_token, convert_samples, convert_stream, drop_table_clause, translate_answer, translate_digit_tokens,
+    clean_table_token, drop_table_clause, translate_answer, translate_digit_tokens,
     translate_keywords, translate_words,
 )
-from sarani.plans.sqltext import WORDS, part_samples
 from sarani.sources.star import corpus_tables, load
 
 
@@ -120,20 +119,38 @@ def test_words_by_join_equal_words_by_hand(spark, sf, monkeypatch):
         return " ".join(out)
 
     want = {r.doc_id: by_hand(r.text) for r in docs.collect()}
-    for limit in (200_000, 0):
-        monkeypatch.setattr(rewriting, "is_small", lambda df, limit=limit: df.count() <= limit)
-        got = translate_words(docs, lexicon, "bn", {"indic": split_words(F.col("text"))}, "doc_id")
+    def check(most, hot_parts=10_000, few=None):
+        monkeypatch.setattr(lookup, "HOT_PARTS", hot_parts)
+        got = translate_words(docs, lexicon, "bn", {"indic": split_words(F.col("text"))}, "doc_id", most)
         assert {r.doc_id: r.indic for r in got.collect()} == want
         assert got.select(docs.columns).exceptAll(docs).isEmpty()
 
-
-def test_stream_form_equals_batch_form(spark, sf):
-    samples = part_samples(spark, sf)
-    lexicon = spark.createDataFrame(list(WORDS.items()), "source string, target string")
-    cols = ["sample_id", "indic_sql", "sql_without_table_name", "translated_answer", "language"]
-    a = convert_samples(samples, "bn", lexicon, "sample_id").select(cols)
-    b = convert_stream(samples, "bn", WORDS).select(cols)
-    assert a.exceptAll(b).isEmpty() and a.count() == samples.count()
+    check(200_000)  # inside the record
+    monkeypatch.setattr(lookup, "RECORD_ROWS", 0)
+    check(200_000)  # broadcast
+    check(0)  # hot words by broadcast
+    check(0, hot_parts=2)  # some hot, some by shuffle
+    check(0, hot_parts=0)  # all by shuffle
+
+
+def test_hot_words_are_split_from_the_rest(spark):
+    """A third of the words are one word; only rare ones meet in the shuffled join."""
+    words = spark.range(9000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("w"), F.col("id") % 1500)).alias("source"))
+    words = words.unionByName(spark.range(5).select((F.col("id") + 9000).alias("id"), F.lit(None).cast("string").alias("source")))
+    table = spark.createDataFrame([("hot", "H"), ("w1", "A"), ("w2", "B"), ("none", "N")], "source string, target string")
+    found = lookup.look_up(words, table, 0)
+    assert found.count() == words.count()
+    got = {(r.source, r.target) for r in found.select("source", "target").distinct().collect()}
+    assert {g for g in got if g[1]} == {("hot", "H"), ("w1", "A"), ("w2", "B")} and (None, None) in got
+
+
+def test_large_look_up_ends_on_a_repeated_key(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b")], "id long, text string")
+    lexicon = spark.createDataFrame([("a", "x")], "source string, target string")
+    words = {"out": split_words(F.col("text"))}
+    assert sorted(r.out for r in translate_words(df, lexicon, "bn", words, "id").collect()) == ["b", "x"]
+    with pytest.raises(Exception, match="not unique"):
+        translate_words(df, lexicon, "bn", words, "id", 0).collect()
 
 
 # Text: rows, columns, cells.
