@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from sarani.functions.languages import translate_digits
 from sarani.functions.linear import linearise
 from sarani.operators.dataset import (
-    INSTRUCTIONS, batches, concat_sets, demonstrations, few_shot_prompts, fit_length, qa_examples, restore_labels,
-    shuffle_rank, stack_batches,
+    INSTRUCTIONS, batches, concat_sets, demonstrations, dictionary_ids, few_shot_prompts, fit_length, qa_examples,
+    restore_labels, shuffle_rank, stack_batches, word_dictionary,
 )
 from sarani.operators.families import answer_column
 from sarani.plans.checks import ANSWER_HEADER, ANSWERS, CORPUS
@@ -16,6 +16,7 @@ from sarani.plans.registry import query
 from sarani.plans.rewriting import _TOKENS
 from sarani.plans.sample_job import sample_records, with_tables
 from sarani.plans.sqltext import PART_SAMPLE_SQL, part_samples
+from sarani.session import materialise
 from sarani.sources.star import corpus_tables, load
 
 _BN = "'0123456789', '০১২৩৪৫৬৭৮৯'"
@@ -91,6 +92,40 @@ def fit_length_query(spark, d):
     )
 
 
+_DICTIONARY_SQL = f"""
+tokens AS (SELECT doc_id, lang, LIST_SLICE({_TOKENS.replace('(t,', '(text,')}, 1, 1024) AS ws, {_TOKENS.replace('(t,', '(text,')} AS every FROM documents),
+dictionary AS (
+  SELECT w, ROW_NUMBER() OVER (ORDER BY CAST('0x' || SUBSTR(MD5(w), 1, 15) AS BIGINT), w) + 3 AS id
+  FROM (SELECT DISTINCT UNNEST(every) AS w FROM tokens))"""
+
+
+@query("word_dictionary", f"WITH {_DICTIONARY_SQL} SELECT w AS word, id FROM dictionary")
+def word_dictionary_query(spark, d):
+    return word_dictionary(load(spark, d, "documents"), "text")
+
+
+@query("fit_length_dictionary", f"""
+WITH {_DICTIONARY_SQL},
+spots AS (SELECT doc_id, UNNEST(ws) AS w, UNNEST(RANGE(LEN(ws))) AS pos FROM tokens),
+ids AS (SELECT doc_id, LIST(id ORDER BY pos) AS ids FROM spots JOIN dictionary USING (w) GROUP BY doc_id),
+numbered AS (
+  SELECT t.doc_id, lang, (ROW_NUMBER() OVER (PARTITION BY lang ORDER BY t.doc_id) - 1) // 16 AS batch_id, COALESCE(ids, []) AS ids
+  FROM tokens t LEFT JOIN ids ON ids.doc_id = t.doc_id),
+longest AS (SELECT lang, batch_id, MAX(LEN(ids)) AS m FROM numbered GROUP BY ALL)
+SELECT doc_id, lang, batch_id, CAST(LEN(ids) AS INTEGER) AS n_words,
+  MD5(ARRAY_TO_STRING(ids || LIST_TRANSFORM(RANGE(m - LEN(ids)), LAMBDA x: 1), ' ')) AS input_ids
+FROM numbered JOIN longest USING (lang, batch_id)""")
+def fit_length_dictionary(spark, d):
+    """Ids of a dictionary of all documents' words, cut and padded by batch."""
+    docs = load(spark, d, "documents").select("doc_id", "lang", "text")
+    dictionary = materialise(word_dictionary(docs, "text"), "dictionary")
+    ids = docs.select("doc_id", "lang").join(dictionary_ids(docs, "text", dictionary, "doc_id", 1024), "doc_id")
+    fitted = fit_length(batches(ids, 16, "doc_id", ["lang"]), "ids", ["lang", "batch_id"], 1024)
+    return fitted.select(
+        "doc_id", "lang", "batch_id", F.size("ids").alias("n_words"), F.md5(F.array_join("input_ids", " ")).alias("input_ids")
+    )
+
+
 _NUMBERED_TURNS = """
 numbered AS (
   SELECT conv_id, turn, role, ROW_NUMBER() OVER (ORDER BY conv_id, turn) - 1 AS k, COUNT(*) OVER () AS n

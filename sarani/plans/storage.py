@@ -12,8 +12,8 @@ from sarani.plans.registry import query
 from sarani.plans.sqltext import PART_SAMPLE_SQL, WORDS, keywords_check, part_samples, words_check
 from sarani.session import scratch_path, spread
 from sarani.sources.corpus import (
-    list_tables, load_split, read_samples, read_tables, save_corpus, save_splits, write_predictions,
-    write_samples, write_tables,
+    list_tables, load_split, open_corpus, read_samples, read_tables, replace_tables, save_corpus, save_splits,
+    write_predictions, write_samples, write_tables,
 )
 from sarani.sources.pages import read_pages
 from sarani.sources.star import corpus_tables, load
@@ -66,17 +66,44 @@ def predictions_jsonl_roundtrip(spark, d):
     return spark.read.schema("prediction string, target string").json(path)
 
 
+def _order_tables(spark, d):
+    """A table per order, named by its priority and number."""
+    tables = load(spark, d, "orders").select(
+        F.col("o_orderpriority").alias("title"), "o_orderkey", F.array(F.lit("total")).alias("header"),
+        F.array(F.array(F.col("o_totalprice").cast("string"))).alias("rows"),
+    )
+    return name_tables(tables, "o_orderkey")
+
+
 @query("corpus_table_list", """
 SELECT DISTINCT o_orderpriority || '_' || (ROW_NUMBER() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1)
        AS table_name FROM orders""")
 def corpus_table_list(spark, d):
     path = scratch_path(spark, "corpus")
-    tables = load(spark, d, "orders").select(
-        F.col("o_orderpriority").alias("title"), "o_orderkey", F.array(F.lit("total")).alias("header"),
-        F.array(F.array(F.col("o_totalprice").cast("string"))).alias("rows"),
+    save_corpus(_order_tables(spark, d), path)
+    return list_tables(open_corpus(spark, path))
+
+
+@query("corpus_replace_table", """
+SELECT table_name, CASE WHEN k % 10 = 3 THEN 'changed' ELSE 'total' END AS header, CASE WHEN k % 10 = 3 THEN 'x' || o_orderkey ELSE total END AS cell
+FROM (SELECT *, o_orderpriority || '_' || k AS table_name FROM (
+  SELECT o_orderkey, CAST(o_totalprice AS VARCHAR) AS total, o_orderpriority, ROW_NUMBER() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS k
+  FROM orders))
+UNION ALL SELECT 'added_' || r_regionkey, 'name', r_name FROM region""")
+def corpus_replace_table(spark, d):
+    """Every tenth table of a title replaced by another one, and some added; the others stay."""
+    path = scratch_path(spark, "corpus")
+    tables = _order_tables(spark, d)
+    save_corpus(tables, path)
+    cell = F.array(F.array(F.concat(F.lit("x"), F.col("o_orderkey").cast("string"))))
+    changed = tables.where(F.col("table_index") % 10 == 3).withColumn("header", F.array(F.lit("changed"))).withColumn("rows", cell)
+    added = load(spark, d, "region").select(
+        F.lit("added").alias("title"), F.lit(0).cast("long").alias("o_orderkey"), F.array(F.lit("name")).alias("header"),
+        F.array(F.array(F.col("r_name"))).alias("rows"), F.col("r_regionkey").cast("long").alias("table_index"),
+        F.concat(F.lit("added_"), F.col("r_regionkey").cast("string")).alias("table_name"),
     )
-    save_corpus(name_tables(tables, "o_orderkey"), path)
-    return list_tables(spark.read.parquet(path))
+    replace_tables(changed.unionByName(added), path)
+    return open_corpus(spark, path).select("table_name", F.col("header")[0].alias("header"), F.col("rows")[0][0].alias("cell"))
 
 
 @query("split_json_roundtrip", f"""

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from sarani.functions.linear import linearise, parse_linearised
 from sarani.operators import dataset as ds
 from sarani.operators.tables import fan_out_rows
-from sarani.sources.corpus import read_samples, read_tables, write_tables
+from sarani.sources.corpus import open_corpus, read_samples, read_table, read_tables, replace_tables, save_corpus, write_tables
 from sarani.plans.corpus_job import parsed_tables, raw_records
 from sarani.plans.storage import event_samples
 from sarani.plans.sqltext import WORDS
@@ -90,6 +90,38 @@ def test_raw_tables_round_trip(spark, sf):
     assert back.exceptAll(raw).isEmpty() and back.count() == raw.count()
 
 
+def test_dictionary_ids_are_dense_and_differ(spark):
+    texts = [(i, " ".join(f"w{(i * k) % 97}" for k in range(i % 11))) for i in range(200)] + [(900, None), (901, " ")]
+    df = spark.createDataFrame(texts, "id long, text string")
+    words = {w for _, t in texts for w in (t or "").split()}
+    found = {r.word: r.id for r in ds.word_dictionary(df, "text").collect()}
+    assert set(found) == words and sorted(found.values()) == list(range(4, 4 + len(words)))
+    assert {r.word: r.id for r in ds.word_dictionary(df.repartition(7), "text", rows_per_bucket=10).collect()} == found
+    dictionary = spark.createDataFrame([r for r in found.items() if r[0] != "w5"], "word string, id long")
+    for most in (200_000, 0):
+        got = {r.id: r.ids for r in ds.dictionary_ids(df, "text", dictionary, "id", 6, most).collect()}
+        assert got == {i: [3 if w == "w5" else found[w] for w in (t or "").split()[:6]] for i, t in texts}
+
+
+def test_replacing_tables_leaves_the_others(spark, tmp_path):
+    path = str(tmp_path / "corpus")
+    table = lambda name, v: (name, ["h"], [[v]])
+    schema = "table_name string, header array<string>, rows array<array<string>>"
+    first = [table(f"t_{i}", "old") for i in range(50)]
+    save_corpus(spark.createDataFrame(first, schema), path, 8)
+    new = [table("t_7", "new"), table("t_99", "added"), table("t_3", "new")]
+    replace_tables(spark.createDataFrame(new, schema), path, 8)
+    replace_tables(spark.createDataFrame([], schema), path, 8)
+    want = {name: rows[0][0] for name, _, rows in first + new}
+    assert {r.table_name: r["rows"][0][0] for r in open_corpus(spark, path).collect()} == want
+    assert open_corpus(spark, path).count() == 51
+    one = read_table(open_corpus(spark, path), "t_7", 8)
+    assert one.columns == ["table_name", "header", "rows"] and [r["rows"] for r in one.collect()] == [[["new"]]]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(table_name,t_7)" in plan
+    assert read_table(open_corpus(spark, path), "none", 8).count() == 0
+
+
 def test_stream_resumes_after_a_killed_step_and_equals_batch(spark, sf, monkeypatch):
     """Steps of one file each; one is killed after its samples were written, one before."""
     source, out, checkpoint = (scratch_path(spark, x) for x in ("s-in", "s-out", "s-checkpoint"))
