@@ -221,7 +221,47 @@ def rouge_l_query(spark, d):
     return turn_pairs(spark, d).select("conv_id", "turn", F.round(rouge_l(F.col("pred"), F.col("ref")), 6).alias("rouge_l"))
 
 
-@query("rouge_lsum")
+# Tables of every line of the reference with every line of the prediction, and the walk through
+# each from its end; the words at the places walked through on a match, each as often as the
+# prediction has it at most, are the hits.
+_LSUM = r"""
+WITH RECURSIVE pairs AS (
+  SELECT a.conv_id, a.turn, a.text AS pred, b.text AS ref
+  FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+rl AS (
+  SELECT conv_id, turn, li, REGEXP_EXTRACT_ALL(LOWER(line), '[\pL\pM\pN]+') AS rw
+  FROM (SELECT conv_id, turn, UNNEST(STRING_SPLIT(ref, CHR(10))) AS line, UNNEST(RANGE(LEN(STRING_SPLIT(ref, CHR(10))))) AS li FROM pairs)),
+pl AS (
+  SELECT conv_id, turn, lj, REGEXP_EXTRACT_ALL(LOWER(line), '[\pL\pM\pN]+') AS pw
+  FROM (SELECT conv_id, turn, UNNEST(STRING_SPLIT(pred, CHR(10))) AS line, UNNEST(RANGE(LEN(STRING_SPLIT(pred, CHR(10))))) AS lj FROM pairs)),
+t(conv_id, turn, li, lj, i, best) AS (
+  SELECT conv_id, turn, li, lj, 0, LIST_TRANSFORM(pw, LAMBDA x: 0) FROM rl JOIN pl USING (conv_id, turn)
+  UNION ALL
+  SELECT conv_id, turn, li, lj, i, LIST_TRANSFORM(RANGE(1, LEN(c) + 1), LAMBDA j: LIST_MAX(c[1:j])) FROM (
+    SELECT conv_id, turn, li, lj, i + 1 AS i, LIST_TRANSFORM(RANGE(1, LEN(pw) + 1), LAMBDA j:
+        CASE WHEN pw[j] = rw[i + 1] THEN COALESCE(best[j - 1], 0) + 1 ELSE best[j] END) AS c
+    FROM t JOIN rl USING (conv_id, turn, li) JOIN pl USING (conv_id, turn, lj) WHERE i < LEN(rw))),
+w(conv_id, turn, li, lj, i, j, hit) AS (
+  SELECT conv_id, turn, li, lj, LEN(rw), LEN(pw), CAST(NULL AS BIGINT) FROM rl JOIN pl USING (conv_id, turn)
+  UNION ALL
+  SELECT conv_id, turn, li, lj, CASE WHEN same OR NOT back THEN i - 1 ELSE i END, CASE WHEN same OR back THEN j - 1 ELSE j END, CASE WHEN same THEN i END
+  FROM (
+    SELECT w.conv_id, w.turn, w.li, w.lj, w.i, w.j, rw[w.i] = pw[w.j] AS same, COALESCE(x.best[w.j - 1], 0) > COALESCE(y.best[w.j], 0) AS back
+    FROM w JOIN rl USING (conv_id, turn, li) JOIN pl USING (conv_id, turn, lj)
+    JOIN t x ON x.conv_id = w.conv_id AND x.turn = w.turn AND x.li = w.li AND x.lj = w.lj AND x.i = w.i
+    JOIN t y ON y.conv_id = w.conv_id AND y.turn = w.turn AND y.li = w.li AND y.lj = w.lj AND y.i = w.i - 1
+    WHERE w.i > 0 AND w.j > 0)),
+places AS (SELECT DISTINCT conv_id, turn, li, hit FROM w WHERE hit IS NOT NULL),
+found AS (SELECT conv_id, turn, rw[hit] AS word, COUNT(*) AS n FROM places JOIN rl USING (conv_id, turn, li) GROUP BY ALL),
+said AS (SELECT conv_id, turn, word, COUNT(*) AS n FROM (SELECT conv_id, turn, UNNEST(pw) AS word FROM pl) GROUP BY ALL),
+hits AS (SELECT conv_id, turn, SUM(LEAST(f.n, s.n)) AS hits FROM found f JOIN said s USING (conv_id, turn, word) GROUP BY ALL),
+sizes AS (
+  SELECT conv_id, turn, (SELECT SUM(LEN(rw)) FROM rl WHERE rl.conv_id = pairs.conv_id AND rl.turn = pairs.turn)
+    + (SELECT SUM(LEN(pw)) FROM pl WHERE pl.conv_id = pairs.conv_id AND pl.turn = pairs.turn) AS n FROM pairs)
+SELECT conv_id, turn, ROUND(COALESCE(2.0::DOUBLE * hits / n, 0.0::DOUBLE), 6) AS rouge_lsum FROM sizes LEFT JOIN hits USING (conv_id, turn)"""
+
+
+@query("rouge_lsum", _LSUM)
 def rouge_lsum_query(spark, d):
     return turn_pairs(spark, d).select(
         "conv_id", "turn", F.round(rouge_lsum(F.col("pred"), F.col("ref")), 6).alias("rouge_lsum")
