@@ -52,18 +52,22 @@ def gzip_member(data: bytes, level: int = 1) -> bytes:
 
 
 def with_revisits(pages: DataFrame, key: str, payload: str, uri: str, least: int) -> DataFrame:
-    """page_id, uri, payload (null: empty) and refers_to, the largest key with an equal payload."""
+    """page_id, uri, payload (null: empty) and refers_to, the largest key with an equal payload.
+
+    Ids and payload hashes find the revisits; payloads are moved once. A row is judged by its id
+    and its payload together, so rows that repeat an id with other payloads are records of their own.
+    """
     rows = pages.select(
         F.col(key).cast("long").alias("page_id"), F.col(uri).cast("string").alias("uri"),
         F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("payload"),
-    )
-    hashed = rows.select("page_id", F.sha2("payload", 256).alias("h"), F.octet_length("payload").alias("size"))
+    ).withColumn("h", F.sha2("payload", 256))
+    hashed = rows.select("page_id", "h", F.octet_length("payload").alias("size"))
     copies = (
         hashed.where(F.col("size") >= least).groupBy("h").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
         .where("n > 1 AND refers_to IS NOT NULL").drop("n")
     )
-    revisits = hashed.join(copies, "h").where("page_id <> refers_to").select("page_id", "refers_to").distinct()
-    return rows.join(revisits, "page_id", "left")
+    revisits = hashed.select("page_id", "h").join(copies, "h").where("page_id <> refers_to").distinct()
+    return rows.join(revisits, ["page_id", "h"], "left").select("page_id", "uri", "payload", "refers_to")
 
 
 def write_warc(
@@ -74,8 +78,19 @@ def write_warc(
 
     Of records with equal payloads of at least `least` bytes, the one with the largest key is
     a response and the others revisit it; smaller payloads are all responses. A row with a
-    null key is a response. Each archive holds about `archive_bytes` bytes.
+    null key is a response. Rows that repeat the largest key of a payload are responses each. Each
+    archive holds about `archive_bytes` bytes.
     """
+    # The text writer passes bytes on as they are and ends a row, here a file, with one byte. So
+    # an archive leaves its last byte to the writer: the line end of a plain record, or the
+    # highest byte of a member's length.
+    last = b"\0" if compress else b"\n"
+
+    def whole(held: list[bytes]) -> pa.RecordBatch:
+        data = b"".join(held)
+        if not data.endswith(last):  # a record of 16 MB or more: an empty member follows it
+            data += gzip_member(b"")
+        return pa.RecordBatch.from_pydict({"archive": [data[:-1]]})
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
@@ -90,14 +105,14 @@ def write_warc(
                 held.append(gzip_member(record) if compress else record)
                 size += len(held[-1])
                 if size >= archive_bytes:
-                    yield pa.RecordBatch.from_pydict({"archive": [b"".join(held)]})
+                    yield whole(held)
                     held, size = [], 0
         if held:
-            yield pa.RecordBatch.from_pydict({"archive": [b"".join(held)]})
+            yield whole(held)
 
     archives = with_revisits(pages, key, payload, uri, least).mapInArrow(pack, "archive binary")
-    # The text writer passes bytes on as they are: a row is a file, and a zero byte ends it.
-    archives.select(F.col("archive").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", "\0").text(path)
+    lines = archives.select(F.col("archive").cast("string").alias("value")).write.option("maxRecordsPerFile", 1)
+    lines.option("lineSep", last.decode()).text(path)
 
 
 def _parse(data: bytes, at: int) -> tuple[dict, int] | str:
@@ -151,6 +166,8 @@ def _member(data: bytes, at: int) -> tuple[dict, int] | str:
     if not unpacker.eof:
         return "cut member"
     plain = b"".join(out)
+    if not plain:
+        return {}, min(pos, len(data)) - len(unpacker.unused_data)
     found = _parse(plain, 0)
     if isinstance(found, str):
         return found
@@ -174,7 +191,8 @@ def salvage(data: bytes) -> Iterator[dict]:
             yield {"start": gap, "end": at, "gap": why}
         gap = None
         record, end = found
-        yield {"start": at, "end": end, **record}
+        if record:  # not an empty member
+            yield {"start": at, "end": end, **record}
         at = end
     if gap is not None and data[gap:].strip(b"\0\r\n"):
         yield {"start": gap, "end": len(data), "gap": why}
@@ -185,7 +203,8 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
 
     A gap has the byte range [start, end) that was passed over. Blank or zero bytes between
     records are padding, not gaps. An empty archive gives no rows. Without `payloads` the
-    payload column is null; lengths and digests are those checked while reading.
+    payload column is null; lengths and digests are those checked while reading. An archive is read
+    as one value, so it may have 2 GB at most; `write_warc` makes far smaller ones.
     """
     names = [f.split()[0] for f in RECORD_SCHEMA.split(", ")]
     schema = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[k]) for n, k in (f.split() for f in RECORD_SCHEMA.split(", "))])
@@ -217,8 +236,9 @@ def warc_round_trip(
 ) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of archives written and read back.
 
-    Null payloads are empty ones. Repeated ids with the same payload are records each; those
-    with the id that others revisit are all responses. An empty table gives no rows.
+    Null payloads are empty ones. Repeated ids are records each, judged by their own payload; those
+    with the id that others revisit are all responses. A null id is a response with a null
+    page_id. An empty table gives no rows.
     """
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")

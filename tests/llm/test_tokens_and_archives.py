@@ -126,7 +126,7 @@ def test_reader_quarantines_a_broken_file(spark, tmp_path):
     write_warc(pages.coalesce(1), f"{tmp_path}/a")
     file = next((tmp_path / "a").glob("part-*"))
     data = bytearray(file.read_bytes())
-    data[len(data) // 2] ^= 255
+    data[data.index(b"\x1f\x8b\x08", len(data) // 2) + 60] ^= 255  # inside a member, not its header
     file.write_bytes(bytes(data))
     next((tmp_path / "a").glob(".part-*.crc")).unlink()
     found = read_warc(spark, f"{tmp_path}/a").collect()
@@ -148,6 +148,43 @@ def test_warc_round_trip(spark, least):
         assert tuple(found[i]) == (i, len(data), sha1_base32(data), "revisit" if copy else "response", last if copy else None)
 
 
+def test_warc_of_repeated_and_null_ids_with_other_payloads(spark):
+    """Rows that share an id but not the payload, against a plain version."""
+    rng = random.Random(6)
+    rows = [(1, "u", "aaa"), (1, "u", "bbb"), (2, "u", "aaa"), (3, "u", "bbb")]
+    rows += [(rng.choice([None, *range(10, 30)]), "u", rng.choice([None, "", "x", "yy", "z" * 50, f"own {i}"])) for i in range(150)]
+    largest = {}
+    for i, _, h in rows:
+        if i is not None:
+            largest[h or ""] = max(largest.get(h or "", i), i)
+    want = []
+    for i, _, h in rows:
+        last = largest.get(h or "")
+        copy = i is not None and i != last
+        want.append((i, len(h or ""), sha1_base32((h or "").encode()), "revisit" if copy else "response", last if copy else None))
+    found = warc_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("compress", [True, False])
+def test_archives_hold_their_records_and_no_other_byte(spark, tmp_path, compress):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"page {i}" * 9) for i in range(40)], "page_id long, url string, html string")
+    write_warc(pages.coalesce(1), f"{tmp_path}/a", compress=compress, archive_bytes=1500)
+    files = list((tmp_path / "a").glob("part-*"))
+    assert len(files) > 3
+    for file in files:
+        data = file.read_bytes()
+        found = list(salvage(data))
+        assert found[-1]["end"] == len(data) and all("gap" not in r for r in found)
+
+
+def test_a_member_whose_length_does_not_end_in_zero(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "x" * (1 << 24))], "page_id long, url string, html string")
+    write_warc(pages, f"{tmp_path}/a")
+    found = read_warc(spark, f"{tmp_path}/a").collect()
+    assert [(r.record_id, r.payload_bytes, r.gap) for r in found] == [("1", 1 << 24, None)]
+
+
 def test_warc_of_odd_rows(spark, empty):
     rows = [(None, "u", "same"), (1, "u", "same"), (2, "u", "same"), (2, "u", "same")]
     found = warc_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
