@@ -18,13 +18,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sarani.llm.common import chunks
 
-SAMPLE_ROWS = 20_000  # about so many labelled rows are used to fit, at most
+SAMPLE_ROWS = 5_000  # about so many labelled rows of a language are used to fit, at most
 SLOTS = 1 << 20
 PROBES = 2
 SIZES = (3, 4)
 LEAST_SHARE = 0.25  # a language contains an n-gram if its rate is at least this part of the highest rate
 LEAST_COUNT = 3
 UNKNOWN = "und"
+CHUNK = 1 << 19
 _WORD_BITS = 62  # language bits in one integer
 
 
@@ -93,9 +94,10 @@ def fit_languages(
 ) -> LanguageFilter:
     """A filter from rows with a non-null language and text.
 
-    `sample_rows` bounds the rows used: of more rows, a share chosen by a hash of the key is
-    taken. What the driver gets is bounded by `slots` and the number of languages. Without
-    rows the filter knows no language.
+    `sample_rows` bounds the rows used per language: of a language with more rows a share is taken,
+    chosen by a hash of key and text; of one with fewer, all rows. So no language is left out for
+    being rare. Repeated rows count as often as they stand, ids may be null. What the driver gets
+    is bounded by `slots` and the number of languages. Without rows the filter knows no language.
     """
     rows = labelled.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
     counted = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -104,12 +106,13 @@ def fit_languages(
     bits = np.zeros((slots, words), np.int64)
     if not languages:
         return LanguageFilter((), bits)
-    share = min(1.0, sample_rows / sum(counted.values()))
-    chosen = rows.where((F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else F.lit(True))
+    shares = F.create_map(*[F.lit(x) for name, n in counted.items() for x in (name, min(1.0, sample_rows / n))])
+    draw = F.shiftrightunsigned(F.xxhash64("k", "text"), 11) / F.lit(float(1 << 53))  # from 0 to 1
+    chosen = rows.where(draw < shares[F.col("lang")])
     number = {name: i for i, name in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, "text"):
+        for chunk in chunks(batches, "text", CHUNK):
             by_lang: dict[int, list[np.ndarray]] = {}
             for body, name in zip(chunk.column("text").to_pylist(), chunk.column("lang").to_pylist()):
                 by_lang.setdefault(number[name], []).append(grams(body))
@@ -153,7 +156,7 @@ def identify_language(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         false_rates = known.false_rates()
-        for batch in batches:
+        for batch in chunks(batches, "text", CHUNK):
             names, scores = [], []
             for body in batch.column("text").to_pylist():
                 found = None if body is None else known.scores(body, false_rates)

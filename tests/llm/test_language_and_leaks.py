@@ -35,6 +35,21 @@ def test_language_of_odd_texts(spark, nasty, empty):
     assert {r.lang_pred for r in identify_language(nasty, fit_languages(empty)).collect()} == {"und"}
 
 
+def test_a_rare_language_is_learned_beside_a_frequent_one(spark):
+    """Three rows of one language, with a null id, beside thousands; the bound holds per language."""
+    rng = random.Random(3)
+    text = lambda letters: " ".join("".join(rng.choices(letters, k=rng.randrange(3, 7))) for _ in range(40))
+    common = [(i, text("abcdefg"), "xx") for i in range(4000)]
+    rare = [(None, text("mnopqrs"), "yy"), (9001, text("mnopqrs"), "yy"), (9001, text("mnopqrs"), "yy")]
+    docs = spark.createDataFrame(common + rare, "doc_id long, text string, lang string")
+    for bound in (100, 3):
+        model = fit_languages(docs, sample_rows=bound)
+        assert model.languages == ("xx", "yy") and (model.bits & 2).any()
+        ask = spark.createDataFrame([(None, text("mnopqrs") * 2), (1, text("mnopqrs") * 2), (1, text("abcdefg")), (None, text("abcdefg"))], "doc_id long, text string")
+        found = sorted(((r.doc_id, r.lang_pred) for r in identify_language(ask, model).collect()), key=repr)
+        assert found == [(1, "xx"), (1, "yy"), (None, "xx"), (None, "yy")]
+
+
 def test_language_filter_of_more_languages_than_bits(spark):
     """Languages beyond one integer of bits use the next one."""
     rows = [(i, "".join(chr(0x4E00 + 40 * i + k) for k in range(30)) + " " + "".join(chr(0x4E00 + 40 * i + k) for k in range(30)) * 3, f"l{i:02}") for i in range(70)]
