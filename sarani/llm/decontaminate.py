@@ -1,10 +1,13 @@
-"""Benchmark decontamination: n-gram seeds and Smith-Waterman alignment.
-
-1. Word n-grams of the test items set bits in a filter of fixed size; one pass over the
-   documents gives the places whose n-gram passes it.
-2. These places join the items' n-grams. Every n-gram of an item is a seed: a choice by
-   document frequency would count the copies that are looked for.
-3. Seeds of one item on near diagonals of a document form a passage.
+"""Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
+
+1. Seeds of a test item are its word n-grams, contiguous and with a gap in the middle (an edited
+   word), that few items share. Rarity is judged among the items: a frequency in the documents
+   would count the copies that are looked for. An item without a rare n-gram takes its rarest.
+2. The seeds set bits in a filter of fixed size; one pass over the documents gives the places
+   whose n-gram passes it, which then join the seeds.
+3. Seeds of one item on near diagonals of a document form a passage if they cover a third of
+   what the item's seeds can cover: an alignment that reaches the threshold matches half of the
+   item at least, while a phrase that happens to stand in both covers little.
 4. Each passage is aligned with its item; the local alignment score, as a share of the
    score of an exact copy, decides. Edits, insertions and lost words cost a little each.
 """
@@ -18,13 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sarani.llm.common import as_bytes, broadcast_if, chunks, keyed_texts
-from sarani.llm.rolling import Words, cut_words, shingles
+from sarani.llm.rolling import Words, cut_words, mix, shingles
 from sarani.session import materialise
 
-GRAM = 4
+GRAM = 3
+GAPPED = (0, 1, 3, 4)  # words of a seed that leaves one out
+RARE_ITEMS = 8  # most items that share a rare n-gram
+COVER = 3  # one of so many coverable words is covered in a passage
 FILTER_BITS = 1 << 23
 MATCH, MISMATCH, GAP = 2, -1, -1
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 # Words are runs of letters, digits and bytes above ASCII, A-Z in lower case.
 SEPARATORS = bytes(b for b in range(128) if not chr(b).isalnum())
 
@@ -42,6 +48,19 @@ def grams_of(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarr
     return found, text, np.arange(len(text)) - (np.cumsum(runs) - runs)[text]
 
 
+def gapped_grams(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text and place of every run of five words, without regard to the middle one."""
+    size = GAPPED[-1] + 1
+    runs = np.maximum(np.diff(first) - size + 1, 0)
+    text = np.repeat(np.arange(len(runs)), runs)
+    at = np.arange(len(text)) - (np.cumsum(runs) - runs)[text]
+    start = first[:-1][text] + at
+    h = np.full(len(text), 0xD1B54A32D192ED03, np.uint64)
+    for i in GAPPED:
+        h = mix(h * np.uint64(0x9DDFEA08EB382D69) + hashes[start + i]) if len(text) else h
+    return h, text, at
+
+
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     """Best local alignment score of two word sequences, and where it ends in the passage."""
     at = np.arange(len(passage) + 1, dtype=np.int32)
@@ -72,19 +91,33 @@ def _item_words(items: DataFrame, gram: int) -> DataFrame:
 
 
 def _item_grams(items: DataFrame) -> DataFrame:
-    """item_id, item_words, gram, at: every n-gram of each item."""
+    """item_id, item_words, gram, at, covers (the places of its words): every n-gram of each item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for item, words, size in zip(*(batch.column(c).to_pylist() for c in ("item_id", "words", "size"))):
-                found, _, at = grams_of(np.array(words, np.int64).view(np.uint64), np.array([0, len(words)]), size)
-                n = len(found)
+                hashes, first = np.array(words, np.int64).view(np.uint64), np.array([0, len(words)])
+                plain, gapped = grams_of(hashes, first, size), gapped_grams(hashes, first)
+                found = np.concatenate([plain[0], gapped[0]])
+                at = np.concatenate([plain[2], gapped[2]]).astype(np.int64)
+                covers = [list(range(a, a + size)) for a in plain[2].tolist()] + [[a + i for i in GAPPED] for a in gapped[2].tolist()]
                 yield pa.RecordBatch.from_pydict({
-                    "item_id": pa.array([item] * n, pa.int64()), "item_words": pa.array([len(words)] * n, pa.int64()),
-                    "gram": found.view(np.int64), "at": at.astype(np.int64),
+                    "item_id": pa.array([item] * len(found), pa.int64()), "item_words": pa.array([len(words)] * len(found), pa.int64()),
+                    "gram": found.view(np.int64), "at": at, "covers": pa.array(covers, pa.list_(pa.int32())),
                 })
 
-    return items.mapInArrow(run, "item_id long, item_words long, gram long, at long")
+    return items.mapInArrow(run, "item_id long, item_words long, gram long, at long, covers array<int>")
+
+
+def _seeds(items: DataFrame) -> DataFrame:
+    """The rare ones of `_item_grams`, with `coverable`: how many words of the item its seeds cover."""
+    grams = materialise(_item_grams(items), "leak-grams")
+    shared = grams.groupBy("gram").agg(F.countDistinct("item_id").alias("items"))
+    shared = materialise(grams.join(shared, "gram"), "leak-shared")
+    most = shared.groupBy("item_id").agg(F.greatest(F.min("items"), F.lit(RARE_ITEMS)).alias("most"))
+    rare = shared.join(most, "item_id").where("items <= most").drop("items", "most")
+    coverable = rare.groupBy("item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_set("covers")))).alias("coverable"))
+    return rare.join(coverable, "item_id")
 
 
 def _places(docs: DataFrame, grams: DataFrame, sizes: list[int]) -> DataFrame:
@@ -99,8 +132,7 @@ def _places(docs: DataFrame, grams: DataFrame, sizes: list[int]) -> DataFrame:
         for chunk in chunks(batches, "text", CHUNK):
             words = words_of(as_bytes(chunk.column("text")))
             hashes, ids = words.hashes(), chunk.column("doc_id")
-            for size in sizes:
-                found, text, at = grams_of(hashes, words.first, size)
+            for found, text, at in [*(grams_of(hashes, words.first, size) for size in sizes), gapped_grams(hashes, words.first)]:
                 hit = known[found.view(np.int64) % FILTER_BITS]
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(text[hit])), pa.array(found[hit].view(np.int64)), pa.array(at[hit].astype(np.int64))], ["doc_id", "gram", "place"]
@@ -141,26 +173,32 @@ def find_leaks(
 
     One row per document and item, with the best passage: score is its alignment score over
     that of an exact copy (at least `least`, 1 for an exact copy), end_word the word after its
-    end, seeds how many places with an n-gram of the item gave it. Items with fewer than `gram` words use all their
-    words as the seed. Texts that are null, empty or without words match nothing; rows with
+    end, seeds how many places of the document hold a seed of the item. Items with fewer than
+    `gram` words use all their words as the seed. Copies with every third word or fewer replaced,
+    or every fourth or fewer lost or added to, keep seeds enough; a copy whose edits leave no three
+    words together, nor two pairs around a replaced one, is not found. Texts that are null, empty or without words match nothing; rows with
     a null id give no row; repeated rows give the rows of one; equal scores keep the earliest
     passage. Repeated ids must repeat the text. Other columns are not read.
     """
     texts = keyed_texts(docs, key, text).where("doc_id IS NOT NULL")
     cut = materialise(_item_words(keyed_texts(items, item_key, item_text), gram).dropDuplicates(["item_id"]), "leak-items")
-    grams = materialise(_item_grams(cut), "leak-grams")
+    grams = materialise(_seeds(cut), "leak-seeds")
     sizes = sorted(r[0] for r in cut.select("size").distinct().collect())
     places = materialise(_places(texts, grams, sizes), "leak-places")
-    found = places.join(broadcast_if(grams, 48), "gram")
+    found = places.join(broadcast_if(grams, 96), "gram")
     diagonal = F.col("place") - F.col("at")
-    windows = found.groupBy("doc_id", "item_id", F.floor(diagonal / F.col("item_words")).alias("part"), "item_words").agg(
-        F.min(diagonal).alias("first"), F.max(diagonal).alias("last"), F.countDistinct("place").alias("seeds")
+    # Diagonals are dealt into overlapping parts of the item's length, so that a copy whose
+    # diagonals spread over half of it lies in one part.
+    part = F.floor(2 * diagonal / F.col("item_words"))
+    dealt = found.withColumn("diagonal", diagonal).withColumn("part", F.explode(F.array(part, part + 1)))
+    grouped = dealt.groupBy("doc_id", "item_id", "part", "item_words", "coverable").agg(
+        F.min("diagonal").alias("first"), F.max("diagonal").alias("last"), F.flatten(F.collect_set("covers")).alias("covers"),
     )
     half = F.ceil(F.col("item_words") / 2)
-    windows = materialise(windows.select(
-        "doc_id", "item_id", (F.col("first") - half).alias("low"), (F.col("last") + F.col("item_words") + half).alias("high"), "seeds",
-    ), "leak-windows")
-
+    covered = F.size(F.array_distinct("covers"))
+    windows = materialise(grouped.where(COVER * covered >= F.col("coverable")).select(
+        "doc_id", "item_id", (F.col("first") - half).alias("low"), (F.col("last") + F.col("item_words") + half).alias("high"),
+    ).distinct(), "leak-windows")
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             places, ends, scores = [], [], []
@@ -179,7 +217,8 @@ def find_leaks(
     # Written in between, so that no task holds two Python workers.
     passages = materialise(_passages(texts, windows), "leak-passages").join(broadcast_if(cut, 16, "words"), "item_id")
     scored = passages.select("doc_id", "item_id", "words", "passage", "low").mapInArrow(score, "doc_id long, item_id long, score double, end_word long")
-    best = scored.where(F.col("score") >= least).groupBy("doc_id", "item_id").agg(
+    best = materialise(scored.where(F.col("score") >= least).groupBy("doc_id", "item_id").agg(
         F.max("score").alias("score"), F.min_by("end_word", F.struct(-F.col("score"), F.col("end_word"))).alias("end_word")
-    )
-    return best.join(windows.groupBy("doc_id", "item_id").agg(F.sum("seeds").alias("seeds")), ["doc_id", "item_id"])
+    ), "leak-best")
+    pair = ["doc_id", "item_id"]
+    return best.join(found.join(broadcast_if(best.select(*pair), 24), pair, "left_semi").groupBy(*pair).agg(F.countDistinct("place").alias("seeds")), pair)

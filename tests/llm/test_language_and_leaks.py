@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sarani.llm import decontaminate
 from sarani.llm.decontaminate import MATCH, align, find_leaks
 from sarani.llm.language import LanguageFilter, fit_languages, grams, held_out, identify_language, slots_of
 from sarani.llm.license_scan import BASE, scan_licenses
@@ -133,6 +134,87 @@ def test_leaks_of_an_exact_and_an_edited_copy_of_one_item(spark):
         assert found[10 * k].score == naive_alignment(item, copies[k]) / (MATCH * len(item))
 
 
+@pytest.mark.parametrize("every", [3, 4, 5, 6, 7, 8])
+def test_recall_by_edit_rate(spark, every):
+    """Copies with every k-th word replaced, lost or doubled by another, each beside an exact copy."""
+    rng = random.Random(every)
+    items = {i: [f"w{rng.randrange(4000)}" for _ in range(rng.randrange(20, 60))] for i in range(40)}
+    edits = {"replaced": lambda w: ["zz"], "lost": lambda w: [], "added": lambda w: [w, "yy"]}
+    docs, truth = [], {}
+    for kind, (name, edit) in enumerate(edits.items()):
+        if name != "replaced" and every == 3:
+            continue
+        for i, words in items.items():
+            copy = [x for k, w in enumerate(words) for x in (edit(w) if k % every == every - 1 else [w])]
+            body = [f"d{rng.randrange(9000)}" for _ in range(80)]
+            doc = 1000 * (kind + 1) + i
+            docs.append((doc, " ".join(body[:40] + copy + body[40:])))
+            if naive_alignment(words, copy) / (MATCH * len(words)) >= 0.5:
+                truth[doc] = i
+    docs += [(i, " ".join(words)) for i, words in items.items()] + [(9000 + i, " ".join(f"d{rng.randrange(9000)}" for _ in range(80))) for i in range(50)]
+    given = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.score for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), given).collect()}
+    assert {(i, i) for i in items} <= set(found) and all(found[i, i] == 1 for i in items)
+    copies = {k: s for k, s in found.items() if k[0] >= 1000}
+    assert set(copies) <= set(truth.items()) and len(copies) >= 0.9 * len(truth) > 25
+
+
+def test_a_common_phrase_aligns_no_passage(spark, monkeypatch):
+    """Documents and items that share a phrase only: no passage is cut."""
+    rng = random.Random(8)
+    words = lambda n, name: [f"{name}{rng.randrange(5000)}" for _ in range(n)]
+    phrase = ["the", "end", "of", "the", "day"]
+    docs = [(i, " ".join(words(30, "d") + phrase + words(30, "d"))) for i in range(300)]
+    written = {}
+    real = decontaminate.materialise
+
+    def kept(df, name):
+        written[name] = real(df, name)
+        return written[name]
+
+    monkeypatch.setattr(decontaminate, "materialise", kept)
+    for shared in (20, 5):  # more items than a rare n-gram may have, and fewer
+        written.clear()
+        items = [(i, " ".join(words(10, "i") + phrase + words(10, "i"))) for i in range(shared)]
+        found = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+        assert found.count() == 0 and written["leak-passages"].count() == 0
+
+
+def test_items_that_share_all_their_words_are_found(spark):
+    """Copies of one item under many ids, and one of few words: the rarest n-grams stay seeds."""
+    words = [f"w{i}" for i in range(30)]
+    items = [(i, " ".join(words)) for i in range(25)] + [(90, "w1 w2"), (91, "solo")]
+    docs = [(1, " ".join(["a", *words, "b"])), (2, "x solo y"), (3, "w5 w6")]
+    found = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, i) for i in range(25)} | {(1, 90), (2, 91)}
+
+
+def plain_leaks(docs, items, least=0.5):
+    """Every document against every item, each aligned whole."""
+    number = {}
+    cut = lambda t: np.array([number.setdefault(w, len(number)) for w in re.findall(r"[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))], int)
+    given, out = [(i, cut(t)) for i, t in items], {}
+    for d, text in docs:
+        body = cut(text)
+        for i, words in given:
+            if len(words) and len(body) and (score := align(words, body)[0] / (MATCH * len(words))) >= least:
+                out[d, i] = score
+    return out
+
+
+def test_the_query_equals_whole_alignments(spark, sf):
+    """All documents and all items of the smallest tables, and some edited copies."""
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    for i, text in items[:8]:
+        words = text.split()
+        docs.append((50_000 + i, " ".join("edit" if k % 4 == 3 else w for k, w in enumerate(words))))
+        docs.append((60_000 + i, " ".join(words[: 2 * len(words) // 3])))
+    found = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got, want = {(r.doc_id, r.item_id): r.score for r in found.collect()}, plain_leaks(docs, items)
+    assert got == want and len([k for k in want if k[0] < 50_000]) > 0 and len(want) >= 16
+
+
 def test_licenses(spark, nasty, empty):
     rng = random.Random(9)
     parts = ["MIT License", "mit-license", "the Apache", "LICENSE", "General public", "license", "gnu", "x", "é", "mİt license", "lİcense", "mit licenKe"]
