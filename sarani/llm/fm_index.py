@@ -97,9 +97,14 @@ class Shard:
             found[at] = np.minimum(row[low[at]], row[high[at] - (1 << int(k))])
         return found
 
-    def matches_of_smaller(self, anchors: np.ndarray, anchor_length: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def matches_of_smaller(
+        self, anchors: np.ndarray, anchor_length: int, window: int, which: np.ndarray | None = None, own: bool = False,
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sequence, start, end of maximal runs whose every window a smaller owner has too.
 
+        `which` names the sequences to search, all by default. With `own` they are searched as
+        copies in the hands of someone larger than their owner, who is smaller then himself.
+
         Only windows that hold the anchor (at `anchors` in each sequence) count. Matching
         statistics are read from the right: a search goes left as long as a smaller owner has
         the string; the next one starts where a further window could begin.
@@ -110,12 +115,14 @@ class Shard:
         low, high = np.zeros(n, np.int64), np.full(n, len(self.text), np.int64)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         live = np.flatnonzero(self.lengths >= window)
+        if which is not None:
+            live = np.intersect1d(live, which, assume_unique=True)
         while len(live):
             symbol = self.text[self.starts[live] + np.maximum(place[live] - 1, 0)]
             new_low, new_high = self.extend(symbol, low[live], high[live])
             good = (new_low < new_high) & (place[live] > left[live])
             where = np.flatnonzero(good)
-            good[where] = self.least_owner(new_low[where], new_high[where]) < self.owner[live[where]]
+            good[where] = self.least_owner(new_low[where], new_high[where]) < self.owner[live[where]] + own
             ahead = live[good]
             low[ahead], high[ahead] = new_low[good], new_high[good]
             place[ahead] -= 1

@@ -28,28 +28,44 @@ def _dense(keys: np.ndarray) -> np.ndarray:
     return np.unique(keys, return_inverse=True)[1].reshape(-1).astype(np.int64)
 
 
+def _doubled(rank: np.ndarray, step: int, ends: np.ndarray) -> np.ndarray:
+    """Ranks of all suffixes by prefix doubling, from ranks by their first `step` symbols."""
+    n = len(rank)
+    at = np.arange(n)
+    longest = int((ends - at).max(initial=0))
+    while step < longest and n and int(rank.max()) < n - 1:
+        ahead = at + step
+        second = np.where(ahead < ends, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        rank = _dense(rank * (n + 1) + second)
+        step *= 2
+    return rank
+
+
 def suffix_ranks(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Ranks of all suffixes of several sequences in one array, by prefix doubling.
+    """Ranks of all suffixes of several sequences in one array.
 
     `ends` holds for each place the end of its sequence; a suffix ends there, and an end is
     smaller than any symbol. Equal suffixes have equal ranks.
     """
-    n = len(symbols)
-    rank, step, longest = _dense(symbols), 1, int((ends - np.arange(n)).max(initial=0))
-    while step < longest:
-        ahead = np.arange(n) + step
-        inside = ahead < ends
-        second = np.where(inside, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        rank = _dense(rank * (n + 1) + second)
-        step *= 2
-    return rank
+    return _doubled(_dense(symbols), 1, ends)
+
 
+def byte_suffix_ranks(letters: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """`suffix_ranks` of bytes, begun with seven bytes at a time in one number."""
+    n, first = len(letters), 7
+    packed = np.zeros(n, np.int64)
+    for k in range(first):
+        ahead = np.arange(k, n + k)
+        packed = packed * 257 + np.where(ahead < ends, letters[np.minimum(ahead, max(n - 1, 0))].astype(np.int64) + 1, 0)
+    return _doubled(_dense(packed), first, ends)
 
-def corpus_order(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text, place, dictionary rank and parse rank of the suffixes that start in first phrases.
 
-    The first phrase of a text runs to the end of its first trigger. Sorted by the two ranks,
-    suffixes are in the order of their bytes. Texts without a trigger have no suffix here.
+def corpus_order(texts: list[bytes], least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, place, dictionary rank and parse rank of all suffixes of `least` bytes or more.
+
+    A suffix begins in a phrase: the rest of the phrase is a suffix of the dictionary, and what
+    follows is a suffix of the parse. Sorted by the two ranks, suffixes are in the order of
+    their bytes.
     """
     data = np.frombuffer(b"".join(texts), np.uint8)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -57,53 +73,61 @@ def corpus_order(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     start = finish - lengths
     found = triggers(Ranges(data, 1), len(data))
     owner = np.searchsorted(finish, found, side="right")
-    inside = found + TRIGGER <= finish[owner]
+    inside = (found + TRIGGER <= finish[owner]) & (found > start[owner])
     found, owner = found[inside], owner[inside]
     # A phrase: from a trigger (or the start of the text) to the end of the next (or of the text).
-    phrase_start = np.concatenate([start, found])
-    order = np.lexsort((np.concatenate([np.full(len(start), -1), found]), np.concatenate([np.arange(len(texts)), owner])))
-    phrase_start = phrase_start[order]
-    phrase_owner = np.concatenate([np.arange(len(texts)), owner])[order]
-    last = np.concatenate([phrase_owner[1:] != phrase_owner[:-1], [True]])
-    phrase_end = np.where(last, finish[phrase_owner], np.concatenate([phrase_start[1:], [0]]) + TRIGGER)
+    some = np.flatnonzero(lengths)
+    phrase_start = np.concatenate([start[some], found])
+    phrase_owner = np.concatenate([some, owner])
+    order = np.argsort(phrase_start, kind="stable")
+    phrase_start, phrase_owner = phrase_start[order], phrase_owner[order]
+    last = np.concatenate([phrase_owner[1:] != phrase_owner[:-1], [True]])[: len(phrase_owner)]
+    phrase_end = np.where(last, finish[phrase_owner], np.concatenate([phrase_start[1:], [0]])[: len(last)] + TRIGGER)
 
     one, two = Ranges(data, 0).hash(phrase_start, phrase_end), Ranges(data, 1).hash(phrase_start, phrase_end)
-    _, sample, phrase = np.unique(np.stack([one, two], 1), axis=0, return_index=True, return_inverse=True)
+    key = np.empty(len(one), [("one", np.uint64), ("two", np.uint64)])
+    key["one"], key["two"] = one, two
+    _, sample, phrase = np.unique(key, return_index=True, return_inverse=True)
     phrase = phrase.reshape(-1)
     size = (phrase_end - phrase_start)[sample]
     base = np.cumsum(size) - size  # the dictionary: one copy of each phrase
     letters = data[np.arange(int(size.sum())) + np.repeat(phrase_start[sample] - base, size)]
-    suffix = suffix_ranks(letters, np.repeat(base + size, size))
+    suffix = byte_suffix_ranks(letters, np.repeat(base + size, size))
     word_rank = _dense(suffix[base])[phrase]  # phrases by their bytes
 
-    first = np.concatenate([[True], phrase_owner[1:] != phrase_owner[:-1]])
-    parse_end = np.flatnonzero(last)[phrase_owner] + 1
+    parse_end = np.flatnonzero(last)[np.cumsum(last) - last] + 1
     parse = suffix_ranks(word_rank, parse_end)
-    heads = np.flatnonzero(first & ~last)
-    count = (phrase_end - phrase_start)[heads] - TRIGGER + 1  # suffixes longer than a trigger, and the trigger itself
-    text = np.repeat(phrase_owner[heads], count)
+    count = np.maximum(lengths - least + 1, 0)
+    text = np.repeat(np.arange(len(texts)), count)
     offset = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    in_dictionary = suffix[np.repeat(base[phrase[heads]], count) + offset]
-    return text, offset, in_dictionary, np.repeat(parse[heads + 1], count)
+    at = start[text] + offset
+    which = np.searchsorted(phrase_start, at, side="right") - 1
+    in_dictionary = suffix[base[phrase[which]] + at - phrase_start[which]]
+    rest = np.where(last[which], 0, parse[np.minimum(which + 1, max(len(parse) - 1, 0))] + 1)
+    return text, offset, in_dictionary, rest
 
 
-def repeated_windows(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
+def repeated_windows(texts: list[bytes], window: int, times: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Text and place of windows that stand at another place too.
 
-    Windows start in the first phrase of a text. Equal windows are neighbours in corpus order,
-    so each window is compared with the next one only.
+    Equal windows are neighbours in corpus order; each neighbour is compared with the next. A
+    text that stands `times` times counts so often, so its windows stand elsewhere if that is more than once.
     """
-    text, offset, dictionary, parse = corpus_order(texts)
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    whole = offset + window <= lengths[text]
-    text, offset, dictionary, parse = text[whole], offset[whole], dictionary[whole], parse[whole]
+    text, offset, dictionary, parse = corpus_order(texts, window)
+    if not len(text):
+        return text, offset
     order = np.lexsort((parse, dictionary))
     text, offset = text[order], offset[order]
     data = np.frombuffer(b"".join(texts), np.uint8)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     at = (np.cumsum(lengths) - lengths)[text] + offset
-    equal = np.ones(max(len(at) - 1, 0), bool)
+    begins = np.ones(len(at), bool)
+    begins[1:] = False
     for which in (0, 1):
         found = Ranges(data, which).hash(at, at + window)
-        equal &= found[1:] == found[:-1]
-    hit = np.concatenate([equal, [False]]) | np.concatenate([[False], equal]) if len(at) else np.zeros(0, bool)
+        begins[1:] |= found[1:] != found[:-1]
+    counts = np.ones(len(texts), np.int64) if times is None else np.array(times, np.int64)
+    opens = np.flatnonzero(begins)
+    total = np.add.reduceat(counts[text], opens)
+    hit = np.repeat(total > 1, np.diff(np.append(opens, len(at))))
     return text[hit], offset[hit]

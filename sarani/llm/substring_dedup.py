@@ -3,11 +3,11 @@
 1. Every window of words has a minimizer, its word n-gram of the smallest hash. Windows in a
    row with one minimizer are a segment; equal windows always lie in segments of one
    minimizer. Only minimizers of at least two documents go on.
-2. Equal segments are one content, owned by the smallest document that has it. In all its
-   other documents the whole segment goes.
-3. Contents of one minimizer that differ are put into a shard. The shard is indexed, and its
-   documents stream through it: backward search gives the matching statistics against
-   smaller documents, and intervals of at least a window are reported.
+2. Equal segments are one content, owned by the smallest document that has it.
+3. The contents of one minimizer are put into a shard. The shard is indexed, and its documents
+   stream through it: backward search gives the matching statistics against smaller
+   documents, and intervals of at least a window are reported. A content that later documents
+   have too streams through once more on their behalf; then its owner is a smaller document.
 4. A minimizer with more contents than a shard takes is resolved exactly by window hashes.
 """
 
@@ -83,7 +83,7 @@ def _with_words(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     listed = materialise(wanted.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("wanted")), "sub-wanted")
     joined = texts.join(broadcast_if(listed, 64, "wanted"), "doc_id")
     kinds = dict(wanted.dtypes)
-    arrow = {"int": pa.int32(), "bigint": pa.int64()}
+    arrow = {"int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text", CHUNK):
@@ -105,19 +105,23 @@ def _with_words(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _search(contents: DataFrame, window: int, gram: int, shard_words: int) -> DataFrame:
-    """k1, k2, low, high: runs of a content that smaller documents have, by shards."""
+    """k1, k2, later, low, high: runs of a content that smaller documents than its owner have,
+    or than its later documents, by shards."""
 
     def search(rows: list[tuple]) -> pa.RecordBatch:
-        k1, k2, anchors, owners, sequences = zip(*rows)
-        which, low, high = Shard(list(sequences), np.array(owners)).matches_of_smaller(np.array(anchors, np.int64), gram, window)
+        k1, k2, anchors, owners, copied, sequences = zip(*rows)
+        shard, anchors = Shard(list(sequences), np.array(owners)), np.array(anchors, np.int64)
+        found = [shard.matches_of_smaller(anchors, gram, window), shard.matches_of_smaller(anchors, gram, window, np.flatnonzero(copied), own=True)]
+        which, low, high = (np.concatenate(x) for x in zip(*found))
         return pa.RecordBatch.from_pydict({
-            "k1": np.array(k1, np.int64)[which], "k2": np.array(k2, np.int64)[which], "low": low.astype(np.int32), "high": high.astype(np.int32),
+            "k1": np.array(k1, np.int64)[which], "k2": np.array(k2, np.int64)[which], "later": np.repeat([False, True], [len(f[0]) for f in found]),
+            "low": low.astype(np.int32), "high": high.astype(np.int32),
         })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size, group = [], 0, None
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("minimizer", "k1", "k2", "anchor", "doc_id")]
+            columns = [batch.column(c).to_pylist() for c in ("minimizer", "k1", "k2", "anchor", "doc_id", "copied")]
             for minimizer, *rest, words in zip(*columns, batch.column("words")):
                 if minimizer != group and size >= shard_words:
                     yield search(rows)
@@ -129,11 +133,12 @@ def _search(contents: DataFrame, window: int, gram: int, shard_words: int) -> Da
             yield search(rows)
 
     ordered = contents.repartition("minimizer").sortWithinPartitions("minimizer")
-    return ordered.select("minimizer", "k1", "k2", "anchor", "doc_id", "words").mapInArrow(run, "k1 long, k2 long, low int, high int")
+    columns = ordered.select("minimizer", "k1", "k2", "anchor", "doc_id", "copied", "words")
+    return columns.mapInArrow(run, "k1 long, k2 long, later boolean, low int, high int")
 
 
 def _by_windows(contents: DataFrame, window: int) -> DataFrame:
-    """k1, k2, low, high as `_search` gives them, from the hashes of all windows."""
+    """k1, k2, later, low, high as `_search` gives them, from the hashes of all windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,7 +153,9 @@ def _by_windows(contents: DataFrame, window: int) -> DataFrame:
 
     windows = materialise(contents.mapInArrow(run, "k1 long, k2 long, doc_id long, low int, w1 long, w2 long"), "sub-windows")
     least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("owner"))
-    return windows.join(least, ["w1", "w2"]).where("owner < doc_id").select("k1", "k2", "low", (F.col("low") + window).alias("high"))
+    own = windows.join(least, ["w1", "w2"]).where("owner < doc_id").select("k1", "k2", F.lit(False).alias("later"), "low", (F.col("low") + window).alias("high"))
+    later = contents.where("copied").select("k1", "k2", F.lit(True).alias("later"), F.lit(0).alias("low"), F.size("words").alias("high"))
+    return own.unionByName(later)
 
 
 def repeated_runs(texts: DataFrame, window: int, gram: int, shard_words: int, most_contents: int) -> DataFrame:
@@ -158,20 +165,20 @@ def repeated_runs(texts: DataFrame, window: int, gram: int, shard_words: int, mo
     several = materialise(several, "sub-several")
     some = broadcast_if(several, 32)
     segments = materialise(segments.join(some, "minimizer", "left_semi"), "sub-segments")
-    contents = segments.groupBy("minimizer", "k1", "k2").agg(F.min(F.struct("doc_id", "start", "n", "anchor")).alias("own"))
-    contents = materialise(contents.select("minimizer", "k1", "k2", "own.*"), "sub-contents")
-    sizes = contents.groupBy("minimizer").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1")
-    differing = contents.join(sizes, "minimizer")
-    worded = materialise(_with_words(texts, differing), "sub-words")
+    contents = segments.groupBy("minimizer", "k1", "k2").agg(
+        F.min(F.struct("doc_id", "start", "n", "anchor")).alias("own"), (F.max("doc_id") > F.min("doc_id")).alias("copied")
+    )
+    contents = materialise(contents.select("minimizer", "k1", "k2", "copied", "own.*"), "sub-contents")
+    sizes = contents.groupBy("minimizer").agg(F.count(F.lit(1)).alias("contents"))
+    worded = materialise(_with_words(texts, contents.join(sizes, "minimizer").where("contents > 1 OR copied")), "sub-words")
     found = _search(worded.where(F.col("contents") <= most_contents), window, gram, shard_words).unionByName(
         _by_windows(worded.where(F.col("contents") > most_contents), window)
     )
-    runs = materialise(found.groupBy("k1", "k2").agg(F.collect_list(F.struct("low", "high")).alias("runs")), "sub-runs")
+    runs = materialise(found.groupBy("k1", "k2").agg(F.collect_list(F.struct("later", "low", "high")).alias("runs")), "sub-runs")
     owners = contents.select("minimizer", "k1", "k2", F.col("doc_id").alias("owner"))
-    owned = segments.join(owners, ["minimizer", "k1", "k2"]).join(broadcast_if(runs, 32, "runs"), ["k1", "k2"], "left")
-    whole = F.array(F.struct(F.lit(0).alias("low"), F.col("n").alias("high")))
-    part = F.when(F.col("doc_id") > F.col("owner"), whole).otherwise(F.col("runs"))
-    cut = owned.select("doc_id", "start", F.inline(part))
+    owned = segments.join(owners, ["minimizer", "k1", "k2"]).join(broadcast_if(runs, 40, "runs"), ["k1", "k2"])
+    own_runs = F.filter("runs", lambda r: r["later"] == (F.col("doc_id") > F.col("owner")))
+    cut = owned.select("doc_id", "start", F.inline(own_runs))
     return cut.select("doc_id", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
 
 

@@ -1,15 +1,13 @@
 """Removal of byte runs that stand elsewhere too, by prefix-free parsing.
 
-1. Every window of bytes is named by the first trigger at or after its start. Triggers whose
-   next ANCHOR bytes stand once in the corpus lead no repeated window; they are left out.
-2. The windows before a trigger are dealt into blocks by their distance from it. All windows
-   of a block share its inner bytes; if the bytes of the whole block (its content) stand at
-   two places, all its windows are repeated; if the inner bytes do not, none is.
-3. Contents with equal inner bytes that differ go into a shard. There the contents are
-   parsed, the suffix arrays of dictionary and parse give their suffixes in corpus order, and
-   neighbours that share a window's length are repeated.
-4. Inner bytes with more contents than a shard takes, and windows without a trigger near
-   their start, are compared by window hashes.
+1. Every window of bytes is named by its leftmost n-gram of the smallest rolling hash. Windows in
+   a row with one such place are a segment. Equal windows have equal names, so they lie in
+   segments of one name; names with a single segment go no further.
+2. Equal segments are one content that counts how often it stands. The contents of one name go
+   to one shard: there triggers of a rolling hash cut them into phrases, the suffix arrays of the
+   dictionary of phrases and of the parse give all suffixes in corpus order, and neighbours
+   that share a window's length are added up. Windows that stand more than once are removed.
+3. A name with more contents than a shard takes is resolved by window hashes, exactly.
 """
 
 from __future__ import annotations
@@ -21,228 +19,168 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sarani.llm.bpe import ragged
 from sarani.llm.common import as_bytes, broadcast_if, chunks, keyed_texts
-from sarani.llm.prefix_free import TRIGGER, repeated_windows, triggers
+from sarani.llm.prefix_free import TRIGGER, repeated_windows
 from sarani.llm.rolling import Ranges, mix
 from sarani.llm.substring_dedup import merged
 from sarani.session import materialise
 
-BLOCK = 64
 SHARD_BYTES = 400_000  # a shard is closed once it has so many bytes
-MOST_CONTENTS = 5_000  # contents of equal inner bytes that a shard takes
+MOST_CONTENTS = 5_000  # contents of one name that a shard takes
 CHUNK = 1 << 20
-
-
-class Parsed:
-    """Triggers, blocks and trigger-free windows of several texts."""
-
-    def __init__(self, texts: list[bytes], window: int):
-        self.window = window
-        self.reach = window * 4 // 5  # a trigger further off does not name a window
-        self.anchor = window - self.reach
-        self.data = np.frombuffer(b"".join(texts), np.uint8)
-        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        self.finish = np.cumsum(lengths)
-        self.start = self.finish - lengths
-        self.one, self.two = Ranges(self.data, 0), Ranges(self.data, 1)
-        at = triggers(self.two, len(self.data))
-        text = np.searchsorted(self.finish, at, side="right")
-        inside = at + TRIGGER <= self.finish[text]
-        at, text = at[inside], text[inside]
-        # Windows named by a trigger start after the one before it, or at the text's start.
-        after = np.where(np.concatenate([[True], text[1:] != text[:-1]]), self.start[text], np.concatenate([[0], at[:-1]]) + 1)[: len(at)]
-        self.far = np.minimum(at - after, self.reach)
-        self.near = np.maximum(at + window - self.finish[text], 0)
-        names = self.far >= self.near
-        free_low, free_high = [after], [np.minimum(at - self.reach - 1, self.finish[text] - window)]
-        ends = np.full(len(texts), -1)
-        ends[text] = at  # the last trigger of each text
-        free_low.append(np.maximum(ends + 1, self.start))
-        free_high.append(self.finish - window)
-        self.free_low, self.free_high = np.concatenate(free_low), np.concatenate(free_high)
-        self.free_text = np.concatenate([text, np.arange(len(texts))])
-        self.at, self.text, self.far, self.near = at[names], text[names], self.far[names], self.near[names]
-
-    def anchors(self) -> np.ndarray:
-        return self.one.hash(self.at, self.at + self.anchor)
-
-    def blocks(self) -> tuple[np.ndarray, ...]:
-        """Number of the trigger, low and high distance, inner and content hashes."""
-        count = self.far // BLOCK - self.near // BLOCK + 1
-        which = np.repeat(np.arange(len(self.at)), count)
-        block = ragged(self.near // BLOCK, count)
-        low, high = np.maximum(self.near[which], block * BLOCK), np.minimum(self.far[which], block * BLOCK + BLOCK - 1)
-        at = self.at[which]
-        inner = self.one.hash(at - block * BLOCK, at - block * BLOCK - BLOCK + 1 + self.window)
-        inner = mix(inner + block.astype(np.uint64))
-        shape = mix((low * (self.window + 1) + high).astype(np.uint64))
-        return which, low, high, inner, *(r.hash(at - high, at - low + self.window) ^ shape for r in (self.one, self.two))
-
-    def free(self) -> tuple[np.ndarray, np.ndarray]:
-        """Text and place of windows without a trigger near their start."""
-        count = np.maximum(self.free_high - self.free_low + 1, 0)
-        return np.repeat(self.free_text, count), ragged(self.free_low, count)
-
-
-def _anchors(texts: DataFrame, window: int) -> DataFrame:
-    """anchor: one row per trigger that names a window."""
+_PLACE_BITS = 28
+
+
+def leftmost_least(keys: np.ndarray, width: int) -> np.ndarray:
+    """For each run of `width` places the least key in it; the keys hold their place in the low bits."""
+    reach = 1
+    while reach * 2 <= width:
+        keys = np.minimum(keys[:-reach], keys[reach:])
+        reach *= 2
+    return np.minimum(keys[: len(keys) - (width - reach)], keys[width - reach :]) if reach < width else keys
+
+
+def segments_of(texts: list[bytes], window: int) -> tuple[np.ndarray, ...]:
+    """Text, first byte in the text, number of bytes, name and two content hashes of each segment."""
+    gram = window // 6
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    finish = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 3
+    if len(data) < window:
+        return none
+    one, two = Ranges(data, 0), Ranges(data, 1)
+    at = np.arange(len(data) - gram + 1)
+    names = one.hash(at, at + gram)
+    bits = np.uint64(_PLACE_BITS)
+    place = leftmost_least((mix(names) >> bits << bits) | at.astype(np.uint64), window - gram + 1) & ((np.uint64(1) << bits) - np.uint64(1))
+    text = np.searchsorted(finish, at[: len(place)], side="right")
+    starts = np.flatnonzero(at[: len(place)] + window <= finish[text])
+    if not len(starts):
+        return none
+    place, text = place[starts].astype(np.int64), text[starts]
+    opens = np.flatnonzero(np.concatenate([[True], (np.diff(place) != 0) | (np.diff(starts) != 1) | (np.diff(text) != 0)]))
+    last = np.append(opens[1:], len(starts)) - 1
+    low, high, text = starts[opens], starts[last] + window, text[opens]
+    begin = np.concatenate([[0], finish[:-1]])[text]
+    return text, low - begin, high - low, names[place[opens]], one.hash(low, high), two.hash(low, high)
+
+
+def _segments(texts: DataFrame, window: int) -> DataFrame:
+    """row, start, n, name, k1, k2 of every segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text", CHUNK):
-            found = Parsed(as_bytes(chunk.column("text")), window).anchors()
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["anchor"])
-
-    return texts.select("text").mapInArrow(run, "anchor long")
-
+            text, start, n, *keys = segments_of(as_bytes(chunk.column("text")), window)
+            yield pa.RecordBatch.from_arrays(
+                [chunk.column("row").take(pa.array(text)), pa.array(start), pa.array(n.astype(np.int32)), *[pa.array(k.view(np.int64)) for k in keys]],
+                ["row", "start", "n", "name", "k1", "k2"],
+            )
 
-def _blocks(texts: DataFrame, window: int) -> DataFrame:
-    """doc_id, at, low, high, anchor, inner, k1, k2 of every block."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, "text", CHUNK):
-            parsed = Parsed(as_bytes(chunk.column("text")), window)
-            which, low, high, *keys = parsed.blocks()
-            text = parsed.text[which]
-            yield pa.RecordBatch.from_arrays([
-                chunk.column("doc_id").take(pa.array(text)), pa.array(parsed.at[which] - parsed.start[text]),
-                pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.array(parsed.anchors()[which].view(np.int64)),
-                *[pa.array(k.view(np.int64)) for k in keys],
-            ], ["doc_id", "at", "low", "high", "anchor", "inner", "k1", "k2"])
-
-    return texts.mapInArrow(run, "doc_id long, at long, low int, high int, anchor long, inner long, k1 long, k2 long")
-
-
-def _free_windows(texts: DataFrame, window: int) -> DataFrame:
-    """doc_id, first, w1, w2 of windows without a trigger near their start."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, "text", CHUNK):
-            parsed = Parsed(as_bytes(chunk.column("text")), window)
-            text, at = parsed.free()
-            yield pa.RecordBatch.from_arrays([
-                chunk.column("doc_id").take(pa.array(text)), pa.array(at - parsed.start[text]),
-                *[pa.array(r.hash(at, at + window).view(np.int64)) for r in (parsed.one, parsed.two)],
-            ], ["doc_id", "first", "w1", "w2"])
+    return texts.select("row", "text").mapInArrow(run, "row long, start long, n int, name long, k1 long, k2 long")
 
-    return texts.mapInArrow(run, "doc_id long, first long, w1 long, w2 long")
 
-
-def _with_bytes(texts: DataFrame, contents: DataFrame, window: int) -> DataFrame:
-    """inner, k1, k2, times, several and the bytes of each content, cut from its first place."""
-    names = ["inner", "k1", "k2", "times", "contents", "at", "low", "high"]
-    listed = materialise(contents.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("wanted")), "suffix-wanted")
-    joined = texts.join(broadcast_if(listed, 80, "wanted"), "doc_id")
+def _with_bytes(texts: DataFrame, contents: DataFrame) -> DataFrame:
+    """name, k1, k2, times, contents and the bytes of each content, cut from its first place."""
+    names = ["name", "k1", "k2", "times", "contents", "start", "n"]
+    listed = materialise(contents.groupBy("row").agg(F.collect_list(F.struct(*names)).alias("wanted")), "suffix-wanted")
+    joined = texts.select("row", "text").join(broadcast_if(listed, 72, "wanted"), "row")
     out = names[:5]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text", CHUNK):
             rows = {c: [] for c in [*out, "bytes"]}
+            size = 0
             for body, held in zip(as_bytes(chunk.column("text")), chunk.column("wanted").to_pylist()):
                 for w in held:
                     for c in out:
                         rows[c].append(w[c])
-                    rows["bytes"].append(body[w["at"] - w["high"] : w["at"] - w["low"] + window])
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if c == "bytes" else pa.int64()) for c, v in rows.items()], list(rows))
+                    rows["bytes"].append(body[w["start"] : w["start"] + w["n"]])
+                    size += w["n"]
+                    if size >= 4 * CHUNK:
+                        yield _bytes_batch(rows)
+                        rows, size = {c: [] for c in rows}, 0
+            yield _bytes_batch(rows)
 
     return joined.mapInArrow(run, ", ".join(f"{c} long" for c in out) + ", bytes binary")
 
 
+def _bytes_batch(rows: dict[str, list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if c == "bytes" else pa.int64()) for c, v in rows.items()], list(rows))
+
+
+def _runs(text: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, low and high of the runs that windows in a row cover."""
+    order = np.lexsort((first, text))
+    text, first = text[order], first[order]
+    opens = np.flatnonzero(np.concatenate([[True], (np.diff(text) != 0) | (np.diff(first) > window)])[: len(text)])
+    last = (np.append(opens[1:], len(text)) - 1)[: len(opens)]
+    return text[opens], first[opens], first[last] + window
+
+
 def _in_shards(contents: DataFrame, window: int, shard_bytes: int) -> DataFrame:
-    """k1, k2, first: windows of contents that stand elsewhere in their shard."""
+    """k1, k2, low, high: runs of a content whose windows stand more than once."""
 
-    def search(keys: list[tuple[int, int]], texts: list[bytes]) -> pa.RecordBatch:
-        text, first = repeated_windows(texts, window)
+    def search(keys: list[tuple[int, int]], times: list[int], texts: list[bytes]) -> pa.RecordBatch:
+        text, low, high = _runs(*repeated_windows(texts, window, times), window)
         k = np.array(keys, np.int64).reshape(-1, 2)[text]
-        return pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(first.astype(np.int32))], ["k1", "k2", "first"])
+        return pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], ["k1", "k2", "low", "high"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, texts, size, group = [], [], 0, None
+        keys, times, texts, size, group = [], [], [], 0, None
         for batch in batches:
-            for inner, k1, k2, data in zip(*(batch.column(c).to_pylist() for c in ("inner", "k1", "k2", "bytes"))):
-                if inner != group and size >= shard_bytes:
-                    yield search(keys, texts)
-                    keys, texts, size = [], [], 0
-                group = inner
+            for name, k1, k2, n, data in zip(*(batch.column(c).to_pylist() for c in ("name", "k1", "k2", "times", "bytes"))):
+                if name != group and size >= shard_bytes:
+                    yield search(keys, times, texts)
+                    keys, times, texts, size = [], [], [], 0
+                group = name
                 keys.append((k1, k2))
+                times.append(n)
                 texts.append(data)
                 size += len(data)
         if texts:
-            yield search(keys, texts)
-
-    ordered = contents.repartition("inner").sortWithinPartitions("inner")
-    return ordered.select("inner", "k1", "k2", "bytes").mapInArrow(run, "k1 long, k2 long, first int")
+            yield search(keys, times, texts)
 
-
-def _repeated(windows: DataFrame) -> DataFrame:
-    """The rows whose w1, w2 stand more than once."""
-    several = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return windows.join(several, ["w1", "w2"], "left_semi")
+    ordered = contents.repartition("name").sortWithinPartitions("name")
+    return ordered.select("name", "k1", "k2", "times", "bytes").mapInArrow(run, "k1 long, k2 long, low int, high int")
 
 
 def _by_windows(contents: DataFrame, window: int) -> DataFrame:
-    """k1, k2, first as `_in_shards` gives them, from the hashes of all windows."""
+    """k1, k2, low, high as `_in_shards` gives them, a run per window, from the hashes of all windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k1, k2, data in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "bytes"))):
+            for k1, k2, times, data in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "times", "bytes"))):
                 values = np.frombuffer(data, np.uint8)
                 first = np.arange(len(values) - window + 1)
                 yield pa.RecordBatch.from_pydict({
-                    "k1": np.full(len(first), k1), "k2": np.full(len(first), k2), "first": first.astype(np.int32),
+                    "k1": np.full(len(first), k1), "k2": np.full(len(first), k2), "times": np.full(len(first), times), "low": first.astype(np.int32),
                     "w1": Ranges(values, 0).hash(first, first + window).view(np.int64), "w2": Ranges(values, 1).hash(first, first + window).view(np.int64),
                 })
 
-    return _repeated(materialise(contents.mapInArrow(run, "k1 long, k2 long, first int, w1 long, w2 long"), "suffix-windows")).select("k1", "k2", "first")
+    windows = materialise(contents.mapInArrow(run, "k1 long, k2 long, times long, low int, w1 long, w2 long"), "suffix-windows")
+    several = windows.groupBy("w1", "w2").agg(F.sum("times").alias("all")).where("all > 1").select("w1", "w2")
+    return windows.join(several, ["w1", "w2"], "left_semi").select("k1", "k2", "low", (F.col("low") + window).alias("high"))
 
 
 def repeated_spans(texts: DataFrame, window: int, shard_bytes: int, most_contents: int) -> DataFrame:
-    """doc_id, low, high: byte runs whose every window stands elsewhere too."""
-    several = _anchors(texts, window).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    several = materialise(several, "suffix-several")
-    some = broadcast_if(several, 32)
-    blocks = materialise(_blocks(texts, window).join(some, "anchor", "left_semi").drop("anchor"), "suffix-blocks")
-    contents = blocks.groupBy("inner", "k1", "k2").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "at", "low", "high")).alias("own"))
-    contents = materialise(contents.select("inner", "k1", "k2", "times", "own.*"), "suffix-contents")
-    differing = contents.groupBy("inner").agg(F.count(F.lit(1)).alias("contents"), F.min("times").alias("least")).where("contents > 1 AND least = 1")
-    worded = materialise(_with_bytes(texts, contents.join(differing.drop("least"), "inner"), window), "suffix-bytes")
+    """row, low, high: byte runs whose every window stands elsewhere too."""
+    segments = materialise(_segments(texts, window), "suffix-segments")
+    several = materialise(segments.groupBy("name").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("name"), "suffix-several")
+    segments = segments.join(broadcast_if(several, 32), "name", "left_semi")
+    contents = segments.groupBy("name", "k1", "k2").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "start", "n")).alias("own"))
+    contents = materialise(contents.select("name", "k1", "k2", "times", "own.*"), "suffix-contents")
+    sizes = contents.groupBy("name").agg(F.count(F.lit(1)).alias("contents"))
+    worded = materialise(_with_bytes(texts, contents.join(sizes, "name")), "suffix-bytes")
     found = _in_shards(worded.where(F.col("contents") <= most_contents), window, shard_bytes).unionByName(
         _by_windows(worded.where(F.col("contents") > most_contents), window)
     )
-    firsts = materialise(found.groupBy("k1", "k2").agg(F.collect_set("first").alias("firsts")), "suffix-found")
-    counted = contents.where("times > 1").select("k1", "k2", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("firsts"))
-    single = firsts.join(contents.where("times = 1").select("k1", "k2"), ["k1", "k2"], "left_semi").select("k1", "k2", F.lit(False).alias("whole"), "firsts")
-    cut = blocks.join(counted.unionByName(single), ["k1", "k2"])
-    whole = F.array(F.struct(F.lit(0).alias("low"), (F.col("high") - F.col("low") + window).alias("high")))
-    parts = F.transform("firsts", lambda x: F.struct(x.alias("low"), (x + window).alias("high")))
-    spans = cut.select("doc_id", (F.col("at") - F.col("high")).alias("from"), F.inline(F.when(F.col("whole"), whole).otherwise(parts)))
-    spans = spans.select("doc_id", (F.col("from") + F.col("low")).alias("low"), (F.col("from") + F.col("high")).alias("high"))
-    return spans.unionByName(_free_spans(texts, window))
-
-
-def _free_spans(texts: DataFrame, window: int) -> DataFrame:
-    """doc_id, low, high of repeated windows without a trigger near their start.
-
-    They come from text of a short period for the most part: many windows, few different
-    ones. So the different ones are counted and sent to the windows, whose runs are joined
-    where they are.
-    """
-    free = materialise(_free_windows(texts, window), "suffix-free")
-    several = free.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
-    found = free.join(broadcast_if(materialise(several, "suffix-free-several"), 48), ["w1", "w2"], "left_semi")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, first = batch.column("doc_id").to_numpy(), batch.column("first").to_numpy()
-            opens = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(first) != 1)])[: len(doc)])
-            last = np.concatenate([opens[1:], [len(doc)]])[: len(opens)] - 1
-            yield pa.RecordBatch.from_pydict({"doc_id": doc[opens], "low": first[opens], "high": first[last] + window})
-
-    return found.select("doc_id", "first").mapInArrow(run, "doc_id long, low long, high long")
+    runs = materialise(found.groupBy("k1", "k2").agg(F.collect_list(F.struct("low", "high")).alias("runs")), "suffix-runs")
+    cut = segments.join(broadcast_if(runs, 32, "runs"), ["k1", "k2"]).select("row", "start", F.inline("runs"))
+    return cut.select("row", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
 
 
-def _by_document(spans: DataFrame) -> DataFrame:
-    """doc_id and its spans in order, overlapping and touching ones as one."""
+def _by_row(spans: DataFrame) -> DataFrame:
+    """row and its spans in order, overlapping and touching ones as one."""
 
     kind = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
 
@@ -256,10 +194,10 @@ def _by_document(spans: DataFrame) -> DataFrame:
                 opens = np.concatenate([[True], low[1:] > high[:-1]])
                 last = np.concatenate([opens[1:], [True]])
                 out.append([{"low": a, "high": b} for a, b in zip(low[opens].tolist(), high[last].tolist())])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, kind)], ["doc_id", "gone"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, kind)], ["row", "gone"])
 
-    listed = spans.groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("gone"))
-    return listed.mapInArrow(run, "doc_id long, gone array<struct<low:long,high:long>>")
+    listed = spans.groupBy("row").agg(F.collect_set(F.struct("low", "high")).alias("gone"))
+    return listed.mapInArrow(run, "row long, gone array<struct<low:long,high:long>>")
 
 
 def remove_repeated_bytes(
@@ -271,16 +209,17 @@ def remove_repeated_bytes(
     A byte of a text in UTF-8 goes if a string of `window` bytes covers it that starts at
     another place too, in the same or another document; all strings are judged on the input.
     kept holds the other bytes (binary: a cut may fall into a character), spans the removed
-    ranges. Null and empty texts have no bytes. Rows that repeat are copies of each other. Rows
-    with a null id are compared with nothing and stay whole. Repeated ids must repeat the
-    text. Other columns are not read. An empty table gives no rows.
+    ranges. Null and empty texts have no bytes. Every row is a text of its own, whatever its id: rows
+    that repeat are copies of each other, and null or repeated ids are compared like others.
+    Other columns are not read. An empty table gives no rows.
     """
     if window < 5 * TRIGGER:
         raise ValueError(f"a window has at least {5 * TRIGGER} bytes")
-    texts = keyed_texts(docs, key, text)
-    spans = repeated_spans(texts.where("doc_id IS NOT NULL"), window, shard_bytes, most_contents)
-    listed = materialise(_by_document(spans), "suffix-gone")
-    joined = texts.join(broadcast_if(listed, 24, "gone"), "doc_id", "left")
+    # Written with a number per row, which every later reading then finds unchanged.
+    texts = materialise(keyed_texts(docs, key, text).withColumn("row", F.monotonically_increasing_id()), "suffix-texts")
+    spans = repeated_spans(texts, window, shard_bytes, most_contents)
+    listed = materialise(_by_row(spans), "suffix-gone")
+    joined = texts.join(broadcast_if(listed, 24, "gone"), "row", "left").select("doc_id", "text", "gone")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<struct<low:long,high:long>>" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 import hashlib
 import re
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -12,6 +13,7 @@ from sarani.llm.line_dedup import remove_spread_lines
 from sarani.llm.near_dedup import near_components
 from sarani.llm.prefix_free import corpus_order, repeated_windows
 from sarani.llm.substring_dedup import merged, remove_repeated_runs
+from sarani.llm import substring_dedup, suffix_dedup
 from sarani.llm.suffix_dedup import remove_repeated_bytes
 from tests_llm_helpers import by_id
 
@@ -162,14 +164,37 @@ def test_repeated_bytes_of_odd_rows(spark, empty):
     body = " ".join(f"w{i}" for i in range(200))
     rows = [(None, body), (2, body), (3, None), (4, "x" * 399)]
     found = remove_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string"), with_text=False).collect()
-    assert sorted((r.doc_id or -1, r.n_removed) for r in found) == [(-1, 0), (2, 0), (3, 0), (4, 0)]
-    found = remove_repeated_bytes(spark.createDataFrame([*rows, (2, body)], "doc_id long, text string"), with_text=False).collect()
-    assert sorted((r.doc_id or -1, r.n_removed) for r in found)[1:3] == [(2, len(body)), (2, len(body))]
+    assert sorted((r.doc_id or -1, r.n_removed) for r in found) == [(-1, len(body)), (2, len(body)), (3, 0), (4, 0)]
+    found = remove_repeated_bytes(spark.createDataFrame([(2, body), (2, "other " + body), (5, body[1:500])], "doc_id long, text string"), with_text=False).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in found) == [(2, len(body)), (2, len(body)), (5, 499)]
     assert remove_repeated_bytes(empty).count() == 0
     with pytest.raises(ValueError):
         remove_repeated_bytes(empty, window=20)
 
 
+def test_windows_of_texts_that_count_more_than_once():
+    texts = [b"a" * 120, bytes(range(100)), b"q" + bytes(range(99))]
+    hit = {}
+    for times in ([1, 1, 1], [1, 2, 1]):
+        text, first = repeated_windows(texts, 100, times)
+        hit[tuple(times)] = set(zip(text.tolist(), first.tolist()))
+    periodic = {(0, k) for k in range(21)}
+    assert hit == {(1, 1, 1): periodic, (1, 2, 1): periodic | {(1, 0)}}
+
+
+def test_the_suffix_order_gives_all_removals(nasty, monkeypatch):
+    """Without the shards nothing is removed: no other path decides below the limit of a shard."""
+    monkeypatch.setattr(suffix_dedup, "repeated_windows", lambda *_: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    assert remove_repeated_bytes(nasty.select("doc_id", "text"), window=100, with_text=False).agg(F.sum("n_removed")).first()[0] == 0
+
+
+def test_backward_search_gives_all_removed_runs(nasty, monkeypatch):
+    """Without the index nothing is removed: no other path decides below the limit of a shard."""
+    none = (np.zeros(0, np.int64),) * 3
+    monkeypatch.setattr(substring_dedup, "Shard", lambda *_: SimpleNamespace(matches_of_smaller=lambda *_, **__: none))
+    assert remove_repeated_runs(nasty.select("doc_id", "text"), with_text=False).agg(F.sum("n_removed")).first()[0] == 0
+
+
 def test_corpus_order_is_the_order_of_bytes():
     rng = np.random.default_rng(3)
     parts = [bytes(rng.integers(97, 100, rng.integers(30, 200)).tolist()) for _ in range(5)]
