@@ -15,9 +15,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from sarani.llm.common import as_bytes, keyed_texts
+from sarani.llm.common import as_bytes, chunks, keyed_texts
 from sarani.session import materialise
 
+CHUNK = 1 << 20
+
 Hash = Callable[[bytes], bytes]
 
 
@@ -30,7 +32,7 @@ def normalised(texts: DataFrame, hash_of: Hash, columns: tuple[str, ...]) -> Dat
     kinds = {"hash": "binary", "sha256": "string", "norm": "binary"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chunks(batches, "text", CHUNK):
             norm = [t.lower() for t in as_bytes(batch.column("text"))]
             made = {
                 "hash": lambda norm=norm: pa.array([hash_of(t) for t in norm], pa.binary()),
