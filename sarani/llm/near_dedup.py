@@ -7,11 +7,13 @@
    Pairs whose sketches differ in few bits are confirmed on the full sets.
 4. Confirmed links form components. In buckets that hold several components after that,
    members that share too few shingles with all others are dropped; the rest gets another
-   round with the member that shares most as the centre. Then pairs across components are
-   compared by bounds, sketches and full sets inside a join, which only links leave.
+   round with the member that shares most as the centre.
+5. What is left is joined by rare shingles: two sets that reach the threshold share one of
+   their rarest shingles, as many as the threshold lets differ and one more. Pairs across
+   components that pass the sizes and the sketches are confirmed on the full sets.
 
-So a group of copies of any size costs one pair per member and band, and no link between
-components is left untested if its classes share a band.
+So a group of copies of any size costs one pair per member and band, buckets carry ids and
+sketches only, and no link between components is left untested if its classes share a band.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from sarani.llm.rolling import cut_words, mix, shingles
 from sarani.session import materialise
 
 SKETCH_WORDS = 8  # of 64 bits
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 
 
 @lru_cache(maxsize=4)
@@ -169,14 +171,17 @@ def near_components(
     tested = _with_centres(filed, centres, sketches, far)
     edges = materialise(confirmed(tested, texts, size, percent), "near-links")
     labels = materialise(_labels(reps, edges), "near-labels")
-    able = materialise(_able(_open(filed, labels), texts, size, percent), "near-able")
+    open_rows = materialise(_open(filed, labels), "near-open")
+    sets = materialise(_sets_of(open_rows.select("doc_id"), texts, size), "near-sets")
+    able = materialise(_able(open_rows, sets, percent), "near-able")
     # The member that shares most of its shingles links most of the edited copies around it.
     centres = able.groupBy("bucket").agg(F.min_by("doc_id", F.struct(F.col("n") - F.col("shared"), "doc_id")).alias("centre"))
     pairs = _with_centres(able, centres, sketches, far).join(tested, ["a", "b"], "left_anti")
     pairs = materialise(pairs, "near-pairs")
     edges = edges.unionByName(materialise(confirmed(pairs, texts, size, percent), "near-links"))
     labels = materialise(_labels(reps, edges), "near-labels")
-    rest = materialise(_across(able.drop("component").join(labels, "doc_id"), sketches, far, percent), "near-rest")
+    met = materialise(_across(able.drop("component").join(labels, "doc_id"), sets, sketches, far, percent), "near-met")
+    rest = materialise(confirmed(met, texts, size, percent), "near-links")
     labels = _labels(reps, edges.unionByName(rest))
     found = classes.join(labels, F.col("rep") == F.col("doc_id")).select("set_hash", "component")
     component = F.coalesce("component", "doc_id")
@@ -213,16 +218,14 @@ def _close(pairs: DataFrame, sketches: DataFrame, far: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(_bits_apart("x", "y") <= far).select("a", "b")
 
 
-def _able(rows: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The rows that can still have a link in their bucket, with n, shared and set.
+def _able(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rows that can still have a link in their bucket, with n and shared.
 
     A shingle that no other document of the open buckets has is in no intersection. So at
     most `shared` shingles can be, and the similarity to any member is at most shared over
     (smallest set of the bucket + lone ones). This drops edited copies of a hot text one by one,
     without comparing them with each other.
     """
-    rows = materialise(rows, "near-open")
-    sets = materialise(_sets_of(rows.select("doc_id"), texts, size), "near-sets")
     lone = sets.select("doc_id", F.explode("set").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("doc_id"))
     lone = lone.where("c = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("lone"))
     sizes = sets.select("doc_id", F.size("set").alias("n")).join(lone, "doc_id", "left")
@@ -231,21 +234,41 @@ def _able(rows: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFra
     least = rows.groupBy("bucket").agg(F.min("n").alias("least"))
     able = rows.join(least, "bucket").where(100 * F.col("shared") >= percent * (F.col("least") + F.col("n") - F.col("shared")))
     able = materialise(able.drop("least"), "near-able")
-    several = able.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("bucket")
-    return able.join(several, "bucket", "left_semi").join(sets, "doc_id")
+    return able.join(_several(able), "bucket", "left_semi")
 
 
-def _across(rows: DataFrame, sketches: DataFrame, far: int, percent: int) -> DataFrame:
-    """Linked pairs of a bucket that lie in two components.
+def _several(rows: DataFrame) -> DataFrame:
+    """The buckets whose rows lie in more than one component."""
+    return rows.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("bucket")
 
-    Pairs are compared inside the join, cheap bounds first, full sets last; only links leave it.
+
+def _rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """doc_id, n, shared, prefix: of each set the shingles, rarest first, that one of any linked set must be.
+
+    A linked set holds `percent` of a set's shingles, so it can lack only the others: of these
+    and one more at least one is shared. Shingles that one set alone has take up places but
+    link nothing; `shared` counts the others.
+    """
+    opened = sets.select("doc_id", F.size("set").alias("n"), F.explode("set").alias("s"))
+    common = opened.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    listed = opened.join(common, "s").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("held"))
+    places = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1 - (F.col("n") - F.size("held"))
+    first = F.slice("held", F.lit(1), F.greatest(places, F.lit(0)).cast("int"))
+    return listed.select("doc_id", "n", F.size("held").alias("shared"), F.transform(first, lambda x: x["s"]).alias("prefix"))
+
+
+def _across(rows: DataFrame, sets: DataFrame, sketches: DataFrame, far: int, percent: int) -> DataFrame:
+    """Pairs (a, b) across components that share a rare shingle and may be linked by size and sketch.
+
+    A pair leaves the join once, with the first of the rare shingles that both have.
     """
-    several = rows.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("bucket")
-    full = rows.join(several, "bucket", "left_semi").join(sketches, "doc_id")
-    x, y = full.alias("x"), full.alias("y")
+    wanted = materialise(rows.join(_several(rows), "bucket", "left_semi").select("doc_id", "component").distinct(), "near-wanted")
+    rare = _rarest(sets.join(broadcast_if(wanted.select("doc_id"), 24), "doc_id", "left_semi"), percent)
+    rare = materialise(rare.join(wanted, "doc_id").join(sketches, "doc_id").withColumn("s", F.explode("prefix")), "near-rare")
+    x, y = rare.alias("x"), rare.alias("y")
     shared = F.least("x.shared", "y.shared")
-    both = F.size(F.array_intersect("x.set", "y.set"))
-    met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
-        & (100 * shared >= percent * (F.col("x.n") + F.col("y.n") - shared)) & (_bits_apart("x", "y") <= far)
-        & (100 * both >= percent * (F.col("x.n") + F.col("y.n") - both)))
-    return met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    fits = 100 * shared >= percent * (F.col("x.n") + F.col("y.n") - shared)
+    once = F.get(F.array_intersect("x.prefix", "y.prefix"), F.lit(0)) == F.col("x.s")
+    met = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
+        & fits & (_bits_apart("x", "y") <= far) & once)
+    return met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
