@@ -12,7 +12,7 @@ from sarani.llm.decontaminate import find_leaks
 from sarani.llm.exact_dedup import exact_dedup
 from sarani.llm.hard_negatives import hard_negatives
 from sarani.llm.language import fit_languages, held_out, identify_language
-from sarani.llm.license_scan import scan_licenses
+from sarani.llm.license_scan import BASE, TEXTS, gram_size, scan_licenses, template_words
 from sarani.llm.line_dedup import remove_spread_lines
 from sarani.llm.near_dedup import near_components
 from sarani.llm.substring_dedup import remove_repeated_runs
@@ -111,42 +111,45 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def _license_values() -> str:
+    listed = [(p, label, "true") for p, label in BASE.items()] + [(p, label, "false") for p, label in TEXTS.items()]
+    return ",\n  ".join(f"('{' '.join(template_words(p))}', '{label}', {base}, {gram_size(template_words(p))})" for p, label, base in listed)
+
+
 @query("op2_license_scan", rf"""
 WITH d AS (
-  SELECT doc_id, list_filter(string_split_regex({NORM}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM documents),
-p(phrase, label, is_base) AS (VALUES
-  ('mit license', 'mit', true), ('apache license', 'apache', true), ('general public license', 'gpl', true),
-  ('permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files', 'mit-text', false),
-  ('licensed under the apache license version 2 0', 'apache-notice', false),
-  ('this work is licensed under the gnu general public license version 3', 'gpl-notice', false),
-  ('licensed under cc by nc 4 0', 'cc-by-nc', false),
-  ('redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met', 'bsd-text', false)),
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex({NORM}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM documents),
+p(phrase, label, is_base, k) AS (VALUES
+  {_license_values()}),
 t AS (
-  SELECT phrase, label, is_base, len(ws) - 1 AS grams, i - 1 AS spot, ws[i] AS a, ws[i + 1] AS b
-  FROM (SELECT *, unnest(range(1, len(ws))) AS i FROM (SELECT *, string_split(phrase, ' ') AS ws FROM p))),
-g AS (SELECT doc_id, ws[i] AS a, ws[i + 1] AS b, i - 1 AS place FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM d)),
+  SELECT phrase, label, is_base, k, len(ws) - k + 1 AS grams, i - 1 AS spot, ws[i:i + k - 1] AS g
+  FROM (SELECT *, unnest(range(1, len(ws) - k + 2)) AS i FROM (SELECT *, string_split(phrase, ' ') AS ws FROM p))),
+known AS (SELECT DISTINCT list_extract(g, 1) AS w FROM t),
+g AS (
+  SELECT r, k, ws[i:i + k - 1] AS g, i - 1 AS place
+  FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM d) JOIN (VALUES (2), (4)) s(k) ON i <= len(ws) - k + 1 WHERE ws[i] IN (SELECT w FROM known)),
 v AS (
-  SELECT doc_id, phrase, label, is_base, grams, place - spot AS diagonal, list_distinct(list(spot)) AS held, min(place) AS low, max(place) AS high
-  FROM g JOIN t USING (a, b) GROUP BY ALL),
+  SELECT r, phrase, label, is_base, k, grams, place - spot AS diagonal, list_distinct(list(spot)) AS held, min(place) AS low, max(place) AS high
+  FROM g JOIN t USING (k, g) GROUP BY ALL),
 m AS (
-  SELECT *, sum(opens) OVER (PARTITION BY doc_id, phrase ORDER BY diagonal) AS span FROM (
-    SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, phrase ORDER BY diagonal) <= 2 THEN 0 ELSE 1 END AS opens FROM v)),
+  SELECT *, sum(opens) OVER (PARTITION BY r, phrase ORDER BY diagonal) AS span FROM (
+    SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, phrase ORDER BY diagonal) <= 2 THEN 0 ELSE 1 END AS opens FROM v)),
 s AS (
-  SELECT doc_id, label, is_base, grams, max(len(held) / grams) AS one, len(list_distinct(flatten(list(held)))) / grams AS merged,
-    max(high) - min(low) + 2 AS length, count(*) FILTER (len(held) = grams) AS complete,
+  SELECT r, label, is_base, k, grams, max(len(held) / grams) AS one, len(list_distinct(flatten(list(held)))) / grams AS merged,
+    max(high) - min(low) + k AS length, count(*) FILTER (len(held) = grams) AS complete,
     min(diagonal) FILTER (len(held) = grams) AS first, max(diagonal) FILTER (len(held) = grams) AS last
-  FROM m GROUP BY doc_id, phrase, label, is_base, grams, span),
+  FROM m GROUP BY r, phrase, label, is_base, k, grams, span),
 f AS (
-  SELECT *, is_base AND complete > 0 AS whole, greatest(one, CASE WHEN length <= 1.5 * (grams + 1) THEN merged ELSE 0 END) AS share FROM s),
-r AS (
-  SELECT doc_id, sum(complete) FILTER (whole) AS n_base, min(first) FILTER (whole) AS first_word, max(last) FILTER (whole) AS last_word,
+  SELECT *, is_base AND complete > 0 AS whole, greatest(one, CASE WHEN length <= 1.5 * (grams + k - 1) THEN merged ELSE 0 END) AS share FROM s),
+e AS (
+  SELECT r, sum(complete) FILTER (whole) AS n_base, min(first) FILTER (whole) AS first_word, max(last) FILTER (whole) AS last_word,
     string_agg(DISTINCT label, ',' ORDER BY label) FILTER (whole) AS base_labels,
     string_agg(DISTINCT label, ',' ORDER BY label) FILTER (whole OR (NOT is_base AND share >= 0.6)) AS labels,
     max(CASE WHEN whole THEN 1.0 WHEN NOT is_base AND share >= 0.6 THEN share ELSE 0.0 END) AS score
-  FROM f GROUP BY doc_id)
+  FROM f GROUP BY r)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
   CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
-  CAST(coalesce(score, 0) AS DOUBLE) AS score FROM d LEFT JOIN r USING (doc_id)
+  CAST(coalesce(score, 0) AS DOUBLE) AS score FROM d LEFT JOIN e USING (r)
 """)
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sarani.llm import decontaminate
 from sarani.llm.decontaminate import MATCH, align, find_leaks
 from sarani.llm.language import LanguageFilter, fit_languages, grams, held_out, identify_language, slots_of
-from sarani.llm.license_scan import BASE, scan_licenses
+from sarani.llm.license_scan import BASE, TEXTS, scan_licenses, template_words
 from tests_llm_helpers import by_id
 
 
@@ -238,7 +238,34 @@ def test_licenses(spark, nasty, empty):
     found = by_id(scan_licenses(docs))
     assert found[100].labels == "gpl,gpl-notice" and found[101].labels == "mit-text" and 0.6 <= found[101].score < 1
     assert found[102].labels == "" and found[102].score == 0 and found[103].n_base == 3000
-    assert scan_licenses(empty).count() == 0 and scan_licenses(docs.union(docs)).count() == docs.count()
+    assert scan_licenses(empty).count() == 0 and scan_licenses(docs.union(docs)).count() == 2 * docs.count()
+
+
+def test_whole_license_texts(spark):
+    """Every whole text, as it is and edited, with words lost and added; and one of 1,500 words."""
+    rng = random.Random(11)
+    long = " ".join(f"clause{i} of{rng.randrange(300)}" for i in range(750))
+    texts = {**TEXTS, long: "long-text"}
+    rows, want = [], {}
+    for i, (text, label) in enumerate(texts.items()):
+        w = template_words(text)
+        noise = lambda n: [f"n{rng.randrange(10**6)}" for _ in range(n)]
+        rows.append((i, " ".join(noise(30) + w + noise(9))))
+        want[i] = (label, 1.0)
+        if len(w) >= 40:
+            cut = [x for k, x in enumerate(w) if k % 31 != 30]
+            added = [y for k, x in enumerate(cut) for y in ([x, "extra"] if k % 40 == 39 else [x])]
+            rows.append((100 + i, ", ".join(noise(5) + added)))
+            want[100 + i] = (label, None)
+            rows.append((200 + i, " ".join(w[: len(w) // 2])))  # too little
+    found = by_id(scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), texts=texts))
+    for i, (label, score) in want.items():
+        assert label in found[i].labels.split(",")
+        assert found[i].score == 1 if score else 0.6 <= found[i].score
+    assert not any(texts[list(texts)[i - 200]] in r.labels.split(",") for i, r in found.items() if i >= 200)
+    assert len(template_words(long)) == 1500
+    with pytest.raises(ValueError):
+        scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), texts={"one": "x"})
 
 
 def test_license_scan_runs_no_python(nasty):
