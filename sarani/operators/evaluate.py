@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType
 
 from sarani.functions.linear import parse_by_language, parse_linearised
 from sarani.functions.once import compute_once, let
+from sarani.functions.subsequence import common_length, common_places
 from sarani.functions.text import strip_text
 
 MERSENNE = (1 << 31) - 1  # a prime; hashes of the bootstrap stay below it
@@ -181,106 +180,35 @@ def rouge_n(df: DataFrame, keys: list[str], pred: str, ref: str, n: int) -> Data
     )
 
 
-def _lcs_bits(words: list, other: list) -> int:
-    """Bit i is set when the LCS of words[:i+1] and `other` is longer than that of words[:i].
-
-    Bit-parallel: one step per word of `other`, whatever the length of `words`.
-    """
-    full = (1 << len(words)) - 1
-    places: dict = {}
-    for i, w in enumerate(words):
-        places[w] = places.get(w, 0) | (1 << i)
-    v = full
-    for w in other:
-        u = v & places.get(w, 0)
-        v = ((v + u) | (v - u)) & full
-    return full ^ v
-
-
-def _f_measure(hits: int, gold: int, pred: int) -> float:
-    return 2.0 * hits / (gold + pred) if hits else 0.0
-
-
-@F.pandas_udf(DoubleType())
-def _rouge_l(ref: pd.Series, pred: pd.Series) -> pd.Series:
-    return pd.Series(
-        [
-            0.0 if r is None or p is None else _f_measure(_lcs_bits(list(r), list(p)).bit_count(), len(r), len(p))
-            for r, p in zip(ref, pred)
-        ]
-    )
+def _f_measure(hits: Column, gold: Column, pred: Column) -> Column:
+    return F.when(hits > 0, 2.0 * hits / (gold + pred)).otherwise(F.lit(0.0))
 
 
 def rouge_l(pred: Column, ref: Column) -> Column:
     """F measure of the longest common subsequence of words; 0 where a text is missing."""
-    return _rouge_l(rouge_words(ref), rouge_words(pred))
-
-
-def _lcs_places(ref: list, pred: list) -> set:
-    """Places in `ref` of one longest common subsequence, as the table walk from the end finds it."""
-    rows = [0]
-    full = (1 << len(pred)) - 1
-    places: dict = {}
-    for j, w in enumerate(pred):
-        places[w] = places.get(w, 0) | (1 << j)
-    v = full
-    for w in ref:
-        u = v & places.get(w, 0)
-        v = ((v + u) | (v - u)) & full
-        rows.append(full ^ v)
-
-    def length(i, j):
-        return (rows[i] & ((1 << j) - 1)).bit_count()
-
-    out, i, j = set(), len(ref), len(pred)
-    while i and j:
-        if ref[i - 1] == pred[j - 1]:
-            out.add(i - 1)
-            i, j = i - 1, j - 1
-        elif length(i, j - 1) > length(i - 1, j):
-            j -= 1
-        else:
-            i -= 1
-    return out
+    score = lambda r, p: _f_measure(common_length(r, p), F.size(r), F.size(p))
+    found = let(rouge_words(ref), lambda r: let(rouge_words(pred), lambda p: F.when(F.arrays_overlap(r, p), score(r, p))))
+    return F.coalesce(found, F.lit(0.0))
 
 
-def _union_lcs(ref: list, pred: list) -> float:
-    """ROUGE-Lsum of two lists of lines, each a list of words."""
-    total_ref, total_pred = sum(map(len, ref)), sum(map(len, pred))
-    left_ref: dict = {}
-    left_pred: dict = {}
-    for lines, left in ((ref, left_ref), (pred, left_pred)):
-        for line in lines:
-            for w in line:
-                left[w] = left.get(w, 0) + 1
-    hits = 0
-    for line in ref:
-        union = set().union(*[_lcs_places(line, p) for p in pred]) if pred else set()
-        for i in sorted(union):
-            w = line[i]
-            if left_ref.get(w, 0) > 0 and left_pred.get(w, 0) > 0:
-                hits += 1
-                left_ref[w] -= 1
-                left_pred[w] -= 1
-    return _f_measure(hits, total_ref, total_pred)
-
-
-@F.pandas_udf(DoubleType())
-def _rouge_lsum(ref: pd.Series, pred: pd.Series) -> pd.Series:
-    return pd.Series(
-        [
-            0.0 if r is None or p is None else _union_lcs([list(x) for x in r], [list(x) for x in p])
-            for r, p in zip(ref, pred)
-        ]
-    )
+def rouge_lsum(pred: Column, ref: Column) -> Column:
+    """F measure of the union of line-wise longest common subsequences; 0 where a text is missing.
 
+    Per line of the reference the places that any line of the prediction has in common with it; a
+    word counts as often as the prediction has it, at the most.
+    """
+    lines = lambda c: F.filter(F.transform(F.split(c, "\n", -1), rouge_words), lambda words: F.size(words) > 0)
 
-def rouge_lsum(pred: Column, ref: Column) -> Column:
-    """F measure of the union of line-wise longest common subsequences; 0 where a text is missing."""
-    lines = lambda c: F.filter(
-        F.transform(F.split(c, "\n", -1), rouge_words), lambda words: F.size(words) > 0
-    )
-    return _rouge_lsum(lines(ref), lines(pred))
+    def union(line, others):
+        places = F.array_distinct(F.flatten(F.transform(others, lambda other: common_places(line, other))))
+        return F.transform(places, lambda i: F.get(line, i - 1))
+
+    def score(refs, preds):
+        found = F.flatten(F.transform(refs, lambda line: union(line, preds)))
+        said = F.flatten(preds)
+        return _f_measure(common_items(found, said), F.size(F.flatten(refs)), F.size(said))
+
+    return F.coalesce(let(lines(ref), lambda r: let(lines(pred), lambda p: score(r, p))), F.lit(0.0))
 
 
 def leaderboard(scores: DataFrame, columns: list[str]) -> DataFrame:

@@ -10,7 +10,6 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 OWN = lambda name: not re.fullmatch(r"op\d+_.*|pipeline", name)
 QUERIES = {n: q for n, q in entry_module.queries().items() if OWN(n)}
 CHECKS = {n: c for n, c in entry_module.oracle_sql().items() if OWN(n)}
-NATIVE_EXEMPT = {"rouge_l", "rouge_lsum"}
 
 
 @pytest.fixture(scope="module")
@@ -41,7 +40,7 @@ def test_query_equals_its_check(spark, sf, duck, name):
 def test_plans_are_native_and_free_of_cross_joins(spark, sf, name):
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert ("Python" in plan or "ArrowEval" in plan) == (name in NATIVE_EXEMPT)
+    assert "Python" not in plan and "ArrowEval" not in plan
 
 
 def test_entry(spark):

@@ -4,6 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from sarani.functions.subsequence import common_length, common_places
 from sarani.operators import evaluate as ev
 
 
@@ -148,8 +149,18 @@ def test_long_texts_are_compared_whole(spark):
     assert abs(df.select(ev.rouge_l(F.col("pred"), F.col("ref"))).first()[0] - 0.2) < 1e-9
 
 
-def test_lcs_of_letters():
-    assert ev._lcs_bits(list("pcse"), list("pxse")).bit_count() == 3
+def test_subsequences_of_letters_and_across_blocks(spark):
+    """Lists shorter and longer than a block of bits, against plain tables."""
+    rng = random.Random(12)
+    pairs = [(list("pcse"), list("pxse")), ([], ["a"]), (["a"], [])]
+    pairs += [([rng.choice("abcdef") for _ in range(n)], [rng.choice("abcdeg") for _ in range(m)]) for n, m in [(5, 9), (61, 62), (62, 63), (63, 125), (130, 64), (200, 190), (1, 70)]]
+    pairs += [(["x"] * 150, ["x"] * 130), ([f"w{i}" for i in range(140)], [f"w{i}" for i in range(100, 240)])]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "id int, a array<string>, b array<string>")
+    got = df.select("id", common_length(F.col("a"), F.col("b")).alias("n"), common_places(F.col("a"), F.col("b")).alias("places")).collect()
+    for r in got:
+        a, b = pairs[r.id]
+        assert r.n == lcs_table(a, b)[-1][-1] and {i - 1 for i in r.places} == union_places(a, b)
+    assert got[0].n == 3
 
 
 def test_leaderboard(spark):
