@@ -1,4 +1,10 @@
+import json
+import os
 import re
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -50,3 +56,17 @@ def test_entry(spark):
 
 def test_every_check_has_a_query():
     assert set(CHECKS) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("left_out", [("llm",), ("llm", "corpus_pipeline.py"), ()])
+def test_entry_imports_without_the_optional_parts(tmp_path, left_out):
+    """A copy without the subpackage, and also without the pipeline, registers all other queries."""
+    root = Path(entry_module.__file__).parent
+    shutil.copytree(root / "sarani", tmp_path / "sarani", ignore=shutil.ignore_patterns("__pycache__", *left_out))
+    for name in {"__spark_entry__.py", "corpus_pipeline.py"} - set(left_out):
+        shutil.copy(root / name, tmp_path)
+    code = "import json, __spark_entry__ as e; print(json.dumps([sorted(e.queries()), sorted(e.oracle_sql())]))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=dict(os.environ, PYTHONPATH=""), capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    names, checks = json.loads(done.stdout)
+    assert set(names) == (set(QUERIES) if left_out else set(entry_module.queries())) and set(checks) <= set(names)
