@@ -21,7 +21,8 @@ MAX_SPANS = {"colspan": 1000, "rowspan": 65534}
 
 # The attributes of a tag: a quoted value may hold the end sign.
 _ATTRIBUTES = r"""(?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+"""
-_CELL = rf"(?is)<t[dh](?=[\s/>])({_ATTRIBUTES})>(.*?)(?=<t[dh][\s/>]|</t[dh]\s*>|\z)"
+_CELL_TAG = rf"<t[dh](?=[\s/>])({_ATTRIBUTES})>"
+_CELL = rf"(?is){_CELL_TAG}.*?(?=<t[dh][\s/>]|</t[dh]\s*>|\z)"
 _ROW = rf"(?is)<tr(?=[\s/>]){_ATTRIBUTES}>(.*?)(?=<tr[\s/>]|</tr\s*>|\z)"
 _CLASS = (
     r"""(?is)\A<table(?=\s)(?:[^>="']|=\s*"[^"]*"|=\s*'[^']*'|=)*?\sclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
@@ -128,19 +129,16 @@ def _span(attrs: Column, name: str) -> Column:
 def parse_cells(table_html: Column) -> Column:
     """Rows of cells: array<array<struct<text, colspan, rowspan>>>; a bad span is null."""
 
+    tag = rf"(?is)\A{_CELL_TAG}"
+
+    def cell(c):
+        attrs = F.regexp_extract(c, tag, 1)
+        return let(attrs, lambda attrs: F.struct(
+            cell_text(F.regexp_replace(c, tag, "")).alias("text"), _span(attrs, "colspan").alias("colspan"), _span(attrs, "rowspan").alias("rowspan"),
+        ))
+
     def cells(row):
-        zipped = F.arrays_zip(
-            F.regexp_extract_all(row, F.lit(_CELL), F.lit(1)).alias("attrs"),
-            F.regexp_extract_all(row, F.lit(_CELL), F.lit(2)).alias("body"),
-        )
-        return F.transform(
-            zipped,
-            lambda z: F.struct(
-                cell_text(z["body"]).alias("text"),
-                _span(z["attrs"], "colspan").alias("colspan"),
-                _span(z["attrs"], "rowspan").alias("rowspan"),
-            ),
-        )
+        return F.transform(F.regexp_extract_all(row, F.lit(_CELL), F.lit(0)), cell)
 
     return F.transform(F.regexp_extract_all(table_html, F.lit(_ROW), F.lit(1)), cells)
 
