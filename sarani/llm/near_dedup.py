@@ -33,6 +33,8 @@ from sarani.llm.rolling import cut_words, mix, shingles
 from sarani.session import materialise
 
 SKETCH_WORDS = 8  # of 64 bits
+WIDE_SAMPLES, WIDE_WORDS = 1000, 64  # of the sketches that decide which sets are fetched
+PREFIX = 64  # shingles of a prefix that rows carry whole
 CHUNK = 1 << 19
 
 
@@ -47,14 +49,14 @@ def bands_and_rows(percent: int, miss: float = 1e-6, rows: int = 5) -> tuple[int
     return math.ceil(math.log(miss) / math.log(1 - (percent / 100) ** rows)), rows
 
 
-def most_bits(percent: int, samples: int) -> int:
+def most_bits(percent: int, samples: int, words: int = SKETCH_WORDS) -> int:
     """The largest XOR count of two sketches for which a link is still possible.
 
     Six standard deviations below the threshold, with two deviations of the bit count.
     """
     j = percent / 100
     low = max(0.0, j - 6 * math.sqrt(j * (1 - j) / samples))
-    bits = 64 * SKETCH_WORDS
+    bits = 64 * words
     expected = bits / 2 * (1 - (1 - 2 / bits) ** (2 * samples * (1 - low)))
     return math.ceil(expected + 2 * math.sqrt(expected))
 
@@ -67,23 +69,34 @@ def document_shingles(texts: list[bytes], size: int) -> list[np.ndarray]:
     return [np.unique(found[a:b]) for a, b in zip(bounds, bounds[1:])]
 
 
-def signatures(sets: list[np.ndarray], bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys and odd sketches of sets that aren't empty."""
+def minima(sets: list[np.ndarray], samples: int) -> np.ndarray:
+    """MinHash samples of sets that aren't empty, a row per set."""
     starts = np.cumsum([0, *map(len, sets)])[:-1]
     flat = np.concatenate(sets)
-    samples = np.empty((len(sets), bands * rows), np.uint64)
-    for i, (a, b) in enumerate(zip(*_permutations(bands * rows))):
-        samples[:, i] = np.minimum.reduceat(flat * a + b, starts)
+    found = np.empty((len(sets), samples), np.uint64)
+    for i, (a, b) in enumerate(zip(*_permutations(samples))):
+        found[:, i] = np.minimum.reduceat(flat * a + b, starts)
+    return found
+
+
+def odd_sketches(samples: np.ndarray, words: int) -> np.ndarray:
+    """Parity bitmaps of rows of samples: the XOR of two has few bits where the samples agree."""
+    n = samples.shape[1]
+    bit = mix(samples + np.arange(n, dtype=np.uint64)) % np.uint64(64 * words)
+    sketch = np.zeros((len(samples), words), np.uint64)
+    row = np.arange(len(samples))
+    for i in range(n):
+        sketch[row, bit[:, i] >> np.uint64(6)] ^= np.uint64(1) << (bit[:, i] & np.uint64(63))
+    return sketch
+
+
+def signatures(sets: list[np.ndarray], bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys and odd sketches of sets that aren't empty."""
+    samples = minima(sets, bands * rows)
     keys = np.full((len(sets), bands), 0, np.uint64)
     for i in range(rows):
         keys = mix(keys * np.uint64(0x9DDFEA08EB382D69) + samples[:, i::rows])
-    keys = mix(keys + np.arange(bands, dtype=np.uint64))
-    bit = mix(samples + np.arange(bands * rows, dtype=np.uint64)) % np.uint64(64 * SKETCH_WORDS)
-    sketch = np.zeros((len(sets), SKETCH_WORDS), np.uint64)
-    row = np.arange(len(sets))
-    for i in range(bands * rows):
-        sketch[row, bit[:, i] >> np.uint64(6)] ^= np.uint64(1) << (bit[:, i] & np.uint64(63))
-    return keys, sketch
+    return mix(keys + np.arange(bands, dtype=np.uint64)), odd_sketches(samples, SKETCH_WORDS)
 
 
 def _signed(texts: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
@@ -106,21 +119,28 @@ def _signed(texts: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, n long, set_hash binary, keys array<long>, sketch array<long>")
 
 
-def _sets(texts: DataFrame, size: int) -> DataFrame:
+def _sets(texts: DataFrame, size: int, wide: bool = False) -> DataFrame:
+    """doc_id, set and, as asked for, its wide odd sketch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, "text", CHUNK):
             sets = document_shingles(as_bytes(chunk.column("text")), size)
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             flat = np.concatenate(sets).view(np.int64)
-            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "set"])
+            out = [chunk.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+            if wide:
+                full = [s for s in sets if len(s)]
+                found = iter(odd_sketches(minima(full, WIDE_SAMPLES), WIDE_WORDS).view(np.int64) if full else ())
+                out.append(pa.array([next(found) if len(s) else None for s in sets], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "set", "sketch"][: len(out)])
 
-    return texts.mapInArrow(run, "doc_id long, set array<long>")
+    return texts.mapInArrow(run, "doc_id long, set array<long>" + ", sketch array<long>" * wide)
 
 
-def _sets_of(ids: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+def _sets_of(ids: DataFrame, texts: DataFrame, size: int, wide: bool = False) -> DataFrame:
     """doc_id and set of the documents with the ids; rows that repeat an id count once."""
     wanted = broadcast_if(materialise(ids.distinct(), "near-wanted"), 24)
-    return _sets(texts.join(wanted, "doc_id", "left_semi"), size).dropDuplicates(["doc_id"])
+    return _sets(texts.join(wanted, "doc_id", "left_semi"), size, wide).dropDuplicates(["doc_id"])
 
 
 def _bits_apart(a: str, b: str) -> Column:
@@ -128,6 +148,11 @@ def _bits_apart(a: str, b: str) -> Column:
     return sum(apart[1:], apart[0])
 
 
+def _wide_bits_apart(a: str, b: str) -> Column:
+    both = F.zip_with(f"{a}.sketch", f"{b}.sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(both, F.lit(0), lambda n, x: n + x)
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), texts, size)
@@ -172,7 +197,7 @@ def near_components(
     edges = materialise(confirmed(tested, texts, size, percent), "near-links")
     labels = materialise(_labels(reps, edges), "near-labels")
     open_rows = materialise(_open(filed, labels), "near-open")
-    sets = materialise(_sets_of(open_rows.select("doc_id"), texts, size), "near-sets")
+    sets = materialise(_sets_of(open_rows.select("doc_id"), texts, size, wide=True), "near-sets")
     able = materialise(_able(open_rows, sets, percent), "near-able")
     # The member that shares most of its shingles links most of the edited copies around it.
     centres = able.groupBy("bucket").agg(F.min_by("doc_id", F.struct(F.col("n") - F.col("shared"), "doc_id")).alias("centre"))
@@ -180,7 +205,7 @@ def near_components(
     pairs = materialise(pairs, "near-pairs")
     edges = edges.unionByName(materialise(confirmed(pairs, texts, size, percent), "near-links"))
     labels = materialise(_labels(reps, edges), "near-labels")
-    met = materialise(_across(able.drop("component").join(labels, "doc_id"), sets, sketches, far, percent), "near-met")
+    met = materialise(_across(able.drop("component").join(labels, "doc_id"), sets, percent), "near-met")
     rest = materialise(confirmed(met, texts, size, percent), "near-links")
     labels = _labels(reps, edges.unionByName(rest))
     found = classes.join(labels, F.col("rep") == F.col("doc_id")).select("set_hash", "component")
@@ -243,7 +268,7 @@ def _several(rows: DataFrame) -> DataFrame:
 
 
 def _rarest(sets: DataFrame, percent: int) -> DataFrame:
-    """doc_id, n, shared, prefix: of each set the shingles, rarest first, that one of any linked set must be.
+    """doc_id, n, shared, prefix: the shingles, rarest first, that one of any linked set must be.
 
     A linked set holds `percent` of a set's shingles, so it can lack only the others: of these
     and one more at least one is shared. Shingles that one set alone has take up places but
@@ -257,18 +282,22 @@ def _rarest(sets: DataFrame, percent: int) -> DataFrame:
     return listed.select("doc_id", "n", F.size("held").alias("shared"), F.transform(first, lambda x: x["s"]).alias("prefix"))
 
 
-def _across(rows: DataFrame, sets: DataFrame, sketches: DataFrame, far: int, percent: int) -> DataFrame:
+def _across(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) across components that share a rare shingle and may be linked by size and sketch.
 
-    A pair leaves the join once, with the first of the rare shingles that both have.
+    The wide odd sketches, of fixed size whatever the set, let few pairs but links pass, and no
+    link with less than six standard deviations. A pair leaves the join with the first of the
+    rare shingles that both have, or with each of them where a set has very many.
     """
     wanted = materialise(rows.join(_several(rows), "bucket", "left_semi").select("doc_id", "component").distinct(), "near-wanted")
-    rare = _rarest(sets.join(broadcast_if(wanted.select("doc_id"), 24), "doc_id", "left_semi"), percent)
-    rare = materialise(rare.join(wanted, "doc_id").join(sketches, "doc_id").withColumn("s", F.explode("prefix")), "near-rare")
+    own = sets.join(broadcast_if(wanted.select("doc_id"), 24), "doc_id", "left_semi")
+    rare = _rarest(own.drop("sketch"), percent).join(wanted, "doc_id").join(own.select("doc_id", "sketch"), "doc_id")
+    few = F.when(F.size("prefix") <= PREFIX, F.col("prefix"))
+    rare = materialise(rare.select("doc_id", "n", "shared", "component", "sketch", few.alias("few"), F.explode("prefix").alias("s")), "near-rare")
     x, y = rare.alias("x"), rare.alias("y")
     shared = F.least("x.shared", "y.shared")
     fits = 100 * shared >= percent * (F.col("x.n") + F.col("y.n") - shared)
-    once = F.get(F.array_intersect("x.prefix", "y.prefix"), F.lit(0)) == F.col("x.s")
-    met = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
-        & fits & (_bits_apart("x", "y") <= far) & once)
-    return met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    once = F.coalesce(F.get(F.array_intersect("x.few", "y.few"), F.lit(0)) == F.col("x.s"), F.lit(True))
+    near = _wide_bits_apart("x", "y") <= most_bits(percent, WIDE_SAMPLES, WIDE_WORDS)
+    met = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & fits & once & near)
+    return met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 from types import SimpleNamespace
@@ -76,6 +77,36 @@ def test_near_components(nasty, size, percent):
     assert max(Counter(find(i) for i in sets).values()) > 10
 
 
+def test_near_components_of_pages_from_one_pool(spark):
+    """Pages of paragraphs from one pool, like each other but mostly not linked, in shared buckets."""
+    rng = random.Random(21)
+    pool = [" ".join(f"p{k}x{i}" for i in range(12)) for k in range(14)]
+    rows = []
+    for i in range(160):
+        pages = rng.sample(pool, 10)
+        rows.append((i, " ".join(sorted(pages))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: {tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    close = 0
+    for a in sets:
+        for b in sets:
+            if a < b:
+                shared, both = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+                close += 60 * both <= 100 * shared < 80 * both
+                if 100 * shared >= 80 * both:
+                    low, high = sorted((find(a), find(b)))
+                    root[high] = low
+    found = {r.doc_id: r.component_id for r in near_components(docs, size=3, percent=80).collect()}
+    assert found == {i: find(i) for i in sets} and close > 1000 and len(set(found.values())) > 5
+
+
 def test_near_components_of_odd_rows(spark, empty):
     rows = [(None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (3, "A b c d"), (9, None)]
     found = near_components(spark.createDataFrame(rows, "doc_id long, text string"), size=3, percent=85).collect()
@@ -190,7 +221,7 @@ def test_the_suffix_order_gives_all_removals(nasty, monkeypatch):
 
 def test_backward_search_gives_all_removed_runs(nasty, monkeypatch):
     """Without the index nothing is removed: no other path decides below the limit of a shard."""
-    none = (np.zeros(0, np.int64),) * 3
+    none = (np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64))
     monkeypatch.setattr(substring_dedup, "Shard", lambda *_: SimpleNamespace(matches_of_smaller=lambda *_, **__: none))
     assert remove_repeated_runs(nasty.select("doc_id", "text"), with_text=False).agg(F.sum("n_removed")).first()[0] == 0
 
