@@ -8,7 +8,9 @@
 
 A text is first cut where no piece of the vocabulary reaches across: merges on one side then
 never meet those on the other. So each distinct word is merged once per task, whatever its
-frequency, and the ids of a text are those of its words in turn.
+frequency, and the ids of a text are those of its words in turn. The short new words of a chunk
+share one agenda, kept as a table of pair scores with a row per word: each step merges the
+best pair of every word. A long word has an agenda of its own.
 
 The model file is sent to the executors with the job. `check` also runs the sentencepiece
 library on every Arrow batch and reports per row whether ids and decoded text agree.
@@ -30,11 +32,12 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
 from sarani.llm.common import chunks, keyed_texts
+from sarani.llm.pair_table import PairTable, by_width
 
 MARK = "▁"  # stands for a blank inside pieces
 CHUNK = 2 << 20
-HELD_WORDS = 250_000  # merged words a task keeps
-LONG_WORD = 48  # characters from which a word is searched for further cuts
+HELD_WORDS = 600_000  # merged words a task keeps from chunk to chunk
+LONG_WORD = 32  # characters from which a word is searched for further cuts and has its own agenda
 _IDENTITY, _BPE = "identity", 2
 
 
@@ -86,7 +89,7 @@ class Pieces:
         if trainer.get(3) != _BPE or sum(is_byte) != 256 or not plain or kinds - {1, 2, 3, 6}:
             raise ValueError("needs a BPE model with byte fallback, plain pieces and an identity normaliser that keeps blanks")
         self.prefix = MARK if normaliser.get(3, 1) else ""
-        self.begin, self.end = library.bos_id(), library.eos_id()
+        self._begin, self._end = (np.array([i], "<u4").tobytes() for i in (library.bos_id(), library.eos_id()))
         self.id_of = {p: i for i, p in enumerate(pieces) if own[i]}
         steps = {s: k for k, s in enumerate(sorted({library.get_score(i) for i in self.id_of.values()}, reverse=True))}
         self.rank = {p: steps[library.get_score(i)] for p, i in self.id_of.items()}
@@ -107,6 +110,54 @@ class Pieces:
             stop = re.escape(lone)
             self.cut = re.compile(f"{MARK}+[^{MARK}{stop}]*|[^{MARK}{stop}]+" + (f"|[{stop}]" if lone else ""))
         self.held: dict[str, bytes] = {}
+        self._high_bytes = frozenset(self.byte_id[128:])
+        self._build_pairs()
+
+    def _build_pairs(self) -> None:
+        """The symbol of each character, and the merged symbol and rank of each pair of symbols.
+
+        A symbol is the id of its piece; a character that is no piece has a number above all ids.
+        """
+        self.size = len(self.shown)
+        self.symbol_of = np.arange(0x110000, dtype=np.int64) + self.size
+        for piece, i in self.id_of.items():
+            if len(piece) == 1:
+                self.symbol_of[ord(piece)] = i
+        symbol = lambda text: self.id_of.get(text, self.size + ord(text) if len(text) == 1 else None)
+        rules = {}
+        for piece, i in self.id_of.items():
+            for k in range(1, len(piece)):
+                left, right = symbol(piece[:k]), symbol(piece[k:])
+                if left is not None and right is not None:
+                    rules[left, right] = (i, self.rank[piece])
+        self.pairs = PairTable(rules)
+
+    def merge_words(self, words: list[str]) -> list[bytes]:
+        """The ids of short words as little-endian 32-bit numbers; all words advance together."""
+        out: list[bytes] = [b""] * len(words)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        for width, own in by_width(lengths, LONG_WORD):
+            codes = np.frombuffer("".join([words[i] for i in own.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32)
+            inside = np.arange(width) < lengths[own][:, None]
+            symbols = np.full(inside.shape, -1, np.int64)
+            symbols[inside] = self.symbol_of[codes]
+            self.pairs.merge(symbols, lambda rows, done, own=own: self._finish(done, own[rows], out))
+        return out
+
+    def _finish(self, symbols: np.ndarray, places: np.ndarray, out: list[bytes]) -> None:
+        held = symbols >= 0
+        data = symbols[held].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(held.sum(axis=1))).tolist()
+        low = 0
+        for place, high in zip(places.tolist(), ends):
+            out[place] = data[low:high]
+            low = high
+        # Characters that are no piece become bytes.
+        for i in np.flatnonzero((symbols >= self.size).any(axis=1)).tolist():
+            ids = []
+            for s in symbols[i][held[i]].tolist():
+                ids.extend([s] if s < self.size else [self.byte_id[b] for b in chr(s - self.size).encode()])
+            out[places[i]] = np.array(ids, "<u4").tobytes()
 
     def words(self, text: str) -> list[str]:
         """Parts of a text that no piece joins."""
@@ -116,7 +167,7 @@ class Pieces:
         return self.cut.findall(marked) if self.cut else [marked]
 
     def _parts(self, word: str) -> list[str]:
-        if len(word) < LONG_WORD:
+        if len(word) <= LONG_WORD:
             return [word]
         cuts = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.joined), len(word)]
         return [word[a:b] for a, b in zip(cuts, cuts[1:])]
@@ -168,18 +219,25 @@ class Pieces:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text with begin and end ids, as little-endian 32-bit numbers."""
-        held, out = self.held, [np.uint32(self.begin).astype("<u4").tobytes()]
-        for word in self.words(text):
-            ids = held.get(word)
-            if ids is None:
-                if len(held) >= HELD_WORDS:
-                    held.clear()
-                ids = self.word_ids(word)
-                if len(word) <= LONG_WORD:
-                    held[word] = ids
-            out.append(ids)
-        out.append(np.uint32(self.end).astype("<u4").tobytes())
-        return b"".join(out)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of several texts, whose new words are merged together."""
+        cut = [self.words(t) for t in texts]
+        if len(self.held) > HELD_WORDS:
+            self.held.clear()
+        held = self.held
+        known = [list(map(held.get, words)) for words in cut]
+        new = {w for words, ids in zip(cut, known) for w, i in zip(words, ids) if i is None}
+        short = [w for w in new if len(w) <= LONG_WORD]
+        held.update(zip(short, self.merge_words(short)))
+        long = {w: self.word_ids(w) for w in new if len(w) > LONG_WORD}
+        out = []
+        for words, ids in zip(cut, known):
+            if None in ids:
+                ids = [(held.get(w) or long[w]) if i is None else i for w, i in zip(words, ids)]
+            out.append(b"".join([self._begin, *ids, self._end]))
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: one leading blank goes, bytes that are no character become U+FFFD."""
@@ -187,7 +245,7 @@ class Pieces:
         first = next((k for k, i in enumerate(ids) if not self.control[i]), None)
         if first is not None and self.prefix and parts[first].startswith(b" ") and ids[first] in self._blank_led:
             parts[first] = parts[first][1:]
-        if not any(self.is_byte[i] and self.shown[i] >= b"\x80" for i in set(ids)):
+        if self._high_bytes.isdisjoint(ids):
             return b"".join(parts).decode()
         out, run = [], []
         for i, part in zip(ids, parts):
@@ -261,19 +319,20 @@ def sp_encode(
         known = pieces(name)
         for chunk in chunks(batches, "text", CHUNK):
             texts = chunk.column("text").to_pylist()
-            found = [known.encode(t) for t in texts]
+            found = known.encode_all(texts)
             out = {"doc_id": chunk.column("doc_id"), "n_tokens": pa.array([len(b) // 4 for b in found], pa.int64())}
             if with_ids:
                 ends = np.concatenate([[0], np.cumsum([len(b) // 4 for b in found])]).astype(np.int32)
                 out["ids"] = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(found), "<u4").astype(np.int64)))
-            decoded = [known.decode(np.frombuffer(b, "<u4").tolist()) for b in found] if digests or check else []
+            listed = [np.frombuffer(b, "<u4").tolist() for b in found] if digests or check else []
+            decoded = [known.decode(ids) for ids in listed]
             if digests:
                 out["ids_sha256"] = pa.array([hashlib.sha256(b).hexdigest() for b in found], pa.string())
                 out["decoded_sha256"] = pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded], pa.string())
             if check:
                 library = library_of(name)
                 wanted = library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
-                same = [np.array(w, "<u4").tobytes() == b and library.decode(w) == t for w, b, t in zip(wanted, found, decoded)]
+                same = [w == ids and library.decode(w) == t for w, ids, t in zip(wanted, listed, decoded)]
                 out["agrees"] = pa.array(same, pa.bool_())
             yield pa.RecordBatch.from_pydict(out)
 

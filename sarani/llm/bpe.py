@@ -31,6 +31,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
 from sarani.llm.common import chunks, keyed_texts
+from sarani.llm.pair_table import PairTable, by_width, padded
 from sarani.session import materialise
 
 LEXICON_WORDS = 1 << 16
@@ -89,6 +90,10 @@ class Vocabulary:
         self._plain = re.compile(f"[\0-{chr(_PLAIN_END - 1)}{_PLAIN_MARKS}]*")
         self._marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.merge = functools.lru_cache(maxsize=1 << 16)(self._merge)
+        # For many words at once: the id of each byte, inside a word and at its end, and of each merge.
+        self.inner, self.last = (np.array([self.ids.get(c + end, -1) for c in self.letters], np.int64) for end in ("", self.end))
+        known = lambda a, b: a in self.ids and b in self.ids and a + b in self.ids
+        self.pairs = PairTable({(self.ids[a], self.ids[b]): (self.ids[a + b], r) for (a, b), r in self.ranks.items() if known(a, b)})
 
     def words(self, text: str) -> list[str]:
         """The words in order; a special mark stays as it is in the text."""
@@ -129,6 +134,28 @@ class Vocabulary:
                     heapq.heappush(queue, (r, x, parts[x], parts[y]))
         return tuple(self.ids[p] for p in parts if p is not None)
 
+    def merge_all(self, words: list[str]) -> list[np.ndarray]:
+        """The ids of each word; short ones advance together."""
+        out: list = [None] * len(words)
+        data = [w.encode() if w not in self.special else b"" for w in words]
+        lengths = np.fromiter(map(len, data), np.int64, len(data))
+        for width, own in by_width(lengths, SHORT_WORD):
+            symbols = padded(b"".join([data[i] for i in own.tolist()]), lengths[own], width, self.inner)
+            symbols[np.arange(len(own)), lengths[own] - 1] = self.last[[data[i][-1] for i in own.tolist()]]
+            if symbols[np.arange(width) < lengths[own][:, None]].min(initial=0) < 0:
+                continue  # a letter without an id of its own: merged one by one
+
+            def finish(rows: np.ndarray, done: np.ndarray, own: np.ndarray = own) -> None:
+                held = done >= 0
+                flat, ends = done[held].astype(np.uint32), np.cumsum(held.sum(axis=1)).tolist()
+                low = 0
+                for i, high in zip(own[rows].tolist(), ends):
+                    out[i] = flat[low:high]
+                    low = high
+
+            self.pairs.merge(symbols, finish)
+        return [np.array(self.merge(w), np.uint32) if ids is None else ids for w, ids in zip(words, out)]
+
     def _merge_short(self, parts: list[str]) -> tuple[int, ...]:
         """The same for few parts: the ranks of all pairs stand in a list."""
         rank_of, none = self.ranks.get, len(self.ranks)
@@ -312,7 +339,8 @@ def send_lexicon(docs: DataFrame, words: list[str], vocab: Vocabulary) -> str:
 def encode_words(words: list[str], vocab: Vocabulary, known: Lexicon) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all words one after the other, and where each word's ids end."""
     places = known.places(words)
-    rest = {int(i): vocab.merge(words[i]) for i in np.flatnonzero(places < 0)}
+    unseen = np.flatnonzero(places < 0).tolist()
+    rest = dict(zip(unseen, vocab.merge_all([words[i] for i in unseen])))
     lengths = np.where(places >= 0, known.first[np.maximum(places, 0) + 1] - known.first[np.maximum(places, 0)], 0) if len(known.ids) else np.zeros(len(words), np.int64)
     for i, ids in rest.items():
         lengths[i] = len(ids)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import sarani.llm.agenda as module
 from sarani.llm.agenda import Pieces, characters, sp_decode, sp_encode
+from sarani.llm.pair_table import NO_PAIR
 from tests_llm_helpers import by_id
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -53,12 +54,19 @@ def test_cuts_change_nothing(own):
         assert whole == parts
 
 
+def test_words_merged_together_equal_words_merged_alone(own):
+    rng = random.Random(4)
+    words = ["".join(rng.choices(POOL, k=rng.randrange(1, 20))).replace(" ", "▁")[: module.LONG_WORD] for _ in range(4000)]
+    assert own.merge_words(words) == [own.word_ids(w) for w in words] and own.merge_words([]) == []
+
+
 def test_few_held_words_change_nothing(own, monkeypatch):
     text = " ".join(f"word{i % 7}" for i in range(60))
     want = own.encode(text)
     monkeypatch.setattr(module, "HELD_WORDS", 2)
     own.held.clear()
-    assert own.encode(text) == want and len(own.held) <= 2
+    assert own.encode(text) == want and own.encode("other") != want
+    assert len(own.held) <= 9  # the words of two chunks
 
 
 def test_bytes_that_are_no_character():
@@ -96,9 +104,9 @@ def test_empty_tables_repeated_rows_and_null_ids(spark, empty):
 
 
 def test_the_check_reports_differences(spark, monkeypatch):
-    """A vocabulary without one of its merges is told apart from the library."""
+    """A vocabulary without its merges is told apart from the library."""
     found = sp_encode(spark.createDataFrame([(1, "the end"), (2, "zz")], "doc_id long, text string"), PATH, check=True)
     assert [r.agrees for r in found.collect()] == [True, True]
     own = Pieces(PATH)
-    own.rank.pop("▁the")
+    own.pairs.rank[:] = NO_PAIR
     assert np.frombuffer(own.encode("the end"), "<u4").tolist() != sentencepiece.SentencePieceProcessor(model_file=PATH).encode("the end", add_bos=True, add_eos=True)

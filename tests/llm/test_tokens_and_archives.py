@@ -58,6 +58,13 @@ def test_encoding_equals_the_library(vocab, library):
             assert decoded == library.decode(want, skip_special_tokens=False)
 
 
+def test_words_merged_together_equal_words_merged_alone(vocab):
+    rng = random.Random(8)
+    pool = "abcdefghijklmnopqrstuvwxyz'0123é日€😀!?"
+    words = ["".join(rng.choices(pool, k=rng.randrange(1, 70))) for _ in range(3000)] + ["<|endoftext|>", "a" * 64, "a" * 65, "é" * 32, "é" * 33]
+    assert [ids.tolist() for ids in vocab.merge_all(words)] == [list(vocab.merge(w)) for w in words] and vocab.merge_all([]) == []
+
+
 @pytest.mark.parametrize("size", [0, 5, 5000])
 def test_bpe_job(nasty, library, size):
     encoded = bpe_encode(nasty, PATH, lexicon_words=size)
