@@ -7,23 +7,12 @@ from __future__ import annotations
 
 import numpy as np
 
+from sarani.llm.prefix_free import suffix_ranks
+
 
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
-    """The suffix array, by prefix doubling."""
-    n = len(symbols)
-    order = np.argsort(symbols, kind="stable")
-    rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(np.concatenate([[0], np.diff(symbols[order]) != 0]))
-    step = 1
-    while n and rank[order[-1]] < n - 1:
-        ahead = np.full(n, 0, np.int64)
-        ahead[: n - step] = rank[step:] + 1
-        both = rank * (n + 1) + ahead
-        order = np.argsort(both, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], np.diff(both[order]) != 0]))
-        step *= 2
-    return order
+    """The suffix array, by prefix doubling of what is still equal."""
+    return np.argsort(suffix_ranks(symbols, np.full(len(symbols), len(symbols))))
 
 
 class WaveletMatrix:
@@ -85,7 +74,8 @@ class Shard:
 
     def extend(self, symbol, low, high):
         """The suffix ranges after one more symbol in front."""
-        return self.counts[symbol] + self.wavelet.rank(symbol, low), self.counts[symbol] + self.wavelet.rank(symbol, high)
+        both = np.tile(self.counts[symbol], 2) + self.wavelet.rank(np.tile(symbol, 2), np.concatenate([low, high]))
+        return both[: len(symbol)], both[len(symbol) :]
 
     def least_owner(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """The smallest owner in each range that isn't empty."""
@@ -98,31 +88,33 @@ class Shard:
         return found
 
     def matches_of_smaller(
-        self, anchors: np.ndarray, anchor_length: int, window: int, which: np.ndarray | None = None, own: bool = False,
-    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sequence, start, end of maximal runs whose every window a smaller owner has too.
-
-        `which` names the sequences to search, all by default. With `own` they are searched as
-        copies in the hands of someone larger than their owner, who is smaller then himself.
-
-        Only windows that hold the anchor (at `anchors` in each sequence) count. Matching
-        statistics are read from the right: a search goes left as long as a smaller owner has
-        the string; the next one starts where a further window could begin.
+        self, anchors: np.ndarray, anchor_length: int, window: int, later: np.ndarray | None = None,
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sequence, whether it is searched as a later copy, start and end of maximal runs whose
+        every window a smaller owner has too.
+
+        Every sequence is searched, and those of `later` once more as copies in the hands of someone
+        larger than their owner, who is smaller then himself. Only windows that hold the anchor
+        (at `anchors` in each sequence) count. Matching statistics are read from the right: a
+        search goes left as long as a smaller owner has the string; the next one starts where a
+        further window could begin. All searches advance together.
         """
         n = len(self.lengths)
-        phase, end = np.zeros(n, np.int64), anchors + anchor_length
-        place, left = end.copy(), np.zeros(n, np.int64)
-        low, high = np.zeros(n, np.int64), np.full(n, len(self.text), np.int64)
+        which = np.concatenate([np.arange(n), np.zeros(0, np.int64) if later is None else later])
+        copy = np.arange(len(which)) >= n
+        starts, lengths, anchors = self.starts[which], self.lengths[which], anchors[which]
+        owner = self.owner[which] + copy
+        phase, end = np.zeros(len(which), np.int64), anchors + anchor_length
+        place, left = end.copy(), np.zeros(len(which), np.int64)
+        low, high = np.zeros(len(which), np.int64), np.full(len(which), len(self.text), np.int64)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        live = np.flatnonzero(self.lengths >= window)
-        if which is not None:
-            live = np.intersect1d(live, which, assume_unique=True)
+        live = np.flatnonzero(lengths >= window)
         while len(live):
-            symbol = self.text[self.starts[live] + np.maximum(place[live] - 1, 0)]
+            symbol = self.text[starts[live] + np.maximum(place[live] - 1, 0)]
             new_low, new_high = self.extend(symbol, low[live], high[live])
             good = (new_low < new_high) & (place[live] > left[live])
             where = np.flatnonzero(good)
-            good[where] = self.least_owner(new_low[where], new_high[where]) < self.owner[live[where]] + own
+            good[where] = self.least_owner(new_low[where], new_high[where]) < owner[live[where]]
             ahead = live[good]
             low[ahead], high[ahead] = new_low[good], new_high[good]
             place[ahead] -= 1
@@ -131,14 +123,16 @@ class Shard:
                 continue
             first = phase[stopped] == 0
             begun, done = stopped[first], stopped[~first]
-            left[begun], end[begun], phase[begun] = place[begun], self.lengths[begun], 1
+            left[begun], end[begun], phase[begun] = place[begun], lengths[begun], 1
             matched = end[done] - place[done] >= window
             hits = done[matched]
             found.append((hits, place[hits].copy(), end[hits].copy()))
             end[done] = np.where(matched, np.where(place[done] <= left[done], -1, place[done] + window - 1), end[done] - 1)
             place[stopped], low[stopped], high[stopped] = end[stopped], 0, len(self.text)
-            over = end[stopped] < np.maximum(left[stopped] + window, anchors[stopped] + anchor_length)
-            live = np.setdiff1d(live, stopped[over], assume_unique=True)
+            over = np.zeros(len(which), bool)
+            over[stopped] = end[stopped] < np.maximum(left[stopped] + window, anchors[stopped] + anchor_length)
+            live = live[~over[live]]
         if not found:
-            return (np.zeros(0, np.int64),) * 3
-        return tuple(np.concatenate(x) for x in zip(*found))
+            return np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        hit, begin, stop = (np.concatenate(x) for x in zip(*found))
+        return which[hit], copy[hit], begin, stop

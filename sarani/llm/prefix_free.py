@@ -28,16 +28,30 @@ def _dense(keys: np.ndarray) -> np.ndarray:
     return np.unique(keys, return_inverse=True)[1].reshape(-1).astype(np.int64)
 
 
-def _doubled(rank: np.ndarray, step: int, ends: np.ndarray) -> np.ndarray:
-    """Ranks of all suffixes by prefix doubling, from ranks by their first `step` symbols."""
-    n = len(rank)
-    at = np.arange(n)
-    longest = int((ends - at).max(initial=0))
-    while step < longest and n and int(rank.max()) < n - 1:
-        ahead = at + step
-        second = np.where(ahead < ends, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        rank = _dense(rank * (n + 1) + second)
-        step *= 2
+def _ranks(keys: np.ndarray, go_on: np.ndarray, step: int, ends: np.ndarray) -> np.ndarray:
+    """Ranks of all suffixes by prefix doubling, from keys of their first `step` symbols.
+
+    A rank is the number of smaller suffixes. Only suffixes that are still equal to another and
+    not at their end (`go_on`) are sorted again with the rank of what follows.
+    """
+    n = len(keys)
+    rank = np.empty(n, np.int64)
+    live, old = np.arange(n), np.zeros(n, np.int64)
+    while len(live):
+        order = np.argsort(keys)
+        live, old, keys, go_on = live[order], old[order], keys[order], go_on[order]
+        at = np.arange(len(live))
+        opens = np.concatenate([[True], keys[1:] != keys[:-1]])  # of those equal so far
+        group = np.concatenate([[True], old[1:] != old[:-1]])  # of those equal before
+        first = at[opens][np.cumsum(opens) - 1]
+        rank[live] = old + first - at[group][np.cumsum(group) - 1]
+        tied = np.diff(np.append(np.flatnonzero(opens), len(live)))[np.cumsum(opens) - 1] > 1
+        live = live[tied & go_on]
+        ahead = live + step
+        inside = ahead < ends[live]
+        follows = np.where(inside, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        old, step = rank[live], step * 2
+        keys, go_on = old * (n + 1) + follows, inside
     return rank
 
 
@@ -47,17 +61,17 @@ def suffix_ranks(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
     `ends` holds for each place the end of its sequence; a suffix ends there, and an end is
     smaller than any symbol. Equal suffixes have equal ranks.
     """
-    return _doubled(_dense(symbols), 1, ends)
+    return _ranks(symbols, np.ones(len(symbols), bool), 1, ends)
 
 
 def byte_suffix_ranks(letters: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """`suffix_ranks` of bytes, begun with seven bytes at a time in one number."""
     n, first = len(letters), 7
-    packed = np.zeros(n, np.int64)
+    packed, at = np.zeros(n, np.int64), np.arange(n)
     for k in range(first):
-        ahead = np.arange(k, n + k)
+        ahead = at + k
         packed = packed * 257 + np.where(ahead < ends, letters[np.minimum(ahead, max(n - 1, 0))].astype(np.int64) + 1, 0)
-    return _doubled(_dense(packed), first, ends)
+    return _ranks(packed, at + first <= ends, first, ends)
 
 
 def corpus_order(texts: list[bytes], least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -116,7 +130,7 @@ def repeated_windows(texts: list[bytes], window: int, times: list[int] | None =
     text, offset, dictionary, parse = corpus_order(texts, window)
     if not len(text):
         return text, offset
-    order = np.lexsort((parse, dictionary))
+    order = np.argsort(dictionary * (int(parse.max()) + 1) + parse)
     text, offset = text[order], offset[order]
     data = np.frombuffer(b"".join(texts), np.uint8)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))

@@ -26,7 +26,7 @@ from sarani.llm.rolling import Ranges, Words, cut_words, mix
 from sarani.session import materialise
 
 GRAM = 8
-SHARD_WORDS = 200_000  # a shard is closed once it has so many words
+SHARD_WORDS = 300_000  # a shard is closed once it has so many words
 MOST_CONTENTS = 10_000  # contents of one minimizer that a shard takes
 CHUNK = 2 << 20
 _PLACE_BITS = 28
@@ -110,12 +110,10 @@ def _search(contents: DataFrame, window: int, gram: int, shard_words: int) -> Da
 
     def search(rows: list[tuple]) -> pa.RecordBatch:
         k1, k2, anchors, owners, copied, sequences = zip(*rows)
-        shard, anchors = Shard(list(sequences), np.array(owners)), np.array(anchors, np.int64)
-        found = [shard.matches_of_smaller(anchors, gram, window), shard.matches_of_smaller(anchors, gram, window, np.flatnonzero(copied), own=True)]
-        which, low, high = (np.concatenate(x) for x in zip(*found))
+        shard = Shard(list(sequences), np.array(owners))
+        which, later, low, high = shard.matches_of_smaller(np.array(anchors, np.int64), gram, window, np.flatnonzero(copied))
         return pa.RecordBatch.from_pydict({
-            "k1": np.array(k1, np.int64)[which], "k2": np.array(k2, np.int64)[which], "later": np.repeat([False, True], [len(f[0]) for f in found]),
-            "low": low.astype(np.int32), "high": high.astype(np.int32),
+            "k1": np.array(k1, np.int64)[which], "k2": np.array(k2, np.int64)[which], "later": later, "low": low.astype(np.int32), "high": high.astype(np.int32),
         })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -84,3 +84,12 @@ def test_pipeline_stages_judge_rows_not_ids(spark, sf):
     want.remove(row(None, " ".join(near)))
     assert seen["near_dedup"] == sorted(want, key=repr)
     assert seen["decontaminate"] == sorted((p for p in want if item not in p[1]), key=repr)
+
+
+def test_pipeline_on_an_empty_table(spark, sf):
+    """Every stage of no documents gives no documents, with its columns."""
+    kept = spark.read.parquet(f"{sf}/documents.parquet").select(*corpus_pipeline.COLUMNS).limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        kept = corpus_pipeline.materialise(stage(spark, kept, sf), name)
+        assert kept.count() == 0
+        assert kept.columns == corpus_pipeline.COLUMNS or name == "bpe_encode"
