@@ -153,9 +153,8 @@ def _wide_bits_apart(a: str, b: str) -> Column:
     return F.aggregate(both, F.lit(0), lambda n, x: n + x)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
-    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), texts, size)
     joined = (
         pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
         .join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")
@@ -194,7 +193,8 @@ def near_components(
 
     centres = filed.groupBy("bucket").agg(F.min("doc_id").alias("centre"))
     tested = _with_centres(filed, centres, sketches, far)
-    edges = materialise(confirmed(tested, texts, size, percent), "near-links")
+    met = _sets_of(tested.select(F.explode(F.array("a", "b")).alias("doc_id")), texts, size)
+    edges = materialise(confirmed(tested, met, percent), "near-links")
     labels = materialise(_labels(reps, edges), "near-labels")
     open_rows = materialise(_open(filed, labels), "near-open")
     sets = materialise(_sets_of(open_rows.select("doc_id"), texts, size, wide=True), "near-sets")
@@ -203,10 +203,10 @@ def near_components(
     centres = able.groupBy("bucket").agg(F.min_by("doc_id", F.struct(F.col("n") - F.col("shared"), "doc_id")).alias("centre"))
     pairs = _with_centres(able, centres, sketches, far).join(tested, ["a", "b"], "left_anti")
     pairs = materialise(pairs, "near-pairs")
-    edges = edges.unionByName(materialise(confirmed(pairs, texts, size, percent), "near-links"))
+    edges = edges.unionByName(materialise(confirmed(pairs, sets, percent), "near-links"))
     labels = materialise(_labels(reps, edges), "near-labels")
     met = materialise(_across(able.drop("component").join(labels, "doc_id"), sets, percent), "near-met")
-    rest = materialise(confirmed(met, texts, size, percent), "near-links")
+    rest = materialise(confirmed(met, sets, percent), "near-links")
     labels = _labels(reps, edges.unionByName(rest))
     found = classes.join(labels, F.col("rep") == F.col("doc_id")).select("set_hash", "component")
     component = F.coalesce("component", "doc_id")
