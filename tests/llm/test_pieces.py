@@ -103,10 +103,17 @@ def test_empty_tables_repeated_rows_and_null_ids(spark, empty):
     assert {r.doc_id: r.text for r in sp_decode(odd, PATH).collect()} == {1: "", 2: "a", 3: ""}
 
 
-def test_the_check_reports_differences(spark, monkeypatch):
-    """A vocabulary without its merges is told apart from the library."""
+def test_the_check_finds_words_merged_in_another_way(spark, own, library):
+    """A vocabulary without its merges is told apart from the library, word by word."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choices(POOL, k=60)) for _ in range(400)]
+    checked = Pieces(PATH)
+    checked.encode_all(texts, library)
+    assert checked.unlike == set() and len(checked.held) > 1000
+    broken = Pieces(PATH)
+    broken.pairs.rank[:] = NO_PAIR
+    broken.encode_all(texts, library)
+    words = {w for t in texts for w in own.words(t)}
+    assert broken.unlike == {w for w in words if broken.held.get(w, broken.word_ids(w)) != own.word_ids(w)} and broken.unlike
     found = sp_encode(spark.createDataFrame([(1, "the end"), (2, "zz")], "doc_id long, text string"), PATH, check=True)
     assert [r.agrees for r in found.collect()] == [True, True]
-    own = Pieces(PATH)
-    own.pairs.rank[:] = NO_PAIR
-    assert np.frombuffer(own.encode("the end"), "<u4").tolist() != sentencepiece.SentencePieceProcessor(model_file=PATH).encode("the end", add_bos=True, add_eos=True)
