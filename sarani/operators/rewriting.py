@@ -209,8 +209,10 @@ def convert_records(df: DataFrame, lang: str, lexicon: DataFrame, key: str) -> D
 def convert_samples(df: DataFrame, lang: str, lexicon: DataFrame, order: str, first: int = 0) -> DataFrame:
     """`convert_records` with an index.
 
-    `order` is a unique number; `index` counts the samples in that order from `first`.
+    `order` is a unique number; `index` counts the samples in that order from `first`. The samples meet
+    their numbers before they are converted, by a merge join: it spreads them, and a converted
+    side that looks small is not broadcast.
     """
-    out = convert_records(df, lang, lexicon, order)
     index = number_within(df.select(order), [], order, "index").withColumn("index", F.col("index") + first)
-    return out.join(index, order)
+    out = convert_records(df.join(index.hint("merge"), order), lang, lexicon, order)
+    return out.select(*[c for c in out.columns if c != "index"], "index")

@@ -10,9 +10,11 @@ from sarani.functions.linear import linearise, parse_linearised
 from sarani.functions.text import SPACES, normalise_prediction, split_words, strip_text
 from sarani.operators import lookup
 from sarani.operators.rewriting import (
-    clean_table_token, drop_table_clause, translate_answer, translate_digit_tokens,
+    clean_table_token, convert_samples, drop_table_clause, translate_answer, translate_digit_tokens,
     translate_keywords, translate_words,
 )
+from sarani.plans.sqltext import part_samples
+from sarani.session import spread
 from sarani.sources.star import corpus_tables, load
 
 
@@ -189,3 +191,31 @@ def test_linear_form_goes_back(spark, sf):
         assert r.p["rows"] == [" | ".join(x) for x in r.rows]
         assert r.p["columns"] == [" | ".join([h, *c]) for h, c in zip(r.header, zip(*r.rows))]
         assert r.p["cells"] == [c for x in r.rows for c in x]
+
+
+def test_samples_are_spread_before_they_are_converted(spark, tmp_path):
+    """The raw samples are joined with their numbers; no converted side is broadcast."""
+    path = str(tmp_path / "samples")
+    part_samples(spark, "/root/testdata/sf0.01").coalesce(1).write.parquet(path)
+    samples = spark.read.parquet(path)
+    lexicon = spark.createDataFrame([("name", "নাম")], "source string, target string")
+    out = convert_samples(samples, "bn", lexicon, "sample_id", 5)
+    assert [r["index"] for r in out.orderBy("sample_id").select("index").collect()] == list(range(5, 5 + samples.count()))
+    joins = re.findall(r"\w+Join", out._jdf.queryExecution().executedPlan().toString())
+    assert set(joins) == {"SortMergeJoin"}
+
+
+def test_a_scan_of_one_row_group_is_spread(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(1000).coalesce(1).write.parquet(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "400b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        scan = spark.read.parquet(path)
+        assert scan.rdd.getNumPartitions() >= 4
+        assert spread(scan, "id").groupBy(F.spark_partition_id()).count().count() >= 4
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    even = spark.range(1000).repartition(8)
+    assert spread(even, "id") is even
