@@ -10,7 +10,7 @@ from sarani.functions.languages import (
 from sarani.functions.once import let
 from sarani.functions.splitjson import from_split_json
 from sarani.functions.text import split_words
-from sarani.operators.lookup import RecordTable, fits_record, look_up
+from sarani.operators.lookup import fits_record, record_lookup
 from sarani.operators.numbering import number_within
 from sarani.session import BROADCAST_ROWS
 
@@ -96,55 +96,23 @@ def translate_words(
     Words not in the script are looked up without the signs around them and kept when
     there is no entry. A record whose words are null has a null text.
 
-    A lexicon of some thousand words is searched inside each record, and nothing is shuffled. For
-    a larger one the records are shuffled once, by their unique `key`, their words are looked up
-    by `look_up` and grouped where they are; a `key` of two records then ends the job. Other
-    columns travel with one extra entry of the list, not with every word. No lexicon of more than
-    `most_broadcast` words goes to every task.
+    A lexicon of some thousand words is searched inside each record, and nothing is shuffled. Of a
+    larger one the words that occur are looked up by `record_lookup`, which needs a unique `key`; a `key`
+    of two records then ends the job. No lexicon of more than `most_broadcast` words goes to every task.
     """
     lexicon = lexicon.groupBy("source").agg(F.min("target").alias("target"))
-    if fits_record(lexicon, most_broadcast):
-        table = RecordTable(lexicon)
-
-        def one(w):
-            new = lambda core, found: F.when(found.isNotNull() & ~in_script(w, lang), _around(w, core, found)).otherwise(w)
-            return let(_core(w), lambda core: let(table.find(core), lambda found: new(core, found)))
-
-        return df.withColumns({name: F.array_join(F.transform(words, one), " ") for name, words in columns.items()})
-    df = df.repartition(key)
-    missing = F.array(*[words.isNull() for words in columns.values()]).alias("_missing")
-    rest = F.struct(*[c for c in df.columns if c != key], missing)
-
-    def entry(n, i, word, rest):
-        return F.struct(n.alias("list"), i.alias("pos"), word.alias("word"), rest.alias("rest"))
-
-    nothing = F.when(F.lit(False), rest)
-    lists = [F.array(entry(F.lit(-1), F.lit(0), F.lit(""), rest))]
-    for n, words in enumerate(columns.values()):
-        listed = F.coalesce(words, F.array().cast("array<string>"))
-        lists.append(F.transform(listed, lambda w, i: entry(F.lit(n), i, w, nothing)))
-    words = df.select(key, F.inline(F.concat(*lists))).withColumn("source", _core(F.col("word")))
-    found = look_up(words, lexicon, most_broadcast)
-    use = F.col("target").isNotNull() & ~in_script(F.col("word"), lang)
-    out = F.when(use, _around(F.col("word"), F.col("source"), F.col("target"))).otherwise(F.col("word"))
-    grouped = (
-        found.select(key, "list", "pos", "rest", out.alias("out"))
-        .groupBy(key)
-        .agg(
-            F.array_sort(F.collect_list(F.struct("list", "pos", "out"))).alias("_w"),
-            F.first("rest", ignorenulls=True).alias("_rest"),
-            F.count("rest").alias("_records"),
-        )
-    )
-    once = F.when(F.col("_records") > 1, F.raise_error(F.lit(f"{key} is not unique")).cast("string"))
-    texts = [
-        F.when(
-            ~F.get("_rest._missing", F.lit(n)),
-            F.coalesce(once, F.array_join(F.transform(F.filter("_w", lambda w: w["list"] == n), lambda w: w["out"]), " ")),
-        ).alias(name)
-        for n, name in enumerate(columns)
-    ]
-    return grouped.select(key, "_rest.*", *texts).drop("_missing")
+    given = df.columns
+    if not fits_record(lexicon, most_broadcast) and not df.groupBy(key).count().where("count > 1").isEmpty():
+        raise ValueError(f"{key} is not unique")
+    listed = F.concat(*[F.coalesce(words, F.array().cast("array<string>")) for words in columns.values()])
+    df, find = record_lookup(df, F.transform(F.array_distinct(listed), _core), lexicon, key, most_broadcast)
+
+    def one(w):
+        new = lambda core: F.transform(find(core), lambda found: F.when(~in_script(w, lang), _around(w, core, found)).otherwise(w))
+        return F.coalesce(let(_core(w), lambda core: F.get(new(core), F.lit(0))), w)
+
+    texts = [F.array_join(F.transform(words, one), " ").alias(name) for name, words in columns.items()]
+    return df.select(*[c for c in given if c not in columns], *texts)
 
 
 def translate_columns(header: Column, lang: str) -> Column:

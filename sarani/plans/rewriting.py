@@ -203,7 +203,7 @@ words AS (
 SELECT d.doc_id, COALESCE(STRING_AGG(o, ' ' ORDER BY pos), '') AS indic
 FROM documents d LEFT JOIN words USING (doc_id) GROUP BY d.doc_id""")
 def translate_words_query(spark, d):
-    docs = load(spark, d, "documents").select("doc_id", "text")
+    docs = spread(load(spark, d, "documents").select("doc_id", "text"), "doc_id")
     words = {"indic": split_words(F.col("text"))}
     return translate_words(docs, lexicon(spark, d), "bn", words, "doc_id").select("doc_id", "indic")
 
@@ -221,7 +221,7 @@ SELECT d.doc_id, COALESCE(STRING_AGG(o, ' ' ORDER BY pos), '') AS indic
 FROM documents d LEFT JOIN words USING (doc_id) GROUP BY d.doc_id""")
 def translate_words_skewed(spark, d):
     """A third of all words are one word; the lexicon is looked up as one too large to broadcast."""
-    docs = load(spark, d, "documents").select("doc_id", "text")
+    docs = spread(load(spark, d, "documents").select("doc_id", "text"), "doc_id")
     words = F.transform(split_words(F.col("text")), lambda w, i: F.when(i % 3 == 0, "(the)").otherwise(w))
     return translate_words(docs, lexicon(spark, d), "bn", {"indic": words}, "doc_id", most_broadcast=0).select("doc_id", "indic")
 
