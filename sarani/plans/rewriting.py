@@ -65,19 +65,21 @@ SELECT sample_id, lang, STRING_AGG(k, ',' ORDER BY rank) AS found, CAST(MIN(rank
 FROM samples JOIN words ON CONTAINS(sql, k) GROUP BY sample_id, lang""")
 def lexicon_order(spark, d):
     """The keywords of every language that a sample holds, in the order they are tried."""
-    entries = F.array(*[
+    lists: dict[tuple[str, ...], list[str]] = {}
+    for lang in KEYWORDS:
+        lists.setdefault(tuple(k for k, _ in lexicon_entries(lang)), []).append(lang)
+    found = F.array(*[
         F.struct(
-            F.lit(lang).alias("lang"),
-            F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(k).alias("k")) for i, (k, _) in enumerate(lexicon_entries(lang))]).alias("words"),
+            F.array(*[F.lit(lang) for lang in langs]).alias("langs"),
+            F.concat_ws(",", *[F.when(F.contains("sql", F.lit(k)), F.lit(k)) for k in words]).alias("found"),
+            F.array(*[F.lit(k) for k in words]).alias("words"),
         )
-        for lang in KEYWORDS
+        for words, langs in lists.items()
     ])
-    s = part_samples(spark, d).select("sample_id", "sql", F.inline(entries))
-    s = s.withColumn("_f", F.filter("words", lambda e: F.contains("sql", e["k"]))).where(F.size("_f") > 0)
-    return s.select(
-        "sample_id", "lang", F.array_join(F.transform("_f", lambda e: e["k"]), ",").alias("found"),
-        F.col("_f")[0]["rank"].alias("first_rank"),
-    )
+    # Each list of keywords is searched once, whichever languages share it; no keyword has a comma.
+    s = spread(part_samples(spark, d).select("sample_id", "sql"), "sample_id").select("sample_id", F.inline(found)).where("found <> ''")
+    first = F.array_position("words", F.substring_index("found", ",", 1)) - 1
+    return s.select("sample_id", F.explode("langs").alias("lang"), "found", first.cast("int").alias("first_rank"))
 
 
 def _register_keywords(lang):

@@ -13,6 +13,8 @@ from sarani.operators.rewriting import (
     clean_table_token, convert_samples, drop_table_clause, translate_answer, translate_digit_tokens,
     translate_keywords, translate_words,
 )
+from sarani.plans import rewriting  # noqa: F401  (registers the queries)
+from sarani.plans.registry import QUERIES
 from sarani.plans.sqltext import part_samples
 from sarani.session import spread
 from sarani.sources.star import corpus_tables, load
@@ -219,3 +221,24 @@ def test_a_scan_of_one_row_group_is_spread(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
     even = spark.range(1000).repartition(8)
     assert spread(even, "id") is even
+
+
+def test_large_look_up_moves_no_word_lists(spark):
+    """Words that the lexicon does not have are not sent anywhere; cold ones come back to their record, null keys too."""
+    docs = spark.range(400).select(
+        F.when(F.col("id") > 0, F.col("id")).alias("id"),
+        F.concat_ws(" ", F.lit("(hot),"), F.concat(F.lit("c"), F.col("id") % 50), F.concat(F.lit("junk"), F.col("id")), F.lit("hot")).alias("text"),
+    )
+    lexicon = spark.createDataFrame([("hot", "H"), *[(f"c{i}", f"C{i}") for i in range(45)]], "source string, target string")
+    lexicon = lexicon.unionByName(spark.range(100).select(F.concat(F.lit("none"), "id").alias("source"), F.lit("N").alias("target")))
+    given = translate_words(docs, lexicon, "bn", {"out": split_words(F.col("text"))}, "id", 0)
+    want = {(i or None, f"(H), {'C' if i % 50 < 45 else 'c'}{i % 50} junk{i} H") for i in range(400)}
+    assert {(r.id, r.out) for r in given.collect()} == want
+    plan = given._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list(struct(list" not in plan and "inline" not in plan
+
+
+def test_lexicon_order_searches_a_shared_list_once(spark, sf):
+    """The languages share their keywords, so one list of conditions serves them all, without a lambda per word."""
+    plan = QUERIES["lexicon_order"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("Contains(sql") <= len(lexicon_entries("bn")) and "lambdafunction" not in plan
