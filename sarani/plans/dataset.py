@@ -16,7 +16,7 @@ from sarani.plans.registry import query
 from sarani.plans.rewriting import _TOKENS
 from sarani.plans.sample_job import sample_records, with_tables
 from sarani.plans.sqltext import PART_SAMPLE_SQL, part_samples
-from sarani.session import materialise
+from sarani.session import materialise, spread
 from sarani.sources.star import corpus_tables, load
 
 _BN = "'0123456789', '০১২৩৪৫৬৭৮৯'"
@@ -101,7 +101,7 @@ dictionary AS (
 
 @query("word_dictionary", f"WITH {_DICTIONARY_SQL} SELECT w AS word, id FROM dictionary")
 def word_dictionary_query(spark, d):
-    return word_dictionary(load(spark, d, "documents"), "text")
+    return word_dictionary(spread(load(spark, d, "documents").select("doc_id", "text"), "doc_id"), "text")
 
 
 @query("fit_length_dictionary", f"""
@@ -117,7 +117,7 @@ SELECT doc_id, lang, batch_id, CAST(LEN(ids) AS INTEGER) AS n_words,
 FROM numbered JOIN longest USING (lang, batch_id)""")
 def fit_length_dictionary(spark, d):
     """Ids of a dictionary of all documents' words, cut and padded by batch."""
-    docs = load(spark, d, "documents").select("doc_id", "lang", "text")
+    docs = spread(load(spark, d, "documents").select("doc_id", "lang", "text"), "doc_id")
     dictionary = materialise(word_dictionary(docs, "text"), "dictionary")
     ids = docs.select("doc_id", "lang").join(dictionary_ids(docs, "text", dictionary, "doc_id", 1024), "doc_id")
     fitted = fit_length(batches(ids, 16, "doc_id", ["lang"]), "ids", ["lang", "batch_id"], 1024)
