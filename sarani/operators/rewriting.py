@@ -31,8 +31,11 @@ def translate_keywords(c: Column, lang: str, word_bounded: bool = False) -> Colu
     """
     entries = lexicon_entries(lang)
     if not word_bounded:
+        # No translation has an ASCII letter, so only words of the given text can occur later; a test for
+        # a word costs less than its search, and an empty word replaces nothing.
+        given = c
         for word, target in entries:
-            c = F.replace(c, F.lit(word), F.lit(target))
+            c = F.replace(c, F.when(F.contains(given, F.lit(word)), F.lit(word)).otherwise(F.lit("")), F.lit(target))
         return c
 
     # Quoted parts, keywords of two words, words, and what is between them.

@@ -32,6 +32,13 @@ def test_strip_and_split_as_python(spark):
     assert all(c.isspace() for c in SPACES)
 
 
+def test_every_character_splits_as_in_python(spark):
+    values = [f"a{chr(i)}b" for i in range(1, 0x11000) if not 0xD800 <= i < 0xE000]
+    assert apply(spark, values, split_words) == [v.split() for v in values]
+    plan = spark.range(1).select(split_words(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert r"\x{2000}" not in plan and r"\x{85}" not in plan
+
+
 def test_normalise(spark):
     assert apply(spark, [" A\n\rB\nC "], normalise_prediction) == ["a b c"]
 
