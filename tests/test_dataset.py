@@ -103,6 +103,14 @@ def test_dictionary_ids_are_dense_and_differ(spark):
         assert got == {i: [3 if w == "w5" else found[w] for w in (t or "").split()[:6]] for i, t in texts}
 
 
+def test_the_words_of_a_dictionary_are_made_once(spark):
+    df = spark.createDataFrame([(1, "a b a"), (2, "c b"), (None, None)], "id long, text string")
+    for rows in (1, 200_000):
+        found = ds.word_dictionary(df, "text", rows_per_bucket=rows)
+        assert sorted(r.id for r in found.collect()) == [4, 5, 6]
+        assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_replacing_tables_leaves_the_others(spark, tmp_path):
     path = str(tmp_path / "corpus")
     table = lambda name, v: (name, ["h"], [[v]])
